@@ -28,6 +28,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN host ON b.source IS NOT DISTINCT FROM host.source
 """
 
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+      FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((n - 1) % 3 + 1)::INT] AS w, 3 * ss AS most FROM s),
+-- each round closes the sources that the level of the last one fills
+lv(k, level) AS (
+  SELECT 0, (SELECT sum(ss)::DOUBLE / sum(w) FROM w)
+  UNION ALL
+  SELECT k + 1, (SELECT (sum(ss) - coalesce(sum(most) FILTER (most < level * w), 0))::DOUBLE
+                        / sum(w) FILTER (most >= level * w) FROM w)
+  FROM lv WHERE k < 60 AND (SELECT count(*) FILTER (most >= level * w) FROM w) > 0),
+t AS (SELECT source, ss, coalesce(least(most::DOUBLE, (SELECT arg_max(level, k) FROM lv WHERE level IS NOT NULL) * w), most) AS target FROM w),
+r AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss)::BIGINT ELSE 0 END AS c FROM t),
+q AS (SELECT d.*, ss, target, c, greatest(0.0, target - c * ss) AS rest FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) - size / 2 > rest AS over FROM q),
+x AS (SELECT source, min(u) FILTER (over) AS cut FROM a GROUP BY source)
+SELECT doc_id, size, ss AS source_size, target,
+       size * (c + (rest > 0 AND u < coalesce(cut, 2))::INT)::BIGINT AS taken
+FROM a JOIN x ON a.source IS NOT DISTINCT FROM x.source
+"""
+
 SQL = {
+    "op8_pareto_mixing": OP8,
     "op10_quality_rules": OP10,
 }

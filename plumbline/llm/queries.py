@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality
+from plumbline.llm import mixing, pii, quality, simhash
 from plumbline.llm.common import table
 
 
+def op7_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    made = mixing.copies(docs.select("doc_id", "source", "text"))
+    return made.select("doc.doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+
+
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, carry=("doc_id",))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs, carry=("doc_id",))
@@ -16,6 +32,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op7_simhash_vp_trees": op7_simhash_vp_trees,
+        "op8_pareto_mixing": op8_pareto_mixing,
+        "op9_disclosure": op9_disclosure,
         "op10_quality_rules": op10_quality_rules,
     }
 
