@@ -47,3 +47,10 @@ def whole(text: Column) -> Column:
 def words(text: Column) -> Column:
     return F.filter(F.split(whole(text), f"{SPACE}+"), lambda w: w != "")
 
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; executors read it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, pii, quality, simhash
-from plumbline.llm.common import table
+from plumbline.llm import mixing, pii, quality, sentencepiece_dropout, simhash
+from plumbline.llm.common import table, tokenizer_file
+
+
+def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_dropout.encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=("doc_id",))
 
 
 def op7_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
         "op7_simhash_vp_trees": op7_simhash_vp_trees,
         "op8_pareto_mixing": op8_pareto_mixing,
         "op9_disclosure": op9_disclosure,
