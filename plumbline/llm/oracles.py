@@ -51,7 +51,35 @@ SELECT doc_id, size, ss AS source_size, target,
 FROM a JOIN x ON a.source IS NOT DISTINCT FROM x.source
 """
 
+#: Every rule is run on every URL here; the patterns are those of url_rules.
+OP6 = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(by_host, name, verdict, pattern) AS (VALUES
+  (true, 'com/en/', 'block', '^(?:[^/]*\.)?com/en/'),
+  (true, 'example.com/en/7', 'allow', '^(?:[^/]*\.)?example\.com/en/7'),
+  (true, 'net/de/', 'allow', '^(?:[^/]*\.)?net/de/'),
+  (true, 'example.net/de/8', 'block', '^(?:[^/]*\.)?example\.net/de/8'),
+  (true, 'org/es/', 'block', '^(?:[^/]*\.)?org/es/'),
+  (false, 'login', 'block', '/(?:login|signin)(?:/|$)'),
+  (false, 'logout', 'block', '/logout(?:/|$)'),
+  (false, 'ads', 'block', '(?:^|[./])ads?[./]'),
+  (false, 'tracker', 'block', '^(?:[a-z0-9-]+\.)*tracker\.'),
+  (false, 'tag-feed', 'block', '/tag/[^/]+/feed(?:/|$)'),
+  (false, 'cart', 'block', '/cart/(?:add|checkout)(?:/|$)'),
+  (false, 'mobile-short', 'block', '^m\..*/[a-z]{2}/[0-9]{1,3}(?:[./]|$)'),
+  (false, 'blog-html', 'block', '^blog\..*/[0-9]+\.html$'),
+  (false, 'blog-en-html', 'allow', '^blog\..*\.example\.org/en/[0-9]+\.html$')),
+f AS (SELECT page_id, host, path, max(struct_pack(b := by_host, s := length(name), n := name, v := verdict)) AS best
+      FROM h LEFT JOIN r ON regexp_matches(host || path, pattern) GROUP BY page_id, host, path)
+SELECT page_id, host, path, CASE WHEN best.b THEN best.n END AS rule, CASE WHEN NOT best.b THEN best.n END AS pattern_rule,
+       coalesce(best.v, 'allow') AS verdict
+FROM f
+"""
+
 SQL = {
+    "op6_url_rules": OP6,
     "op8_pareto_mixing": OP8,
     "op10_quality_rules": OP10,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, pii, quality, sentencepiece_dropout, simhash
+from plumbline.llm import mixing, pii, quality, sentencepiece_dropout, simhash, url_rules
 from plumbline.llm.common import table, tokenizer_file
 
 
@@ -14,6 +14,11 @@ def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=("doc_id",))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages).select("page.page_id", "host", "path", "rule", "pattern_rule", "verdict")
+
+
 def op7_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.classes(docs).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -38,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
+        "op6_url_rules": op6_url_rules,
         "op7_simhash_vp_trees": op7_simhash_vp_trees,
         "op8_pareto_mixing": op8_pareto_mixing,
         "op9_disclosure": op9_disclosure,
