@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, pii, quality, sentencepiece_dropout, simhash, url_rules
+from plumbline.llm import language, mixing, mtree, pii, quality, secrets, sentencepiece_dropout, simhash, url_rules, wavelet
 from plumbline.llm.common import table, tokenizer_file
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_dropout.encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=("doc_id",))
 
 
+def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    known = language.learn(docs.where(~out))
+    return language.predict(docs.select("doc_id", "text", out.alias("held_out")), known, carry=("doc_id", "held_out"))
+
+
+def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wavelet.round_trip(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, tokenizer_file("byte_bpe_50k.tiktoken"), carry=("doc_id",))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages).select("page.page_id", "host", "path", "rule", "pattern_rule", "verdict")
@@ -42,7 +64,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_mtree_top_k": op1_mtree_top_k,
         "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
+        "op3_zstd_language": op3_zstd_language,
+        "op4_wavelet_shards": op4_wavelet_shards,
+        "op5_secret_scan": op5_secret_scan,
         "op6_url_rules": op6_url_rules,
         "op7_simhash_vp_trees": op7_simhash_vp_trees,
         "op8_pareto_mixing": op8_pareto_mixing,
