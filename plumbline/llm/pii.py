@@ -5,8 +5,9 @@ plain ones in PATTERNS, in time that is linear in the text: runs are taken
 possessively, and a run is entered only where it begins.
 
 The method is information-theoretic sanitisation. The contexts are lines. For an
-entity e (a base value seen in at least SUPPORT different lines) and a term t beside
-it in at least SUPPORT different lines, with counts of lines over the whole corpus,
+entity e and a term t in its lines, each seen in at least SUPPORT different
+surroundings (AROUND characters before and after e) and in lines that do not share
+most of their words, with counts of lines over the whole corpus,
 
     PMI(t; e) = log2(n(t, e) N / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
@@ -46,6 +47,9 @@ LINEAR = {
 KINDS = tuple(PATTERNS)
 TERM = r"[\p{L}\p{N}]{3,}"
 SUPPORT = 3
+AROUND = 30
+#: The lines of an entity have at least so many times the words of one of them.
+VARIED = 2.5
 GENERALISE, REMOVE = 0.7, 0.9
 
 
@@ -124,18 +128,29 @@ def disclosing_terms(spanned: DataFrame) -> DataFrame:
     any_span = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS))
     # A match never crosses a line, so lines can be searched by themselves; only documents with spans are.
     lines = spanned.where(any_span).select(F.explode(F.split("_body", "\n")).alias("line"))
-    lines = lines.select("line", F.concat(*base_spans(F.col("line")).values()).alias("spans")).where(F.size("spans") > 0)
-    seen = lines.select(
-        F.xxhash64("line").alias("at"), "line", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity")
+    # Each different line once, with its number m.
+    lines = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.count("*").alias("m"), F.first("line").alias("line"))
+    lines = lines.select("*", F.concat(*base_spans(F.col("line")).values()).alias("spans")).where(F.size("spans") > 0)
+    lines = written(lines, "entity-lines")
+    # Copies with edits elsewhere are no new evidence: what counts as different is the text right around the entity.
+    around = lambda x: F.xxhash64(
+        F.substring(F.col("line"), F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND))),
+        F.substring(F.col("line"), x["end"] + 1, F.lit(AROUND)),
     )
-    seen = written(seen, "entity-lines")
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("at").alias("d")).where(F.col("d") >= SUPPORT)
-    entities = written(entities.drop("d"), "entities")
+    each = F.transform("spans", lambda x: F.struct(F.lower(x["value"]).alias("entity"), around(x).alias("at")))
+    seen = lines.select("id", "m", F.explode(F.array_distinct(each)).alias("x")).select("id", "m", "x.*")
+    often = seen.groupBy("entity").agg(F.countDistinct("at").alias("d")).where(F.col("d") >= SUPPORT).select("entity")
+    held = written(seen.join(often, "entity", "left_semi").select("entity", "id", "m").distinct(), "entities")
     bare = reduce(lambda c, k: F.regexp_replace(c, LINEAR[k], " "), KINDS, F.col("line"))
     terms = F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)))
-    beside = seen.join(entities, "entity").select("entity", "n_e", "at", F.explode(terms).alias("term"))
-    pairs = beside.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.countDistinct("at").alias("d"))
-    pairs = written(pairs.where(F.col("d") >= SUPPORT).drop("d"), "pairs")
+    words = lines.join(held, "id", "left_semi").select("id", F.explode(terms).alias("term"))
+    pairs = held.join(words, "id").groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.count("*").alias("d"))
+    pairs = written(pairs, "pairs")
+    # Lines that share most of their words are copies too.
+    n_e = held.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count("*").alias("n_lines"))
+    varied = pairs.groupBy("entity").agg(F.count("*").alias("n_terms"), F.sum("d").alias("n_words")).join(n_e, "entity")
+    varied = varied.where(F.col("n_terms") * F.col("n_lines") >= VARIED * F.col("n_words")).select("entity", "n_e")
+    pairs = written(pairs.where(F.col("d") >= SUPPORT).drop("d").join(varied, "entity"), "supported")
     named = written(pairs.select("term").distinct(), "terms")
     if named.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"))

@@ -64,12 +64,17 @@ def test_patterns_match_brute_force_on_adversarial_strings(spark):
 def test_disclosing_terms_go_and_common_words_stay(spark):
     common = "we met the team and spoke about plans for the year"
     rows = [(i, f"{common} number {i}") for i in range(300)]
-    rows += [(1000 + i, f"{common} item{i}\nask Zorblatt the chief at ceo@corp.example.com today {i}") for i in range(6)]
+    said = ["ask Zorblatt about prices: {}", "{} is what Zorblatt reads every morning", "yesterday our Zorblatt answered from {} within hours",
+            "forms go through {} or directly by hand; Zorblatt signs", "for urgent cases Zorblatt left this: {}!", "Zorblatt ({}) owns both shares"]
+    rows += [(1000 + i, f"{common} item{i}\n" + t.format("ceo@corp.example.com")) for i, t in enumerate(said)]
+    # Near copies of one line disclose nothing new, whatever was edited in them.
+    rows += [(1500 + i, f"Quixote wrote to windmill@copy.example.com from mancha{i} about long summer rides") for i in range(9)]
     rows += [(2000, "nobody but Zorblatt was there"), (2001, None), (2002, "the chief cook of item4")]
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, n_chars int, term string")
     out = {r.doc_id: r for r in pii.sanitised(docs).collect()}
     assert len(out) == len(rows)
     assert "Zorblatt" not in out[2000].text and out[2000].text.startswith("nobody but ") and out[2000].n_chars == len(out[2000].text)
+    assert "Quixote" in out[1500].text and "windmill" not in out[1500].text
     assert out[2001].text is None and out[2001].term == "x"
     assert out[0].text == rows[0][1]
     assert "[EMAIL]" in out[1000].text and "corp.example" not in out[1000].text and common in out[1000].text
