@@ -263,8 +263,9 @@ def table_rows(tables: DataFrame) -> DataFrame:
 
 def table_context(body: Column, start: Column, end: Column) -> Column:
     """What stands before and after a table, and the title in the last line before it."""
-    before = F.trim(F.substring(body, F.greatest(F.lit(1), start - 199), F.least(start, F.lit(200))))
-    after = F.trim(F.substring(body, end + 1, F.lit(100)))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    before = strip(F.substring(body, F.greatest(F.lit(1), start - 199), F.least(start, F.lit(200))))
+    after = strip(F.substring(body, end + 1, F.lit(100)))
     last = F.trim(F.element_at(F.split(before, "\n"), -1))
     name = F.when(F.length(last).between(4, 149), F.regexp_replace(last, ":$", "")).otherwise("Таблица")
     return F.struct(before.alias("before"), after.alias("after"), name.alias("title"))

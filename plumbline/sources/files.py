@@ -35,10 +35,10 @@ def processor(path: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, format, content, error of each file."""
+    """path, format, content, error of each file. Spark gives no row for a file of no bytes."""
     df = spark.read.format("binaryFile").load(path)
     kind = processor(F.col("path"))
-    error = F.when(F.col("length") == 0, "empty").when(kind == "unsupported", "unsupported")
+    error = F.when(kind == "unsupported", "unsupported")
     return df.select("path", kind.alias("format"), "content", error.alias("error"))
 
 

@@ -36,9 +36,8 @@ def test_files_become_texts(spark, tmp_path):
     assert out["b.csv"].text == "Заголовки: имя, город\nСтрока 1: имя: Анна; город: Москва\nСтрока 3: имя: Пётр"
     body = files.json_lines({"a": {"b": [1, {"c": True}]}, "n": None, "e": " ", "f": False, "deep": deep})
     assert body[:3] == ["a.b[0]: 1", "a.b[1].c: да", "f: нет"] and body[3].endswith("[слишком глубокая вложенность]")
-    assert out[".json"[-5:]] if ".json" in out else True
     errors = {r.path.rsplit("/", 1)[1]: r.error for r in files.extracted(files.read(spark, str(tmp_path))).collect()}
-    assert errors["d.pdf"] == "unsupported" and errors["f.csv"] == "empty" and "JSONDecodeError" in errors["e.json"] and errors["a.DOCX"] is None
+    assert errors["d.pdf"] == "unsupported" and "f.csv" not in errors and "JSONDecodeError" in errors["e.json"] and errors["a.DOCX"] is None
 
 
 def test_csv_note_after_the_first_rows(spark):
@@ -72,7 +71,7 @@ def test_ingest_is_idempotent_and_replaces(spark, tmp_path):
 
 def test_rate_limit_stream_equals_batch(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 3).alias("user_id"), "event_id", "ts")
-    want = sorted((r.user_id, r.event_id, r.accepted) for r in jobs.rate_limited(e, window=7200.0).collect())
+    want = sorted((r.user_id, r.event_id, r.accepted) for r in jobs.rate_limited(e, window=200_000.0).collect())
     assert {w[2] for w in want} == {True, False}
     ordered = e.orderBy("ts", "event_id")
     half = ordered.limit(500)
@@ -80,7 +79,7 @@ def test_rate_limit_stream_equals_batch(spark, sf, tmp_path):
     half.coalesce(1).write.parquet(src + "/1")
     ordered.join(half.select("event_id"), "event_id", "left_anti").select(e.columns).coalesce(1).write.parquet(src + "/2")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
-    q = jobs.rate_limited_stream(stream, window=7200.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = jobs.rate_limited_stream(stream, window=200_000.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.user_id, r.event_id, r.accepted) for r in spark.table("limited").collect()) == want
 
