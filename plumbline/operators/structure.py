@@ -285,3 +285,30 @@ def table_text(rows: Column) -> Column:
     head = F.concat(F.lit("[Заголовки таблицы: "), F.array_join(F.get(full, 0), " | "), F.lit("]"))
     body = F.transform(F.slice(full, 2, 1_000_000), lambda r, i: F.concat(F.lit("[Строка "), (i + 1).cast("string"), F.lit(": "), F.array_join(F.filter(r, lambda c: c != ""), " | "), F.lit("]")))
     return F.array_join(F.concat(F.array(head), body), "\n")
+
+
+def around_tables(found: DataFrame, tables: DataFrame, least: int = 200) -> DataFrame:
+    """The text of a section before, between and after its tables, pieces of at least
+    `least` characters. found: id, section_no, start, content. tables: id, section_no,
+    position (in the document), size."""
+    begin = F.col("position") - F.col("start")
+    gaps = tables.join(found, ["id", "section_no"]).select("id", "section_no", "content", begin.alias("to"), (begin + F.col("size")).alias("next"))
+    order = Window.partitionBy("id", "section_no").orderBy("to")
+    before = gaps.select("id", "section_no", "content", F.coalesce(F.lag("next").over(order), F.lit(0)).alias("from"), "to", F.lit("text_before_table").alias("chunk_type"))
+    last = gaps.groupBy("id", "section_no").agg(F.first("content").alias("content"), F.max("next").alias("from"))
+    after = last.select("id", "section_no", "content", "from", F.length("content").alias("to"), F.lit("text_after_table").alias("chunk_type"))
+    cut = before.unionByName(after).where(F.col("to") > F.col("from"))
+    body = F.regexp_replace(F.substring(F.col("content"), F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int")), r"^\s+|\s+$", "")
+    return cut.select("id", "section_no", "from", "to", "chunk_type", body.alias("text")).where(F.length("text") >= least)
+
+
+def grouped_rows(rows: DataFrame, size: int = 8) -> DataFrame:
+    """Row chunks of a table in groups: id, group_no, text; all but the first are marked as going on."""
+    group = F.floor((F.col("row_index") - 1) / size).cast("int")
+    lines = F.array_sort(F.collect_list(F.struct("row_index", "text")))
+    out = rows.groupBy("id", group.alias("group_no")).agg(F.array_join(F.transform(lines, lambda r: r["text"]), "\n").alias("text"))
+    return out.withColumn("text", F.when(F.col("group_no") > 0, F.concat(F.lit("(продолжение)\n"), "text")).otherwise(F.col("text")))
+
+
+def fallback_table(body: Column, title_of_section: Column) -> Column:
+    return F.concat(F.lit("Таблица в "), title_of_section, F.lit("\n"), body)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
-from plumbline.operators import diagnostics, structure
+from plumbline.functions import calendar, text
+from plumbline.operators import diagnostics, keywords, structure
 from plumbline.plans.tables import CHUNKS, DOCS, chunks, documents, load
 from plumbline.sources import files
 
@@ -231,3 +231,49 @@ def semantic_chunks(spark, sf):
 @query()
 def basic_chunks(spark, sf):
     return structure.basic_chunks(documents(spark, sf))
+
+
+@query()
+def mmr_keywords(spark, sf):
+    """Without SQL: each choice depends on those before it."""
+    return keywords.mmr_keywords(documents(spark, sf))
+
+
+@query("""SELECT conv_id, turn, turn % 2 = 0 AS is_command, CASE WHEN turn % 3 = 0 THEN 'Sync ' || conv_id END AS title,
+  CASE WHEN turn % 3 = 0 THEN TIMESTAMP '2024-05-01 10:00:00' + to_minutes(CASE WHEN turn = 0 THEN 60 ELSE 30 END) END AS "end" FROM conversations""")
+def calendar_commands(spark, sf):
+    m = load(spark, sf, "conversations")
+    answer = F.when(
+        F.col("turn") % 3 == 0,
+        F.concat(F.lit('Вот: {"title": "Sync '), F.col("conv_id").cast("string"), F.lit('", "datetime": "2024-05-01T10:00:00", "participants": [], "duration": '), F.when(F.col("turn") == 0, "0").otherwise("30"), F.lit("}")),
+    ).otherwise('{"title": "x"}')
+    asked = F.when(F.col("turn") % 2 == 0, "Назначь ВСТРЕЧУ с ними").otherwise("что нового")
+    c = m.select("conv_id", "turn", calendar.is_command(asked).alias("is_command"), calendar.command(answer, asked, F.array(F.lit("A"))).alias("c"))
+    return c.select("conv_id", "turn", "is_command", "c.title", F.col("c.end").cast("timestamp_ntz").alias("end"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, string_split(chunk_id, '_')[1] AS document_id FROM chunks")
+def document_of_chunk(spark, sf):
+    return chunks(spark, sf).select("chunk_id", calendar.document_of(F.col("chunk_id")).alias("document_id"))
+
+
+@query(f"""WITH {CHUNKS}, g AS (SELECT id, (chunk_index // 8)::INT AS group_no, string_agg(text, chr(10) ORDER BY chunk_index) AS text FROM chunks GROUP BY id, chunk_index // 8)
+SELECT id, group_no, md5(CASE WHEN group_no > 0 THEN '(продолжение)' || chr(10) || text ELSE text END) AS digest FROM g""")
+def grouped_rows(spark, sf):
+    rows = chunks(spark, sf).select("id", (F.col("chunk_index") + 1).alias("row_index"), "text")
+    return structure.grouped_rows(rows).select("id", "group_no", F.md5("text").alias("digest"))
+
+
+@query(r"""WITH s AS (SELECT doc_id AS id, text, length(text) AS n FROM documents WHERE length(text) > 1200),
+t AS (SELECT id, text, n, 300 AS pos, 150 AS size FROM s UNION ALL SELECT id, text, n, 800, 100 FROM s WHERE id % 2 = 0),
+c AS (SELECT id, text, coalesce(lag(pos + size) OVER (PARTITION BY id ORDER BY pos), 0) AS a, pos AS z, 'text_before_table' AS chunk_type FROM t
+  UNION ALL SELECT id, any_value(text), max(pos + size), any_value(n), 'text_after_table' FROM t GROUP BY id),
+x AS (SELECT id, a, z, chunk_type, regexp_replace(substr(text, (a + 1)::BIGINT, (z - a)::BIGINT), '^\s+|\s+$', '', 'g') AS text FROM c WHERE z > a)
+SELECT id, a::BIGINT AS a, z::BIGINT AS z, chunk_type, md5(text) AS digest FROM x WHERE length(text) >= 200""")
+def text_around_tables(spark, sf):
+    d = documents(spark, sf).where(F.length("text") > 1200)
+    found = d.select("id", F.lit(0).alias("section_no"), F.lit(0).alias("start"), F.col("text").alias("content"))
+    at = F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit(300).alias("position"), F.lit(150).alias("size")), F.struct(F.lit(800).alias("position"), F.lit(100).alias("size"))))
+    tables = d.select("id", F.lit(0).alias("section_no"), F.inline(F.coalesce(at, F.array(F.struct(F.lit(300).alias("position"), F.lit(150).alias("size"))))))
+    out = structure.around_tables(found, tables)
+    return out.select("id", F.col("from").cast("long").alias("a"), F.col("to").cast("long").alias("z"), "chunk_type", F.md5("text").alias("digest"))
