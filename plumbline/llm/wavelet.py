@@ -9,7 +9,7 @@ few blocks. Each shard is a Parquet file of its own in the shared folder, writte
 Spark, so that commits, retries and remote stores are Spark's matter.
 
 A text's ids are those of its pieces between ASCII white space, which the tokenizer's
-own splitting never crosses; pieces are encoded once for each task and kept.
+own splitting never crosses; words and pieces are encoded once for each task and kept.
 
 Defined results: a null text is empty and has the end id only; null ids come first;
 rows of equal ids are ordered by text; an empty table writes no shard.
@@ -17,8 +17,10 @@ rows of equal ids are ordered by text; an empty table writes no shard.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,16 @@ from pyspark.sql.window import Window
 from plumbline.llm.common import shared_dir
 
 END_ID = 2
-#: Tokens in a shard, about; bytes of a plane in a compressed block; pieces kept in a task.
-SHARD, BLOCK, CACHED = 1 << 20, 1 << 14, 400_000
+#: Tokens in a shard, about; bytes of a plane in a compressed block; words kept in a task.
+SHARD, BLOCK, CACHED = 1 << 20, 1 << 14, 600_000
 MAGIC = b"WMX1"
 SPACE = " \t\n\v\f\r"
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00ff]*")
+#: Fixed value: how the tokenizer cuts such texts once in lower case.
+PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+", re.ASCII)
+#: Byte-level vocabularies write a byte as its Latin-1 character if that can be seen, else as one from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 _HEAD = "<4sIQII"  # magic, planes, tokens, documents, blocks of a plane
 
 
@@ -178,8 +186,35 @@ class Shard:
         return out.astype(np.uint32)
 
 
+class _Words(dict):
+    """Ids of words as bytes. A word is sent through the model's merges when it is first met."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return ids
+
+
+class _Pieces(dict):
+    """The same for pieces between white space, by the whole tokenizer."""
+
+    def __init__(self, tool):
+        self.tool = tool
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = array("I", self.tool.encode(piece, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts as bytes of little-endian unsigned 32-bit integers.
+
+    In texts of ASCII and the letters of Latin-1, what the tokenizer does before its
+    merges is known: lower case, and cuts by PARTS. Other texts are encoded by pieces
+    between ASCII white space."""
 
     def __init__(self, file: str):
         import os
@@ -187,38 +222,25 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tool, self.kept = Tokenizer.from_file(file), {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # Where all is ASCII, lower case is the tokenizer's own; it makes more pieces equal.
-        split = [(t.lower() if t.isascii() else t).split() if _plain(t) else _pieces(t) for t in texts]
-        if len(self.kept) > CACHED:
-            self.kept.clear()
-        kept = self.kept
-        new = list({p for s in split for p in s if p not in kept})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tool.encode_batch_fast(some, add_special_tokens=False)):
-                kept[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, s)) for s in split]
-
+        tool = Tokenizer.from_file(file)
+        self.words, self.pieces = _Words(tool.model), _Pieces(tool)
 
-def _plain(text: str) -> bool:
-    """No white space but the ASCII kinds that split() and the word pattern share."""
-    return text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-
-def _pieces(text: str) -> list[str]:
-    for c in SPACE[1:]:
-        text = text.replace(c, " ")
-    return [p for p in text.split(" ") if p]
+    def encode(self, text: str) -> bytes:
+        if len(self.words) + len(self.pieces) > CACHED:
+            self.words.clear(), self.pieces.clear()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.words.__getitem__, PARTS.findall(text.lower())))
+        for c in SPACE[1:]:
+            text = text.replace(c, " ")
+        return b"".join(map(self.pieces.__getitem__, filter(None, text.split(" "))))
 
 
 def write_shards(docs: DataFrame, file: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, shard: int = SHARD) -> None:
     """Writes the shards of all documents under path, one Parquet file each: part and
     seq (their order), n_docs, n_tokens, blob."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Few and long tasks: each meets most words once.
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq = Encoder(file), TaskContext.get().partitionId(), 0
@@ -233,14 +255,13 @@ def write_shards(docs: DataFrame, file: str, path: str, doc_id: str = "doc_id",
             ids.clear(), body.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "n_docs", "n_tokens", "blob"])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                for d, x in zip(b.column(0).to_pylist(), tool.encode([t or "" for t in b.column(1).to_pylist()])):
-                    ids.append(d), body.append(x + end), sizes.append(len(x) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= shard:
-                        yield flush()
+        for b in batches:
+            for d, t in zip(b.column(0), b.column(1)):
+                x = tool.encode(t.as_py() or "")
+                ids.append(d.as_py()), body.append(x + end), sizes.append(len(x) // 4 + 1)
+                held += sizes[-1]
+                if held >= shard:
+                    yield flush()
         if ids:
             yield flush()
 

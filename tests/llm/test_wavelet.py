@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -37,10 +38,19 @@ def test_every_operation_matches_the_plain_array(n, top):
 
 def test_pieces_are_encoded_as_whole_texts_are(spark, sf):
     tool = Tokenizer.from_file(FILE)
-    texts = ["", " ", "It's  DON'T\tstop\x1cnow", "a\u00a0b\u2003c", "ΟΔΟΣ İstanbul ǅ ﬁ", "e\u0301 \u0301x", "<|endoftext|> x<|startoftext|>y", "日本 語\U0001f600", "a\0b", "x" * 5000, "'ll 'S we'VE"]
+    texts = ["", " ", "It's  DON'T\tstop\x1cnow", "a\u00a0b\u2003c", "ΟΔΟΣ İstanbul ǅ ﬁ", "e\u0301 \u0301x", "<|endoftext|> x<|startoftext|>y", "日本 語\U0001f600", "a\0b", "x" * 5000, "'ll 'S we'VE", "a's'tx'' 'll1st2 $$$a,b;", "x\x7fy a\x01b", "a<|b|>c <|endoftext|>"]
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = [np.array(tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert wavelet.Encoder(FILE).encode(texts) == want
+    tool = wavelet.Encoder(FILE)
+    assert [tool.encode(t) for t in texts] == want
+
+
+def test_plain_texts_are_cut_as_the_tokenizer_cuts_them():
+    tool, whole, rng = Tokenizer.from_file(FILE), wavelet.Encoder(FILE), random.Random(4)
+    signs = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xC0, 0x100))] + ["'s", "'LL", "é", "ß", "12", "the "] * 4
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(whole.encode(t), "<u4").tolist() == tool.encode(t, add_special_tokens=False).ids, t
 
 
 def brute(rows):
