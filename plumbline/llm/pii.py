@@ -6,8 +6,8 @@ possessively, and a run is entered only where it begins.
 
 The method is information-theoretic sanitisation. The contexts are lines. For an
 entity e and a term t in its lines, each seen in at least SUPPORT different
-surroundings (AROUND characters before and after e) and in lines that do not share
-most of their words, with counts of lines over the whole corpus,
+surroundings (AROUND characters before and after e; the words next to t), in lines
+that do not share most of their words, with counts of lines over the whole corpus,
 
     PMI(t; e) = log2(n(t, e) N / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
@@ -48,6 +48,8 @@ KINDS = tuple(PATTERNS)
 TERM = r"[\p{L}\p{N}]{3,}"
 SUPPORT = 3
 AROUND = 30
+#: So many disclosing terms at most are sent to every task; beyond, texts are joined with theirs.
+INLINE = 5000
 #: The lines of an entity have at least so many times the words of one of them.
 VARIED = 2.5
 GENERALISE, REMOVE = 0.7, 0.9
@@ -142,30 +144,35 @@ def disclosing_terms(spanned: DataFrame) -> DataFrame:
     often = seen.groupBy("entity").agg(F.countDistinct("at").alias("d")).where(F.col("d") >= SUPPORT).select("entity")
     held = written(seen.join(often, "entity", "left_semi").select("entity", "id", "m").distinct(), "entities")
     bare = reduce(lambda c, k: F.regexp_replace(c, LINEAR[k], " "), KINDS, F.col("line"))
-    terms = F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)))
-    words = lines.join(held, "id", "left_semi").select("id", F.explode(terms).alias("term"))
-    pairs = held.join(words, "id").groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.count("*").alias("d"))
+    beside = lines.join(held, "id", "left_semi").select("id", _terms(bare).alias("t"))
+    # Each term of a line with a hash of its neighbours, for the same reason.
+    near = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get("t", i - 1), F.get("t", i + 1)).alias("near")))
+    words = beside.select("id", F.explode(near).alias("x")).select("id", "x.*").groupBy("id", "term").agg(F.min("near").alias("near"))
+    pairs = held.join(words, "id").groupBy("entity", "term")
+    pairs = pairs.agg(F.sum("m").alias("n_te"), F.count("*").alias("d"), F.countDistinct("near").alias("d_near"))
     pairs = written(pairs, "pairs")
     # Lines that share most of their words are copies too.
     n_e = held.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count("*").alias("n_lines"))
     varied = pairs.groupBy("entity").agg(F.count("*").alias("n_terms"), F.sum("d").alias("n_words")).join(n_e, "entity")
     varied = varied.where(F.col("n_terms") * F.col("n_lines") >= VARIED * F.col("n_words")).select("entity", "n_e")
-    pairs = written(pairs.where(F.col("d") >= SUPPORT).drop("d").join(varied, "entity"), "supported")
-    named = written(pairs.select("term").distinct(), "terms")
-    if named.isEmpty():
-        return pairs.select("term", F.lit(0.0).alias("share"))
-    # Term counts over every line of every document; terms not beside entities are dropped before the shuffle.
-    every = spanned.select(F.explode(F.split("_body", "\n")).alias("line"))
-    total = every.where(F.col("line").rlike(WORD)).agg(F.count("*").alias("n"))
-    each = every.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = each.join(named, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    known = pairs.where((F.col("d_near") >= SUPPORT) & (2 * F.col("d_near") > F.col("d"))).join(varied, "entity")
+    known = written(known.select("entity", "term", "n_te", "n_e"), "supported")
+    # Counts over every line of every document; terms not beside entities are dropped before the shuffle.
+    by_line = F.transform(F.split("_body", "\n"), lambda x: F.array_distinct(_terms(x)))
+    each = spanned.select(F.explode(F.flatten(by_line)).alias("term"))
+    counts = each.join(known.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    total = spanned.agg(F.sum(F.size(F.filter(F.split("_body", "\n"), lambda x: x.rlike(WORD)))).alias("n"))
     n, n_e = F.col("n").cast("double"), F.col("n_e")
     share = F.log2(F.col("n_te") * n / (F.col("n_t") * n_e)) / F.log2(n / n_e)
     # One row of totals.
-    rated = pairs.join(counts, "term").join(F.broadcast(total), F.lit(True)).where(n > n_e)
+    rated = known.join(counts, "term").join(F.broadcast(total), F.lit(True)).where(n > n_e)
     return written(rated.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE), "disclosing")
 
 
+def _terms(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
+
+
 def with_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns named in carry, _body, the base spans by kind, and terms: spans of
     disclosing terms that no base span overlaps, with kind term or removed."""
@@ -173,24 +180,30 @@ def with_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ())
     spanned = spanned.select("*", *(c.alias(k) for k, c in base_spans(F.col("_body")).items()))
     risky = disclosing_terms(spanned)
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    if risky.isEmpty():
-        return spanned.withColumn("terms", none)
-    # The few texts with such terms, each text once whatever its copies.
-    has = spanned.select("_body", F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(TERM), F.lit(0)))).alias("term"))
-    by_text = has.join(risky, "term").groupBy(F.sha2("_body", 256).alias("_key"))
-    by_text = by_text.agg(F.collect_set(F.struct("term", "share")).alias("_risky"))
-    by_text = written(by_text, "risky-texts")
-    held = spanned.withColumn("_key_of", F.sha2("_body", 256)).join(by_text, F.col("_key_of") == F.col("_key"), "left")
-    names = F.array_join(F.reverse(F.array_sort(F.transform("_risky", lambda r: r["term"]))), "|")
+    if risky.limit(INLINE + 1).count() <= INLINE:
+        # One row, of INLINE terms at most, goes to every task; texts stay where they are.
+        every = risky.agg(F.collect_list("term").alias("_all"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("_gone"))
+        held = spanned.join(F.broadcast(every), F.lit(True))
+        mine = F.when(F.size("_all") > 0, F.array_intersect(_terms(F.col("_body")), "_all"))
+        held = held.withColumn("_mine", F.coalesce(mine, F.array().cast("array<string>"))).drop("_all")
+    else:
+        # Each text with such terms once, whatever its copies.
+        has = spanned.select("_body", F.explode(F.array_distinct(_terms(F.col("_body")))).alias("term"))
+        by_text = has.join(risky, "term").groupBy(F.sha2("_body", 256).alias("_key"))
+        gone = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
+        by_text = written(by_text.agg(F.collect_set("term").alias("_mine"), gone.alias("_gone")), "risky-texts")
+        held = spanned.withColumn("_key", F.sha2("_body", 256)).join(by_text, "_key", "left").drop("_key")
+        held = held.withColumn("_mine", F.coalesce("_mine", F.array().cast("array<string>")))
+    # Longer terms first, so that none hides another that it begins.
+    names = F.array_join(F.reverse(F.array_sort("_mine")), "|")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), names, F.lit(r")(?![\p{L}\p{N}])"))
     base = F.concat(*KINDS)
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    gone = F.transform(F.filter("_risky", lambda r: r["share"] >= REMOVE), lambda r: r["term"])
     marked = F.transform(
         F.filter(located(F.col("_body"), pattern, "term"), free),
-        lambda s: s.withField("kind", F.when(F.array_contains(gone, s["value"]), "removed").otherwise("term")),
+        lambda s: s.withField("kind", F.when(F.array_contains("_gone", s["value"]), "removed").otherwise("term")),
     )
-    return held.withColumn("terms", F.when(F.col("_risky").isNull(), none).otherwise(marked)).drop("_key", "_key_of", "_risky")
+    return held.withColumn("terms", F.when(F.size("_mine") == 0, none).otherwise(marked)).drop("_mine", "_gone")
 
 
 def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

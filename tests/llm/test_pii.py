@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -61,7 +62,9 @@ def test_patterns_match_brute_force_on_adversarial_strings(spark):
     assert out[n].n_card == out[n + 1].n_email == out[n + 2].n_phone == out[n + 3].n_card == 0
 
 
-def test_disclosing_terms_go_and_common_words_stay(spark):
+@pytest.mark.parametrize("inline", [5000, 0])
+def test_disclosing_terms_go_and_common_words_stay(spark, monkeypatch, inline):
+    monkeypatch.setattr(pii, "INLINE", inline)
     common = "we met the team and spoke about plans for the year"
     rows = [(i, f"{common} number {i}") for i in range(300)]
     said = ["ask Zorblatt about prices: {}", "{} is what Zorblatt reads every morning", "yesterday our Zorblatt answered from {} within hours",
