@@ -37,7 +37,7 @@ def action(answer: Column) -> Column:
     get = lambda p: F.nullif(F.regexp_extract(answer, p, 1), F.lit(""))
     title, day, time, who = (get(p) for p in (r"EVENT_TITLE:\s*(.+)", r"EVENT_DATE:\s*(\d{4}-\d{2}-\d{2})", r"EVENT_TIME:\s*(\d{2}:\d{2})", r"ATTENDEES:\s*(.+)"))
     ok = answer.rlike(r"CALENDAR_ACTION:\s*CREATE_EVENT") & title.isNotNull() & day.isNotNull() & time.isNotNull() & who.isNotNull()
-    people = F.transform(F.split(who, ","), F.trim)
+    people = F.transform(F.split(who, ","), lambda x: F.trim(x))
     return F.when(ok, F.struct(F.trim(title).alias("title"), day.alias("day"), time.alias("time"), people.alias("attendees")))
 
 

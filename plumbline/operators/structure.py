@@ -64,7 +64,7 @@ def metadata(c: Column, fields: dict[str, str] = FIELDS) -> Column:
 def title(c: Column) -> Column:
     """The first line that is long enough, begins with no digit and is no legal detail."""
     good = lambda x: (F.length(x) > 10) & ~x.rlike("^[0-9]") & ~F.upper(x).rlike("|".join(NOT_TITLE))
-    return F.get(F.filter(F.transform(F.split(c, "\n"), F.trim), good), 0)
+    return F.get(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), good), 0)
 
 
 def lines(docs: DataFrame, kind: Column | None = None, rules: list = LINES) -> DataFrame:
