@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 SAMPLE = 400
 SLICE = 2000
 DICTIONARY = 110_000
+SALTS = 16
 #: Margins below this share of the runner-up's size are narrow.
 NARROW = 0.03
 UND = "und"
@@ -49,8 +50,11 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     reaches the driver is SAMPLE * SLICE characters for each language at most."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    # First within SALTS parts of a language, so that no task orders all of a common one.
+    salted = Window.partitionBy("l", F.pmod("h", F.lit(SALTS))).orderBy("h", "t")
     order = Window.partitionBy("l").orderBy("h", "t")
     rows = known.select(F.col(lang).alias("l"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("lang")).alias("h"), F.substring(F.col(text), 1, SLICE).alias("t"))
+    rows = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= SAMPLE)
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).orderBy("l", "n")
     texts: dict[str, list[bytes]] = {}
     for r in rows.select("l", "t").collect():
