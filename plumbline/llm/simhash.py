@@ -250,8 +250,14 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """docs without all but one document of each class: that of the smallest id. Of
     rows that repeat this id, the one with the smallest text stays."""
     found = classes(docs, doc_id, text)
-    keep = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct(), "keep")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    same = Window.partitionBy("_id").orderBy("_text")
-    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key("doc_id").alias("_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _key(doc_id).alias("_key"))
+    # Join and window have one key, so texts are dealt out once.
+    same = Window.partitionBy("_key").orderBy(F.col("_row")[text])
+    kept = rows.join(written(keep, "keep"), "_key", "left_semi")
     return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
+
+
+def _key(doc_id: str) -> Column:
+    """An id as a string that is never null."""
+    return F.when(F.col(doc_id).isNull(), "").otherwise(F.concat(F.lit("="), F.col(doc_id).cast("string")))
