@@ -162,7 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
         ids = left.column("id").to_numpy()
         rows = []
         if len(x) and len(q):
-            most = max(1, *(abs(int(f(m))) for m in (x, q) for f in (np.min, np.max) if m.size))
+            most = max([1, *(abs(int(f(m))) for m in (x, q) for f in (np.min, np.max) if m.size)])
             exact = float(most) ** 2 * max(1, dim) < _EXACT
             tree = MTree(x.astype(np.float64), ids) if exact else None
             qf = q.astype(np.float64)
