@@ -21,7 +21,7 @@ f AS (SELECT source, count(*) AS n, sum((base_failed OR n_symbols > 0.5 * n_word
         OR (n_dup_lines > 0 AND n_dup_lines * 5 > 0.5 * n_words))::INT) AS f FROM b GROUP BY source),
 tot AS (SELECT sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS hosts, sum(f * f / n) AS ff FROM f),
 bet AS (SELECT m, ff / n - m * m - m * (1 - m) * (hosts - 1) / n AS v FROM tot),
-pri AS (SELECT m, CASE WHEN v > 0 THEN greatest(1, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM bet),
+pri AS (SELECT least(m, 0.5) AS m, CASE WHEN v > 0 THEN greatest(1, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM bet),
 host AS (SELECT source, (f + k * m) / (n + k) <= 0.6 AS host_ok FROM f, pri)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_ok,
        NOT base_failed AND host_ok AS kept

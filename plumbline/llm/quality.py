@@ -29,6 +29,8 @@ MAX_DUP_LINE_SHARE = 0.5
 MAX_HOST_RATE = 0.6
 #: Bounds of the prior's strength, in documents.
 PRIOR_LOW, PRIOR_HIGH = 1.0, 1e6
+#: The prior's mean at most, below MAX_HOST_RATE: a bad corpus alone rejects no host.
+PRIOR_MOST = 0.5
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -90,7 +92,8 @@ def host_verdicts(marks: DataFrame, host: str = "source", failed: str = "failed"
 
     Empirical Bayes: the corpus rate m and the variance between hosts, less what
     binomial noise explains, give a beta prior of strength k = m(1-m)/variance - 1;
-    a host's rate is (failures + k m) / (documents + k)."""
+    a host's rate is (failures + k m) / (documents + k). There m counts as PRIOR_MOST
+    at most; else a corpus of mostly failures would reject hosts without evidence."""
     hosts = marks.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     total = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("hosts"),
@@ -100,7 +103,7 @@ def host_verdicts(marks: DataFrame, host: str = "source", failed: str = "failed"
     noise = m * (1 - m) * (F.col("hosts") - 1) / F.col("n")
     between = F.col("ff") / F.col("n") - m * m - noise
     k = F.when(between > 0, F.greatest(F.lit(PRIOR_LOW), F.least(F.lit(PRIOR_HIGH), m * (1 - m) / between - 1)))
-    prior = total.select(m.alias("m"), F.coalesce(k, F.lit(PRIOR_HIGH)).alias("k"))
+    prior = total.select(F.least(m, F.lit(PRIOR_MOST)).alias("m"), F.coalesce(k, F.lit(PRIOR_HIGH)).alias("k"))
     # The prior is one row whatever the input.
     rated = hosts.join(F.broadcast(prior), F.lit(True)).withColumn(
         "rate", (F.col("n_failed") + F.col("k") * F.col("m")) / (F.col("n_docs") + F.col("k"))
