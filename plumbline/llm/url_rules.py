@@ -34,10 +34,13 @@ HOST_RULES = [
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 ]
 #: Pattern rules over host + path: verdict, name, expression, literal tokens that a fitting URL has.
+#: Alternatives without a token in common are entries of their own, under one name.
 PATTERN_RULES = [
-    ("block", "login", r"/(?:login|signin)(?:/|$)", ("login",)),
+    ("block", "login", r"/login(?:/|$)", ("login",)),
+    ("block", "login", r"/signin(?:/|$)", ("signin",)),
     ("block", "logout", r"/logout(?:/|$)", ("logout",)),
-    ("block", "ads", r"(?:^|[./])ads?[./]", ("ads",)),
+    ("block", "ads", r"(?:^|[./])ads[./]", ("ads",)),
+    ("block", "ads", r"(?:^|[./])ad[./]", ("ad",)),
     ("block", "tracker", r"^(?:[a-z0-9-]+\.)*tracker\.", ("tracker",)),
     ("block", "tag-feed", r"/tag/[^/]+/feed(?:/|$)", ("tag", "feed")),
     ("block", "cart", r"/cart/(?:add|checkout)(?:/|$)", ("cart",)),

@@ -1,6 +1,9 @@
 import re
 
-from plumbline.llm import url_rules
+import duckdb
+import pandas as pd
+
+from plumbline.llm import queries, url_rules
 from tests.llm.helpers import SCHEMA  # noqa: F401
 
 URLS = [
@@ -55,3 +58,25 @@ def test_every_rule_needs_its_tokens():
         for r in url_rules.rules():
             if re.search(r.pattern, host + path):
                 assert set(r.tokens) <= tokens, (u, r)
+
+
+#: URLs that fit a rule by its second alternative, and some that only look like it.
+OTHERS = [
+    "http://x.io/signin", "http://x.io/a/signin/b", "http://x.io/signing", "http://x.io/ad/1", "http://ad.x.io/", "http://x.ad/en", "http://x.io/ads/1",
+    "http://x.io/ad", "http://adx.io/", "http://x.io/login", "http://ads.x.io/signin", "http://x.com/en/ad/1", "http://x.io/bad/1",
+]
+
+
+def test_alternatives_without_a_common_token_equal_sql(spark, tmp_path):
+    pd.DataFrame(list(enumerate(OTHERS + [u for u in URLS if u and len(u) < 99 and "\n" not in u])), columns=["page_id", "url"]).to_parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet')")
+    df, want = queries.op6_url_rules(spark, str(tmp_path)), duck.sql(queries.oracle_sql()["op6_url_rules"])
+    got = {tuple(r) for r in df.select(*want.columns).collect()}
+    assert got == set(want.fetchall())
+    verdicts = {r[0]: r[5] for r in got}
+    assert [verdicts[i] for i in (0, 1, 2, 3, 4)] == ["block", "block", "allow", "block", "block"]
+    for u in OTHERS:
+        host, path = brute(u)[:2]
+        tokens = set(re.findall("[a-z0-9]+", host + " " + path))
+        assert all(set(r.tokens) <= tokens for r in url_rules.rules() if re.search(r.pattern, host + path)), u
