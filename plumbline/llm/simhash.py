@@ -70,17 +70,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **also: Column) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed 64-bit integer, and the columns also."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=names)
 
-    kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(c.alias(k) for k, c in also.items()))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType()), *(rows.schema[k] for k in also)])
+    names = schema.names
+    return rows.mapInArrow(run, schema)
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -229,13 +230,18 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return routed.groupBy("shard").applyInArrow(solve, "a long, b long")
 
 
+def _grouped(marked: DataFrame, first: Column, radius: int) -> DataFrame:
+    """marked: a written table of rows with fp. Gives each fp with its class root, and the aggregate first of its rows."""
+    fps = written(marked.groupBy("fp").agg(first.alias("first")), "distinct")
+    roots = components(links(fps, radius))
+    # Few fingerprints have neighbours; the others are their own class.
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, a row for each row of docs."""
     marked = written(fingerprints(docs, doc_id, text), "fingerprints")
-    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(fps, radius))
-    # Few fingerprints have neighbours; the others are their own class.
-    grouped = fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    grouped = _grouped(marked, F.min("doc_id"), radius)
     least = written(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "classes")
     named = grouped.join(least.where("n > 1").drop("n"), "root", "left")
     named = written(named.select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
@@ -247,14 +253,18 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each class: that of the smallest id. Of
-    rows that repeat this id, the one with the smallest text stays."""
-    found = classes(docs, doc_id, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key("doc_id").alias("_key")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), _key(doc_id).alias("_key"))
-    # Join and window have one key, so texts are dealt out once.
-    same = Window.partitionBy("_key").orderBy(F.col("_row")[text])
-    kept = rows.join(written(keep, "keep"), "_key", "left_semi")
+    """docs without all but one document of each class: that of the smallest id, null
+    ids last. Of rows that repeat this id, the one of the smallest hash stays."""
+    said = F.coalesce(F.md5(F.col(text).cast("string")), F.lit(""))
+    marked = written(fingerprints(docs, doc_id, text, said=said), "fingerprints")
+    # A class is its root, not its smallest id: ids may be null or repeat in other classes.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "said"))
+    keep = _grouped(marked, first, RADIUS).groupBy("root").agg(F.min("first").alias("first"))
+    keep = keep.select(_key("first.doc_id").alias("_key"), F.col("first.said").alias("_said"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _key(doc_id).alias("_key"), said.alias("_said"))
+    # Join and window have one key, so texts are dealt out once. Only rows of one id and text meet in it.
+    same = Window.partitionBy("_key", "_said").orderBy(F.lit(1))
+    kept = rows.join(written(keep, "keep"), ["_key", "_said"], "left_semi")
     return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
 
 

@@ -110,3 +110,18 @@ def test_components_of_a_path_and_a_star(spark):
     df = spark.createDataFrame(path + star + [(5, 5), (70, 69)], "a long, b long")
     out = {r.node: r.root for r in components(df).collect()}
     assert out == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 50)} | {70: 69}
+
+
+def test_one_text_of_each_class_stays_whatever_the_ids(spark):
+    """Null ids, and ids that repeat in other classes: each class keeps one text, and none keeps two."""
+    def prose(k):
+        return " ".join(f"w{k * 7919 % 1009}x{i * (k + 3) % 997}" for i in range(300))
+
+    rows = [(None, prose(k)) for k in range(20)] + [(None, prose(3)), (3, prose(50)), (5, prose(50).upper()), (5, prose(51)), (9, prose(51)), (9, prose(52)), (9, prose(53))]
+    rows += [(9, prose(53)), (None, prose(52)), (None, prose(54)), (7, prose(54)), (7, prose(54))]
+    prints = {simhash.fingerprint(t) for _, t in rows}
+    assert len(prints) == len({v for v in brute_classes([(f, f) for f in prints]).values()}) == 25
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(simhash.fingerprint(r.text) for r in kept) == sorted(prints)
+    want = {(None, prose(k)) for k in range(20)} | {(3, prose(50)), (5, prose(51)), (9, prose(52)), (9, prose(53)), (7, prose(54))}
+    assert {(r.doc_id, r.text) for r in kept} == want
