@@ -3,16 +3,18 @@
 A text is encoded by the merges of a SentencePiece BPE model: of all neighbouring
 symbols whose union is a piece, the pair of the best score (of equals, the leftmost)
 is merged, until none is left. With dropout, a candidate merge is skipped for good if
-a keyed hash of (seed, variant, word, place of the left symbol, piece) falls below
-the rate. The choice needs no generator state: it is the same on a retry, on another
-executor and in any order, and other seeds give other segmentations of a text.
+a keyed hash of (seed, document, copy, ordinal of the word in the text, place of the
+left symbol, piece) falls below the rate, so each word of each text draws its own. The
+choice needs no generator state: it is the same on a retry, on another executor and in
+any order, and other seeds give other segmentations of a text.
+
+Words are those pieces of a text that no merge can cross (a run of meta spaces and what
+follows it). What a word becomes without dropout is kept for the task, with the merges
+made; only where a choice skips one of these is the word encoded anew, by its own
+choices: other skipped candidates would not have been merged anyway.
 
 The agenda runs over many words at once: in each round every word merges its best
 live candidate, as arrays; words of over LONG characters have a heap of their own.
-Words are those pieces of a text that no merge can cross
-(a run of meta spaces and what follows it); equal words of a batch with an equal
-variant are encoded once. Each run of RUN words has one of VARIANTS variants, drawn by the
-hash of the document's id and the run's ordinal, so that repeats in a text vary too.
 
 Symbols that are no piece become byte pieces; decoding joins the pieces and takes
 off the first meta space, so it gives the text back, whatever was skipped. Where a
@@ -20,7 +22,8 @@ text has the meta space sign U+2581 itself, it is encoded as its bytes (the libr
 reads it back as a space).
 
 Defined results: a null or empty text has no ids and decodes to the empty text; very
-long texts are encoded in whole; rows that repeat are encoded alike.
+long texts are encoded in whole; rows that repeat are encoded alike, unless they are
+told apart by the number of their copy.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 META = "▁"
 #: Stands for that sign where it is part of a text: no text has a lone surrogate.
@@ -41,10 +45,8 @@ _LITERAL = "\ud800"
 LONG = 40
 DROPOUT = 0.1
 SEED = 20240
-VARIANTS = 4
-RUN = 32
-#: Rows handled at once; cached encodings in a task.
-ROWS, CACHED = 256, 400_000
+#: Rows handled at once; words kept in a task; words whose choices are drawn, and encoded, at once.
+ROWS, CACHED, DRAWN, AGENDA = 256, 400_000, 1 << 18, 1 << 15
 _NONE = np.int64(1 << 40)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -142,8 +144,12 @@ def word_hashes(code: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.nd
     return np.add.reduceat(mix(code.astype(np.uint64) | place.astype(np.uint64) << np.uint64(21)), first)
 
 
-def encode_words(pieces: Pieces, words: list[str], variant: int, seed: int, rate: float) -> list[bytes]:
-    """Ids of each word as bytes of 32-bit integers. The agenda of all words, in rounds."""
+def encode_words(
+    pieces: Pieces, words: list[str], variant: int, seed: int, rate: float, salts: np.ndarray | None = None, merges: list | None = None
+) -> list[bytes]:
+    """Ids of each word as bytes of 32-bit integers. The agenda of all words, in rounds.
+    salts: what the choices of each word are keyed by, in place of the word, variant and
+    seed. merges: gets arrays of the words and of the merges made in them."""
     if not words:
         return []
     sizes = np.array([*map(len, words)])
@@ -153,7 +159,7 @@ def encode_words(pieces: Pieces, words: list[str], variant: int, seed: int, rate
     ends = np.cumsum(sizes)
     first = ends - sizes
     place = np.arange(len(code)) - first[word]
-    salt = mix(word_hashes(code, place, first) ^ np.uint64(_mix1(variant + (seed << 8))))
+    salt = mix(word_hashes(code, place, first) ^ np.uint64(_mix1(variant + (seed << 8)))) if salts is None else salts
     limit = np.uint64(min(int(rate * 2**64), 2**64 - 1))
 
     def candidates(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -187,6 +193,8 @@ def encode_words(pieces: Pieces, words: list[str], variant: int, seed: int, rate
         best = np.minimum.reduceat(key, starts)
         i = cand[key == np.repeat(best, np.diff(np.append(starts, len(cand))))]
         j = nxt[i]
+        if merges is not None:
+            merges.append((word[i], place[i] << 20 | made[i]))
         sym[i] = made[i]
         alive[j] = False
         made[j] = -1
@@ -218,15 +226,17 @@ def encode_words(pieces: Pieces, words: list[str], variant: int, seed: int, rate
     return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def encode_long(pieces: Pieces, word: str, variant: int, seed: int, rate: float) -> bytes:
-    """The same for one word, with a heap: n log n in its length."""
+def encode_long(pieces: Pieces, word: str, variant: int, seed: int, rate: float, salt: int | None = None) -> bytes:
+    """The same for one word, with a heap: n log n in its length. salt: what the choices
+    are keyed by, in place of the word, variant and seed."""
     char = {c: pieces.ids.get(c, pieces.symbol.get(c, -1)) for c in set(word)}
     sym = [char[c] for c in word]
     n = len(sym)
     nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
     full = (1 << 64) - 1
     code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-    salt = _mix1(int(word_hashes(code, np.arange(n), np.array([0]))[0]) ^ _mix1(variant + (seed << 8)))
+    if salt is None:
+        salt = _mix1(int(word_hashes(code, np.arange(n), np.array([0]))[0]) ^ _mix1(variant + (seed << 8)))
     limit = min(int(rate * 2**64), full)
     heap: list[tuple[int, int, int, int, int]] = []
 
@@ -271,40 +281,85 @@ def split_words(text: str) -> list[str]:
     return out + [lead] * bool(lead)
 
 
-def encode_many(pieces: Pieces, texts: list[str | None], doc_seeds: list[int], seed: int, rate: float, kept: list[dict]) -> list[np.ndarray]:
-    """Ids of each text. kept: for each variant a dict of word to ids, empty at first
-    and kept between calls of one task."""
-    kept += [{} for _ in range(VARIANTS - len(kept))]
-    if sum(map(len, kept)) > CACHED:
-        for known in kept:
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Known:
+    """Words met so far, as they are without dropout: their ids, and the merges made in each."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.size, self.merges = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pieces: Pieces, words: list[str]) -> None:
+        sizes, merges = [self.size], [self.merges]
+        for k in range(0, len(words), AGENDA):
+            some, made = words[k : k + AGENDA], []
+            self.at.update(zip(some, range(len(self.ids), len(self.ids) + len(some))))
+            self.ids += encode_words(pieces, some, 0, 0, 0.0, merges=made)
+            of, what = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64),) * 2
+            sizes.append(np.bincount(of, minlength=len(some)))
+            merges.append(what[np.argsort(of, kind="stable")])
+        self.size, self.merges = np.concatenate(sizes), np.concatenate(merges)
+
+    def hit(self, at: np.ndarray, salt: np.ndarray, limit: np.uint64, first: np.ndarray) -> np.ndarray:
+        """Which words have a merge that their choices skip. first: where the merges of each known word begin."""
+        n = self.size[at]
+        of = np.repeat(np.arange(len(at)), n)
+        k = np.arange(len(of)) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+        skip = mix(salt[of] + _STEP * self.merges[k].astype(np.uint64)) < limit
+        out = np.zeros(len(at), bool)
+        out[of[skip]] = True
+        return out
+
+
+def word_salts(doc_seed: int, seed: int, n: int) -> np.ndarray:
+    """What the choices in each of n words of a text are keyed by."""
+    key = np.uint64(_mix1((doc_seed & 0xFFFFFFFFFFFFFFFF) ^ _mix1(seed & 0xFFFFFFFFFFFFFFFF)))
+    return mix(key + _STEP * np.arange(1, n + 1, dtype=np.uint64))
+
+
+def encode_many(pieces: Pieces, texts: list[str | None], doc_seeds: list[int], seed: int, rate: float, kept: list[Known]) -> list[np.ndarray]:
+    """Ids of each text. kept: empty at first, and kept between calls of one task."""
+    if not kept:
+        kept.append(Known())
+    known, limit = kept[0], np.uint64(min(max(int(rate * 2**64), 0), 2**64 - 1))
+    split = [split_words(t) if t else [] for t in texts]
+    words = [x for w in split for x in w]
+    salts = np.concatenate([np.zeros(0, np.uint64), *(word_salts(s, seed, len(w)) for s, w in zip(doc_seeds, split))])
+    out: list[bytes] = []
+    for a in range(0, len(words), DRAWN):
+        if len(known.at) > CACHED:
             known.clear()
-    runs, wanted = [], [set() for _ in range(VARIANTS)]
-    for t, s in zip(texts, doc_seeds):
-        w = split_words(t) if t else []
-        n = -(-len(w) // RUN)
-        v = (mix(np.arange(n, dtype=np.uint64) + np.uint64(s & 0xFFFFFFFFFFFF)) % np.uint64(VARIANTS)).tolist() if rate > 0 else [0] * n
-        runs.append([(x, w[k * RUN : k * RUN + RUN]) for k, x in enumerate(v)])
-        for x, part in runs[-1]:
-            wanted[x].update(part)
-    for v, (want, known) in enumerate(zip(wanted, kept)):
-        new = list(want - known.keys())
-        short = [x for x in new if len(x) <= LONG]
-        for at in range(0, len(short), 1 << 15):
-            some = short[at : at + (1 << 15)]
-            known.update(zip(some, encode_words(pieces, some, v, seed, rate)))
-        for x in new:
-            if len(x) > LONG:
-                known[x] = encode_long(pieces, x, v, seed, rate)
-    look = [known.__getitem__ for known in kept]
-    return [np.frombuffer(b"".join([i for v, part in parts for i in map(look[v], part)]), np.int32) for parts in runs]
+        some, salt = words[a : a + DRAWN], salts[a : a + DRAWN]
+        known.add(pieces, [x for x in set(some) - known.at.keys() if len(x) <= LONG])
+        at = np.array([known.at.get(x, -1) for x in some], np.int64)
+        short = np.flatnonzero(at >= 0)
+        ids = known.ids
+        got = [ids[i] if i >= 0 else b"" for i in at.tolist()]
+        hit = short[known.hit(at[short], salt[short], limit, np.cumsum(known.size) - known.size)] if rate > 0 else short[:0]
+        for k in range(0, len(hit), AGENDA):
+            i = hit[k : k + AGENDA]
+            for x, y in zip(i.tolist(), encode_words(pieces, [some[j] for j in i.tolist()], 0, seed, rate, salt[i])):
+                got[x] = y
+        for x in np.flatnonzero(at < 0).tolist():
+            got[x] = encode_long(pieces, some[x], 0, seed, rate, int(salt[x]))
+        out += got
+    ends = np.cumsum([0, *map(len, split)]).tolist()
+    return [np.frombuffer(b"".join(out[i:j]), np.int32) for i, j in zip(ends, ends[1:])]
 
 
 def decode(pieces: Pieces, ids) -> str:
     return b"".join(map(pieces.bytes_of.__getitem__, ids)).decode()[1:]
 
 
-def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), seed: int = SEED, rate: float = DROPOUT) -> DataFrame:
-    """The columns named in carry, ids, n_tokens, and lossless: whether decoding the ids gives the text."""
+def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), seed: int = SEED, rate: float = DROPOUT, copies: bool = False) -> DataFrame:
+    """The columns named in carry, ids, n_tokens, and lossless: whether decoding the ids gives the text.
+    copies: rows of one id and text are copies, numbered so that each has its own choices."""
     schema = T.StructType(
         [docs.schema[c] for c in carry]
         + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
@@ -323,4 +378,9 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], lists, pa.array(sizes), pa.array(ok)], names=schema.names)
 
     key = F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed))
+    if copies:
+        # Only copies of one text meet in a window.
+        same = Window.partitionBy(doc_id, F.md5(F.col(text).cast("string"))).orderBy(*carry, F.lit(1))
+        docs = docs.withColumn("_copy", F.row_number().over(same))
+        key = F.when(F.col("_copy") == 1, key).otherwise(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed), F.col("_copy")))
     return docs.select(key.alias("_seed"), F.col(text).cast("string").alias("_text"), *(F.col(c) for c in carry)).mapInArrow(run, schema)

@@ -58,3 +58,31 @@ def test_odd_rows_and_empty(spark):
     assert len(rows) == len(ODD) and all(r.lossless and r.n_tokens == len(r.ids) for r in rows)
     assert sorted(r.n_tokens for r in rows)[:2] == [0, 0]
     assert S.encode(empty(spark), MODEL, carry=("doc_id",)).count() == 0
+
+
+def test_each_word_of_a_text_draws_its_own(pieces):
+    """Variety grows with the text, and is that of the heap with the word's own key."""
+    texts = ["international understanding " * 400, "the same passage of words " * 20, "x" * 50 + " naïve ▁ 日本\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")]
+    for rate in (0.1, 0.5, 1.0):
+        got = S.encode_many(pieces, texts, [5, -6, 7], 3, rate, [])
+        for t, d, ids in zip(texts, [5, -6, 7], got):
+            w = S.split_words(t)
+            each = [S.encode_long(pieces, x, 0, 3, rate, int(k)) for x, k in zip(w, S.word_salts(d, 3, len(w)))]
+            assert ids.tobytes() == b"".join(each)
+            if rate == 0.1 and t is texts[0]:
+                assert len(set(each)) > 8
+    passage = "a passage of words that returns in many of the documents"
+    first = {S.encode_many(pieces, [passage], [d], 3, 0.1, [])[0].tobytes() for d in range(64)}
+    assert len(first) > 30
+
+
+def test_copies_of_a_text_have_their_own_ids(spark):
+    text = "the copies of a document are segmented each in another way " * 5
+    docs = spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, text)], "doc_id long, text string")
+    alike = S.encode(docs, MODEL, carry=("doc_id",)).where("doc_id = 1")
+    assert alike.select("ids").distinct().count() == 1
+    out = S.encode(docs, MODEL, carry=("doc_id",), copies=True)
+    again = S.encode(docs.repartition(3), MODEL, carry=("doc_id",), copies=True)
+    rows = [tuple(r.ids) for r in out.collect()]
+    assert len(set(rows)) == len(rows) == 5 and sorted(rows) == sorted(tuple(r.ids) for r in again.collect())
+    assert out.where("lossless").count() == 5
