@@ -86,3 +86,9 @@ def test_copies_of_a_text_have_their_own_ids(spark):
     rows = [tuple(r.ids) for r in out.collect()]
     assert len(set(rows)) == len(rows) == 5 and sorted(rows) == sorted(tuple(r.ids) for r in again.collect())
     assert out.where("lossless").count() == 5
+
+
+def test_a_passage_varies_with_the_documents(pieces):
+    passage = "a passage of words that returns in many of the documents"
+    got = S.encode_many(pieces, [passage] * 64, [i * 7919 for i in range(64)], 3, 0.1, [])
+    assert len({x.tobytes() for x in got}) > 30
