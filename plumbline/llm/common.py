@@ -48,6 +48,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(whole(text), f"{SPACE}+"), lambda w: w != "")
 
 
+def carried(row: str, carry: tuple[str, ...], made) -> list[Column]:
+    """The columns named in carry out of the struct row. One that has the name of a
+    result, in any case, gets the suffix _carried."""
+    taken = {k.lower() for k in made}
+    return [F.col(row)[c].alias(f"{c}_carried" if c.lower() in taken else c) for c in carry]
+
 
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file is; executors read it at the same place."""

@@ -11,7 +11,9 @@ the rank
 
 the documents of the smallest ranks are taken while the sum of their sizes, the next
 one counted by half, stays within r. The sample size is thus fixed in words.
-p_i is r / s where each document counts alike, or in proportion to size ** power.
+p_i is in proportion to size ** POWER, so that long documents come in more often than
+short ones, but not as much more often as they are longer; documents whose p_i would
+reach 1 are taken first. With power 0 each document counts alike.
 
 The cut needs no sort of a source in one task: words are summed by source and by
 BUCKETS ranges of rank, and only the one range that holds the cut is looked into. A
@@ -34,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 BUCKETS = 4096
 SEED = "mix-1"
+POWER = 0.5
 
 
 def size_of(text: Column) -> Column:
@@ -74,12 +77,18 @@ def _rank(u: Column, p: Column) -> Column:
     return q / (1 + q)
 
 
-def plan(slim: DataFrame, weights: tuple = WEIGHTS, power: float = 0.0) -> tuple[DataFrame, Column]:
+def pull(size: Column, power: float = POWER) -> Column:
+    """What a document's inclusion is in proportion to, as an integer, so that sums are exact."""
+    n = F.greatest(size, F.lit(1)).cast("double")
+    return F.floor(16 * (F.sqrt(n) if power == 0.5 else F.pow(n, F.lit(power))))
+
+
+def plan(slim: DataFrame, weights: tuple = WEIGHTS, power: float = POWER) -> tuple[DataFrame, Column]:
     """slim: source, size, u for each document. Gives a table with a row for each
     source (source, source_size, target, whole_copies, rate, cut), and the rank as a
     column over slim joined with it."""
-    pull = F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(power))
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(pull * F.col("size")).alias("pulled"))
+    pulls = pull(F.col("size"), power)
+    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(pulls * F.col("size")).alias("pulled"))
     sums = written(sums, "sources")
     aimed = targets(sums.select("source", "source_size"), weights).withColumnRenamed("source", "_s")
     sources = sums.join(aimed.select("_s", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -89,7 +98,7 @@ def plan(slim: DataFrame, weights: tuple = WEIGHTS, power: float = 0.0) -> tuple
     )
     rate = F.when(F.col("pulled") > 0, F.col("rest") / F.col("pulled")).otherwise(F.lit(0.0))
     sources = written(sources.withColumn("rate", rate).drop("pulled"), "targets")
-    p = F.least(F.greatest(F.col("rate") * pull, F.lit(1e-9)), F.lit(1 - 1e-9))
+    p = F.least(F.greatest(F.col("rate") * pulls, F.lit(1e-9)), F.lit(1 - 1e-9))
     rank = _rank(F.col("u"), p)
     ranked = _with_source(slim, sources).withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") * BUCKETS))
     by_bucket = written(ranked.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("n")), "buckets")
@@ -117,7 +126,7 @@ def _with_source(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, power: float = 0.0) -> DataFrame:
+def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, power: float = POWER) -> DataFrame:
     """doc, the row as a struct, with size, source_size, target and n_copies."""
     rows = docs.select(
         F.struct(*docs.columns).alias("doc"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), uniform(F.col(doc_id)).alias("u")

@@ -21,8 +21,10 @@ f AS (SELECT source, count(*) AS n, sum((base_failed OR n_symbols > 0.5 * n_word
         OR (n_dup_lines > 0 AND n_dup_lines * 5 > 0.5 * n_words))::INT) AS f FROM b GROUP BY source),
 tot AS (SELECT sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS hosts, sum(f * f / n) AS ff FROM f),
 bet AS (SELECT m, ff / n - m * m - m * (1 - m) * (hosts - 1) / n AS v FROM tot),
-pri AS (SELECT least(m, 0.5) AS m, CASE WHEN v > 0 THEN greatest(1, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM bet),
-host AS (SELECT source, (f + k * m) / (n + k) <= 0.6 AS host_ok FROM f, pri)
+pri AS (SELECT m, CASE WHEN v > 0 THEN greatest(1, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM bet),
+post AS (SELECT source, n, k, (f + k * m) / (n + k) AS r, (f + 1) / (n + 2) AS own FROM f, pri),
+host AS (SELECT source, NOT (r - 1.645 * sqrt(r * (1 - r) / (n + k + 1)) > 0.6
+                             AND own - 1.645 * sqrt(own * (1 - own) / (n + 3)) > 0.6) AS host_ok FROM post)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_ok,
        NOT base_failed AND host_ok AS kept
 FROM b JOIN host ON b.source IS NOT DISTINCT FROM host.source
@@ -43,11 +45,17 @@ lv(k, level) AS (
   FROM lv WHERE k < 60 AND (SELECT count(*) FILTER (most >= level * w) FROM w) > 0),
 t AS (SELECT source, ss, coalesce(least(most::DOUBLE, (SELECT arg_max(level, k) FROM lv WHERE level IS NOT NULL) * w), most) AS target FROM w),
 r AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss)::BIGINT ELSE 0 END AS c FROM t),
-q AS (SELECT d.*, ss, target, c, greatest(0.0, target - c * ss) AS rest FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) - size / 2 > rest AS over FROM q),
-x AS (SELECT source, min(u) FILTER (over) AS cut FROM a GROUP BY source)
+-- inclusion grows with the root of the size; the sum is of integers
+pull AS (SELECT *, floor(16 * sqrt(greatest(size, 1)::DOUBLE))::BIGINT AS pull FROM d),
+pulled AS (SELECT source, sum(pull * size)::DOUBLE AS pulled FROM pull GROUP BY source),
+q AS (SELECT d.*, ss, target, c, greatest(0.0, target - c * ss) AS rest, pulled FROM pull AS d
+      JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN pulled ON d.source IS NOT DISTINCT FROM pulled.source),
+odds AS (SELECT *, least(greatest(CASE WHEN pulled > 0 THEN rest / pulled ELSE 0 END * pull, 1e-9), 1 - 1e-9) AS p FROM q),
+pareto AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM odds),
+a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) - size / 2 > rest AS over FROM pareto),
+x AS (SELECT source, min(rank) FILTER (over) AS cut FROM a GROUP BY source)
 SELECT doc_id, size, ss AS source_size, target,
-       size * (c + (rest > 0 AND u < coalesce(cut, 2))::INT)::BIGINT AS taken
+       size * (c + (rest > 0 AND rank < coalesce(cut, 'inf'::DOUBLE))::INT)::BIGINT AS taken
 FROM a JOIN x ON a.source IS NOT DISTINCT FROM x.source
 """
 

@@ -4,21 +4,30 @@ Base spans come from four patterns. The patterns below find the same matches as
 plain ones in PATTERNS, in time that is linear in the text: runs are taken
 possessively, and a run is entered only where it begins.
 
-The method is information-theoretic sanitisation. The contexts are lines. For an
-entity e and a term t in its lines, each seen in at least SUPPORT different
-surroundings (AROUND characters before and after e; the words next to t), in lines
-that do not share most of their words, with counts of lines over the whole corpus,
+The method is information-theoretic sanitisation. The contexts are lines, in pieces of
+PIECE characters at most. For an entity e and a term t in its contexts, with counts of
+contexts over the whole corpus,
 
     PMI(t; e) = log2(n(t, e) N / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
-PMI / IC is the share of what there is to know about e that t alone gives away. From
-GENERALISE on, a term is replaced by its kind, from REMOVE on it goes, wherever it
-stands. Only the terms beside entities are counted over the corpus, in one pass.
+PMI / IC = log2(p(e|t) N / n(e)) / IC is the share of what there is to know about e that
+t alone gives away. p(e|t) = n(t, e) / n(t) is an estimate, so its lower confidence bound
+(Wilson's, at z) stands in its place. What the bound rests on are documents, and copies
+of a document are no new evidence: of d documents with e whose mean similarity is rho,
+
+    d / (1 + (d - 1) rho)
+
+count (Kish's design effect; rho from the SKETCH least hashes of each document's shingles
+of three terms), and t has the part n(t, e) / n(e) of them. Pairs with evidence of SUPPORT
+documents at least are judged: from GENERALISE on, a term is replaced by its kind, from
+REMOVE on it goes, wherever it stands. No pair of documents is formed, and an entity of a
+third of all rows is only ever summed up.
 
 Defined results: a null text is empty and stays null when sanitised; repeated rows
-are treated alike and count as often as they occur, but do not make lines different;
-an empty table gives an empty result; other columns pass through ``sanitised``.
-Offsets are code points, ends exclusive.
+are treated alike and count as often as they occur, but are no new evidence; an empty
+table gives an empty result; other columns pass through ``sanitised``; a column carried
+by ``detect`` that has a result's name gets the suffix _carried. Offsets are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, whole, written
+from plumbline.llm.common import WORD, carried, whole, written
 
 #: The patterns as defined. ip: parts at most 255. card: 16 to 19 digits that pass Luhn. phone: 8 to 15 digits.
 PATTERNS = {
@@ -45,13 +54,15 @@ LINEAR = {
     "phone": PATTERNS["phone"],
 }
 KINDS = tuple(PATTERNS)
+#: The base spans by kind, as columns of their own names.
+_KIND = {k: f"_{k}_spans" for k in KINDS}
 TERM = r"[\p{L}\p{N}]{3,}"
-SUPPORT = 3
-AROUND = 30
+#: Documents that are no copies of each other, at least, behind a judged pair; hashes of a document's sketch.
+SUPPORT, SKETCH = 3, 16
+#: Characters of a context at most, and the quantile of the confidence bound (one-sided, 95 %).
+PIECE, Z = 2000, 1.645
 #: So many disclosing terms at most are sent to every task; beyond, texts are joined with theirs.
 INLINE = 5000
-#: The lines of an entity have at least so many times the words of one of them.
-VARIED = 2.5
 GENERALISE, REMOVE = 0.7, 0.9
 
 
@@ -124,46 +135,65 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def contexts(body: Column) -> Column:
+    """Lines; those of more than PIECE characters in pieces that end before white space where they can."""
+    return F.regexp_extract_all(body, F.lit(rf"[^\n]{{1,{PIECE}}}(?=[\x20\x09-\x0D]|\z)|[^\n]{{{PIECE}}}"), F.lit(0))
+
+
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda x: F.lower(x["value"])))
+
+
+def evidence(spanned: DataFrame) -> DataFrame:
+    """entity and evidence: how many documents stand behind each entity, those alike
+    counted as one. Only entities of SUPPORT at least."""
+    t = F.col("t")
+    shingles = F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i + 1), F.get(t, i + 2)))
+    each = spanned.select(_entities(F.concat(*_KIND.values())).alias("e"), _terms(F.col("_body")).alias("t"))
+    each = each.select("e", F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH).alias("s"))
+    each = written(each.select(F.explode("e").alias("entity"), "s"), "entities")
+    often = each.groupBy("entity").agg(F.count("*").alias("d")).where(F.col("d") >= SUPPORT)
+    marks = each.join(often, "entity").select("entity", "d", F.explode("s").alias("h")).groupBy("entity", "d", "h").agg(F.count("*").alias("c"))
+    alike = marks.groupBy("entity", "d").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.sum("c").alias("all"))
+    d = F.col("d").cast("double")
+    rho = F.least(F.lit(1.0), F.col("same") / (d - 1) / F.col("all"))
+    rated = alike.select("entity", (d / (1 + (d - 1) * rho)).alias("evidence"))
+    return written(rated.where(F.col("evidence") >= SUPPORT), "evidence")
+
+
+def lower_bound(p: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share p seen in n cases."""
+    z2 = Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def disclosing_terms(spanned: DataFrame) -> DataFrame:
     """spanned: _body and the arrays of base spans. Gives the terms, each with the
-    largest share of an entity's information that it discloses."""
-    any_span = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS))
-    # A match never crosses a line, so lines can be searched by themselves; only documents with spans are.
-    lines = spanned.where(any_span).select(F.explode(F.split("_body", "\n")).alias("line"))
-    # Each different line once, with its number m.
+    largest share of an entity's information that it surely discloses."""
+    # Only documents with spans are searched again by contexts.
+    personal = spanned.where(reduce(lambda a, b: a | b, (F.size(k) > 0 for k in _KIND.values())))
+    backed = evidence(personal)
+    lines = personal.select(F.explode(contexts(F.col("_body"))).alias("line"))
+    # Each different context once, with its number m.
     lines = lines.groupBy(F.xxhash64("line").alias("id")).agg(F.count("*").alias("m"), F.first("line").alias("line"))
-    lines = lines.select("*", F.concat(*base_spans(F.col("line")).values()).alias("spans")).where(F.size("spans") > 0)
-    lines = written(lines, "entity-lines")
-    # Copies with edits elsewhere are no new evidence: what counts as different is the text right around the entity.
-    around = lambda x: F.xxhash64(
-        F.substring(F.col("line"), F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND))),
-        F.substring(F.col("line"), x["end"] + 1, F.lit(AROUND)),
-    )
-    each = F.transform("spans", lambda x: F.struct(F.lower(x["value"]).alias("entity"), around(x).alias("at")))
-    seen = lines.select("id", "m", F.explode(F.array_distinct(each)).alias("x")).select("id", "m", "x.*")
-    often = seen.groupBy("entity").agg(F.countDistinct("at").alias("d")).where(F.col("d") >= SUPPORT).select("entity")
-    held = written(seen.join(often, "entity", "left_semi").select("entity", "id", "m").distinct(), "entities")
+    lines = lines.select("*", _entities(F.concat(*base_spans(F.col("line")).values())).alias("e")).where(F.size("e") > 0)
+    held = lines.select("id", "m", "line", F.explode("e").alias("entity")).join(backed, "entity")
+    held = written(held, "held")
     bare = reduce(lambda c, k: F.regexp_replace(c, LINEAR[k], " "), KINDS, F.col("line"))
-    beside = lines.join(held, "id", "left_semi").select("id", _terms(bare).alias("t"))
-    # Each term of a line with a hash of its neighbours, for the same reason.
-    near = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get("t", i - 1), F.get("t", i + 1)).alias("near")))
-    words = beside.select("id", F.explode(near).alias("x")).select("id", "x.*").groupBy("id", "term").agg(F.min("near").alias("near"))
-    pairs = held.join(words, "id").groupBy("entity", "term")
-    pairs = pairs.agg(F.sum("m").alias("n_te"), F.count("*").alias("d"), F.countDistinct("near").alias("d_near"))
-    pairs = written(pairs, "pairs")
-    # Lines that share most of their words are copies too.
-    n_e = held.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count("*").alias("n_lines"))
-    varied = pairs.groupBy("entity").agg(F.count("*").alias("n_terms"), F.sum("d").alias("n_words")).join(n_e, "entity")
-    varied = varied.where(F.col("n_terms") * F.col("n_lines") >= VARIED * F.col("n_words")).select("entity", "n_e")
-    known = pairs.where((F.col("d_near") >= SUPPORT) & (2 * F.col("d_near") > F.col("d"))).join(varied, "entity")
-    known = written(known.select("entity", "term", "n_te", "n_e"), "supported")
-    # Counts over every line of every document; terms not beside entities are dropped before the shuffle.
-    by_line = F.transform(F.split("_body", "\n"), lambda x: F.array_distinct(_terms(x)))
+    # A context is of bounded length, so are its pairs.
+    pairs = held.select("entity", "evidence", "m", F.explode(F.array_distinct(_terms(bare))).alias("term"))
+    pairs = pairs.groupBy("entity", "evidence", "term").agg(F.sum("m").alias("n_te"))
+    n_e = held.groupBy("entity").agg(F.sum("m").alias("n_e"))
+    known = pairs.join(n_e, "entity").withColumn("evidence", F.col("evidence") * F.col("n_te") / F.col("n_e"))
+    known = written(known.where(F.col("evidence") >= SUPPORT), "supported")
+    # Counts over every context of every document; terms not beside entities are dropped before the shuffle.
+    by_line = F.transform(contexts(F.col("_body")), lambda x: F.array_distinct(_terms(x)))
     each = spanned.select(F.explode(F.flatten(by_line)).alias("term"))
     counts = each.join(known.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = spanned.agg(F.sum(F.size(F.filter(F.split("_body", "\n"), lambda x: x.rlike(WORD)))).alias("n"))
+    total = spanned.agg(F.sum(F.size(F.filter(contexts(F.col("_body")), lambda x: x.rlike(WORD)))).alias("n"))
     n, n_e = F.col("n").cast("double"), F.col("n_e")
-    share = F.log2(F.col("n_te") * n / (F.col("n_t") * n_e)) / F.log2(n / n_e)
+    p = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
+    share = F.log2(lower_bound(p, F.col("evidence") / p) * n / n_e) / F.log2(n / n_e)
     # One row of totals.
     rated = known.join(counts, "term").join(F.broadcast(total), F.lit(True)).where(n > n_e)
     return written(rated.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE), "disclosing")
@@ -174,10 +204,10 @@ def _terms(c: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The columns named in carry, _body, the base spans by kind, and terms: spans of
-    disclosing terms that no base span overlaps, with kind term or removed."""
+    """The columns named in carry, _body, the base spans by kind (as in _KIND), and _terms: spans
+    of disclosing terms that no base span overlaps, with kind term or removed."""
     spanned = docs.select(*carry, whole(F.col(text)).alias("_body"))
-    spanned = spanned.select("*", *(c.alias(k) for k, c in base_spans(F.col("_body")).items()))
+    spanned = spanned.select("*", *(c.alias(_KIND[k]) for k, c in base_spans(F.col("_body")).items()))
     risky = disclosing_terms(spanned)
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
     if risky.limit(INLINE + 1).count() <= INLINE:
@@ -197,25 +227,26 @@ def with_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ())
     # Longer terms first, so that none hides another that it begins.
     names = F.array_join(F.reverse(F.array_sort("_mine")), "|")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), names, F.lit(r")(?![\p{L}\p{N}])"))
-    base = F.concat(*KINDS)
+    base = F.concat(*_KIND.values())
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     marked = F.transform(
         F.filter(located(F.col("_body"), pattern, "term"), free),
         lambda s: s.withField("kind", F.when(F.array_contains("_gone", s["value"]), "removed").otherwise("term")),
     )
-    return held.withColumn("terms", F.when(F.size("_mine") == 0, none).otherwise(marked)).drop("_mine", "_gone")
+    return held.withColumn("_terms", F.when(F.size("_mine") == 0, none).otherwise(marked)).drop("_mine", "_gone")
 
 
 def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Counts and spans: n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = with_spans(docs, text, carry)
-    return found.select(
-        *carry,
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
-        F.sha2(_said(F.concat(*KINDS)), 256).alias("base_sha256"),
-        _said(F.concat(*KINDS, "terms")).alias("spans"),
-        F.size("terms").cast("long").alias("n_terms"),
-    )
+    """Counts and spans: n_email, n_ip, n_card, n_phone, base_sha256, spans (by kind, then start), n_terms."""
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(text).alias("_text"))
+    found = with_spans(rows, "_text", ("_row",))
+    of_kind = [F.filter("_terms", lambda s: s["kind"] == "term"), F.filter("_terms", lambda s: s["kind"] == "removed")]
+    made = {f"n_{k}": F.size(_KIND[k]).cast("long") for k in KINDS} | {
+        "base_sha256": F.sha2(_said(F.concat(*_KIND.values())), 256),
+        "spans": _said(F.concat(*_KIND.values(), *of_kind)),
+        "n_terms": F.size("_terms").cast("long"),
+    }
+    return found.select(*carried("_row", carry, made), *(c.alias(k) for k, c in made.items()))
 
 
 def _stand_in(s: Column) -> Column:
@@ -227,15 +258,15 @@ def _stand_in(s: Column) -> Column:
     )
 
 
-def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """docs with the entities and disclosing terms in their texts replaced. Where
     spans of two kinds overlap, the earlier, then the longer one, stands for both.
-    A column n_chars of the input follows the new length."""
+    length: a column that follows the new number of characters."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
     found = with_spans(rows, "_text", ("_row",)).withColumn(
         "_spans",
         F.array_sort(
-            F.concat(*KINDS, "terms"),
+            F.concat(*_KIND.values(), "_terms"),
             lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
         ),
     )
@@ -253,5 +284,5 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     new = F.when(F.col("_row")[text].isNull(), F.lit(None)).when(F.size("_spans") == 0, body).otherwise(rebuilt)
     found = found.withColumn("_new", new)
-    put = {text: F.col("_new")} | ({"n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    put = {text: F.col("_new")} | ({length: F.length("_new").cast(docs.schema[length].dataType)} if length else {})
     return found.select(*(put[c].alias(c) if c in put else F.col("_row")[c].alias(c) for c in docs.columns))

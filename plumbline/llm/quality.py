@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, WORD, whole, words, written
+from plumbline.llm.common import SPACE, WORD, carried, whole, words, written
 
 #: Base rules: fewer words than this, or more than this share of words in repeated windows.
 MIN_WORDS = 10
@@ -25,12 +25,11 @@ WINDOW = 5
 #: Rules that count against a host, but do not reject a document by themselves.
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINE_SHARE = 0.5
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.6
+#: A host is rejected when its failure rate is surely above this: by the posterior mean less
+#: SURE standard deviations.
+MAX_HOST_RATE, SURE = 0.6, 1.645
 #: Bounds of the prior's strength, in documents.
 PRIOR_LOW, PRIOR_HIGH = 1.0, 1e6
-#: The prior's mean at most, below MAX_HOST_RATE: a bad corpus alone rejects no host.
-PRIOR_MOST = 0.5
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -92,8 +91,9 @@ def host_verdicts(marks: DataFrame, host: str = "source", failed: str = "failed"
 
     Empirical Bayes: the corpus rate m and the variance between hosts, less what
     binomial noise explains, give a beta prior of strength k = m(1-m)/variance - 1;
-    a host's rate is (failures + k m) / (documents + k). There m counts as PRIOR_MOST
-    at most; else a corpus of mostly failures would reject hosts without evidence."""
+    a host's rate is the posterior mean r = (failures + k m) / (documents + k), of
+    variance r(1-r) / (documents + k + 1). The prior alone rejects no host, however bad
+    the corpus: the host's own failures have to say the same, under a flat prior."""
     hosts = marks.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     total = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("hosts"),
@@ -103,27 +103,31 @@ def host_verdicts(marks: DataFrame, host: str = "source", failed: str = "failed"
     noise = m * (1 - m) * (F.col("hosts") - 1) / F.col("n")
     between = F.col("ff") / F.col("n") - m * m - noise
     k = F.when(between > 0, F.greatest(F.lit(PRIOR_LOW), F.least(F.lit(PRIOR_HIGH), m * (1 - m) / between - 1)))
-    prior = total.select(F.least(m, F.lit(PRIOR_MOST)).alias("m"), F.coalesce(k, F.lit(PRIOR_HIGH)).alias("k"))
+    prior = total.select(m.alias("m"), F.coalesce(k, F.lit(PRIOR_HIGH)).alias("k"))
     # The prior is one row whatever the input.
     rated = hosts.join(F.broadcast(prior), F.lit(True)).withColumn(
         "rate", (F.col("n_failed") + F.col("k") * F.col("m")) / (F.col("n_docs") + F.col("k"))
     )
-    return rated.select(host, "n_docs", "n_failed", "rate", (F.col("rate") <= MAX_HOST_RATE).alias("host_ok"))
+    above = lambda r, n: r - SURE * F.sqrt(r * (1 - r) / (n + 1)) > MAX_HOST_RATE
+    bad = above(F.col("rate"), F.col("n_docs") + F.col("k")) & above((F.col("n_failed") + 1) / (F.col("n_docs") + 2), F.col("n_docs") + 2)
+    return rated.select(host, "n_docs", "n_failed", "rate", (~bad).alias("host_ok"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The columns named in carry, the measures, base_failed, host_ok and kept.
+    """The columns named in carry, the measures, base_failed, host_ok and kept. A carried
+    column that has a result's name gets the suffix _carried.
 
     The measured rows are written once, as hosts need all of them before any is
     judged. Rejected hosts are joined back by host: Spark broadcasts them if they
     measure small, else it deals both sides out and splits hot hosts."""
-    near = docs.withColumn("_host", F.col(host))
-    rows = written(measured(near, text, ("_host", *carry)).withColumn("base_failed", base_failed()), "quality")
+    near = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(host).alias("_host"), F.col(text).alias("_text"))
+    rows = written(measured(near, "_text", ("_host", "_row")).withColumn("base_failed", base_failed()), "quality")
     verdicts = host_verdicts(rows.select("_host", rule_failed().alias("failed")), "_host")
     bad = written(verdicts.where(~F.col("host_ok")).select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad")), "hosts")
     ok = ~F.coalesce("_bad", F.lit(False))
     judged = rows.join(bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left")
-    return judged.select(*carry, *MEASURES, "base_failed", ok.alias("host_ok"), (~F.col("base_failed") & ok).alias("kept"))
+    made = (*MEASURES, "base_failed", "host_ok", "kept")
+    return judged.select(*carried("_row", carry, made), *MEASURES, "base_failed", ok.alias("host_ok"), (~F.col("base_failed") & ok).alias("kept"))
 
 
 def kept(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

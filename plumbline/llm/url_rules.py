@@ -2,29 +2,36 @@
 
 A rule is a regular expression over host and path, with the literal tokens that any
 URL it fits must have. Each rule is filed under that of its tokens which the fewest
-URLs of the corpus have. A URL looks up its own tokens, and only the rules that it
-finds are run on it. Of the rules that fit, the longest wins.
+URLs of the corpus have, a rule without tokens under the empty token, which every URL
+has. A URL looks up its own tokens, and only the rules that it finds are run on it. Of
+the rules that fit, the longest wins.
 
 Host rules (host/path) come first; the pattern rules decide the other URLs, and a
 URL that none fits is allowed.
 
-The rules are a parameter and inlined in the plan as a map from token to rules (at
-most MAX_RULES), so a page is judged in one narrow pass without a shuffle.
+The index is a table (token, rule) of any size: the tokens of the different URLs are
+joined with it, broadcast up to MOST_BROADCAST rules and dealt out beyond, where Spark
+splits tokens that many URLs have. Verdicts go back to the pages by host and path.
 
 Defined results: a URL that is null or has no "://" has an empty host and path, fits
-no rule and is allowed; repeated rows are judged alike; an empty table gives an
-empty result; other columns pass through, under ``page`` of ``judge``.
+no rule but those without tokens and is else allowed; repeated rows are judged alike;
+an empty table gives an empty result; other columns pass through, under ``page`` of
+``judge``; of equal rules by kind and length, the name decides.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 10_000
+from plumbline.llm.common import written
+
+#: Rules that are sent to every task at most.
+MOST_BROADCAST = 50_000
 TOKEN = r"[a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,8 +75,6 @@ def rules(host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> list[Rule]:
         segments = re.findall(TOKEN, path.lower()) if re.search(r"[^A-Za-z0-9]$", path) else re.findall(TOKEN, path.lower())[:-1]
         out.append(Rule(verdict, host + path, pattern, tuple(re.findall(TOKEN, host) + segments), True))
     out += [Rule(v, n, p, tuple(t), False) for v, n, p, t in pattern_rules]
-    if len(out) > MAX_RULES:
-        raise ValueError(f"{len(out)} rules; the index holds {MAX_RULES}")
     return out
 
 
@@ -87,47 +92,57 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(F.concat(host, F.lit(" "), path)), F.lit(TOKEN), F.lit(0)))
 
 
-def rare_tokens(pages: DataFrame, found: list[Rule], url: str = "url") -> dict[str, int]:
-    """In how many URLs each literal token of the rules is. The result is bounded by the rules."""
-    wanted = sorted({t for r in found for t in r.tokens})
+_RULE = "by_host boolean, size int, name string, verdict string, pattern string"
+
+
+def as_table(spark: SparkSession, found: list[Rule]) -> DataFrame:
+    """A row for each rule: rule, a struct that orders rules by precedence, and tokens.
+    Larger sets of rules can be read from a table of these columns."""
+    each = [{"rule": {"by_host": r.by_host, "size": len(r.name), "name": r.name, "verdict": r.verdict, "pattern": r.pattern}, "tokens": list(r.tokens)} for r in found]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(each)), f"array<struct<rule:struct<{_RULE.replace(' ', ':').replace(',:', ',')}>,tokens:array<string>>>")))
+
+
+def _targets(pages: DataFrame, url: str) -> DataFrame:
     host, path = parts(F.col(url))
-    each = pages.select(F.explode(F.array_intersect(_tokens(host, path), F.array(*map(F.lit, wanted)))).alias("token"))
-    return dict.fromkeys(wanted, 0) | {r.token: r["count"] for r in each.groupBy("token").count().collect()}
+    return pages.select(host.alias("host"), path.alias("path")).distinct()
 
 
-def _as_map(found: list[Rule], counts: dict[str, int]) -> Column:
-    filed: dict[str, list[Rule]] = {}
-    for r in found:
-        filed.setdefault(min(r.tokens, key=lambda t: (counts[t], t)), []).append(r)
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has MOST_BROADCAST rows at most."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
-    def one(r: Rule) -> Column:
-        return F.struct(
-            F.lit(r.by_host).alias("by_host"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"),
-            F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"),
-        )
 
-    return F.create_map(*(x for t, rs in sorted(filed.items()) for x in (F.lit(t), F.array(*map(one, rs)))))
+def index(targets: DataFrame, rules_table: DataFrame) -> DataFrame:
+    """token, rule: each rule under the token of it that the fewest URLs have."""
+    none = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    each = rules_table.select("rule", F.explode(none).alias("token"))
+    wanted = _small(each.select("token").distinct())
+    counts = targets.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(wanted, "token", "left_semi")
+    counts = counts.groupBy("token").agg(F.count("*").alias("n"))
+    rated = each.join(counts, "token", "left").select("rule", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token").alias("t"))
+    return rated.groupBy("rule").agg(F.min("t").alias("t")).select("t.token", "rule")
 
 
-def judge(pages: DataFrame, url: str = "url", found: list[Rule] | None = None) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", found: list[Rule] | DataFrame | None = None) -> DataFrame:
     """page (the row as a struct), host, path, rule, pattern_rule, verdict, and
     n_candidates: how many rules were run on the URL."""
     found = rules() if found is None else found
-    index = _as_map(found, rare_tokens(pages, found, url))
+    table = as_table(pages.sparkSession, found) if isinstance(found, list) else found
+    targets = _targets(pages, url)
+    filed = written(index(targets, table), "rules")
+    tokens = F.array_union(F.array(F.lit("")), _tokens(F.col("host"), F.col("path")))
+    fetched = targets.select("host", "path", F.explode(tokens).alias("token")).join(_small(filed), "token")
+    fits = F.when(F.regexp_like(F.concat("host", "path"), F.col("rule.pattern")), F.col("rule"))
+    # Host rules before pattern rules, then the longest; names break ties.
+    judged = fetched.groupBy("host", "path").agg(F.max(fits).alias("best"), F.count("*").alias("n"))
     host, path = parts(F.col(url))
     df = pages.select(F.struct(*pages.columns).alias("page"), host.alias("host"), path.alias("path"))
-    df = df.withColumn("_target", F.concat("host", "path"))
-    fetched = F.flatten(F.filter(F.transform(_tokens(F.col("host"), F.col("path")), lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
-    df = df.withColumn("_candidates", fetched)
-    df = df.withColumn("_fits", F.filter("_candidates", lambda r: F.regexp_like(F.col("_target"), r["pattern"])))
-    # Host rules before pattern rules, then the longest; names break ties.
-    df = df.withColumn("_best", F.array_max("_fits"))
-    named = F.when(F.col("_best.by_host"), F.col("_best.name"))
+    df = df.join(judged, ["host", "path"], "left")
     return df.select(
-        "page", "host", "path", named.alias("rule"),
-        F.when(~F.col("_best.by_host"), F.col("_best.name")).alias("pattern_rule"),
-        F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"),
-        F.size("_candidates").cast("long").alias("n_candidates"),
+        "page", "host", "path", F.when(F.col("best.by_host"), F.col("best.name")).alias("rule"),
+        F.when(~F.col("best.by_host"), F.col("best.name")).alias("pattern_rule"),
+        F.coalesce("best.verdict", F.lit("allow")).alias("verdict"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"),
     )
 
 

@@ -1,7 +1,12 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
+import regex
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -14,7 +19,7 @@ def luhn(d):
     return sum(v - 9 if v > 9 else v for v in x) % 10 == 0
 
 
-def brute(text):
+def brute_spans(text):
     out = []
     for k, p in pii.PATTERNS.items():
         for m in re.finditer(p, text or ""):
@@ -23,6 +28,11 @@ def brute(text):
                   "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[k]
             if ok:
                 out.append((k, m.start(), m.end()))
+    return out
+
+
+def brute(text):
+    out = brute_spans(text)
     said = ",".join(f"{k}:{s}:{e}" for k, s, e in out)
     return (*(sum(o[0] == k for o in out) for k in pii.PATTERNS), hashlib.sha256(said.encode()).hexdigest(), said)
 
@@ -62,27 +72,122 @@ def test_patterns_match_brute_force_on_adversarial_strings(spark):
     assert out[n].n_card == out[n + 1].n_email == out[n + 2].n_phone == out[n + 3].n_card == 0
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def shingle_hash(words):
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return signed(h)
+
+
+def brute_terms(texts):
+    """Shares of terms, by the formulas of the module, over whole texts in Python."""
+    term = regex.compile(r"[\p{L}\p{N}]{3,}")
+    cut = re.compile(rf"[^\n]{{1,{pii.PIECE}}}(?=[\x20\x09-\x0D]|\Z)|[^\n]{{{pii.PIECE}}}")
+    found = {t: brute_spans(t) for t in {t or "" for t in texts}}
+    d, hashes, n_e, n_te, n_t, n = Counter(), defaultdict(Counter), Counter(), Counter(), Counter(), 0
+    for t in texts:
+        t = t or ""
+        w = term.findall(t)
+        sketch = sorted({shingle_hash(w[i : i + 3]) for i in range(len(w))})[: pii.SKETCH]
+        for e in {t[x:y].lower() for _, x, y in found[t]}:
+            d[e] += 1
+            hashes[e].update(sketch)
+        for line in cut.findall(t):
+            n += bool(re.search(r"[^\x20\x09-\x0D]", line))
+            n_t.update(set(term.findall(line)))
+            spans = brute_spans(line)
+            bare = line
+            for k in pii.KINDS:  # as many blanks as spans change nothing for terms
+                for _, x, y in [s for s in spans if s[0] == k]:
+                    bare = bare[:x] + " " * (y - x) + bare[y:]
+            for e in {line[x:y].lower() for _, x, y in spans}:
+                n_e[e] += 1
+                n_te.update((e, x) for x in set(term.findall(bare)))
+    out = {}
+    for (e, t), n_both in n_te.items():
+        if d[e] < pii.SUPPORT or n <= n_e[e]:
+            continue
+        rho = min(1.0, sum(c * (c - 1) for c in hashes[e].values()) / (d[e] - 1) / sum(hashes[e].values()))
+        backed = d[e] / (1 + (d[e] - 1) * rho)
+        own = backed * n_both / n_e[e]
+        if backed < pii.SUPPORT or own < pii.SUPPORT or not n_t[t]:
+            continue
+        p = min(1.0, n_both / n_t[t])
+        k, z2 = own / p, pii.Z**2
+        low = (p + z2 / (2 * k) - pii.Z * math.sqrt(p * (1 - p) / k + z2 / (4 * k * k))) / (1 + z2 / k)
+        share = math.log2(low * n / n_e[e]) / math.log2(n / n_e[e])
+        if share >= pii.GENERALISE:
+            out[t] = max(share, out.get(t, 0))
+    return out
+
+
+def brute_said(text, shares):
+    base = brute_spans(text or "")
+    more = []
+    if shares:
+        names = sorted(shares, reverse=True)
+        p = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(names) + r")(?![\p{L}\p{N}])")
+        for m in p.finditer(text or ""):
+            if not any(x < m.end() and m.start() < y for _, x, y in base):
+                more.append(("removed" if shares[m[0]] >= pii.REMOVE else "term", m.start(), m.end()))
+    order = (*pii.KINDS, "term", "removed")
+    return ",".join(f"{k}:{x}:{y}" for k, x, y in sorted(base + more, key=lambda s: (order.index(s[0]), s[1])))
+
+
+def planted():
+    """Prose without meaning in 4000 texts; a name in other words each time, a contact
+    line that many texts share, a name in near copies of one text, and a long line."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioustrnlmd") for _ in range(rng.randint(3, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [prose(rng.randint(5, 30)) for _ in range(4000)]
+    rows += [f"{prose(20)}\n{prose(6)} Zorblatt {prose(rng.randint(0, 4))} ceo@corp.example.com {prose(5)}\n{prose(9)}" for _ in range(9)]
+    rows += [f"{prose(25)}\nContact Fenwick at 10.1.2.3\n{prose(12)}" for _ in range(30)]
+    body = prose(60).split(" ")
+    for i in range(40):
+        copy = list(body)
+        copy[rng.randrange(60)] = f"edit{i}"
+        rows.append(" ".join(copy[:30]) + " Quixote windmill@copy.example.com " + " ".join(copy[30:]))
+    rows += [prose(900) + " Zorblatt ceo@corp.example.com " + prose(900), "nobody but Zorblatt was there", None, "ask Fenwick, he is in", prose(8) + " solo@one.example.com"]
+    return rows
+
+
 @pytest.mark.parametrize("inline", [5000, 0])
-def test_disclosing_terms_go_and_common_words_stay(spark, monkeypatch, inline):
+def test_planted_terms_equal_brute_force(spark, monkeypatch, inline):
     monkeypatch.setattr(pii, "INLINE", inline)
-    common = "we met the team and spoke about plans for the year"
-    rows = [(i, f"{common} number {i}") for i in range(300)]
-    said = ["ask Zorblatt about prices: {}", "{} is what Zorblatt reads every morning", "yesterday our Zorblatt answered from {} within hours",
-            "forms go through {} or directly by hand; Zorblatt signs", "for urgent cases Zorblatt left this: {}!", "Zorblatt ({}) owns both shares"]
-    rows += [(1000 + i, f"{common} item{i}\n" + t.format("ceo@corp.example.com")) for i, t in enumerate(said)]
-    # Near copies of one line disclose nothing new, whatever was edited in them.
-    rows += [(1500 + i, f"Quixote wrote to windmill@copy.example.com from mancha{i} about long summer rides") for i in range(9)]
-    rows += [(2000, "nobody but Zorblatt was there"), (2001, None), (2002, "the chief cook of item4")]
-    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, n_chars int, term string")
-    out = {r.doc_id: r for r in pii.sanitised(docs).collect()}
-    assert len(out) == len(rows)
-    assert "Zorblatt" not in out[2000].text and out[2000].text.startswith("nobody but ") and out[2000].n_chars == len(out[2000].text)
-    assert "Quixote" in out[1500].text and "windmill" not in out[1500].text
-    assert out[2001].text is None and out[2001].term == "x"
-    assert out[0].text == rows[0][1]
-    assert "[EMAIL]" in out[1000].text and "corp.example" not in out[1000].text and common in out[1000].text
-    spans = {r.doc_id: r.spans for r in pii.detect(docs, carry=("doc_id",)).collect()}
-    assert spans[2000] == "removed:11:19" and spans[0] == ""
+    texts = planted()
+    shares = brute_terms(texts)
+    assert {"Zorblatt", "Fenwick", "Contact"} == set(shares) and shares["Zorblatt"] > pii.REMOVE
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_email string")
+    out = {r.doc_id: r for r in pii.detect(df, carry=("doc_id", "n_email")).collect()}
+    assert {i: r.spans for i, r in out.items()} == {i: brute_said(t, shares) for i, t in enumerate(texts)}
+    assert out[0].n_email_carried == "x" and out[4000].n_terms == 1
+
+
+def test_documents_terms_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    shares = brute_terms([r.text for r in rows])
+    assert {r.doc_id: r.spans for r in pii.detect(docs, carry=("doc_id",)).collect()} == {r.doc_id: brute_said(r.text, shares) for r in rows}
+
+
+def test_disclosing_terms_are_replaced_and_common_words_stay(spark):
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars int, _terms string")
+    out = {r.doc_id: r for r in pii.sanitised(docs, length="n_chars").collect()}
+    assert len(out) == len(texts)
+    said = out[texts.index("nobody but Zorblatt was there")]
+    assert said.text == "nobody but  was there" and said.n_chars == len(said.text)
+    assert out[4038].text == texts[4038].replace("Contact Fenwick", out[4038].text.split("\n")[1].split(" at ")[0]).replace("10.1.2.3", "[IP]")
+    assert "Fenwick" not in out[4038].text and "Quixote" in out[4040].text and "windmill" not in out[4040].text
+    none = out[texts.index(None)]
+    assert none.text is None and none._terms == "x"
+    assert out[0].text == texts[0]
+    assert "[EMAIL]" in out[4000].text and "corp.example" not in out[4000].text
 
 
 def test_sanitised_keeps_columns_and_odd_rows(spark):

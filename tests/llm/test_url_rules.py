@@ -1,7 +1,11 @@
 import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from plumbline.llm import queries, url_rules
 from tests.llm.helpers import SCHEMA  # noqa: F401
@@ -46,8 +50,35 @@ def test_only_candidates_are_run(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = url_rules.judge(pages).agg({"n_candidates": "avg"}).first()[0]
     assert out < 0.4 * len(url_rules.rules())
-    counts = url_rules.rare_tokens(pages, url_rules.rules())
-    assert counts["login"] == 0 and counts["com"] > 0
+    filed = url_rules.index(url_rules._targets(pages, "url"), url_rules.as_table(spark, url_rules.rules())).collect()
+    seen = Counter(t for h, p in {brute(r.url)[:2] for r in pages.collect()} for t in set(re.findall("[a-z0-9]+", (h + " " + p).lower())))
+    rarest = {r.pattern: min(r.tokens, key=lambda t: (seen[t], t)) for r in url_rules.rules()}
+    assert {r.rule.pattern: r.token for r in filed} == rarest and len(set(rarest.values())) > 8
+
+
+@pytest.mark.parametrize("rule", url_rules.rules(), ids=lambda r: r.pattern)
+def test_generated_urls_have_the_tokens_of_the_rule(rule):
+    """URLs made from the pattern itself, whatever may stand before and behind it."""
+
+    @settings(max_examples=150, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(rule.pattern.replace("$", r"\Z"), re.ASCII)))
+    def has(target):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in target)
+        assert set(rule.tokens) <= set(re.findall("[a-z0-9]+", low)), target
+
+    has()
+
+
+@pytest.mark.parametrize("most", [50_000, 10])
+def test_many_rules_and_rules_without_tokens(spark, monkeypatch, most):
+    """2000 more rules, broadcast or dealt out, and one that has no literal token."""
+    monkeypatch.setattr(url_rules, "MOST_BROADCAST", most)
+    more = [("block", f"p{i}", rf"/shop{i}/item", (f"shop{i}",)) for i in range(2000)] + [("block", "digits", r"/[0-9]{9}$", ())]
+    found = url_rules.rules(pattern_rules=url_rules.PATTERN_RULES + more)
+    urls = ["http://x.io/shop7/item3", "http://x.io/shop1999/item", "http://x.io/123456789", "http://x.io/shop7/", None, "http://x.io/shop7/item3"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page.page_id: (r.pattern_rule, r.n_candidates) for r in url_rules.judge(df, found=found).collect()}
+    assert out == {0: ("p7", 2), 1: ("p1999", 2), 2: ("digits", 1), 3: (None, 2), 4: (None, 1), 5: ("p7", 2)}
 
 
 def test_every_rule_needs_its_tokens():
