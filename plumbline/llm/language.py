@@ -5,14 +5,16 @@ and the language of the smallest result is the prediction. The score is how much
 smaller that is than the next, as a share of the next; predictions of a narrow margin
 are marked as rejected. Ties go to the language with more documents to learn from.
 
-Learning takes a bounded sample: of each language the SAMPLE labelled documents of
-the smallest keyed hash, at most SLICE characters of each, DICTIONARY bytes in all.
-Texts are compressed whole. Case and all that is no letter is levelled first, so
-symbols and numbers don't vote.
+Learning takes a bounded sample: of each of the LANGUAGES labels with most documents the
+SAMPLE documents of the smallest keyed hash, at most SLICE characters of each, DICTIONARY
+bytes in all. Texts are compressed whole. Case and all that is no letter is levelled
+first, so symbols and numbers don't vote.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is
 every text if nothing was learned; with one language learned the score is 1; null
-labels teach nothing; repeated rows are predicted alike; a null id is not held out.
+labels teach nothing; repeated rows are predicted alike; a null id is not held out; an
+empty table gives an empty result; a carried column that has a result's name gets the
+suffix _carried.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.llm.common import carried
+
 SAMPLE = 400
 SLICE = 2000
 DICTIONARY = 110_000
-SALTS = 16
+LANGUAGES = 500
+#: Documents whose hashes are looked at before the smallest are taken, as a multiple of SAMPLE.
+MARGIN = 4
 #: Margins below this share of the runner-up's size are narrow.
 NARROW = 0.03
 UND = "und"
@@ -42,25 +48,38 @@ def held_out(doc_id: Column) -> Column:
 
 
 def levelled(text: str) -> bytes:
-    return NO_LETTER.sub(" ", text.lower()).strip().encode()
+    """Lower case, with a space for what is no letter; empty if there is no letter."""
+    out = NO_LETTER.sub(" ", text.lower()).strip()
+    return out.encode() if any(map(str.isalpha, out)) else b""
 
 
 def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
     """Dictionaries by language, those with more documents first. The sample that
-    reaches the driver is SAMPLE * SLICE characters for each language at most."""
+    reaches the driver is LANGUAGES * SAMPLE * SLICE characters at most."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    # First within SALTS parts of a language, so that no task orders all of a common one.
-    salted = Window.partitionBy("l", F.pmod("h", F.lit(SALTS))).orderBy("h", "t")
+    rows = known.select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("lang")).alias("h"), F.substring(F.col(text), 1, SLICE).alias("t"))
+    counted = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    sizes = {r.l: r["count"] for r in counted}
+    if not sizes:
+        return []
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        # LANGUAGES rows at most.
+        table = labelled.sparkSession.createDataFrame(list(limits.items()), "l string, most long")
+        return rows.join(F.broadcast(table), "l").where(F.col("h") <= F.col("most"))
+
+    # Of a common language only hashes below a limit that leaves enough of them are dealt out.
+    limits = {k: int(-(2**63) + min(1.0, MARGIN * SAMPLE / n) * (2**64 - 1025)) for k, n in sizes.items()}
+    enough = {r.l: r["count"] for r in below(limits).groupBy("l").count().collect()}
+    # Repeated ids share a hash, so a limit may leave too few; then all take part.
+    limits = {k: m if enough.get(k, 0) >= min(SAMPLE, sizes[k]) else 2**63 - 1 for k, m in limits.items()}
     order = Window.partitionBy("l").orderBy("h", "t")
-    rows = known.select(F.col(lang).alias("l"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("lang")).alias("h"), F.substring(F.col(text), 1, SLICE).alias("t"))
-    rows = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= SAMPLE)
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).orderBy("l", "n")
+    found = below(limits).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).orderBy("l", "n")
     texts: dict[str, list[bytes]] = {}
-    for r in rows.select("l", "t").collect():
+    for r in found.select("l", "t").collect():
         texts.setdefault(r.l, []).append(levelled(r.t))
-    found = [(k, b"\n".join(x for x in v if x)[:DICTIONARY]) for k, v in texts.items()]
-    return sorted((x for x in found if x[1]), key=lambda x: (-sizes[x[0]], x[0]))
+    joined = [(k, b"\n".join(x for x in v if x)[:DICTIONARY]) for k, v in texts.items()]
+    return sorted((x for x in joined if x[1]), key=lambda x: (-sizes[x[0]], x[0]))
 
 
 class Classifier:
@@ -90,10 +109,10 @@ class Classifier:
 
 def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns named in carry, lang_pred, score and rejected."""
-    schema = T.StructType(
-        [docs.schema[c] for c in carry]
-        + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    )
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(text).cast("string").alias("_text"))
+    rows = rows.select("_text", *carried("_row", carry, [f.name for f in made]))
+    schema = T.StructType(rows.schema.fields[1:] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)
@@ -102,4 +121,4 @@ def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols, pa.array([x[1] < NARROW for x in found])], names=schema.names)
 
-    return docs.select(F.col(text).cast("string").alias("_text"), *(F.col(c) for c in carry)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

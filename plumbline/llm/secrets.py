@@ -3,10 +3,13 @@
 A tokenizer's vocabulary spends few characters on a token where a string is random.
 Candidates are long runs of the characters of keys; after known digests and
 identifiers are excluded, those of few characters per token are reported, with kind
-``random``, unless a base span overlaps them.
+``random``, unless a base span overlaps them. Runs of letters of one case are tokenised
+less well than others in any language, so they are measured more strictly.
 
-Defined results: a null text is empty; texts are scanned whole; repeated rows give
-equal results; an empty table gives an empty result. Offsets are code points.
+Defined results: a null text is empty; texts are scanned whole, in time that is linear
+but for the tokenizer's; repeated rows give equal results; an empty table gives an empty
+result; a carried column that has a result's name gets the suffix _carried. Offsets are
+code points.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import carried
+
 #: Base patterns; a match passes by the length of what is kept of it.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -28,9 +33,11 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: What an assignment has, in lower case.
 HINTS = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Random strings have fewer characters per token than this; prose, words and paths have more.
 MAX_RATIO = 2.2
+#: The same for runs of one kind of characters, which have so many characters at least.
+ONE_KIND_RATIO, ONE_KIND = 1.8, 20
 #: Digests by their hex length (md5, sha1, sha224, sha256, sha384, sha512) and identifiers.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 IDENTIFIER = re.compile(
@@ -65,17 +72,22 @@ def vocabulary(file: str):
 
 
 def looks_random(s: str, vocab) -> bool:
-    """Few characters per token, two of three kinds of characters, and no known form."""
+    """Few characters per token, and no known form. A capital at the start is no kind of its own."""
     kinds = (any(c.isdigit() for c in s), any(c.islower() for c in s), sum(c.isupper() for c in s) > 1)
-    if sum(kinds) < 2 or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
+    if not any(kinds) or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
         return False
+    if sum(kinds) < 2:
+        return len(s) >= ONE_KIND and len(s) < ONE_KIND_RATIO * len(vocab.encode_ordinary(s))
     return len(s) < MAX_RATIO * len(vocab.encode_ordinary(s))
 
 
 def method_spans(text: str, base: list[tuple[int, int, str]], vocab) -> list[tuple[int, int, str]]:
-    out = []
+    out, k, until = [], 0, -1
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and looks_random(m[0], vocab):
+        # base goes by starts: until is how far those reach that begin before the candidate ends.
+        while k < len(base) and base[k][0] < m.end():
+            until, k = max(until, base[k][1]), k + 1
+        if until <= m.start() and looks_random(m[0], vocab):
             out.append((m.start(), m.end(), "random"))
     return out
 
@@ -86,8 +98,11 @@ def said(spans: list[tuple[int, int, str]]) -> str:
 
 def scan(docs: DataFrame, file: str, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns named in carry, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
-    counts = [T.StructField(f"n_{k}", T.LongType()) for k in (*KINDS, "random")]
-    schema = T.StructType([docs.schema[c] for c in carry] + counts + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    made = [T.StructField(f"n_{k}", T.LongType()) for k in (*KINDS, "random")]
+    made += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(text).cast("string").alias("_text"))
+    rows = rows.select("_text", *carried("_row", carry, [f.name for f in made]))
+    schema = T.StructType(rows.schema.fields[1:] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(file)
@@ -103,4 +118,4 @@ def scan(docs: DataFrame, file: str, text: str = "text", carry: tuple[str, ...]
             cols = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=schema.names)
 
-    return docs.select(F.col(text).cast("string").alias("_text"), *(F.col(c) for c in carry)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

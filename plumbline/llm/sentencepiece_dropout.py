@@ -23,7 +23,8 @@ reads it back as a space).
 
 Defined results: a null or empty text has no ids and decodes to the empty text; very
 long texts are encoded in whole; rows that repeat are encoded alike, unless they are
-told apart by the number of their copy.
+told apart by the number of their copy; an empty table gives an empty result; a carried
+column that has a result's name gets the suffix _carried.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.llm.common import carried
+
 META = "▁"
 #: Stands for that sign where it is part of a text: no text has a lone surrogate.
 _LITERAL = "\ud800"
@@ -360,10 +363,8 @@ def decode(pieces: Pieces, ids) -> str:
 def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), seed: int = SEED, rate: float = DROPOUT, copies: bool = False) -> DataFrame:
     """The columns named in carry, ids, n_tokens, and lossless: whether decoding the ids gives the text.
     copies: rows of one id and text are copies, numbered so that each has its own choices."""
-    schema = T.StructType(
-        [docs.schema[c] for c in carry]
-        + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
-    )
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(doc_id).cast("string").alias("_id"), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cache = Pieces(model_file), []
@@ -377,10 +378,12 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], lists, pa.array(sizes), pa.array(ok)], names=schema.names)
 
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed))
+    key = F.xxhash64("_id", F.lit(seed))
     if copies:
         # Only copies of one text meet in a window.
-        same = Window.partitionBy(doc_id, F.md5(F.col(text).cast("string"))).orderBy(*carry, F.lit(1))
-        docs = docs.withColumn("_copy", F.row_number().over(same))
-        key = F.when(F.col("_copy") == 1, key).otherwise(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed), F.col("_copy")))
-    return docs.select(key.alias("_seed"), F.col(text).cast("string").alias("_text"), *(F.col(c) for c in carry)).mapInArrow(run, schema)
+        same = Window.partitionBy("_id", F.md5("_text")).orderBy(*(F.col("_row")[c] for c in carry), F.lit(1))
+        rows = rows.withColumn("_copy", F.row_number().over(same))
+        key = F.when(F.col("_copy") == 1, key).otherwise(F.xxhash64("_id", F.lit(seed), F.col("_copy")))
+    rows = rows.select(key.alias("_seed"), "_text", *carried("_row", carry, [f.name for f in made]))
+    schema = T.StructType(rows.schema.fields[2:] + made)
+    return rows.mapInArrow(run, schema)

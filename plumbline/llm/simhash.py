@@ -10,11 +10,12 @@ crosses 1.6 of two branches at each level). So there are TREES trees, each over
 half of the bits: a pair within 3 bits is within 3 // 2 = 1 in some half, and there
 a query crosses 1.27 of two branches. Each tree
 
-* is fitted on a bounded sample of fingerprints on the driver (SAMPLE at most, one
-  in SAMPLE_RATE): vantage points, and thresholds at the median distance;
+* is fitted on a bounded sample of fingerprints on the driver (SAMPLE for each shard,
+  SAMPLE * MOST_SHARDS at most): vantage points, and thresholds at the median distance;
 * gives each fingerprint one home shard, and sends it besides to the shards that
   the triangle bound doesn't exclude (|d(x, v) - threshold| within the radius);
-* is continued inside a shard, until pages are small enough to scan.
+* is continued inside a shard, until pages are small enough to scan; where a half no
+  longer divides them, by the whole fingerprint.
 
 A shard returns links that connect what it found close, never all pairs.
 
@@ -43,8 +44,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 TREES = 2
-#: The trees are fitted on one fingerprint in SAMPLE_RATE, and on so many at most.
-SAMPLE, SAMPLE_RATE = 16384, 4
+#: The trees are fitted on SAMPLE fingerprints for each shard, and on one in SAMPLE_RATE at most.
+SAMPLE, SAMPLE_RATE = 8, 4
 #: Fingerprints in a shard, about, and shards of a tree at most.
 SHARD, MOST_SHARDS = 1024, 65536
 #: Inside a shard, fingerprints that are compared without further branching.
@@ -168,21 +169,28 @@ def close_pairs(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, near: int,
     """The vantage-point tree inside a shard. keys: the bits that the tree looks at,
     near: its radius. Branches go on until a page is small or can't be divided."""
     rng = np.random.default_rng(SEED)
-    todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
+    todo = [(np.flatnonzero(home), np.flatnonzero(~home), False)]
     while todo:
-        h, v = todo.pop()
+        h, v, whole = todo.pop()
         if not len(h) or len(h) + len(v) < 2:
             continue
-        split = vantage(keys[h], rng) if len(h) > PAGE else None
-        if split is None or max((split[2] <= split[1]).sum(), (split[2] > split[1]).sum()) > 0.9 * len(h):
+        if len(h) <= PAGE:
             yield from _scan(fps, h, v, radius)
             continue
+        seen, reach = (fps, radius) if whole else (keys, near)
+        split = vantage(seen[h], rng)
+        if split is None or max((split[2] <= split[1]).sum(), (split[2] > split[1]).sum()) > 0.9 * len(h):
+            if whole:
+                yield from _scan(fps, h, v, radius)
+            else:  # equal, or nearly so, in the bits that the tree looks at
+                todo.append((h, v, True))
+            continue
         p, at, dh = split
-        dv = distance(keys[v], p).astype(np.int64)
+        dv = distance(seen[v], p).astype(np.int64)
         dh = dh.astype(np.int64)
         # Of two home points on different sides, the outer one visits the inner side.
-        todo.append((h[dh <= at], np.concatenate((v[dv <= at + near], h[(dh > at) & (dh <= at + near)]))))
-        todo.append((h[dh > at], v[dv > at - near]))
+        todo.append((h[dh <= at], np.concatenate((v[dv <= at + reach], h[(dh > at) & (dh <= at + reach)])), whole))
+        todo.append((h[dh > at], v[dv > at - reach], whole))
 
 
 def connect(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -206,9 +214,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes are those of all pairs within the radius."""
     n = fps.count()
     near = radius // TREES
-    drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).orderBy(F.xxhash64("fp", F.lit(1))).limit(SAMPLE)
-    sample = np.array([r.fp for r in drawn.select("fp").collect()], np.int64).view(np.uint64)
     shards = int(min(MOST_SHARDS, max(1, n // SHARD)))
+    drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).orderBy(F.xxhash64("fp", F.lit(1))).limit(max(1024, SAMPLE * shards))
+    sample = np.array([r.fp for r in drawn.select("fp").collect()], np.int64).view(np.uint64)
     trees = [VantageTree(half(sample, t), -(-len(sample) // shards), near) for t in range(TREES)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,13 +10,16 @@ Spark, so that commits, retries and remote stores are Spark's matter.
 
 A text's ids are those of its pieces between ASCII white space, which the tokenizer's
 own splitting never crosses; words and pieces are encoded once for each task and kept.
+Documents are dealt into ranges of about PART bytes of text, so tasks stay of one size.
 
 Defined results: a null text is empty and has the end id only; null ids come first;
-rows of equal ids are ordered by text; an empty table writes no shard.
+rows of equal ids are ordered by a hash of their texts; very long texts are one document
+of one shard; an empty table writes no shard; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -34,12 +37,14 @@ from pyspark.sql.window import Window
 from plumbline.llm.common import shared_dir
 
 END_ID = 2
-#: Tokens in a shard, about; bytes of a plane in a compressed block; words kept in a task.
-SHARD, BLOCK, CACHED = 1 << 20, 1 << 14, 600_000
+#: Tokens in a shard, about; bytes of a plane in a compressed block; words kept in a task; bytes of text of a part, about.
+SHARD, BLOCK, CACHED, PART = 1 << 20, 1 << 14, 600_000, 1 << 27
 MAGIC = b"WMX1"
 SPACE = " \t\n\v\f\r"
 PLAIN = re.compile("[\t-\r -~\u00c0-\u00ff]*")
-#: Fixed value: how the tokenizer cuts such texts once in lower case.
+#: The tokenizer's own normalizer and cut, and what they come to on such texts once in lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+", re.ASCII)
 #: Byte-level vocabularies write a byte as its Latin-1 character if that can be seen, else as one from U+0100 on.
 _SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -212,9 +217,11 @@ class _Pieces(dict):
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers.
 
-    In texts of ASCII and the letters of Latin-1, what the tokenizer does before its
-    merges is known: lower case, and cuts by PARTS. Other texts are encoded by pieces
-    between ASCII white space."""
+    Pieces between ASCII white space go through the tokenizer, once for each task. Where
+    the file's own normalizer and cut are NORMALIZER and CUT, they come to lower case and
+    PARTS for texts of ASCII and the letters of Latin-1, so there only what the cut leaves,
+    the words, goes through the tokenizer's model. With another file texts go through the
+    tokenizer as they are."""
 
     def __init__(self, file: str):
         import os
@@ -224,8 +231,13 @@ class Encoder:
 
         tool = Tokenizer.from_file(file)
         self.words, self.pieces = _Words(tool.model), _Pieces(tool)
+        spec = json.loads(tool.to_str())
+        self.known = spec["normalizer"] == NORMALIZER and ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0] == CUT
+        self.tool = tool
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.words) + len(self.pieces) > CACHED:
             self.words.clear(), self.pieces.clear()
         if PLAIN.fullmatch(text) and "<|" not in text:
@@ -239,8 +251,10 @@ def write_shards(docs: DataFrame, file: str, path: str, doc_id: str = "doc_id",
     """Writes the shards of all documents under path, one Parquet file each: part and
     seq (their order), n_docs, n_tokens, blob."""
     spark = docs.sparkSession
-    # Few and long tasks: each meets most words once.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # Few and long tasks at small sizes, as each meets most words once; beyond, parts of PART bytes.
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, -(-held // PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq = Encoder(file), TaskContext.get().partitionId(), 0
@@ -265,9 +279,10 @@ def write_shards(docs: DataFrame, file: str, path: str, doc_id: str = "doc_id",
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = rows.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, blob binary")
+    # Null and repeated ids are divided by the hash.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc_nulls_first()]
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    made = rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, blob binary")
     made.write.option("maxRecordsPerFile", 1).mode("overwrite").parquet(path)
 
 

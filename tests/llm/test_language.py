@@ -34,3 +34,21 @@ def test_odd_rows_and_empty(spark):
     one = language.predict(docs, [("en", b"the quick brown fox")], carry=("doc_id",)).where("doc_id = 1").first()
     assert (one.lang_pred, one.score, one.rejected) == ("en", 1.0, False)
     assert language.predict(empty(spark), known, carry=("doc_id",)).count() == 0
+
+
+def test_no_letter_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "\u00b2\u00b2 \u00bd 12 ___", "a"), (2, "\u2460", "a"), (3, "haus \u00b2", "a")], "doc_id long, text string, Score string")
+    out = {r.doc_id: r for r in language.predict(docs, [("de", b"das haus"), ("en", b"the house")], carry=("doc_id", "Score")).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 3)] == ["und", "und", "de"] and out[1].Score_carried == "a"
+
+
+def test_the_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
+    """With many documents, with ids that repeat, and with null ids."""
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [(i, f"wort{i}", "de") for i in range(3000)] + [(7, f"mot{i}", "fr") for i in range(900)] + [(None, f"word{i}", "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = dict(language.learn(docs))
+    hashed = docs.selectExpr("lang", "xxhash64(cast(doc_id as string), 'lang') as h", "text").collect()
+    for k in ("de", "fr", "en"):
+        want = [r.text for r in sorted((r for r in hashed if r.lang == k), key=lambda r: (r.h, r.text))][:20]
+        assert found[k] == b"\n".join(map(language.levelled, want))

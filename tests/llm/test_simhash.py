@@ -104,6 +104,23 @@ def test_routing_never_loses_a_pair():
         assert hb in {s for s, _ in a} or ha in {s for s, _ in b}
 
 
+@pytest.mark.parametrize("tree", [0, 1])
+def test_equal_halves_are_divided_by_the_other_half(monkeypatch, tree):
+    """Fingerprints that agree in all bits of a tree are told apart by their other bits, not all compared."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 2**32, 20_000, dtype=np.uint64)) << np.uint64(32 * (1 - tree))
+    fps = np.concatenate((fps, fps[:50] ^ np.uint64(5 << 32 * (1 - tree))))
+    compared, scan = [], simhash._scan
+
+    def counted(f, home, visit, radius):
+        compared.append(len(home) * (len(home) + len(visit)))
+        return scan(f, home, visit, radius)
+
+    monkeypatch.setattr(simhash, "_scan", counted)
+    root = simhash.connect(len(fps), simhash.close_pairs(fps, simhash.half(fps, tree), np.ones(len(fps), bool), 1, 3))
+    assert sum(compared) < len(fps) ** 2 and all(root[i] == root[len(fps) - 50 + i] for i in range(50))
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, 1000 + i) for i in range(1, 50)]

@@ -75,3 +75,21 @@ def test_round_trip_of_documents(spark, sf, shard):
 def test_odd_rows_and_empty(spark):
     assert got(wavelet.round_trip(odd(spark), FILE)) == brute([r[:2] for r in ODD])
     assert wavelet.round_trip(empty(spark), FILE).count() == 0
+
+
+def test_a_file_with_another_cut_is_taken_as_it_is(spark):
+    file = tokenizer_file("byte_bpe_50k.json")
+    tool, own = Tokenizer.from_file(file), wavelet.Encoder(file)
+    for t in ["It's  DON'T\tstop", "Straße 12", " a  b ", "日本 語\U0001f600", ""]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == tool.encode(t, add_special_tokens=False).ids
+
+
+def test_parts_grow_with_the_bytes_and_repeated_ids_are_divided(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(wavelet, "PART", 4000)
+    df = spark.createDataFrame([(7 if i % 2 else None, f"text {i} " + "word " * 20) for i in range(400)], "doc_id long, text string")
+    wavelet.write_shards(df, FILE, f"{tmp_path}/w")
+    parts = spark.read.parquet(f"{tmp_path}/w").groupBy("part").agg({"n_docs": "sum"}).collect()
+    assert len(parts) > 8 and max(r[1] for r in parts) < 120 and sum(r[1] for r in parts) == 400
+    out = wavelet.read_documents(spark, f"{tmp_path}/w").orderBy("start").collect()
+    assert [r.doc_id for r in out] == [None] * 200 + [7] * 200
+    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:i]) for i in range(400)]
