@@ -19,6 +19,15 @@ a query crosses 1.27 of two branches. Each tree
 
 A shard returns links that connect what it found close, never all pairs.
 
+``representatives`` finds texts whose sets of five-word shingles have a Jaccard similarity
+of 0.8 or more. Such pairs lie 4 to 14 of 64 bits apart, where no tree over all documents
+prunes anything. So there the shards are dealt out by min-hashes (BANDS keys of ROWS
+min-hashes each: a pair of 0.8 shares one with a probability of 0.99, of 0.9 with 0.9999),
+and the vantage-point trees work inside a shard, over WIDE words of fingerprint, with a
+radius that such pairs exceed once in a million. What they find is compared by the whole
+shingle sets. A shard of more than MOST documents is solved in parts; of each class found
+in a part its first document goes on to the next round, where parts are dealt anew.
+
 Defined results: a null or blank text has fingerprint zero and is linked like any
 other; texts of fewer words than a shingle have one shingle; repeated rows share
 their class; a null doc_id takes part and is never the smallest. An empty table
@@ -51,26 +60,44 @@ SHARD, MOST_SHARDS = 1024, 65536
 #: Inside a shard, fingerprints that are compared without further branching.
 PAGE = 1024
 _CHUNK = 1 << 16
+#: Near copies: words of a shingle, the least similarity of two shingle sets.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of min-hashes, min-hashes of a key, documents of a shard that one task solves.
+BANDS, ROWS, MOST = 9, 4, 4096
+#: Words of a fingerprint, and the bits in which near copies differ at most (0.8: 39 of 256, give or take 6).
+WIDE, WIDE_RADIUS = 4, 68
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles; letters A-Z count as lower case."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, repeats included, in parts; letters A-Z count as lower case."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return
     whole = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(found))
-    digest, bits, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(found) - k + 1
+    digest, n = xxhash.xxh64_intdigest, len(found) - k + 1
     for at in range(0, n, _CHUNK):  # bounds the memory that a very long text takes
         to = min(n, at + _CHUNK)
-        h = [digest(whole[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist())]
-        each = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        bits += each.sum(axis=0, dtype=np.int64)
+        yield np.array([digest(whole[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist())], np.uint64)
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        bits += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **also: Column) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer, and the columns also."""
 
@@ -89,6 +116,11 @@ def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b))
 
 
+def wide_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for fingerprints of several words, which are the last axis."""
+    return np.bitwise_count(np.bitwise_xor(a, b)).sum(axis=-1, dtype=np.int64)
+
+
 def half(fps: np.ndarray, tree: int) -> np.ndarray:
     """The bits that a tree looks at."""
     width = 64 // TREES
@@ -138,12 +170,12 @@ class VantageTree:
         return rows[keep], shards[keep], home[keep].astype(bool)
 
 
-def vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int, np.ndarray] | None:
+def vantage(points: np.ndarray, rng: np.random.Generator, measure=distance) -> tuple[np.uint64, int, np.ndarray] | None:
     """Of a few points the one whose distances are most spread, its median distance,
     and all distances; None if no threshold divides the points."""
     best = None
     for v in points[rng.integers(0, len(points), 6)]:
-        d = distance(points, v)
+        d = measure(points, v)
         at = int(np.median(d))
         at -= at == d.max()
         if d.min() <= at and (best is None or d.std() > best[2].std()):
@@ -151,21 +183,21 @@ def vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, in
     return best
 
 
-def _scan(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _scan(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, measure=distance) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Close pairs of one page, in blocks: home with home, and visitors with home."""
     rows = max(1, (1 << 20) // max(1, len(home)))
     for at in range(0, len(home), rows):
         block = home[at : at + rows]
-        i, j = np.nonzero(distance(fps[block][:, None], fps[home[at:]][None, :]) <= radius)
+        i, j = np.nonzero(measure(fps[block][:, None], fps[home[at:]][None, :]) <= radius)
         keep = i < j
         yield block[i[keep]], home[at:][j[keep]]
     for at in range(0, len(visit), rows):
         block = visit[at : at + rows]
-        i, j = np.nonzero(distance(fps[block][:, None], fps[home][None, :]) <= radius)
+        i, j = np.nonzero(measure(fps[block][:, None], fps[home][None, :]) <= radius)
         yield block[i], home[j]
 
 
-def close_pairs(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, near: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, near: int, radius: int, measure=distance) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The vantage-point tree inside a shard. keys: the bits that the tree looks at,
     near: its radius. Branches go on until a page is small or can't be divided."""
     rng = np.random.default_rng(SEED)
@@ -175,18 +207,18 @@ def close_pairs(fps: np.ndarray, keys: np.ndarray, home: np.ndarray, near: int,
         if not len(h) or len(h) + len(v) < 2:
             continue
         if len(h) <= PAGE:
-            yield from _scan(fps, h, v, radius)
+            yield from _scan(fps, h, v, radius, measure)
             continue
         seen, reach = (fps, radius) if whole else (keys, near)
-        split = vantage(seen[h], rng)
+        split = vantage(seen[h], rng, measure)
         if split is None or max((split[2] <= split[1]).sum(), (split[2] > split[1]).sum()) > 0.9 * len(h):
             if whole:
-                yield from _scan(fps, h, v, radius)
+                yield from _scan(fps, h, v, radius, measure)
             else:  # equal, or nearly so, in the bits that the tree looks at
                 todo.append((h, v, True))
             continue
         p, at, dh = split
-        dv = distance(seen[v], p).astype(np.int64)
+        dv = measure(seen[v], p).astype(np.int64)
         dh = dh.astype(np.int64)
         # Of two home points on different sides, the outer one visits the inner side.
         todo.append((h[dh <= at], np.concatenate((v[dv <= at + reach], h[(dh > at) & (dh <= at + reach)])), whole))
@@ -260,14 +292,109 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each class: that of the smallest id, null
-    ids last. Of rows that repeat this id, the one of the smallest hash stays."""
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The different shingle hashes of a text, ascending."""
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def min_keys(found: np.ndarray) -> list[int]:
+    """A key for each band: its ROWS least hashes under odd multipliers, as one."""
+    if not len(found):
+        return []
+    least = [int((found * m).min()) for m in _ODD[: BANDS * ROWS]]
+    return [int.from_bytes(xxhash.xxh64_digest(np.array(least[i * ROWS : (i + 1) * ROWS], "<u8").tobytes(), i), "little", signed=True) for i in range(BANDS)]
+
+
+def wide_print(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a shingle set, WIDE words: each of the hashes mixed in its own way."""
+    mixed = ((found ^ (found >> np.uint64(31))) * m for m in _ODD[BANDS * ROWS :])
+    return np.array([majority(iter([h ^ (h >> np.uint64(29))])) if len(found) else 0 for h in mixed], np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def alike(prints: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each document of a shard the first one that similar pairs join it to."""
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in close_pairs(prints, prints, np.ones(len(sets), bool), WIDE_RADIUS, WIDE_RADIUS, wide_distance):
+        for x, y in zip(i.tolist(), j.tolist()):
+            a, b = find(x), find(y)
+            # The sizes bound the similarity; joined documents need no comparison.
+            if a != b and min(len(sets[x]), len(sets[y])) >= least * max(len(sets[x]), len(sets[y])) and similarity(sets[x], sets[y]) >= least:
+                root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(sets))])
+
+
+def near_links(marked: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """marked: a written table with node (a digest of the shingle set), keys, print and
+    shingles. Gives links (a, b) between the nodes of similar sets, never all pairs."""
+    members = marked.select("node", F.posexplode("keys").alias("band", "key")).distinct()
+    found = None
+
+    def solve(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        nodes = group.column("node").to_pylist()
+        prints = np.array([np.frombuffer(x.as_py(), "<u8") for x in group.column("print")], np.uint64).reshape(len(group), WIDE)
+        root = alike(prints, [np.frombuffer(x.as_py(), "<u8") for x in group.column("shingles")], least)
+        band, at, n = group.column("band")[0].as_py(), group.column("key")[0].as_py(), len(nodes)
+        return pa.table({"a": nodes, "b": [nodes[r] for r in root.tolist()], "band": pa.array([band] * n, pa.int32()), "key": pa.array([at] * n, pa.int64())})
+
+    # Of each node once: rows with equal shingles are one.
+    details = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
+    for turn in range(16):
+        counts = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = written(members.join(counts, ["band", "key"]), "shared")
+        if shared.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / MOST))
+        rows = shared.withColumn("part", part).join(details, "node").select("band", "key", "part", "node", "print", "shingles")
+        solved = written(rows.groupBy("band", "key", "part").applyInArrow(solve, "a string, b string, band int, key long"), "solved")
+        new = solved.where("a <> b").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        # Only shards in parts go on, with the first document of each class.
+        many = counts.where(F.col("n") > MOST).select("band", "key")
+        members = written(solved.where("a = b").join(many, ["band", "key"], "left_semi").select(F.col("a").alias("node"), "band", "key"), "leaders")
+    empty = marked.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    return empty if found is None else found.distinct()
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """docs without all but one document of each class of near copies: that of the smallest
+    id, null ids last. Of rows that repeat this id, the one of the smallest hash stays.
+    Texts without words are copies of each other; those of fewer words than a shingle are
+    copies if all their words agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            raw = [x.astype("<u8").tobytes() for x in sets]
+            cols = [
+                pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]), pa.array([min_keys(x) for x in sets], pa.list_(pa.int64())),
+                pa.array([wide_print(x).astype("<u8").tobytes() for x in sets]), pa.array(raw, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "said", "node", "keys", "print", "shingles"])
+
     said = F.coalesce(F.md5(F.col(text).cast("string")), F.lit(""))
-    marked = written(fingerprints(docs, doc_id, text, said=said), "fingerprints")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), said.alias("said"))
+    made = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("said string, node string, keys array<bigint>, print binary, shingles binary").fields])
+    marked = written(rows.mapInArrow(run, made), "shingles")
+    roots = components(near_links(marked, least))
     # A class is its root, not its smallest id: ids may be null or repeat in other classes.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "said"))
-    keep = _grouped(marked, first, RADIUS).groupBy("root").agg(F.min("first").alias("first"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "said")).alias("first")
+    nodes = marked.groupBy("node").agg(first).withColumnRenamed("node", "_node")
+    keep = nodes.join(roots, nodes._node == roots.node, "left").groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first").alias("first"))
     keep = keep.select(_key("first.doc_id").alias("_key"), F.col("first.said").alias("_said"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), _key(doc_id).alias("_key"), said.alias("_said"))
     # Join and window have one key, so texts are dealt out once. Only rows of one id and text meet in it.
