@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{M}\p{N}_-]+"
 #: Masks of dates and decimals, applied to lower-cased text in this order.
 MASKS = [(r"\b\d{4}-\d{2}-\d{2}\b", "DATE"), (r"\b\d{2}\.\d{2}\.\d{4}\b", "DATE"), (r"\b(?!(?:19|20)\d{2}\b)\d+\.\d+\b", "NUMBER")]
-#: Stop words are a parameter; these are for tests and for English text.
-STOP = ("the", "and", "of", "to", "in", "is", "for", "on", "with", "as")
+#: Stop words of the tokenizer, as lemmas.
+STOP = (
+    "и", "в", "во", "не", "что", "он", "на", "я", "с", "со", "как", "а", "то", "все", "она", "так", "его", "но", "да", "ты", "к", "у", "же",
+    "вы", "за", "бы", "по", "только", "её", "мне", "быть", "вот", "от", "меня", "ещё", "нет", "о", "из", "ему", "теперь", "когда", "даже",
+    "ну", "вдруг", "ли", "если", "уже", "или", "ни", "был", "него", "до", "вас", "нибудь", "опять", "уж", "вам", "ведь", "там", "потом",
+    "себя", "ничто", "ей", "мочь", "они", "тут", "где", "есть", "надо", "ней", "для", "мы", "тебя", "их", "чем", "сам", "чтобы", "без",
+    "будто", "чего", "раз", "тоже", "под", "будет", "ж", "тогда", "кто", "этот", "тот", "потому", "какой", "совсем", "здесь", "один",
+    "почти", "мой", "тем", "сейчас", "куда", "зачем", "весь", "никогда", "можно", "при", "наконец", "два", "об", "другой", "хоть",
+    "после", "над", "большой", "через", "наш", "про", "много", "разве", "три", "впрочем", "хороший", "свой", "перед", "иногда",
+    "лучше", "чуть", "нельзя", "такой", "более", "всегда", "конечно", "между",
+)
+#: Stop words of keyword candidates are a parameter; these are for English text.
+KEYWORD_STOP = ("the", "and", "of", "to", "in", "is", "for", "on", "with", "as")
 
 
 def clean(c: Column) -> Column:
@@ -21,15 +33,38 @@ def clean(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def tokens(c: Column, stop: tuple[str, ...] = STOP, mask: bool = True) -> Column:
-    """Lower-cased words without stop words and numbers; hyphenated words in parts."""
+def masked(c: Column) -> Column:
+    """Lower case, with dates and decimals masked."""
     c = F.lower(c)
-    for pattern, name in MASKS if mask else ():
+    for pattern, name in MASKS:
         c = F.regexp_replace(c, pattern, name)
-    found = F.filter(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
-    split = F.transform(found, lambda t: F.when(F.contains(t, F.lit("-")) & (F.length(t) > 3), F.split(t, "-")).otherwise(F.array(t)))
-    parts = F.filter(F.flatten(split), lambda t: F.length(t) >= 2)
-    return F.filter(parts, lambda t: ~t.isin(*stop) & ~t.rlike(r"^\p{Nd}+$"))
+    return c
+
+
+def _counts(t: Column, stop: tuple[str, ...]) -> Column:
+    return (F.length(t) >= 2) & ~t.isin(*stop) & ~t.rlike(r"^\p{Nd}+$")
+
+
+def tokens(c: Column, stop: tuple[str, ...] = STOP, lemma: Callable[[Column], Column] = lambda t: t) -> Column:
+    """Lower-cased lemmas without stop words and numbers; hyphenated words in parts.
+    lemma: from a word to its lemma, the word itself by default."""
+    found = F.regexp_extract_all(masked(c), F.lit(TOKEN), F.lit(0))
+    split = F.transform(F.filter(found, lambda t: F.length(t) >= 2), lambda t: F.when(F.contains(t, F.lit("-")) & (F.length(t) > 3), F.split(t, "-")).otherwise(F.array(t)))
+    return F.filter(F.transform(F.filter(F.flatten(split), lambda t: F.length(t) >= 2), lemma), lambda t: _counts(t, stop))
+
+
+def token_rows(df: DataFrame, column: str = "text", stop: tuple[str, ...] = STOP, lemma: Callable[[Column], Column] = lambda t: t) -> DataFrame:
+    """id and token, a row for each of the same tokens. Filters stand on rows here, where
+    the engine compiles them, as a corpus is tokenised once."""
+    each = df.select("id", F.explode(F.regexp_extract_all(masked(F.col(column)), F.lit(TOKEN), F.lit(0))).alias("t")).where(F.length("t") >= 2)
+    parts = F.when(F.contains("t", F.lit("-")) & (F.length("t") > 3), F.split("t", "-")).otherwise(F.array("t"))
+    each = each.select("id", F.explode(parts).alias("t")).where(F.length("t") >= 2)
+    return each.select("id", lemma(F.col("t")).alias("token")).where(_counts(F.col("token"), stop))
+
+
+def simple_tokens(c: Column) -> Column:
+    """Without a lemmatiser: words between white space of more than two characters."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda t: F.length(t) > 2)
 
 
 def language(c: Column) -> Column:
@@ -86,7 +121,7 @@ def technical_terms(c: Column) -> Column:
     return F.slice(F.array_sort(kept), 1, MOST_TERMS)
 
 
-def keep_keyword(word: Column, score: Column, stop: tuple[str, ...] = STOP) -> Column:
+def keep_keyword(word: Column, score: Column, stop: tuple[str, ...] = KEYWORD_STOP) -> Column:
     """The filter on semantic keyword candidates."""
     return (
         (F.length(word) >= 3) & (score > 0.3) & ~F.lower(word).isin(*stop) & ~word.rlike("^[0-9]")

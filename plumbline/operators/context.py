@@ -51,6 +51,32 @@ def context(df: DataFrame, order: str = "final_rank", title: str = "title", text
     return joined(df, ["qid"], order, line, "\n", "context")
 
 
+#: The title of a document that has none, and what a task says of its hits.
+NO_TITLE = "Неизвестный документ"
+FILTERED = "All results filtered by SearchService adaptive thresholds"
+PROCESSED = "Results processed by adaptive filtering in SearchService"
+
+
+def with_titles(df: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """df with the title of its document, a default where there is none. titles: key and title."""
+    named = titles.select(F.col(key).alias("_key"), F.col("title").alias("_title"))
+    return df.join(named, F.col(key) == F.col("_key"), "left").withColumn("title", F.coalesce("_title", F.lit(NO_TITLE))).drop("_key", "_title")
+
+
+def task_result(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """A row for each query: context, sources, filtered_count, best_relevance_score,
+    relevance_filtered, reason. hits: qid, id, title, text, rerank_score, final_rank."""
+    source = F.struct("final_rank", F.col("id").alias("chunk_id"), F.col("title").alias("document_title"), "rerank_score", "text")
+    line = lambda s: F.concat(F.lit("[Источник "), s["final_rank"].cast("string"), F.lit(": "), s["document_title"], F.lit("]\n"), s["text"], F.lit("\n"))
+    found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    df = queries.join(found, "qid", "left").withColumn("_none", F.col("sources").isNull())
+    return df.select(
+        *queries.columns, F.coalesce(F.array_join(F.transform("sources", line), "\n"), F.lit("")).alias("context"), F.coalesce("sources", F.array().cast(found.schema["sources"].dataType)).alias("sources"),
+        F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("filtered_count"), F.get("sources", 0)["rerank_score"].alias("best_relevance_score"),
+        F.col("_none").alias("relevance_filtered"), F.when(F.col("_none"), FILTERED).otherwise(PROCESSED).alias("reason"),
+    )
+
+
 def coverage(found: Column, total: Column, score: Column) -> Column:
     return F.format_string("(%d из %d частей, score: %.3f)", found, total, score)
 
@@ -62,10 +88,12 @@ def without_repeats(df: DataFrame, by: str, order: str, text: str = "text") -> D
     return kept.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy(order)))
 
 
-def unique_sources(df: DataFrame, by: str, order: str, *keys: str) -> DataFrame:
-    """One source for each full key of a query, the first."""
-    same = Window.partitionBy(by, *keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(same)).where(F.col("_n") == 1).drop("_n")
+def unique_sources(df: DataFrame, by: str, order: str, *keys: tuple[str, ...]) -> DataFrame:
+    """The sources of a query that have no source before them with an equal key, by any of the keys."""
+    for i, key in enumerate(keys):
+        df = df.withColumn(f"_n{i}", F.row_number().over(Window.partitionBy(by, *key).orderBy(order)))
+    names = [f"_n{i}" for i in range(len(keys))]
+    return df.where(F.greatest(F.lit(1), *names) == 1).drop(*names)
 
 
 def no_answer_reason(best: Column, n_hits: Column) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 
-CANDIDATES, KEPT, DIVERSITY, LENGTH = 20, 10, 0.5, 2000
+CANDIDATES, KEPT, DIVERSITY = 20, 10, 0.5
 
 
 def ngrams(docs: DataFrame) -> DataFrame:
-    """id, term, tf: words and pairs of words of the beginning of each text."""
-    w = text.tokens(F.substring("text", 1, LENGTH))
+    """id, term, tf: words and pairs of words of each text."""
+    w = text.tokens(F.col("text"))
     df = docs.select("id", w.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " ")))
     terms = F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))

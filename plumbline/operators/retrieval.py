@@ -7,16 +7,21 @@ queries. Ties are broken by id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import text
+from plumbline.operators import expansion
+from plumbline.sources.stores import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 60, 0.7, 0.3
 TOP_K, RERANK_K = 30, 10
+#: Folders of postings.
+BUCKETS = 64
 #: The most queries that are sent to every task. Beyond it, Spark chooses the joins.
 MOST_BROADCAST = 10_000
 
@@ -34,60 +39,86 @@ def top(df: DataFrame, k: int, score: str, by: str = "qid", tie: str = "id", ran
 # -- BM25 ------------------------------------------------------------------------
 
 
-def tokenised(texts: DataFrame, column: str = "text", tokenizer: Callable[[Column], Column] = text.tokens) -> DataFrame:
-    """id, dl and tokens of each text."""
-    df = texts.select("id", tokenizer(F.col(column)).alias("tokens"))
-    return df.withColumn("dl", F.size("tokens"))
+@dataclass(frozen=True)
+class Index:
+    """A stored BM25 index. postings: bucket, token, id, tf, in folders by bucket of the
+    token; tokens: bucket, token, n_docs_with, idf; lengths: id, dl of every text; stats:
+    one row of n_docs, avgdl, n_tokens, mean_idf."""
 
+    postings: DataFrame
+    tokens: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """Document frequency of each token."""
-    each = docs.select(F.explode(F.array_distinct("tokens")).alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("n_docs_with"))
 
+def bucket(token: Column | str = "token") -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
-def corpus_stats(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row: documents, average length, tokens of the vocabulary and their mean idf."""
-    n = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+def build_index(texts: DataFrame, path: str | None = None, rows: Callable[[DataFrame], DataFrame] = text.token_rows, epsilon: float = EPSILON) -> Index:
+    """texts: id and text. They are tokenised once, by rows; all else is read from the
+    postings, which are dealt out by token with large buckets divided. Written under
+    path, or in the shared folder."""
+    counts = rows(texts.select("id", "text")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    placed = counts.select("token", "id", F.col("tf").cast("int").alias("tf"), bucket().alias("bucket"))
+    postings = stored(placed.hint("rebalance", "bucket"), "postings", path, "bucket")
+    every = postings.select("id", "tf").unionByName(texts.select("id", F.lit(0).alias("tf")))
+    lengths = stored(every.groupBy("id").agg(F.sum("tf").alias("dl")), "lengths", path)
+    n = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    vocab = postings.groupBy("bucket", "token").agg(F.count("*").alias("n_docs_with"))
     df = F.col("n_docs_with")
-    idf = F.log(F.col("n_docs") - df + 0.5) - F.log(df + 0.5)
-    mean = vocab.join(F.broadcast(n), F.lit(True)).agg(F.count("*").alias("n_tokens"), F.avg(idf).alias("mean_idf"))
-    return n.join(F.broadcast(mean), F.lit(True))
+    # One row of totals.
+    rated = stored(vocab.join(F.broadcast(n), F.lit(True)).withColumn("raw", F.log(F.col("n_docs") - df + 0.5) - F.log(df + 0.5)), "rated", path)
+    mean = rated.agg(F.count("*").alias("n_tokens"), F.avg("raw").alias("mean_idf"))
+    stats = stored(n.join(F.broadcast(mean), F.lit(True)), "stats", path)
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
+    tokens = rated.join(F.broadcast(stats.select("mean_idf")), F.lit(True)).select("bucket", "token", "n_docs_with", idf.alias("idf"))
+    return Index(postings, tokens, lengths, stats)
 
 
-def idf(vocab: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    df = F.col("n_docs_with")
-    raw = F.log(F.col("n_docs") - df + 0.5) - F.log(df + 0.5)
-    value = F.when(raw < 0, epsilon * F.col("mean_idf")).otherwise(raw)
-    return vocab.join(F.broadcast(stats), F.lit(True)).select("token", "n_docs_with", value.alias("idf"))
+def open_index(spark: SparkSession, path: str, epsilon: float = EPSILON) -> Index:
+    """An index that build_index wrote under path."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    stats = read("stats")
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
+    tokens = read("rated").join(F.broadcast(stats.select("mean_idf")), F.lit(True)).select("bucket", "token", "n_docs_with", idf.alias("idf"))
+    return Index(read("postings"), tokens, read("lengths"), stats)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, score of the texts that share a token with the query. queries: qid and
-    query. docs: a table made by tokenised(). A token that a query repeats counts as often."""
-    vocab = vocabulary(docs)
-    stats = corpus_stats(docs, vocab)
+    query. A token that a query repeats counts as often. Only folders with an asked
+    token are read, as the asked tokens are broadcast where they are few."""
     asked = queries.select("qid", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("n_q"))
-    wanted = small(asked.select("token").distinct())
-    weights = idf(vocab.join(wanted, "token", "left_semi"), stats)
-    postings = docs.select("id", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
-    tf = postings.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    rated = tf.join(weights, "token").join(F.broadcast(stats.select("avgdl")), F.lit(True))
+    asked = small(asked.withColumn("bucket", bucket()))
+    hits = index.postings.join(asked, ["bucket", "token"]).join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
+    rated = hits.join(index.lengths, "id").join(F.broadcast(index.stats.select("avgdl")), F.lit(True))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = rated.select("id", "token", part.alias("part")).join(small(asked), "token")
-    return hits.groupBy("qid", "id").agg(F.sum(F.col("part") * F.col("n_q")).alias("score"))
+    return rated.groupBy("qid", "id").agg(F.sum(part * F.col("n_q")).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int = TOP_K, **how) -> DataFrame:
+def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, **how) -> DataFrame:
     """The k best texts of each query; texts without a common token fill up with score
     0, in order of their ids. Those are sought among the first 2k ids only, as fewer
     than k of them can be hits where filling is needed."""
-    best = top(bm25(docs, queries, **how), k, "score").drop("rank")
-    first = docs.select("id").orderBy("id").limit(2 * k)
+    best = top(bm25(index, queries, **how), k, "score").drop("rank")
+    first = index.lengths.select("id").orderBy("id").limit(2 * k)
     fill = first.join(small(queries.select("qid")), F.lit(True)).join(best, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
     return top(best.unionByName(fill.select("qid", "id", "score")), k, "score")
 
 
+def with_positions(hits: DataFrame, index: Index) -> DataFrame:
+    """hits with position: the place of the text in the corpus by id, from 1. The ids are
+    dealt out by ranges, numbered within each, and moved on by the sizes of those before."""
+    ranges = index.lengths.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    ranges = stored(ranges, "ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    # A row for each range, whatever the number of ids.
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = ranges.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("id"))).join(F.broadcast(before.select("part", "before")), "part")
+    return hits.join(numbered.select("id", (F.col("n") + F.col("before")).alias("position")), "id")
+
+
 # -- vectors ---------------------------------------------------------------------
 
 
@@ -109,10 +140,12 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFr
 
 
 def rrf(vector: DataFrame, words: DataFrame, w_vector: float = VECTOR_WEIGHT, w_words: float = BM25_WEIGHT, k: int = RRF_K) -> DataFrame:
-    """Sides with qid, id, rank. Sums w / (k + rank) over the sides."""
-    side = lambda df, w, t: df.select("qid", "id", (F.lit(w) / (k + F.col("rank"))).alias("part"), F.lit(t).alias("side"))
+    """Sides with qid, id, rank, score. Sums w / (k + rank) over the sides; the score is
+    the vector side's where it has the text."""
+    side = lambda df, w, t: df.select("qid", "id", (F.lit(w) / (k + F.col("rank"))).alias("part"), F.lit(t).alias("side"), "score")
     both = side(vector, w_vector, "vector").unionByName(side(words, w_words, "bm25"))
-    fused = both.groupBy("qid", "id").agg(F.round(F.sum("part"), 12).alias("rrf_score"), F.array_join(F.array_sort(F.collect_set("side")), "+").alias("sides"))
+    sides = F.array_join(F.array_sort(F.collect_set("side")), "+").alias("sides")
+    fused = both.groupBy("qid", "id").agg(F.round(F.sum("part"), 12).alias("rrf_score"), sides, F.max_by("score", "side").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("rrf_score"), "id")
     return fused.withColumn("rank", F.row_number().over(order))
 
@@ -162,10 +195,43 @@ def reranked(hits: DataFrame, texts: DataFrame, queries: DataFrame, k: int = RER
     return rated.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k).drop("query")
 
 
-def hybrid(texts: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, rerank_k: int = RERANK_K, tokenizer: Callable[[Column], Column] = text.tokens) -> DataFrame:
-    """Vector and BM25 search, fusion, reranking, threshold, for all queries in one
-    plan. queries: qid, query, qv; those without a vector are answered by words alone."""
-    words = bm25_top(tokenised(texts, tokenizer=tokenizer), queries, top_k, tokenizer=tokenizer)
+def hybrid(
+    index: Index, texts: DataFrame, vectors: DataFrame, queries: DataFrame, synonyms: DataFrame, top_k: int = TOP_K, rerank_k: int = RERANK_K,
+    tokenizer: Callable[[Column], Column] = text.tokens, logit: Callable[[Column, Column], Column] = overlap_logit,
+) -> DataFrame:
+    """Vector and BM25 search, fusion, reranking, threshold, for all queries in one plan.
+    queries: qid, query, qv; those without a vector are answered by words alone. BM25
+    scores the query expanded by synonyms, the reranker the query as it is."""
+    expanded = expansion.expand_smart(queries.select("qid", "query"), synonyms).select("qid", F.col("expanded").alias("query"))
+    words = bm25_top(index, expanded, top_k, tokenizer=tokenizer)
     fused = rrf(vector_top(vectors, queries.where(F.col("qv").isNotNull()), top_k), words)
-    best = reranked(fused, texts, queries, rerank_k, lambda q, b: overlap_logit(q, b, tokenizer))
-    return adaptive_threshold(best).select("qid", "id", "sides", "rrf_score", "rerank_score", "final_rank")
+    best = adaptive_threshold(reranked(fused, texts, queries, rerank_k, logit))
+    return best.select("qid", "id", "text", "sides", "score", "rrf_score", "rerank_score", "final_rank")
+
+
+#: Fixed value: the longest query.
+MOST_QUERY = 2000
+
+
+def query_error(query: Column) -> Column:
+    """Why a query is not answered, or null."""
+    return F.when(query.isNull() | (F.trim(query) == ""), "empty query").when(F.length(query) > MOST_QUERY, "query too long")
+
+
+def hybrid_batch(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A row for each query: qid, success, error, n_results, best_score. Queries in error
+    are set apart, so they don't touch the others. search: hybrid() over a table of queries."""
+    marked = queries.withColumn("error", query_error(F.col("query")))
+    found = search(marked.where(F.col("error").isNull()).drop("error")).groupBy("qid").agg(F.count("*").alias("n"), F.max("rerank_score").alias("best_score"))
+    out = marked.select("qid", "error").join(found, "qid", "left")
+    return out.select("qid", F.col("error").isNull().alias("success"), "error", F.coalesce("n", F.lit(0)).alias("n_results"), "best_score")
+
+
+def search_statistics(index: Index, chunks: DataFrame) -> DataFrame:
+    """One row: whether there is an index, its texts and tokens, the chunks of the
+    collection, the methods and their weights."""
+    n = chunks.agg(F.count("*").alias("n_chunks"))
+    one = index.stats.select((F.col("n_docs") > 0).alias("bm25_initialized"), F.col("n_docs").alias("bm25_docs_count"), "n_tokens")
+    return one.join(F.broadcast(n), F.lit(True)).select(
+        "*", F.lit("vector,bm25,hybrid").alias("search_methods"), F.lit(VECTOR_WEIGHT).alias("vector_weight"), F.lit(BM25_WEIGHT).alias("bm25_weight")
+    )

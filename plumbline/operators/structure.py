@@ -207,13 +207,13 @@ def basic_chunks(docs: DataFrame, how: Sizes = Sizes()) -> DataFrame:
     return docs.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, "id string, chunk_index int, start long, end long, text string")
 
 
-def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
-    """Chunks of a fixed width: id, chunk_index, start, end, text."""
+def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of a fixed width: id, chunk_index, start, end, text, and the columns named in carry."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / step)).cast("int")
-    df = docs.select("id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
+    df = docs.select("id", "text", *carry, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
     start = F.col("chunk_index") * step
-    return df.select("id", "chunk_index", start.alias("start"), F.least(start + size, F.length("text")).alias("end"), F.substring(F.col("text"), start + 1, F.lit(size)).alias("text"))
+    return df.select("id", "chunk_index", start.alias("start"), F.least(start + size, F.length("text")).alias("end"), F.substring(F.col("text"), start + 1, F.lit(size)).alias("text"), *carry)
 
 
 def with_overlaps(chunks: DataFrame) -> DataFrame:

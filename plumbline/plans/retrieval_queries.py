@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
 from plumbline.operators import access, context, expansion, retrieval
-from plumbline.plans.tables import DOCS, LEVEL, Q_SQL, documents, queries, vectors
+from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, Q_SQL, chunks, documents, load, queries, vectors
 from plumbline.plans.text_queries import _TOKENS
 
 QUERIES: dict = {}
@@ -20,11 +19,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _tokens(c):
-    """Without the masks, which DuckDB's expressions cannot say."""
-    return text.tokens(c, mask=False)
-
-
 def _texts(spark, sf):
     return access.visible(documents(spark, sf), LEVEL)
 
@@ -46,9 +40,12 @@ ve AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[
 vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ve)"""
 
 
+def _index(spark, sf):
+    return retrieval.build_index(_texts(spark, sf))
+
+
 def _bm25(spark, sf, k=retrieval.TOP_K):
-    docs = retrieval.tokenised(_texts(spark, sf), tokenizer=_tokens)
-    return retrieval.bm25_top(docs, queries(spark, sf), k, tokenizer=_tokens)
+    return retrieval.bm25_top(_index(spark, sf), queries(spark, sf), k)
 
 
 def _vector(spark, sf, k=retrieval.TOP_K):
@@ -57,21 +54,25 @@ def _vector(spark, sf, k=retrieval.TOP_K):
 
 @query(f"WITH {_VOCAB} SELECT token, df AS n_docs_with FROM voc")
 def doc_frequency(spark, sf):
-    return retrieval.vocabulary(retrieval.tokenised(_texts(spark, sf), tokenizer=_tokens))
+    return _index(spark, sf).tokens.select("token", "n_docs_with")
 
 
 @query(f"WITH {_VOCAB} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM voc) AS n_tokens, round(mean, 6) AS mean_idf FROM st, mi")
 def corpus_stats(spark, sf):
-    docs = retrieval.tokenised(_texts(spark, sf), tokenizer=_tokens)
-    s = retrieval.corpus_stats(docs, retrieval.vocabulary(docs))
+    s = _index(spark, sf).stats
     return s.select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_tokens", F.round("mean_idf", 6).alias("mean_idf"))
 
 
-@query(f"WITH {_VOCAB} SELECT token, round(idf, 6) AS idf FROM idf WHERE df >= 3")
+@query(f"WITH {_VOCAB} SELECT token, round(idf, 6) AS idf FROM idf")
 def bm25_index(spark, sf):
-    docs = retrieval.tokenised(_texts(spark, sf), tokenizer=_tokens)
-    vocab = retrieval.vocabulary(docs)
-    return retrieval.idf(vocab, retrieval.corpus_stats(docs, vocab)).where("n_docs_with >= 3").select("token", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf).tokens.select("token", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_BM25}, pos AS (SELECT id, row_number() OVER (ORDER BY id) AS position FROM vt) SELECT qid, id, rank, position FROM bm JOIN pos USING (id) WHERE rank <= 30")
+def bm25_positions(spark, sf):
+    """The place of each hit in the corpus, beside its true rank."""
+    index = _index(spark, sf)
+    return retrieval.with_positions(retrieval.bm25_top(index, queries(spark, sf)), index).select("qid", "id", "rank", "position")
 
 
 @query(f"WITH {_BM25} SELECT qid, id, rank, round(score, 6) AS score FROM bm WHERE rank <= 30")
@@ -90,17 +91,17 @@ def vector_topk_batch(spark, sf):
     return _vector(spark, sf).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-_RRF = f"""{_BM25}, {_VEC}, parts AS (SELECT qid, id, 0.7::DOUBLE / (60 + rank) AS p, 'vector' AS s FROM vr WHERE rank <= 30 UNION ALL SELECT qid, id, 0.3::DOUBLE / (60 + rank), 'bm25' FROM bm WHERE rank <= 30),
-rr AS (SELECT qid, id, round(sum(p), 12) AS rrf_score, string_agg(s, '+' ORDER BY s) AS sides FROM parts GROUP BY qid, id),
+_RRF = f"""{_BM25}, {_VEC}, parts AS (SELECT qid, id, 0.7::DOUBLE / (60 + rank) AS p, 'vector' AS s, score FROM vr WHERE rank <= 30 UNION ALL SELECT qid, id, 0.3::DOUBLE / (60 + rank), 'bm25', score FROM bm WHERE rank <= 30),
+rr AS (SELECT qid, id, round(sum(p), 12) AS rrf_score, string_agg(s, '+' ORDER BY s) AS sides, arg_max(score, s) AS score FROM parts GROUP BY qid, id),
 fu AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, id) AS rank FROM rr)"""
 
 
-@query(f"WITH {_RRF} SELECT qid, id, round(rrf_score, 9) AS rrf_score, sides, rank FROM fu")
+@query(f"WITH {_RRF} SELECT qid, id, round(rrf_score, 9) AS rrf_score, round(score, 6) AS score, sides, rank FROM fu")
 def rrf_fusion(spark, sf):
-    return retrieval.rrf(_vector(spark, sf), _bm25(spark, sf)).select("qid", "id", F.round("rrf_score", 9).alias("rrf_score"), "sides", "rank")
+    return retrieval.rrf(_vector(spark, sf), _bm25(spark, sf)).select("qid", "id", F.round("rrf_score", 9).alias("rrf_score"), F.round("score", 6).alias("score"), "sides", "rank")
 
 
-_RERANK = f"""{_RRF}, lg AS (SELECT fu.qid, fu.id, fu.sides, fu.rrf_score, fu.rank, CASE WHEN len(qtok.tokens) > 0 THEN len(list_intersect(list_distinct(qtok.tokens), tok.tokens)) / len(list_distinct(qtok.tokens)) / 10.0 ELSE 0 END AS s
+_RERANK = f"""{_RRF}, lg AS (SELECT fu.qid, fu.id, fu.sides, fu.score, fu.rrf_score, fu.rank, CASE WHEN len(qtok.tokens) > 0 THEN len(list_intersect(list_distinct(qtok.tokens), tok.tokens)) / len(list_distinct(qtok.tokens)) / 10.0 ELSE 0 END AS s
   FROM fu JOIN tok ON tok.id = fu.id JOIN qtok ON qtok.id = fu.qid WHERE tok.access_level <= {LEVEL}),
 mm AS (SELECT *, max(s) OVER (PARTITION BY qid) AS hi, min(s) OVER (PARTITION BY qid) AS lo FROM lg),
 ca AS (SELECT *, round(CASE WHEN hi = lo THEN 5.0 ELSE (exp(100 * (s - hi)) - exp(100 * (lo - hi))) / (1 - exp(100 * (lo - hi))) * 10 END, 6) AS rerank_score,
@@ -111,9 +112,8 @@ hy AS (SELECT * FROM tk WHERE rerank_score >= CASE WHEN spread > 2 THEN best * 0
 
 
 def _hybrid(spark, sf):
-    # The reranker's tokens are those of both engines here.
     fused = retrieval.rrf(_vector(spark, sf), _bm25(spark, sf))
-    return retrieval.reranked(fused, _texts(spark, sf), queries(spark, sf), logit=lambda q, b: retrieval.overlap_logit(q, b, _tokens))
+    return retrieval.reranked(fused, _texts(spark, sf), queries(spark, sf))
 
 
 @query(f"WITH {_RERANK} SELECT qid, id, rerank_score, final_rank FROM fr WHERE final_rank <= 10")
@@ -125,7 +125,7 @@ def rerank_calibrate_exp(spark, sf):
 def rerank_calibrate_linear(spark, sf):
     fused = retrieval.rrf(_vector(spark, sf), _bm25(spark, sf))
     full = fused.join(_texts(spark, sf).select("id", "text"), "id").join(queries(spark, sf).select("qid", "query"), "qid")
-    rated = full.withColumn("logit", retrieval.overlap_logit(F.col("query"), F.col("text"), _tokens))
+    rated = full.withColumn("logit", retrieval.overlap_logit(F.col("query"), F.col("text")))
     return retrieval.calibrate_linear(rated).select("qid", "id", F.round("rerank_score", 6).alias("score"))
 
 
@@ -134,12 +134,74 @@ def adaptive_threshold(spark, sf):
     return retrieval.adaptive_threshold(_hybrid(spark, sf)).select("qid", "id", "rerank_score")
 
 
-@query(f"WITH {_RERANK} SELECT qid, id, sides, round(rrf_score, 9) AS rrf_score, rerank_score, final_rank FROM hy")
-def hybrid_search(spark, sf):
-    """The flagship: all queries, both sides, in one plan."""
+_SYN = "(VALUES " + ", ".join(f"('{t}', {s})" for t, s in expansion.SAMPLE.items()) + ") AS s(term, synonyms)"
+_TERMS = rf"""w AS (SELECT qid, query, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {Q_SQL}),
+t AS (SELECT DISTINCT qid, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM w)"""
+
+
+def _expand_sql(most: str) -> str:
+    return f"""WITH {_TERMS}, a AS (SELECT DISTINCT t.qid, unnest(s.synonyms[1:{most}]) AS x FROM t JOIN {_SYN} ON s.term = t.term JOIN w ON w.qid = t.qid),
+b AS (SELECT qid, string_agg(x, ' ' ORDER BY x) AS added FROM a GROUP BY qid) SELECT w.qid, query || ' ' || coalesce(added, '') AS expanded FROM w LEFT JOIN b USING (qid)"""
+
+
+_SMART = "CASE WHEN regexp_matches(lower(w.query), 'api|server|database|token|код|систем') THEN 3 ELSE 2 END"
+_EXPANDED = _expand_sql(_SMART).replace("WITH ", "", 1).replace("SELECT w.qid, query || ' ' || coalesce(added, '') AS expanded FROM w LEFT JOIN b USING (qid)", "").rstrip() + """,
+ex AS (SELECT w.qid AS id, query || ' ' || coalesce(added, '') AS text, 0 AS access_level FROM w LEFT JOIN b USING (qid))"""
+#: BM25 over the expanded queries, all else over the queries as they are.
+_EX_TOKENS = "extok AS (SELECT id, tokens FROM (" + _TOKENS.split("AS (", 1)[1].rsplit(")", 1)[0].replace("FROM docs", "FROM ex AS docs") + "))"
+_HYBRID = f"""{_EXPANDED}, {_RERANK.replace(_QTOKENS, _QTOKENS + ", " + _EX_TOKENS).replace("SELECT id, tokens FROM qtok) AS x(qid, tokens)", "SELECT id, tokens FROM extok) AS x(qid, tokens)")}"""
+
+
+def _search(spark, sf):
     v = access.visible(vectors(spark, sf), LEVEL)
-    out = retrieval.hybrid(_texts(spark, sf), v, queries(spark, sf), tokenizer=_tokens)
-    return out.withColumn("rrf_score", F.round("rrf_score", 9))
+    texts, synonyms = _texts(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)
+    index = retrieval.build_index(texts)
+    return lambda asked: retrieval.hybrid(index, texts, v, asked, synonyms)
+
+
+@query(f"WITH {_HYBRID} SELECT qid, id, sides, round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, rerank_score, final_rank FROM hy")
+def hybrid_search(spark, sf):
+    """The flagship: all queries, both sides, expansion, in one plan."""
+    out = _search(spark, sf)(queries(spark, sf)).drop("text")
+    return out.withColumn("rrf_score", F.round("rrf_score", 9)).withColumn("score", F.round("score", 6))
+
+
+_ODD_QUERIES = [(10, ""), (11, None), (12, "x" * 2001)]
+
+
+@query(f"""WITH {_HYBRID}, g AS (SELECT qid, count(*) AS n_results, max(rerank_score) AS best_score FROM hy GROUP BY qid), al AS (SELECT qid, NULL AS error FROM {Q_SQL} UNION ALL (VALUES (10, 'empty query'), (11, 'empty query'), (12, 'query too long')))
+SELECT qid::BIGINT AS qid, error IS NULL AS success, error, coalesce(n_results, 0) AS n_results, best_score FROM al LEFT JOIN g USING (qid)""")
+def hybrid_batch(spark, sf):
+    """Queries in error beside others, which they don't touch."""
+    odd = spark.createDataFrame(_ODD_QUERIES, "qid long, query string").withColumn("qv", F.lit(None).cast("array<float>"))
+    return retrieval.hybrid_batch(queries(spark, sf).unionByName(odd), _search(spark, sf))
+
+
+@query(f"""WITH {_HYBRID}, so AS (SELECT hy.qid, hy.id, final_rank, docs.text, coalesce(CASE WHEN docs.id % 3 > 0 THEN source END, 'Неизвестный документ') AS title, rerank_score FROM hy JOIN docs ON docs.id = hy.id),
+g AS (SELECT qid, md5(string_agg('[Источник ' || final_rank || ': ' || title || ']' || chr(10) || text || chr(10), chr(10) ORDER BY final_rank)) AS context_digest, string_agg(id || ':' || title, ',' ORDER BY final_rank) AS sources,
+  count(*) AS filtered_count, arg_min(rerank_score, final_rank) AS best_relevance_score FROM so GROUP BY qid)
+SELECT q.qid::BIGINT AS qid, coalesce(context_digest, md5('')) AS context_digest, coalesce(sources, '') AS sources, coalesce(filtered_count, 0) AS filtered_count, best_relevance_score, filtered_count IS NULL AS relevance_filtered,
+  CASE WHEN filtered_count IS NULL THEN 'All results filtered by SearchService adaptive thresholds' ELSE 'Results processed by adaptive filtering in SearchService' END AS reason FROM {Q_SQL} LEFT JOIN g USING (qid)""")
+def search_task(spark, sf):
+    """Hybrid search as a task's answer, with titles looked up."""
+    titles = documents(spark, sf).select("id", F.when(F.col("id") % 3 > 0, F.col("source")).alias("title"))
+    asked = queries(spark, sf)
+    hits = context.with_titles(_search(spark, sf)(asked), titles, "id")
+    out = context.task_result(asked.select("qid"), hits)
+    names = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["chunk_id"], s["document_title"])), ",")
+    return out.withColumn("context_digest", F.md5("context")).withColumn("sources", names).drop("context")
+
+
+@query(f"""WITH {DOCS}, {_VEC} SELECT vr.qid, vr.id, rank, round(score, 6) AS similarity_score, md5(docs.text) AS text_digest, docs.source AS title, docs.access_level FROM vr JOIN docs ON docs.id = vr.id WHERE rank <= 30""")
+def knowledge_base_query(spark, sf):
+    """Vector hits with their texts and metadata."""
+    hits = _vector(spark, sf).join(documents(spark, sf), "id")
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("similarity_score"), F.md5("text").alias("text_digest"), F.col("source").alias("title"), "access_level")
+
+
+@query(f"WITH {_VOCAB}, {CHUNKS.split(DOCS + ',', 1)[1]} SELECT n > 0 AS bm25_initialized, n AS bm25_docs_count, (SELECT count(*) FROM voc) AS n_tokens, (SELECT count(*) FROM chunks) AS n_chunks, 'vector,bm25,hybrid' AS search_methods, 0.7 AS vector_weight, 0.3 AS bm25_weight FROM st")
+def search_stats(spark, sf):
+    return retrieval.search_statistics(_index(spark, sf), chunks(spark, sf))
 
 
 _RAG = f"""{DOCS}, {_TOKENS}, {_VEC}, {_QTOKENS}, lg AS (SELECT vr.qid, vr.id, vr.rank, CASE WHEN len(qtok.tokens) > 0 THEN len(list_intersect(list_distinct(qtok.tokens), tok.tokens)) / len(list_distinct(qtok.tokens)) / 10.0 ELSE 0 END AS s
@@ -151,7 +213,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC,
 
 def _rag(spark, sf):
     hits = _vector(spark, sf)
-    return retrieval.reranked(hits, _texts(spark, sf), queries(spark, sf), logit=lambda q, b: retrieval.overlap_logit(q, b, _tokens))
+    return retrieval.reranked(hits, _texts(spark, sf), queries(spark, sf))
 
 
 @query(f"""WITH {_RAG} SELECT qid, md5(string_agg('[Источник ' || final_rank || ': ' || source || ']' || chr(10) || text || chr(10), chr(10) ORDER BY final_rank)) AS context_digest
@@ -192,9 +254,13 @@ def dedupe_context(spark, sf):
     return context.without_repeats(documents(spark, sf), "lang", "id").select("lang", "id", "number")
 
 
-@query(f"WITH {DOCS} SELECT lang, access_level, min(id) AS id FROM docs GROUP BY lang, access_level")
+@query("""WITH s AS (SELECT user_id % 50 AS qid, event_id AS place, event_id // 3 % 9 AS doc, event_id % 4 AS chunk_index, event_id * 7 % 31 AS chunk_id FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc, chunk_index ORDER BY place) AS a, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY place) AS b FROM s) SELECT qid, place FROM r WHERE a = 1 AND b = 1""")
 def dedupe_sources(spark, sf):
-    return context.unique_sources(documents(spark, sf), "lang", "id", "access_level").select("lang", "access_level", "id")
+    """First wins, on document and chunk number, or on the chunk's id."""
+    e = F.col("event_id")
+    s = load(spark, sf, "events").select((F.col("user_id") % 50).alias("qid"), e.alias("place"), (F.floor(e / 3) % 9).alias("doc"), (e % 4).alias("chunk_index"), (e * 7 % 31).alias("chunk_id"))
+    return context.unique_sources(s, "qid", "place", ("doc", "chunk_index"), ("chunk_id",)).select("qid", "place")
 
 
 @query(f"""WITH {_RERANK}, g AS (SELECT qid, count(*) AS n, max(rerank_score) AS best FROM fr WHERE final_rank <= 10 GROUP BY qid)
@@ -206,15 +272,6 @@ def answer_coverage(spark, sf):
 
 # -- expansion ---------------------------------------------------------------------
 
-_SYN = "(VALUES " + ", ".join(f"('{t}', {s})" for t, s in expansion.SAMPLE.items()) + ") AS s(term, synonyms)"
-_TERMS = rf"""w AS (SELECT qid, query, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {Q_SQL}),
-t AS (SELECT DISTINCT qid, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM w)"""
-
-
-def _expand_sql(most: str) -> str:
-    return f"""WITH {_TERMS}, a AS (SELECT DISTINCT t.qid, unnest(s.synonyms[1:{most}]) AS x FROM t JOIN {_SYN} ON s.term = t.term JOIN w ON w.qid = t.qid),
-b AS (SELECT qid, string_agg(x, ' ' ORDER BY x) AS added FROM a GROUP BY qid) SELECT w.qid, query || ' ' || coalesce(added, '') AS expanded FROM w LEFT JOIN b USING (qid)"""
-
 
 @query(f"WITH {_TERMS} SELECT qid, term FROM t")
 def query_terms(spark, sf):
@@ -226,7 +283,7 @@ def expand_query(spark, sf):
     return expansion.expand(queries(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)).select("qid", "expanded")
 
 
-@query(_expand_sql("CASE WHEN regexp_matches(lower(w.query), 'api|server|database|token|код|систем') THEN 3 ELSE 2 END"))
+@query(_expand_sql(_SMART))
 def expand_query_smart(spark, sf):
     return expansion.expand_smart(queries(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)).select("qid", "expanded")
 

@@ -38,9 +38,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-width chunks of documents."""
-    d = documents(spark, sf_dir)
-    levels = d.select("id", "access_level")
-    return structure.fixed_chunks(d).join(levels, "id").withColumn("chunk_id", F.concat_ws("_", "id", "chunk_index"))
+    return structure.fixed_chunks(documents(spark, sf_dir), carry=("access_level",)).withColumn("chunk_id", F.concat_ws("_", "id", "chunk_index"))
 
 
 #: Relations that several oracles share.

@@ -27,16 +27,19 @@ def clean_text(spark, sf):
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP)
-#: The masks need look-ahead, so tokens are compared without them.
+_KEYWORD_STOP = ", ".join(f"'{w}'" for w in text.KEYWORD_STOP)
+#: The mask of decimals needs look-ahead, which DuckDB lacks: years before a point are set apart first.
+_MASKED = r"""replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b\d{4}-\d{2}-\d{2}\b', 'DATE', 'g'), '\b\d{2}\.\d{2}\.\d{4}\b', 'DATE', 'g'),
+  '\b((?:19|20)\d{2})\.', '\1' || chr(57344) || '.', 'g'), '\b\d+\.\d+\b', 'NUMBER', 'g'), chr(57344), '')"""
 _TOKENS = rf"""tok AS (SELECT id, list_filter(list_filter(flatten(list_transform(
-    list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_-]+'), lambda t: length(t) >= 2),
+    list_filter(regexp_extract_all({_MASKED}, '[\p{{L}}\p{{M}}\p{{N}}_-]+'), lambda t: length(t) >= 2),
     lambda t: CASE WHEN contains(t, '-') AND length(t) > 3 THEN string_split(t, '-') ELSE [t] END)), lambda t: length(t) >= 2),
     lambda t: t NOT IN ({_STOP}) AND NOT regexp_full_match(t, '\p{{Nd}}+')) AS tokens, access_level FROM docs)"""
 
 
 @query(f"WITH {DOCS}, {_TOKENS} SELECT id, len(tokens)::INT AS n_tokens, md5(list_aggregate(tokens, 'string_agg', ' ')) AS digest FROM tok WHERE len(tokens) > 0")
 def tokenize(spark, sf):
-    t = documents(spark, sf).select("id", text.tokens(F.col("text"), mask=False).alias("tokens")).where(F.size("tokens") > 0)
+    t = documents(spark, sf).select("id", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     return t.select("id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
@@ -59,7 +62,7 @@ def technical_terms(spark, sf):
     return documents(spark, sf).select("id", F.array_join(text.technical_terms(F.col("text")), ",").alias("terms"))
 
 
-@query(f"""SELECT p_partkey, p_name AS word, length(p_name) >= 3 AND p_size / 50.0 > 0.3 AND lower(p_name) NOT IN ({_STOP}) AND NOT regexp_matches(p_name, '^[0-9]')
+@query(f"""SELECT p_partkey, p_name AS word, length(p_name) >= 3 AND p_size / 50.0 > 0.3 AND lower(p_name) NOT IN ({_KEYWORD_STOP}) AND NOT regexp_matches(p_name, '^[0-9]')
   AND NOT contains(p_name, '___') AND len(string_split(p_name, ' ')) <= 2 AS kept FROM part""")
 def keyword_filter(spark, sf):
     p = load(spark, sf, "part")

@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where
+    that is unset and the master is local."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str, path: str | None = None, *partitions: str) -> DataFrame:
+    """df as a Parquet table, under path or in the shared folder, and read again from it."""
+    path = f"{path or shared_dir(df.sparkSession)}/{name}" + ("" if path else f"-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str, key: str = "chunk_id") -> int:
     """Appends chunks with their vectors; keywords stay arrays. Refuses to write if a
-    chunk has no vector or a vector no chunk. Returns the number of chunks."""
-    odd = chunks.select(key).exceptAll(vectors.select(key)).unionAll(vectors.select(key).exceptAll(chunks.select(key)))
-    if not odd.isEmpty():
-        raise ValueError(f"chunks and vectors differ, as in {odd.first()[0]}")
-    chunks.join(vectors, key).write.mode("append").parquet(path)
-    return chunks.count()
+    chunk has no vector or a vector no chunk. Returns the number of chunks. Both sides
+    are read once: the join is written down, checked, and appended from there."""
+    marked = vectors.select(F.col(key).alias("_key"), *(c for c in vectors.columns if c != key))
+    both = stored(chunks.join(marked, F.col(key) == F.col("_key"), "full_outer"), "chunks")
+    odd = both.where(F.col(key).isNull() | F.col("_key").isNull()).select(F.coalesce(key, "_key")).head()
+    if odd is not None:
+        raise ValueError(f"chunks and vectors differ, as in {odd[0]}")
+    both.drop("_key").write.mode("append").parquet(path)
+    return both.count()
 
 
 def read_chunks(spark: SparkSession, path: str, level: int, *columns: str) -> DataFrame:

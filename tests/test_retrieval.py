@@ -12,7 +12,7 @@ def scores(spark, values):
 
 def test_bm25_matches_the_formula(spark):
     texts = ["cat dog dog bird", "cat cat fish", "tree", "bird fish fish fish river", "river tree tree stone wood leaf"]
-    docs = retrieval.tokenised(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    docs = retrieval.build_index(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
     q = spark.createDataFrame([(1, "fish fish river"), (2, "unknown")], "qid int, query string")
     got = {(r.qid, r.id): r.score for r in retrieval.bm25_top(docs, q, 4).collect()}
     toks = [t.split() for t in texts]
