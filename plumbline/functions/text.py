@@ -159,6 +159,44 @@ def cache_key(prefix: str, query: Column, level: Column, params: Column) -> Colu
     return F.concat(F.lit(prefix), F.md5(F.concat_ws("|", F.lower(F.trim(query)), level.cast("string"), params)))
 
 
+#: The parts of a prompt, round the history, the context and the question.
+PROMPT = (
+    """Отвечай только финальным содержательным ответом. Без приветствий, предисловий, дисклеймеров и рассуждений. Никаких служебных меток.
+
+Ты корпоративный RAG-ассистент. Используй ТОЛЬКО русский язык.
+
+ПРАВИЛА:
+- Используй ТОЛЬКО факты из КОНТЕКСТА ниже
+- Если ответа нет в контексте: "Нет информации в предоставленном контексте"
+- Сохраняй точные номера пунктов и статей
+- Отвечай лаконично и профессионально
+
+""",
+    """
+
+КОНТЕКСТ:
+""",
+    """
+
+ВОПРОС: """,
+    """
+
+ОТВЕТ:""",
+)
+
+
+def prompt(question: Column, context: Column, history: Column) -> Column:
+    """history: an array of structs with role and text, oldest first."""
+    line = lambda m: F.concat(F.when(m["role"] == "user", "Вопрос").otherwise("Ответ"), F.lit(": "), history_line(m["role"], m["text"]), F.lit("\n"))
+    before = F.when(F.size(history) > 0, F.concat(F.lit("\n\nПредыдущие сообщения:\n"), F.array_join(F.transform(history, line), ""))).otherwise("")
+    return F.concat(F.lit(PROMPT[0]), before, F.lit(PROMPT[1]), context, F.lit(PROMPT[2]), question, F.lit(PROMPT[3]))
+
+
+def token_rate(c: Column, seconds: Column) -> Column:
+    """Tokens of a group of texts for each second."""
+    return F.round(F.sum(token_estimate(c)) / F.sum(seconds), 6)
+
+
 def json_object(answer: Column, schema: str) -> Column:
     """The first JSON object in a model's answer."""
     return F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), schema)
@@ -179,10 +217,14 @@ def employees(answer: Column) -> Column:
     return F.filter(found, lambda e: F.contains(e["email"], F.lit("@")))
 
 
+#: Capitalised words that begin a request.
+NO_NAMES = ("Дай", "Можешь", "Поставь", "Встреча", "Система", "Почту")
+
+
 def people(c: Column) -> Column:
     """Capitalised Cyrillic names of one to three words, each once, in order."""
     found = F.regexp_extract_all(c, F.lit(r"(?<!\p{L})[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+){0,2}(?!\p{L})"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda n: F.length(n) > 2))
+    return F.array_distinct(F.filter(found, lambda n: (F.length(n) > 2) & ~n.isin(*NO_NAMES)))
 
 
 def any_of(c: Column, parts: list[str]) -> Column:

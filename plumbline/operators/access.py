@@ -44,3 +44,16 @@ def request_errors(message: Column, weight: Column, top_k: Column, rerank_top_k:
 def upload_errors(title: Column, level: Column) -> Column:
     blank = (F.length(F.trim(title)) == 0) | title.isNull() | (F.length(title) > 255)
     return F.array_compact(F.array(F.when(blank, F.lit("title")), F.when(~level.between(LOWEST, HIGHEST), F.lit("level"))))
+
+
+#: Fixed value: how many queries a batch has at most.
+MOST_BATCH = 10
+
+
+def batch_ok(n: Column) -> Column:
+    return n.between(1, MOST_BATCH)
+
+
+def own(df: DataFrame, owner: str, user: Column) -> DataFrame:
+    """The rows of a user."""
+    return df.where(F.col(owner) == user)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.text import people, session_title
+
 
 def page(df: DataFrame, order: list[Column], number: int, limit: int) -> DataFrame:
     """Page number (from 1) of a limit of at most 100 rows."""
@@ -65,3 +67,36 @@ def set_status(docs: DataFrame, changes: DataFrame, key: str, order: str) -> Dat
     """The last change of each document decides its status."""
     last = changes.groupBy(key).agg(F.max_by("status", order).alias("_status"))
     return docs.join(last, key, "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def set_processed(docs: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The last change of each document decides its status, when it was processed and its
+    number of chunks. changes: key, status, at, chunk_count and what orders them."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct("status", "at", "chunk_count"), order).alias("_last"))
+    done = F.col("_last.status") == "completed"
+    return docs.join(last, key, "left").select(
+        *(c for c in docs.columns if c != "status"), F.coalesce("_last.status", "status").alias("status"), F.coalesce(done, F.lit(False)).alias("processed"),
+        F.when(done, F.col("_last.at")).alias("processed_at"), F.col("_last.chunk_count").alias("chunk_count"),
+    )
+
+
+def append_turns(sessions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All sessions, and the messages of the requests. A request whose session is not its
+    user's own, or is not named, opens one, with an id that a retry gives again.
+    sessions: session_id, user_id, title. requests: request_id, user_id, session_id,
+    question, answer."""
+    own = sessions.select(F.col("session_id").alias("_session"), F.col("user_id").alias("_user"))
+    df = requests.join(own, (F.col("session_id") == F.col("_session")) & (F.col("user_id") == F.col("_user")), "left")
+    made = F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("request_id").cast("string")))
+    df = df.select("request_id", "user_id", "question", "answer", F.coalesce("_session", made).alias("session_id"), F.col("_session").isNull().alias("is_new"))
+    opened = df.where("is_new").select("session_id", "user_id", session_title(F.col("question")).alias("title"))
+    turns = F.array(F.struct(F.lit(0).alias("place"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(1).alias("place"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))
+    return sessions.select("session_id", "user_id", "title").unionByName(opened), df.select("session_id", "request_id", F.inline(turns))
+
+
+def mentioned(messages: DataFrame, n: int = 5) -> DataFrame:
+    """conv_id and the people named in the user's messages among the last n, in order."""
+    recent = last_n(messages, "conv_id", "turn", n).where("role = 'user'")
+    each = F.array_sort(F.collect_list(F.struct("turn", people(F.col("text")).alias("names"))))
+    named = recent.groupBy("conv_id").agg(F.flatten(F.transform(each, lambda x: x["names"])).alias("names"))
+    return named.select("conv_id", F.array_distinct("names").alias("people"))

@@ -98,3 +98,16 @@ def unique_sources(df: DataFrame, by: str, order: str, *keys: tuple[str, ...]) -
 
 def no_answer_reason(best: Column, n_hits: Column) -> Column:
     return F.when(F.coalesce(n_hits, F.lit(0)) == 0, "no_results").when(best < MIN_SCORE, "low_relevance").otherwise("ok")
+
+
+def grouped_line(number: Column, title: Column, found: Column, total: Column, score: Column) -> Column:
+    """The head line of a document's chunks in a context."""
+    return F.concat(F.lit("[Источник "), number.cast("string"), F.lit(": "), title, F.lit(" "), coverage(found, total, score), F.lit("]"))
+
+
+#: Models of large contexts, and their budget.
+LARGE, LARGE_BUDGET = "20b", 16000
+
+
+def budget_of(model: Column) -> Column:
+    return F.when(F.contains(F.lower(model), F.lit(LARGE)), LARGE_BUDGET).otherwise(BUDGET)

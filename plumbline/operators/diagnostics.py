@@ -98,3 +98,38 @@ def keyword_summary(chunks: DataFrame, most: int = 15) -> DataFrame:
     kept = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
     rows = F.array_sort(F.collect_list(F.struct("r", "keyword")))
     return kept.groupBy("id").agg(F.array_join(F.transform(rows, lambda x: x["keyword"]), ",").alias("keywords"))
+
+
+def keyword_classes(chunks: DataFrame, classes: list[str], most: int = 15, total: int = 20) -> DataFrame:
+    """chunks: id and an array of keywords for each class. Of each document the commonest
+    `most` of each class, one class after the other, `total` at most."""
+    each = F.array(*(F.struct(F.lit(i).alias("class"), F.col(c).alias("words")) for i, c in enumerate(classes)))
+    rows = chunks.select("id", F.inline(each)).select("id", "class", F.explode("words").alias("keyword"))
+    counts = rows.groupBy("id", "class", "keyword").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("id", "class").orderBy(F.desc("n"), "keyword")
+    kept = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    found = F.slice(F.array_sort(F.collect_list(F.struct("class", "r", "keyword"))), 1, total)
+    return kept.groupBy("id").agg(F.array_join(F.transform(found, lambda x: x["keyword"]), ",").alias("keywords"))
+
+
+#: Fixed value: memory, in MB, from which an operation is heavy.
+HEAVY = 100
+
+
+def memory_summary(runs: DataFrame) -> DataFrame:
+    """operation, memory (of its last run), heavy, and the peak and the sum over operations."""
+    last = runs.groupBy("operation").agg(F.max_by("memory", "ts").alias("memory"))
+    total = last.agg(F.round(F.max("memory"), 6).alias("peak"), F.round(F.sum("memory"), 6).alias("total"))
+    return last.join(F.broadcast(total), F.lit(True)).select("operation", F.round("memory", 6).alias("memory"), (F.col("memory") > HEAVY).alias("heavy"), "peak", "total")
+
+
+def slowest(runs: DataFrame, n: int = 5) -> DataFrame:
+    """The n operations of the largest mean duration."""
+    mean = runs.groupBy("operation").agg(F.avg("duration").alias("mean"))
+    return mean.orderBy(F.desc("mean"), "operation").limit(n).select("operation", F.round("mean", 6).alias("mean"))
+
+
+def pipeline_statistics(runs: DataFrame) -> DataFrame:
+    """One row: how many runs, and the mean, least and largest sum of durations of a run."""
+    total = runs.groupBy("run").agg(F.sum("duration").alias("total"))
+    return total.agg(F.count("*").alias("n_runs"), *(F.round(f("total"), 6).alias(k) for f, k in ((F.avg, "avg"), (F.min, "min"), (F.max, "max"))))

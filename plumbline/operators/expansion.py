@@ -57,3 +57,12 @@ def expand_smart(queries: DataFrame, table: DataFrame, stems: tuple[str, ...] =
 
 def statistics(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("n_terms"), F.sum(F.size("synonyms")).alias("n_synonyms"), F.avg(F.size("synonyms")).alias("avg_synonyms"))
+
+
+#: Parts of terms by category.
+CATEGORIES = {"tech_terms": ["api", "база", "программ", "разработ"], "business_terms": ["клиент", "продаж", "маркетинг"], "design_terms": ["дизайн", "макет", "бренд"]}
+
+
+def categories(table: DataFrame) -> DataFrame:
+    """One row: how many terms have a part of each category."""
+    return table.agg(*(F.count_if(F.col("term").rlike("|".join(parts))).alias(k) for k, parts in CATEGORIES.items()))

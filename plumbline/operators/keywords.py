@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
@@ -65,3 +65,17 @@ def backfill(chunks: DataFrame, column: str = "keywords") -> DataFrame:
     short = F.length(F.trim("text")) < 50
     made = F.when(short, F.array().cast("array<string>")).otherwise(text.technical_terms(F.col("text")))
     return chunks.withColumn(column, F.when(none, made).otherwise(F.col(column)))
+
+
+#: The shortest text that has keywords, and how many of both kinds are kept.
+SHORT, MOST = 50, 20
+
+
+def united(body: Column, semantic: Column, technical: Column) -> Column:
+    """A struct of semantic_keywords, technical_keywords and all_keywords, which are both
+    without repeats, by name. A text that is null or short has none."""
+    none = F.array().cast("array<string>")
+    ok = F.coalesce(F.length(F.trim(body)) >= SHORT, F.lit(False))
+    s, t = (F.when(ok, F.coalesce(c, none)).otherwise(none) for c in (semantic, technical))
+    every = F.slice(F.sort_array(F.array_distinct(F.concat(s, t))), 1, MOST)
+    return F.struct(s.alias("semantic_keywords"), t.alias("technical_keywords"), every.alias("all_keywords"))

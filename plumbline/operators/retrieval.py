@@ -171,6 +171,11 @@ def fallback_scores(df: DataFrame, k: int = RERANK_K) -> DataFrame:
     return df.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(0.5))
 
 
+def fallback_falling(df: DataFrame, k: int = RERANK_K) -> DataFrame:
+    """The same, with scores that fall from 5 by a tenth."""
+    return df.where(F.col("rank") <= k).withColumn("rerank_score", 5.0 - 0.1 * (F.col("rank") - 1))
+
+
 def adaptive_threshold(df: DataFrame, score: str = "rerank_score", by: str = "qid") -> DataFrame:
     """Keeps scores near the best; how near depends on their range."""
     w = Window.partitionBy(by)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.context import with_titles
+
 #: Document types by their patterns, in order, on upper-cased text.
 TYPES = [
     ("ORDER", [r"ПРИКАЗ", r"П\s*Р\s*И\s*К\s*А\s*З", r"№\s*\d+[-\p{L}\p{N}_]*\s*ОТ", r"ПРИКАЗЫВАЮ"]),
@@ -312,3 +314,27 @@ def grouped_rows(rows: DataFrame, size: int = 8) -> DataFrame:
 
 def fallback_table(body: Column, title_of_section: Column) -> Column:
     return F.concat(F.lit("Таблица в "), title_of_section, F.lit("\n"), body)
+
+
+def enriched(chunks: DataFrame, titles: DataFrame, parts: DataFrame, keywords: str) -> DataFrame:
+    """chunks with what is known of their documents: doc_title and document_title (a default
+    where there is none), has_tables, content_parts_count, and the keywords out of the struct
+    of that name. titles: id, title; parts: id, n_tables, n_parts."""
+    named = with_titles(chunks, titles, "id").join(parts, "id", "left")
+    return named.select(
+        *(c for c in chunks.columns if c != keywords), F.col("title").alias("doc_title"), F.col("title").alias("document_title"),
+        (F.coalesce("n_tables", F.lit(0)) > 0).alias("has_tables"), F.coalesce("n_parts", F.lit(0)).alias("content_parts_count"), f"{keywords}.*",
+    )
+
+
+def chunk_histograms(chunks: DataFrame) -> DataFrame:
+    """class, value, n: chunks by chunk_type, by section_type, and complete or partial."""
+    done = F.when(F.col("is_complete_section"), "complete").otherwise("partial")
+    each = F.array(*(F.struct(F.lit(k).alias("class"), c.alias("value")) for k, c in (("chunk_type", F.col("chunk_type")), ("section_type", F.col("section_type")), ("completeness", done))))
+    return chunks.select(F.inline(each)).groupBy("class", "value").agg(F.count("*").alias("n"))
+
+
+def overlap_summary(chunks: DataFrame) -> DataFrame:
+    """How many chunks of a document overlap the one before, and their mean length, rounded."""
+    marked = neighbour_overlap(chunks)
+    return marked.groupBy("id").agg(F.count_if("overlaps").alias("n_overlapping"), F.round(F.avg(F.length("text"))).cast("long").alias("mean_chars"))

@@ -100,16 +100,22 @@ def batch_stats(spark, sf):
     return diagnostics.batch_statistics(load(spark, sf, "events").select((F.col("event_type") == "view").alias("cached"), F.col("value").alias("duration")))
 
 
-@query("""WITH r AS (SELECT event_id, user_id % 10 AS k, ts FROM events WHERE event_id % 2 = 1), c AS (SELECT event_id AS result, user_id % 10 AS k, ts FROM events WHERE event_id % 20 = 0)
-SELECT r.event_id, arg_max(c.result, c.ts) AS result FROM r LEFT JOIN c ON r.k = c.k AND floor(epoch(r.ts)) - floor(epoch(c.ts)) BETWEEN 0 AND 3599 GROUP BY r.event_id""")
+@query("""WITH c AS (SELECT event_id AS result, user_id AS k, floor(epoch(ts)) AS s FROM events WHERE event_type = 'purchase')
+SELECT r.event_id, arg_max(c.result, (c.s, c.result)) AS result FROM events r LEFT JOIN c ON r.user_id = c.k AND floor(epoch(r.ts)) - c.s BETWEEN 0 AND 86399 GROUP BY r.event_id""")
 def cached_results(spark, sf):
-    e = load(spark, sf, "events").select("event_id", (F.col("user_id") % 10).alias("cache_key"), "ts")
-    made = e.where("event_id % 20 = 0").select("cache_key", "ts", F.col("event_id").alias("result"))
-    return jobs.cached(e.where("event_id % 2 = 1"), made).select("event_id", "result")
+    """Every event asks for its user's last purchase of the day before."""
+    e = load(spark, sf, "events").select("event_id", F.col("user_id").alias("cache_key"), "ts", "event_type")
+    made = e.where("event_type = 'purchase'").select("cache_key", "ts", F.col("event_id").alias("result"))
+    return jobs.cached(e.drop("event_type"), made, ttl_s=86400).select("event_id", "result")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '1-%'")
+def cache_invalidation(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cache_key"))
+    return jobs.without_prefix(o, "1-").select("o_orderkey")
 
 
 @query()
 def rate_limit_exact(spark, sf):
     """Without SQL: whether an event is accepted depends on which were accepted before it."""
-    e = load(spark, sf, "events").select((F.col("user_id") % 5).alias("user_id"), "event_id", "ts")
-    return jobs.rate_limited(e, window=3600.0)
+    return jobs.rate_limited(load(spark, sf, "events"), window=7 * 86400.0)

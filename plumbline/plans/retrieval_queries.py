@@ -243,15 +243,17 @@ def select_chunks(spark, sf):
     return context.select_chunks(hits).select("qid", "doc_id", "id", "position", "running_length")
 
 
-@query(f"""WITH {DOCS}, r AS (SELECT id, source, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY id)::BIGINT AS running_length FROM docs WHERE access_level <= {LEVEL})
-SELECT id, source, running_length FROM r WHERE running_length <= 20000""")
+@query(f"""WITH {_VEC}, {DOCS}, h AS (SELECT qid, vr.id, rank, text FROM vr JOIN docs ON docs.id = vr.id WHERE rank <= 30), r AS (SELECT *, sum(length(text)) OVER (PARTITION BY qid ORDER BY rank)::BIGINT AS running_length FROM h)
+SELECT qid, id, running_length FROM r WHERE running_length <= 20000""")
 def context_budget(spark, sf):
-    return context.within_budget(_texts(spark, sf), 20000, ["source"], [F.col("id")]).select("id", "source", "running_length")
+    hits = _vector(spark, sf).join(documents(spark, sf).select("id", "text"), "id")
+    return context.within_budget(hits, 20000, ["qid"], [F.col("rank")]).select("qid", "id", "running_length")
 
 
-@query(f"""WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, trim(text) ORDER BY id) AS n FROM docs) SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY id) AS number FROM r WHERE n = 1""")
+@query(f"""WITH {DOCS}, h AS (SELECT id % 97 AS qid, id, text FROM docs), r AS (SELECT *, row_number() OVER (PARTITION BY qid, trim(text) ORDER BY id) AS n FROM h) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS number FROM r WHERE n = 1""")
 def dedupe_context(spark, sf):
-    return context.without_repeats(documents(spark, sf), "lang", "id").select("lang", "id", "number")
+    hits = documents(spark, sf).select((F.col("id") % 97).alias("qid"), "id", "text")
+    return context.without_repeats(hits, "qid", "id").select("qid", "id", "number")
 
 
 @query("""WITH s AS (SELECT user_id % 50 AS qid, event_id AS place, event_id // 3 % 9 AS doc, event_id % 4 AS chunk_index, event_id * 7 % 31 AS chunk_id FROM events),

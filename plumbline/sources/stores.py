@@ -30,6 +30,11 @@ def stored(df: DataFrame, name: str, path: str | None = None, *partitions: str)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh() -> str:
+    """A name that no other table has."""
+    return uuid.uuid4().hex
+
+
 def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str, key: str = "chunk_id") -> int:
     """Appends chunks with their vectors; keywords stay arrays. Refuses to write if a
     chunk has no vector or a vector no chunk. Returns the number of chunks. Both sides

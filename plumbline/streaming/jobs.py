@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 WINDOW_S, MOST = 60, 10
 
@@ -50,29 +53,60 @@ def _seconds(ts: pd.Series) -> list[float]:
 
 
 def rate_limited(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", window: float = WINDOW_S, most: int = MOST) -> DataFrame:
-    """Batch: user, event, ts and whether it is accepted. Acceptance feeds back, so
-    each user's events are gone through in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        ok, _ = accepted(_seconds(pdf[ts]), [], window, most)
-        return pdf.assign(accepted=ok)
-
-    df = events.select(user, order, ts)
-    return df.groupBy(user).applyInPandas(run, _marked(df))
-
-
-def rate_limited_stream(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", window: float = WINDOW_S, most: int = MOST) -> DataFrame:
-    """The same over a stream: the state of a user is the accepted times that still count."""
+    """Batch: user, event, ts and whether it is accepted. Acceptance feeds back, so events
+    are gone through in order; where a user pauses for the window, nothing before counts,
+    so users are dealt out by such sessions. Tasks read their rows as a stream, and keep
+    the accepted times that still count only, however long a session is. Rows without a
+    user or a time are not accepted."""
+    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s")
+    df = events.select(user, order, ts, seconds)
+    by = Window.partitionBy(user).orderBy("_s", order)
+    pause = F.col("_s") - F.lag("_s").over(by) >= window
+    df = df.withColumn("_session", F.sum(F.coalesce(pause.cast("int"), F.lit(0))).over(by))
+    names = [user, order, ts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, recent = None, deque()
+        for b in batches:
+            out = []
+            for key in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(3).to_pylist()):
+                if key[:2] != at:
+                    at = key[:2]
+                    recent.clear()
+                if key[0] is None or key[2] is None:
+                    out.append(False)
+                    continue
+                while recent and key[2] - recent[0] >= window:
+                    recent.popleft()
+                out.append(len(recent) < most)
+                if out[-1]:
+                    recent.append(key[2])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.bool_())], names=[*names, "accepted"])
+
+    dealt = df.repartition(user, "_session").sortWithinPartitions(user, "_session", "_s", order)
+    return dealt.mapInArrow(run, _marked(events.select(*names)))
+
+
+def rate_limited_stream(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", window: float = WINDOW_S, most: int = MOST, late: str | None = None) -> DataFrame:
+    """The same over a stream: the state of a user is the accepted times that still count.
+    late: the delay of a watermark on ts; a user's state goes once the watermark has passed
+    its last accepted time by the window. Without it, states stay."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(parts)).sort_values([ts, order])
         ok, recent = accepted(_seconds(pdf[ts]), list(state.get[0]) if state.exists else [], window, most)
         state.update((recent,))
+        if late and recent:
+            state.setTimeoutTimestamp(max(int((recent[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(accepted=ok)[[user, order, ts, "accepted"]]
 
     df = events.select(user, order, ts)
-    return df.groupBy(user).applyInPandasWithState(run, _marked(df), "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    df = df.withWatermark(ts, late) if late else df
+    how = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return df.groupBy(user).applyInPandasWithState(run, _marked(events.select(user, order, ts)), "recent array<double>", "append", how)
 
 
 def fresh_results(requests: DataFrame, key: str = "cache_key", ts: str = "ts", ttl: str = "1 hour") -> DataFrame:
@@ -81,9 +115,31 @@ def fresh_results(requests: DataFrame, key: str = "cache_key", ts: str = "ts", t
 
 
 def cached(requests: DataFrame, results: DataFrame, key: str = "cache_key", ts: str = "ts", ttl_s: int = 3600) -> DataFrame:
-    """Batch: each request with the newest result that was not too old by then, if any."""
-    r, c = requests.alias("r"), results.alias("c")
-    age = F.unix_timestamp(f"r.{ts}") - F.unix_timestamp(f"c.{ts}")
-    hit = r.join(c, (F.col(f"r.{key}") == F.col(f"c.{key}")) & age.between(0, ttl_s - 1), "left")
-    names = [f"r.{x}" for x in requests.columns]
-    return hit.groupBy(*names).agg(F.max_by("c.result", f"c.{ts}").alias("result"))
+    """Batch: each request with the newest result that was not too old by then, if any.
+    Requests and results of a key stand in one order of time, and each request takes the
+    last result before it; no request meets more than that one. A result of the same
+    second counts as before the request. Of results of one second, the larger counts."""
+    second = F.unix_timestamp(ts)
+    asked = requests.select(F.struct(*requests.columns).alias("_row"), F.col(key).alias("_key"), second.alias("_s"), F.lit(None).cast(results.schema["result"].dataType).alias("result"), F.lit(1).alias("_kind"))
+    given = results.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), second.alias("_s"), "result", F.lit(0).alias("_kind"))
+    order = Window.partitionBy("_key").orderBy("_s", "_kind", "result").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("_kind") == 0, F.struct("_s", "result")), ignorenulls=True).over(order)
+    found = asked.unionByName(given).withColumn("_last", last).where("_kind = 1")
+    alive = F.col("_s") - F.col("_last._s") < ttl_s
+    return found.select("_row.*", F.when(alive, F.col("_last.result")).alias("result"))
+
+
+def without_prefix(results: DataFrame, prefix: str, key: str = "cache_key") -> DataFrame:
+    """The cached results whose keys don't begin with the prefix, as a collection changed."""
+    return results.where(F.col(key).isNull() | ~F.startswith(F.col(key), F.lit(prefix)))
+
+
+def answers(queries: DataFrame, search: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
+    """Starts a stream of queries, answered batch by batch: qid, query, qv and kind. Each
+    kind has a folder of its own under target; a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        kinds = batch.select("qid", "kind")
+        search(batch.drop("kind")).join(kinds, "qid").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(target)
+
+    return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

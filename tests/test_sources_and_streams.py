@@ -91,3 +91,61 @@ def test_fresh_results(spark, tmp_path):
     q = jobs.fresh_results(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))).writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("fresh").count() == 2
+
+
+def test_rate_limit_equals_brute_force(spark):
+    """Users with pauses, a busy user, ties, null users and times."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, 3, 3, 3, 3, None]), i, rng.choice([None] + [rng.randint(0, 4000)] * 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id int, event_id int, s int").selectExpr("user_id", "event_id", "timestamp_seconds(s) AS ts")
+    got = {r.event_id: r.accepted for r in jobs.rate_limited(df, window=60.0, most=5).collect()}
+    want = {}
+    for u in (1, 2, 3, None):
+        mine = sorted((s, i) for v, i, s in rows if v == u and s is not None)
+        ok, _ = jobs.accepted([float(s) for s, _ in mine], [], 60.0, 5)
+        want |= {i: a and u is not None for (_, i), a in zip(mine, ok)} | {i: False for v, i, s in rows if v == u and s is None}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_cached_takes_the_newest_living_result(spark):
+    at = lambda df: df.withColumn("ts", F.timestamp_seconds("ts"))
+    requests = at(spark.createDataFrame([(1, "a", 100), (2, "a", 4000), (3, "b", 10), (4, None, 5), (5, "a", 50)], "n int, cache_key string, ts long"))
+    results = at(spark.createDataFrame([("a", 60, "old"), ("a", 100, "new"), ("b", 11, "late")], "cache_key string, ts long, result string"))
+    assert {r.n: r.result for r in jobs.cached(requests, results).collect()} == {1: "new", 2: None, 3: None, 4: None, 5: None}
+    assert jobs.without_prefix(results, "a").count() == 1
+
+
+def test_queries_of_a_stream_are_answered_by_kind(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("q", "out", "state"))
+    asked = spark.createDataFrame([(1, "x", "search"), (2, "y", "batch")], "qid long, query string, kind string")
+    asked.write.parquet(src)
+    for _ in range(2):
+        stream = spark.readStream.schema(asked.schema).parquet(src)
+        jobs.answers(stream, lambda q: q.select("qid", F.upper("query").alias("text")), out, state).awaitTermination()
+    assert {(r.qid, r.text, r.kind) for r in spark.read.parquet(out).collect()} == {(1, "X", "search"), (2, "Y", "batch")}
+
+
+def test_docx_styles_and_tables(spark, tmp_path):
+    body = (
+        '<w:p><w:pPr><w:pStyle w:val="h2"/><w:jc w:val="center"/></w:pPr><w:r><w:rPr><w:b/><w:i w:val="0"/></w:rPr><w:t>Title</w:t></w:r></w:p>'
+        '<w:p><w:r><w:rPr><w:i/></w:rPr><w:t>body</w:t></w:r></w:p>'
+        '<w:tbl><w:tr><w:tc><w:p/></w:tc><w:tc><w:p/></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t> b  c</w:t></w:r></w:p><w:p><w:r><w:t>d</w:t></w:r></w:p></w:tc></w:tr>'
+        '<w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+    )
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{W}"><w:style w:styleId="h2"><w:name w:val="heading 2"/></w:style></w:styles>')
+    (tmp_path / "a.docx").write_bytes(raw.getvalue())
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c.csv").write_text("a")
+    out = {r.path[-6:]: r for r in files.docx_structure(files.read(spark, str(tmp_path))).collect()}
+    assert set(out) == {"a.docx", "b.docx"} and "BadZipFile" in out["b.docx"].error
+    one, two = out["a.docx"].paragraphs
+    assert (one.style_name, one.is_heading, one.heading_level, one.is_bold, one.is_italic, one.alignment) == ("heading 2", True, 2, True, False, "center")
+    assert (two.text, two.is_heading, two.heading_level, two.is_italic) == ("body", False, None, True)
+    (t,) = out["a.docx"].tables
+    assert (t.headers, t.rows, t.row_count, t.col_count, t.has_merged_cells) == (["a", "b c d"], [["1"], ["2", ""]], 4, 2, True)
+    assert t.structured_rows == [{"a": "2", "b c d": ""}]
