@@ -73,7 +73,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
         for k in range(blocks):
             data.append(pack(raw[k * BLOCK : (k + 1) * BLOCK].tobytes()))
             sizes.append(len(data[-1]))
-        cur = np.concatenate((cur[~bit], cur[bit]))
+        cur = np.concatenate((cur.compress(~bit), cur.compress(bit)))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], np.int64)
     side = [pack(x.tobytes()) for x in (known, named, np.asarray(lengths, np.int64), np.array(zeros, np.int64), np.array(sizes, np.uint32), np.array(ranks, np.uint32))]
@@ -186,7 +186,7 @@ class Shard:
             bit, z = self._plane(p), self.zeros[p]
             out[z:] |= out.dtype.type(1 << (self.planes - 1 - p))
             back = np.empty_like(out)
-            back[~bit], back[bit] = out[:z], out[z:]
+            back[np.flatnonzero(~bit)], back[np.flatnonzero(bit)] = out[:z], out[z:]
             out = back
         return out.astype(np.uint32)
 
@@ -270,9 +270,9 @@ def write_shards(docs: DataFrame, file: str, path: str, doc_id: str = "doc_id",
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "n_docs", "n_tokens", "blob"])
 
         for b in batches:
-            for d, t in zip(b.column(0), b.column(1)):
-                x = tool.encode(t.as_py() or "")
-                ids.append(d.as_py()), body.append(x + end), sizes.append(len(x) // 4 + 1)
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = tool.encode(t or "")
+                ids.append(d), body.append(x + end), sizes.append(len(x) // 4 + 1)
                 held += sizes[-1]
                 if held >= shard:
                     yield flush()
