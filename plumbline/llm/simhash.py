@@ -306,6 +306,12 @@ def min_keys(found: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(np.array(least[i * ROWS : (i + 1) * ROWS], "<u8").tobytes(), i), "little", signed=True) for i in range(BANDS)]
 
 
+def slim(found: np.ndarray) -> np.ndarray:
+    """The set by the upper halves of its hashes, ascending: what is compared. Two of a
+    text's shingles share one once in 2 ** 32 pairs."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))
+
+
 def wide_print(found: np.ndarray) -> np.ndarray:
     """The SimHash of a shingle set, WIDE words: each of the hashes mixed in its own way."""
     mixed = ((found ^ (found >> np.uint64(31))) * m for m in _ODD[BANDS * ROWS :])
@@ -339,7 +345,9 @@ def alike(prints: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarra
 
 def near_links(marked: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """marked: a written table with node (a digest of the shingle set), keys, print and
-    shingles. Gives links (a, b) between the nodes of similar sets, never all pairs."""
+    shingles. Gives links (a, b) between the nodes of similar sets, never all pairs. Only
+    the sets of documents that share a key with another are dealt out."""
+    details = None
     members = marked.select("node", F.posexplode("keys").alias("band", "key")).distinct()
     found = None
 
@@ -347,17 +355,19 @@ def near_links(marked: DataFrame, least: float = SIMILARITY) -> DataFrame:
         group = group.sort_by("node")
         nodes = group.column("node").to_pylist()
         prints = np.array([np.frombuffer(x.as_py(), "<u8") for x in group.column("print")], np.uint64).reshape(len(group), WIDE)
-        root = alike(prints, [np.frombuffer(x.as_py(), "<u8") for x in group.column("shingles")], least)
+        root = alike(prints, [np.frombuffer(x.as_py(), "<u4") for x in group.column("shingles")], least)
         band, at, n = group.column("band")[0].as_py(), group.column("key")[0].as_py(), len(nodes)
         return pa.table({"a": nodes, "b": [nodes[r] for r in root.tolist()], "band": pa.array([band] * n, pa.int32()), "key": pa.array([at] * n, pa.int64())})
 
-    # Of each node once: rows with equal shingles are one.
-    details = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
     for turn in range(16):
         counts = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = written(members.join(counts, ["band", "key"]), "shared")
         if shared.isEmpty():
             break
+        if details is None:
+            # Of each node once: rows with equal shingles are one.
+            near = marked.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
+            details = written(near.agg(F.first("print").alias("print"), F.first("shingles").alias("shingles")), "details")
         part = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / MOST))
         rows = shared.withColumn("part", part).join(details, "node").select("band", "key", "part", "node", "print", "shingles")
         solved = written(rows.groupBy("band", "key", "part").applyInArrow(solve, "a string, b string, band int, key long"), "solved")
@@ -382,7 +392,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             raw = [x.astype("<u8").tobytes() for x in sets]
             cols = [
                 pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]), pa.array([min_keys(x) for x in sets], pa.list_(pa.int64())),
-                pa.array([wide_print(x).astype("<u8").tobytes() for x in sets]), pa.array(raw, pa.binary()),
+                pa.array([wide_print(x).astype("<u8").tobytes() for x in sets]), pa.array([slim(x).astype("<u4").tobytes() for x in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "said", "node", "keys", "print", "shingles"])
 
