@@ -365,9 +365,9 @@ def near_links(marked: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if shared.isEmpty():
             break
         if details is None:
-            # Of each node once: rows with equal shingles are one.
-            near = marked.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
-            details = written(near.agg(F.first("print").alias("print"), F.first("shingles").alias("shingles")), "details")
+            # Of each node once, before anything is dealt out: copies don't gather in a task.
+            once = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
+            details = written(once.join(shared.select("node").distinct(), "node", "left_semi"), "details")
         part = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / MOST))
         rows = shared.withColumn("part", part).join(details, "node").select("band", "key", "part", "node", "print", "shingles")
         solved = written(rows.groupBy("band", "key", "part").applyInArrow(solve, "a string, b string, band int, key long"), "solved")

@@ -47,6 +47,38 @@ def test_large_values_are_exact(spark):
     assert [r[3] for r in got(spark, huge, {0}, "double")] == [2**63 - 1] * 3
 
 
+def scan(x, ids, q, own, k):
+    each = sorted(((sum(int(a) * int(b) for a, b in zip(v, q)), int(i)) for v, i in zip(x, ids) if i != own), key=lambda t: (-t[0], t[1]))
+    return each[:k]
+
+
+@pytest.mark.parametrize("routes", [4096, 3])
+def test_routes_lose_nothing_and_spare_shards(spark, monkeypatch, routes):
+    """Clusters over many shards, one of them a third of all, and ties: exact, with few shards met."""
+    monkeypatch.setattr(mtree, "SHARD", 150)
+    monkeypatch.setattr(mtree, "BLOCK", 20)
+    monkeypatch.setattr(mtree, "ROUTES", routes)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8)) * 3
+    which = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 30, 3000))
+    rows = [(i, (centres[c] + rng.normal(size=8) * 0.02).tolist()) for i, c in enumerate(which.tolist())]
+    rows += [(3000 + i, [1.0, 2.0]) for i in range(5)]
+    ids = {i for i in range(0, 3005, 60)} | {3002}
+    assert got(spark, [(*r, "x", "y") for r in rows], ids, "double") == brute(rows, ids)
+
+
+def test_bounds_of_large_values_are_widened():
+    """Products of over 2 ** 53 that differ by less than doubles can tell."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-(2**40), 2**40, (3000, 4))
+    x[:200] = x[0] + np.arange(200)[:, None] % 3
+    ids = rng.permutation(3000)
+    tree = mtree.MTree(x, ids)
+    for i in (0, 5, 700, 2999):
+        assert tree.search(x[i], int(ids[i]), 10) == scan(x, ids, x[i], int(ids[i]), 10)
+    assert tree.computed < 4 * 3000
+
+
 @pytest.mark.parametrize("spread", [0.05, 1.0])
 def test_tree_matches_a_scan_and_prunes_clusters(spread):
     rng = np.random.default_rng(1)
@@ -55,7 +87,7 @@ def test_tree_matches_a_scan_and_prunes_clusters(spread):
     ids = rng.permutation(4000)
     tree = mtree.MTree(x, ids)
     for i in range(0, 4000, 400):
-        want = mtree.scan(x, ids, x[i], int(ids[i]), 10)
+        want = scan(x, ids, x[i], int(ids[i]), 10)
         assert [(int(s), d) for s, d in tree.search(x[i], int(ids[i]), 10)] == want
     if spread < 0.1:
         assert tree.computed < 0.5 * 10 * len(x)
