@@ -49,26 +49,36 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with n, their place by code point, null last, from 1. They are dealt out by
+    ranges, numbered within each, and moved on by the sizes of the ranges before."""
+    ranges = written(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    # A row for each range, whatever the number of sources.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last()))
+    return ranges.withColumn("_own", own).join(F.broadcast(sizes), "_part").withColumn("n", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """sizes: a row for each source, with source and source_size. Adds target.
 
-    One row for each source is all that is sorted here. Sources that cannot take
-    their share are those of the smallest size / weight; the level is the first at
-    which the rest can share what is left."""
-    n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*(F.lit(x) for x in weights)), ((n - 1) % len(weights) + 1).cast("int"))
-    df = sizes.withColumn("weight", w).withColumn("most", most * F.col("source_size"))
-    by = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    whole_table = Window.partitionBy(F.lit(1))
-    left = F.sum("source_size").over(whole_table) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    open_weight = F.sum("weight").over(whole_table) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    df = df.withColumn("level", left.cast("double") / open_weight)
-    fits = F.col("most") >= F.col("level") * F.col("weight")
-    df = df.withColumn("level", F.first(F.when(fits, F.col("level")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    full = F.col("most").cast("double")
-    target = F.coalesce(F.least(full, F.col("level") * F.col("weight")), full)
-    return df.select("source", "source_size", target.alias("target"))
+    All sources share by weight up to a level; those that the level fills are closed, and
+    the rest shares again, until none is filled anew. Sums alone reach the driver, and the
+    number of rounds is that of the levels, not of the sources."""
+    w = F.element_at(F.array(*(F.lit(x) for x in weights)), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    df = written(numbered(sizes).withColumn("weight", w).withColumn("most", most * F.col("source_size")).drop("n"), "weights")
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("most") < level * F.col("weight") if closed >= 0 else F.lit(False)
+        open_weight = F.sum(F.when(~full, F.col("weight")))
+        left = F.sum("source_size") - F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0))
+        row = df.agg(F.count_if(full).alias("closed"), (left.cast("double") / open_weight).alias("level")).first()
+        if row.level is None or row.closed == closed:
+            break
+        level, closed = row.level, row.closed
+    return df.select("source", "source_size", F.least(F.col("most").cast("double"), level * F.col("weight")).alias("target"))
 
 
 def _rank(u: Column, p: Column) -> Column:

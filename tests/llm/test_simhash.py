@@ -124,9 +124,10 @@ def test_equal_halves_are_divided_by_the_other_half(monkeypatch, tree):
 
 
 def test_components_of_a_path_and_a_star(spark):
+    """Null ends join nothing."""
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, 1000 + i) for i in range(1, 50)]
-    df = spark.createDataFrame(path + star + [(5, 5), (70, 69)], "a long, b long")
+    df = spark.createDataFrame(path + star + [(5, 5), (70, 69), (None, 3), (4, None)], "a long, b long")
     out = {r.node: r.root for r in components(df).collect()}
     assert out == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 50)} | {70: 69}
 
