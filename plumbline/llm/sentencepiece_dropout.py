@@ -32,6 +32,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,10 +123,11 @@ class Pieces:
         todo = np.arange(len(key))
         while len(todo):
             s = self.slot[h[todo]]
-            todo, s = todo[s >= 0], s[s >= 0]
+            full = s >= 0
+            todo, s = todo.compress(full), s.compress(full)
             hit = self.key[s] == key[todo]
-            out[todo[hit]] = self.made[s[hit]]
-            todo = todo[~hit]
+            out[todo.compress(hit)] = self.made[s.compress(hit)]
+            todo = todo.compress(~hit)
             h[todo] = (h[todo] + np.uint64(1)) & self.mask
         return out
 
@@ -185,7 +187,7 @@ def encode_words(
     made = np.full(n, -1, np.int64)
     pair = np.flatnonzero(nxt >= 0)
     made[pair] = candidates(pair, nxt[pair])
-    cand = pair[made[pair] >= 0]
+    cand = pair.compress(made[pair] >= 0)
     alive = np.ones(n, bool)
     while len(cand):
         # The best candidate of each word: smallest rank, then leftmost. cand ascends, so words do.
@@ -194,7 +196,7 @@ def encode_words(
         starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
         key = rank << np.int64(24) | np.minimum(place[cand], (1 << 24) - 1)
         best = np.minimum.reduceat(key, starts)
-        i = cand[key == np.repeat(best, np.diff(np.append(starts, len(cand))))]
+        i = cand.compress(key == np.repeat(best, np.diff(np.append(starts, len(cand)))))
         j = nxt[i]
         if merges is not None:
             merges.append((word[i], place[i] << 20 | made[i]))
@@ -339,11 +341,15 @@ def encode_many(pieces: Pieces, texts: list[str | None], doc_seeds: list[int], s
         if len(known.at) > CACHED:
             known.clear()
         some, salt = words[a : a + DRAWN], salts[a : a + DRAWN]
-        known.add(pieces, [x for x in set(some) - known.at.keys() if len(x) <= LONG])
-        at = np.array([known.at.get(x, -1) for x in some], np.int64)
+        get = known.at.get
+        at = np.fromiter(map(get, some, repeat(-1)), np.int64, len(some))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            known.add(pieces, list(dict.fromkeys(x for x in map(some.__getitem__, new.tolist()) if len(x) <= LONG)))
+            at[new] = [get(some[i], -1) for i in new.tolist()]
         short = np.flatnonzero(at >= 0)
-        ids = known.ids
-        got = [ids[i] if i >= 0 else b"" for i in at.tolist()]
+        # Longer words take any place here, and their own ids below.
+        got = list(map((known.ids or [b""]).__getitem__, at.tolist()))
         hit = short[known.hit(at[short], salt[short], limit, np.cumsum(known.size) - known.size)] if rate > 0 else short[:0]
         for k in range(0, len(hit), AGENDA):
             i = hit[k : k + AGENDA]
