@@ -59,7 +59,7 @@ SAMPLE, SAMPLE_RATE = 8, 4
 SHARD, MOST_SHARDS = 1024, 65536
 #: Inside a shard, fingerprints that are compared without further branching.
 PAGE = 1024
-_CHUNK = 1 << 16
+_CHUNK, ROWS_AT_ONCE = 1 << 15, 128
 #: Near copies: words of a shingle, the least similarity of two shingle sets.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of min-hashes, min-hashes of a key, documents of a shard that one task solves.
@@ -387,7 +387,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies if all their words agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # A few rows at a time: their sets are several times their texts.
+        for b in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
             raw = [x.astype("<u8").tobytes() for x in sets]
             cols = [
