@@ -185,7 +185,7 @@ def vantage(points: np.ndarray, rng: np.random.Generator, measure=distance) -> t
 
 def _scan(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, measure=distance) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Close pairs of one page, in blocks: home with home, and visitors with home."""
-    rows = max(1, (1 << 20) // max(1, len(home)))
+    rows = max(1, (1 << 20 if measure is distance else 1 << 17) // max(1, len(home)))
     for at in range(0, len(home), rows):
         block = home[at : at + rows]
         i, j = np.nonzero(measure(fps[block][:, None], fps[home[at:]][None, :]) <= radius)
@@ -335,7 +335,9 @@ def alike(prints: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarra
         return i
 
     for i, j in close_pairs(prints, prints, np.ones(len(sets), bool), WIDE_RADIUS, WIDE_RADIUS, wide_distance):
-        for x, y in zip(i.tolist(), j.tolist()):
+        flat = np.array([find(x) for x in range(len(sets))])
+        apart = flat[i] != flat[j]
+        for x, y in zip(i.compress(apart).tolist(), j.compress(apart).tolist()):
             a, b = find(x), find(y)
             # The sizes bound the similarity; joined documents need no comparison.
             if a != b and min(len(sets[x]), len(sets[y])) >= least * max(len(sets[x]), len(sets[y])) and similarity(sets[x], sets[y]) >= least:
