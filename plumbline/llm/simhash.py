@@ -59,7 +59,7 @@ SAMPLE, SAMPLE_RATE = 8, 4
 SHARD, MOST_SHARDS = 1024, 65536
 #: Inside a shard, fingerprints that are compared without further branching.
 PAGE = 1024
-_CHUNK, ROWS_AT_ONCE = 1 << 15, 128
+_CHUNK, ROWS_AT_ONCE = 1 << 14, 128
 #: Near copies: words of a shingle, the least similarity of two shingle sets.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of min-hashes, min-hashes of a key, documents of a shard that one task solves.
@@ -314,8 +314,14 @@ def slim(found: np.ndarray) -> np.ndarray:
 
 def wide_print(found: np.ndarray) -> np.ndarray:
     """The SimHash of a shingle set, WIDE words: each of the hashes mixed in its own way."""
-    mixed = ((found ^ (found >> np.uint64(31))) * m for m in _ODD[BANDS * ROWS :])
-    return np.array([majority(iter([h ^ (h >> np.uint64(29))])) if len(found) else 0 for h in mixed], np.uint64)
+
+    def mixed(m: np.uint64) -> Iterator[np.ndarray]:
+        for at in range(0, len(found), _CHUNK):
+            h = found[at : at + _CHUNK]
+            h = (h ^ (h >> np.uint64(31))) * m
+            yield h ^ (h >> np.uint64(29))
+
+    return np.array([majority(mixed(m)) for m in _ODD[BANDS * ROWS :]], np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
