@@ -94,7 +94,8 @@ def bm25(index: Index, queries: DataFrame, tokenizer: Callable[[Column], Column]
     hits = index.postings.join(asked, ["bucket", "token"]).join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
     rated = hits.join(index.lengths, "id").join(F.broadcast(index.stats.select("avgdl")), F.lit(True))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rated.groupBy("qid", "id").agg(F.sum(part * F.col("n_q")).alias("score"))
+    # Rounded, so that ties do not depend on the order in which parts are added.
+    return rated.groupBy("qid", "id").agg(F.round(F.sum(part * F.col("n_q")), 9).alias("score"))
 
 
 def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, **how) -> DataFrame:

@@ -32,7 +32,7 @@ _QTOK = f"""qt AS (SELECT qid, token, count(*) AS nq FROM (SELECT qid, unnest(to
 _QTOKENS = "qtok AS (SELECT id, tokens FROM (" + _TOKENS.split("AS (", 1)[1].rsplit(")", 1)[0].replace("FROM docs", f"FROM (SELECT qid AS id, query AS text, 0 AS access_level FROM {Q_SQL}) AS docs") + "))"
 _BM25 = f"""{_VOCAB}, {_QTOKENS}, {_QTOK.replace("SELECT qid AS id, tokens FROM qtok", "SELECT id, tokens FROM qtok")},
 tf AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, dl, unnest(tokens) AS token FROM vt) WHERE token IN (SELECT token FROM qt) GROUP BY id, dl, token),
-sc AS (SELECT qid, id, sum(nq * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN idf USING (token) JOIN qt USING (token), st GROUP BY qid, id),
+sc AS (SELECT qid, id, round(sum(nq * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN idf USING (token) JOIN qt USING (token), st GROUP BY qid, id),
 bm AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM
   (SELECT q.qid, vt.id, coalesce(score, 0) AS score FROM {Q_SQL} CROSS JOIN vt LEFT JOIN sc ON sc.qid = q.qid AND sc.id = vt.id))"""
 _VEC = f"""vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 4),
