@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, mixing, mtree, pii, quality, secrets, sentencepiece_dropout, simhash, url_rules, wavelet
+from plumbline.llm import filter_audit, language, mixing, mtree, pii, quality, secrets, sentencepiece_dropout, simhash, url_rules, warc, wavelet
 from plumbline.llm.common import table, tokenizer_file
 
 
@@ -62,6 +62,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, carry=("doc_id",))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.listing(warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 def queries() -> dict:
     return {
         "op1_mtree_top_k": op1_mtree_top_k,
@@ -74,6 +83,8 @@ def queries() -> dict:
         "op8_pareto_mixing": op8_pareto_mixing,
         "op9_disclosure": op9_disclosure,
         "op10_quality_rules": op10_quality_rules,
+        "op11_warc_archive": op11_warc_archive,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
