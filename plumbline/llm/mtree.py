@@ -9,15 +9,12 @@ routing vector; an entry of a leaf page its vector and that distance. Search tak
 pages best first by the least distance that they allow, and computes a distance only
 where the stored ones do not already exclude the entry by the triangle inequality.
 
-Vectors are dealt to the nearest of some routing vectors, a sample of ROUTES at most. A
-route knows how far its vectors lie from it and how long they are, which bounds every
-product: <q, x> <= <q, r> + |q| radius, and |q| |x|. A route of more than SHARD vectors
-has several shards. The tree of each shard is built once and written down. A query first
-searches the shards of the route nearest to it; its k-th product then shows to which
-other routes it has to go at all. Products are exact: they are integers below 2^53, or,
-where a shard's values are larger, the tree's bounds are widened by the error of doubles
-and what they leave is multiplied as Python integers (a product beyond 64 bits is
-returned as the largest or smallest of them).
+Vectors are dealt to shards of near ones (routes.Shards), the tree of each is built once
+and written down. A query first searches the shards of the route nearest to it; its k-th
+product then shows to which other routes it has to go at all. Products are exact: they
+are integers below 2^53, or, where a shard's values are larger, the tree's bounds are
+widened by the error of doubles and what they leave is multiplied as Python integers (a
+product beyond 64 bits is returned as the largest or smallest of them).
 
 Defined results: vectors that are null, or have null or non-finite components, take
 no part; vectors are compared with those of their own length only; a query is not
@@ -30,20 +27,20 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import written
+from plumbline.llm.routes import Shards, matrix, quantised
 
 K = 10
 SCALE = 1024
-#: Vectors in a shard, about; queries in a block; entries of a page; routing vectors at most.
-SHARD, BLOCK, PAGE, ROUTES = 8192, 8192, 64, 4096
+#: Entries of a page.
+PAGE = 64
 _EXACT = 2.0**52
 _LONG = 2**63 - 1
 
@@ -156,137 +153,34 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
 
 
-class Routes:
-    """Routing vectors of each length, with what is known of the vectors dealt to them."""
-
-    def __init__(self, sample: list[tuple[int, list[int]]]):
-        self.by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in sorted({d for d, _ in sample}):
-            mine = [i for i, (d, _) in enumerate(sample) if d == dim]
-            self.by_dim[dim] = np.array(mine), np.array([sample[i][1] for i in mine], np.float64).reshape(len(mine), dim)
-        self.radius, self.longest = {}, {}
-
-    def nearest(self, dim: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The route of each vector and its distance from it. Lengths without routes have one of their own."""
-        if dim not in self.by_dim:
-            return np.full(len(x), -1 - dim), np.full(len(x), np.inf)
-        names, r = self.by_dim[dim]
-        d2 = (x * x).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2 * (x @ r.T)
-        at = d2.argmin(axis=1)
-        return names[at], np.sqrt(((x - r[at]) ** 2).sum(axis=1))
-
-    def reached(self, dim: int, q: np.ndarray, least: float) -> np.ndarray:
-        """The routes that may hold a product of at least least with the query."""
-        if dim not in self.by_dim:
-            return np.array([-1 - dim])
-        names, r = self.by_dim[dim]
-        length = np.sqrt(float(q @ q))
-        radius, longest = (np.array([m.get(int(n), -1.0) for n in names]) for m in (self.radius, self.longest))
-        most = np.minimum(r @ q + length * radius, length * longest)
-        slack = 1e-6 * (1 + length * (1 + np.maximum(longest, 0)))
-        return names[(radius >= 0) & (most + slack >= least)]
-
-
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component; null where the vector takes no part."""
-    usable = vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return F.when(usable, F.transform(vector, lambda c: F.floor(c.cast("double") * scale).cast("long")))
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score. queries: rows of the same columns."""
 
     def made(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vector)).alias("v"))
+        df = df.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vector), SCALE).alias("v"))
         return df.where(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("dim", F.size("v"))
 
-    data, asked = made(vectors), written(made(queries).distinct(), "queries")
-    counts = {r.dim: r["count"] for r in data.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(ROUTES).collect()}
-    share = max(1, -(-sum(counts.values()) // (ROUTES * SHARD)))
-    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("id", F.lit("route")), "id", "v")
-    wanted = vectors.sparkSession.createDataFrame([(d, -(-n // (SHARD * share))) for d, n in counts.items()], "dim int, n long")
-    # Of each length as many as it has shards, from a bounded draw.
-    few = data.join(F.broadcast(wanted), "dim").withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= F.col("n"))
-    routes = Routes([(r.dim, r.v) for r in few.select("dim", "v").orderBy("dim", "place").limit(2 * ROUTES).collect()])
-
-    def matrix(column: pa.Array, dim: int) -> np.ndarray:
-        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+    def grow(t: pa.Table) -> bytes:
+        return MTree(matrix(t.column("v"), t.column("dim")[0].as_py()), t.column("id").to_numpy()).packed()
 
-    def by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        dims = b.column("dim").to_numpy()
-        for dim in np.unique(dims).tolist():
-            at = np.flatnonzero(dims == dim)
-            yield dim, at, matrix(b.column("v").take(pa.array(at)), dim)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            route, far, long = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for dim, at, x in by_dim(b):
-                x = x.astype(np.float64)
-                route[at], far[at] = routes.nearest(dim, x)
-                long[at] = np.sqrt((x * x).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route), pa.array(far), pa.array(long)], names=[*b.schema.names, "route", "far", "long"])
-
-    dealt = data.mapInArrow(deal, "id long, v array<bigint>, dim int, route long, far double, long double")
-    known = written(dealt.groupBy("route").agg(F.max("far").alias("far"), F.max("long").alias("long"), F.ceil(F.count("*") / SHARD).alias("parts")), "routes")
-    # A row for each route: ROUTES at most, and those of lengths beyond, which are left out.
-    for r in known.where("route >= 0").collect():
-        routes.radius[r.route], routes.longest[r.route] = r.far, r.long
-
-    def grow(key: tuple, t: pa.Table) -> pa.Table:
-        x = matrix(t.column("v"), t.column("dim")[0].as_py())
-        tree = MTree(x, t.column("id").to_numpy())
-        return pa.table({"route": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "tree": pa.array([tree.packed()], pa.large_binary()).cast(pa.binary())})
-
-    part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts"))
-    shards = dealt.join(known.select("route", "parts"), "route").withColumn("part", part).select("route", "part", "id", "v", "dim")
-    trees = written(shards.groupBy("route", "part").applyInArrow(grow, "route long, part long, tree binary"), "trees")
-
-    def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def solve(blob: bytes | None, right: pa.Table) -> pa.Table:
         rows = []
-        if len(left) and len(right):
-            tree = MTree.unpacked(left.column("tree")[0].as_py())
+        if blob is not None:
+            tree = MTree.unpacked(blob)
             q = matrix(right.column("v"), right.column("dim")[0].as_py())
             for i, own in enumerate(right.column("id").to_pylist()):
                 rows += [(own, d, max(-_LONG, min(_LONG, s))) for s, d in tree.search(q[i], own, k)]
         return pa.table({n: pa.array([r[j] for r in rows], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
-    def searched(sent: DataFrame, name: str) -> DataFrame:
-        """sent: queries with the route they go to. The k best of each shard that they meet."""
-        sent = written(sent.join(known.select("route", "parts"), "route"), f"sent-{name}")
-        blocks = sent.groupBy("route").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        sent = sent.join(blocks, "route").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        met = trees.join(blocks, "route").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        key = ["route", "part", "block"]
-        found = met.select(*key, "tree").groupBy(*key).cogroup(sent.select(*key, "id", "v", "dim").groupBy(*key))
-        return written(found.applyInArrow(solve, "query_id long, vec_id long, score long"), name)
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            route = np.zeros(b.num_rows, np.int64)
-            for dim, at, x in by_dim(b):
-                route[at] = routes.nearest(dim, x.astype(np.float64))[0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route)], names=[*b.schema.names, "route"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            least, own = b.column("least").to_pylist(), b.column("route").to_numpy()
-            take, route = [], []
-            for dim, at, x in by_dim(b):
-                for i, q in zip(at.tolist(), x.astype(np.float64)):
-                    go = routes.reached(dim, q, -np.inf if least[i] is None else float(least[i]))
-                    go = go[go != own[i]]
-                    take += [i] * len(go)
-                    route += go.tolist()
-            out = b.select(["id", "v", "dim"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(route, pa.int64())], names=["id", "v", "dim", "route"])
-
-    at_home = written(asked.select("id", "v", "dim").mapInArrow(home, "id long, v array<bigint>, dim int, route long"), "home")
-    first = searched(at_home, "first")
+    shards = Shards(made(vectors), grow)
+    found = "query_id long, vec_id long, score long"
+    at_home = shards.homes(made(queries).distinct())
+    at_home = written(at_home, "home") if shards.n_routes > 1 else at_home
+    first = shards.searched(at_home, solve, found, "first")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least")).distinct()
-    second = searched(at_home.join(kth, "id", "left").mapInArrow(others, "id long, v array<bigint>, dim int, route long"), "second")
-    ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if shards.n_routes > 1:  # else the first search has met every vector
+        kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least")).distinct()
+        away = at_home.join(kth, "id", "left").withColumn("most", F.lit(None).cast("double"))
+        first = first.unionByName(shards.searched(shards.reached(away), solve, found, "second"))
+    ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -103,6 +103,16 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 FROM s
 """
 
+OP12 = r"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)::DOUBLE[] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, r.id, r.label = a.label AS same, list_dot_product(a.e, r.e)::BIGINT AS score FROM v AS a JOIN v AS r ON a.id % 50 = 0 AND r.id <> a.id AND len(r.e) = len(a.e)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same),
+n AS (SELECT anchor_id, positive_id, place, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, place ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE place <= 5 AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 #: Every order is gone through step by step here, over the counts of masks.
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
@@ -130,5 +140,6 @@ SQL = {
     "op8_pareto_mixing": OP8,
     "op10_quality_rules": OP10,
     "op11_warc_archive": OP11,
+    "op12_ball_tree_negatives": OP12,
     "op13_filter_audit": OP13,
 }

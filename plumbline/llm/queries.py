@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import filter_audit, language, mixing, mtree, pii, quality, secrets, sentencepiece_dropout, simhash, url_rules, warc, wavelet
+from plumbline.llm import filter_audit, hard_negatives, language, mixing, mtree, pii, quality, secrets, sentencepiece_dropout, simhash, url_rules, warc, wavelet
 from plumbline.llm.common import table, tokenizer_file
 
 
@@ -66,6 +66,12 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.listing(warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
+def op12_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, label=label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -84,6 +90,7 @@ def queries() -> dict:
         "op9_disclosure": op9_disclosure,
         "op10_quality_rules": op10_quality_rules,
         "op11_warc_archive": op11_warc_archive,
+        "op12_ball_tree_negatives": op12_ball_tree_negatives,
         "op13_filter_audit": op13_filter_audit,
     }
 

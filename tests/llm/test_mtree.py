@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from plumbline.llm import mtree
+from plumbline.llm import mtree, routes
 
 
 def brute(rows, ids, k=10):
@@ -23,7 +23,7 @@ def got(spark, rows, ids, kind="float"):
 
 
 def test_documents_match_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(mtree, "SHARD", 100)
+    monkeypatch.setattr(routes, "SHARD", 100)
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     out = mtree.top_k(df, df.where("vec_id % 100 = 0")).collect()
@@ -52,12 +52,12 @@ def scan(x, ids, q, own, k):
     return each[:k]
 
 
-@pytest.mark.parametrize("routes", [4096, 3])
-def test_routes_lose_nothing_and_spare_shards(spark, monkeypatch, routes):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_routes_lose_nothing_and_spare_shards(spark, monkeypatch, most):
     """Clusters over many shards, one of them a third of all, and ties: exact, with few shards met."""
-    monkeypatch.setattr(mtree, "SHARD", 150)
-    monkeypatch.setattr(mtree, "BLOCK", 20)
-    monkeypatch.setattr(mtree, "ROUTES", routes)
+    monkeypatch.setattr(routes, "SHARD", 150)
+    monkeypatch.setattr(routes, "BLOCK", 20)
+    monkeypatch.setattr(routes, "ROUTES", most)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 8)) * 3
     which = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 30, 3000))
