@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, whole, words
+from plumbline.llm.common import WORD, whole, words, written
 
 #: The limits of the filters.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 50, 65, 5, "[#$%&*|]"
@@ -57,9 +57,11 @@ def masked(docs: DataFrame, filters: dict[str, Column], repeats: str | None = "E
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), bits.alias("mask"), *([digest.alias("digest")] if repeats else []))
     if not repeats:
         return rows, letters
-    first = docs.select(digest.alias("digest"), F.col(doc_id).alias("id")).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = written(rows, "masks")  # texts are read once
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
-    rows = rows.join(first.drop("n"), "digest", "left")
+    # Both sides are plain tables, so that Spark can divide a digest of many copies.
+    rows = rows.join(written(first, "repeated"), "digest", "left")
     return rows.select("doc_id", "part", (F.col("mask") + F.when(again, 1 << len(letters)).otherwise(0)).alias("mask")), letters + repeats
 
 
