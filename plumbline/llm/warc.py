@@ -90,6 +90,9 @@ def archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id",
     slim = pages.sparkSession.read.schema(slim.schema).parquet(f"{path}/rows")
     heads = slim.groupBy("key").agg(F.max(F.struct("page_id", "place")).alias("last"), F.count("*").alias("n"))
     same = heads.where("n > 1").select("key", F.col("last.place").alias("first_place"), F.col("last.page_id").alias("first_id"), "n")
+    # A table of its own, so that Spark can divide a payload of many copies in the join.
+    same.write.parquet(f"{path}/same")
+    same = pages.sparkSession.read.schema(same.schema).parquet(f"{path}/same")
     df = slim.join(same, "key", "left").withColumn("revisit", F.coalesce((F.col("size") >= least) & (F.col("place") != F.col("first_place")), F.lit(False)))
     target = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1F\\x7F]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("size").cast("string"), F.lit(_END + _END))
