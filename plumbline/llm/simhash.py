@@ -25,8 +25,11 @@ prunes anything. So there the shards are dealt out by min-hashes (BANDS keys of
 min-hashes each: a pair of 0.8 shares one with a probability of 0.99, of 0.9 with 0.9999),
 and the vantage-point trees work inside a shard, over WIDE words of fingerprint, with a
 radius that such pairs exceed once in a million. What they find is compared by the whole
-shingle sets. A shard of more than MOST documents is solved in parts; of each class found
-in a part its first document goes on to the next round, where parts are dealt anew.
+shingle sets. A shard of more than MOST sets is solved in parts, and to the end: leaders of
+the classes found so far meet in new parts while that joins many, and then every part meets
+every other, except those that hold one and the same class. So a group of near copies of
+any size becomes one class at little cost; what grows with the square of a shard, in blocks,
+are sets beyond MOST that share a key and are not alike.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any
 other; texts of fewer words than a shingle have one shingle; repeated rows share
@@ -330,9 +333,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def alike(prints: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
-    """For each document of a shard the first one that similar pairs join it to."""
-    root = list(range(len(sets)))
+def alike(prints: np.ndarray, sets: list[np.ndarray], least: float, known: list[int] | None = None) -> np.ndarray:
+    """For each document of a shard the first one that similar pairs join it to. known:
+    for each document an earlier one, or itself, that it is joined to already."""
+    root = list(range(len(sets))) if known is None else list(known)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -351,41 +355,98 @@ def alike(prints: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarra
     return np.array([find(i) for i in range(len(sets))])
 
 
+_SHARD = ["band", "key"]
+
+
+def _solved(rows: DataFrame, details: DataFrame, least: float, by: list[str]) -> DataFrame:
+    """Links (a, b) that join the alike sets of each group, written. rows: node, class (that
+    of nodes joined already) and the columns of by."""
+
+    def solve(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        nodes, classes = group.column("node").to_pylist(), group.column("class").to_pylist()
+        first: dict[str, int] = {}
+        known = [first.setdefault(c, i) for i, c in enumerate(classes)]
+        prints = np.array([np.frombuffer(x.as_py(), "<u8") for x in group.column("print")], np.uint64).reshape(len(group), WIDE)
+        root = alike(prints, [np.frombuffer(x.as_py(), "<u4") for x in group.column("shingles")], least, known)
+        # One link for each class that joined another.
+        new = [i for i in sorted(first.values()) if root[i] != i]
+        return pa.table({"a": pa.array([nodes[i] for i in new], pa.string()), "b": pa.array([nodes[root[i]] for i in new], pa.string())})
+
+    whole = rows.join(details, "node").select(*by, "node", "class", "print", "shingles")
+    return written(whole.groupBy(*by).applyInArrow(solve, "a string, b string"), "solved")
+
+
+def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with the class that the links found so far give them."""
+    roots = components(found)
+    return written(members.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root"), "classed")
+
+
 def near_links(marked: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """marked: a written table with node (a digest of the shingle set), keys, print and
     shingles. Gives links (a, b) between the nodes of similar sets, never all pairs. Only
     the sets of documents that share a key with another are dealt out."""
-    details = None
     members = marked.select("node", F.posexplode("keys").alias("band", "key")).distinct()
-    found = None
-
-    def solve(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        nodes = group.column("node").to_pylist()
-        prints = np.array([np.frombuffer(x.as_py(), "<u8") for x in group.column("print")], np.uint64).reshape(len(group), WIDE)
-        root = alike(prints, [np.frombuffer(x.as_py(), "<u4") for x in group.column("shingles")], least)
-        band, at, n = group.column("band")[0].as_py(), group.column("key")[0].as_py(), len(nodes)
-        return pa.table({"a": nodes, "b": [nodes[r] for r in root.tolist()], "band": pa.array([band] * n, pa.int32()), "key": pa.array([at] * n, pa.int64())})
-
-    for turn in range(16):
-        counts = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = written(members.join(counts, ["band", "key"]), "shared")
-        if shared.isEmpty():
-            break
-        if details is None:
-            # Of each node once, before anything is dealt out: copies don't gather in a task.
-            once = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
-            details = written(once.join(shared.select("node").distinct(), "node", "left_semi"), "details")
+    counts = members.groupBy(*_SHARD).agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.join(written(counts, "counts"), _SHARD), "shared")
+    if shared.isEmpty():
+        return marked.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    # Of each node once, before anything is dealt out: copies don't gather in a task.
+    once = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
+    details = written(once.join(shared.select("node").distinct(), "node", "left_semi"), "details")
+    part = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / MOST))
+    found = [_solved(shared.withColumns({"part": part, "class": F.col("node")}), details, least, [*_SHARD, "part"])]
+    hot = written(shared.where(F.col("n") > MOST).drop("n"), "hot")
+
+    def linked() -> DataFrame:
+        out = found[0]
+        for df in found[1:]:
+            out = out.unionByName(df)
+        return out.distinct()
+
+    if hot.isEmpty():
+        return linked()
+    turn = 0
+    while True:
+        # The least node of each class, in shards that are not one class yet.
+        classed = _classed(hot, linked())
+        leaders = classed.groupBy(*_SHARD, "class").agg(F.min("node").alias("node"))
+        left = leaders.groupBy(*_SHARD).agg(F.count("*").alias("n")).where("n > 1")
+        leaders = written(leaders.join(written(left, "left"), _SHARD), "leaders")
+        if leaders.isEmpty():
+            return linked()
+        turn += 1
         part = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / MOST))
-        rows = shared.withColumn("part", part).join(details, "node").select("band", "key", "part", "node", "print", "shingles")
-        solved = written(rows.groupBy("band", "key", "part").applyInArrow(solve, "a string, b string, band int, key long"), "solved")
-        new = solved.where("a <> b").select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        # Only shards in parts go on, with the first document of each class.
-        many = counts.where(F.col("n") > MOST).select("band", "key")
-        members = written(solved.where("a = b").join(many, ["band", "key"], "left_semi").select(F.col("a").alias("node"), "band", "key"), "leaders")
-    empty = marked.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    return empty if found is None else found.distinct()
+        new = _solved(leaders.withColumn("part", part), details, least, [*_SHARD, "part"])
+        found.append(new)
+        # While a round joins a tenth of the leaders, another one is cheaper than all parts.
+        if 10 * new.count() < leaders.count():
+            break
+    found.append(_crossed(_classed(hot, linked()), details, least))
+    return linked()
+
+
+def _crossed(classed: DataFrame, details: DataFrame, least: float) -> DataFrame:
+    """Links between the sets of shards that are solved in parts: every part with every
+    other. Classes that fill a part have parts of their own, which don't meet each other."""
+    size = MOST // 2
+    sizes = classed.groupBy(*_SHARD, "class").agg(F.count("*").alias("n"))
+    large = F.when(F.col("n") >= size, F.col("class")).otherwise("")
+    parts = sizes.withColumn("own", large).groupBy(*_SHARD, "own").agg(F.ceil(F.sum("n") / size).alias("parts"))
+    many = written(sizes.where(F.col("n") >= size).select(*_SHARD, "class", F.lit(True).alias("large")), "large")
+    parts = written(parts, "parts")
+    place = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+    rows = classed.join(many, [*_SHARD, "class"], "left").withColumn("own", F.when(F.col("large"), F.col("class")).otherwise(""))
+    rows = rows.join(parts, [*_SHARD, "own"]).select(*_SHARD, "node", "class", F.struct("own", place.alias("place")).alias("part"))
+    each = parts.select(*_SHARD, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct("own", i.alias("place")))).alias("part"))
+    # A row for two parts, not for two sets.
+    one, two = each.withColumnRenamed("part", "one"), each.withColumnRenamed("part", "two")
+    both = one.join(two, _SHARD).where((F.col("one") < F.col("two")) & ((F.col("one.own") != F.col("two.own")) | (F.col("one.own") == "")))
+    alone = parts.groupBy(*_SHARD).agg(F.sum("parts").alias("n")).where("n = 1").join(each, _SHARD).select(*_SHARD, F.col("part").alias("one"), F.col("part").alias("two"))
+    pairs = both.unionByName(alone)
+    sent = pairs.select(*_SHARD, "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("part"))
+    return _solved(sent.join(rows, [*_SHARD, "part"]), details, least, [*_SHARD, "one", "two"])
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:

@@ -187,6 +187,38 @@ def test_near_copies_of_five_words_and_08(spark, monkeypatch, most):
     assert len(kept - first) <= 0.02 * (len(texts) - len(first)) and len(first) < 260
 
 
+@pytest.mark.parametrize("most", [4096, 8])
+def test_split_shards_lose_no_pair(spark, monkeypatch, most):
+    """Chains whose ends are not alike, and a shard of near copies, in parts of a few sets:
+    what one shard finds, its parts find too, also between documents that lead no class."""
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 9000, 400)]
+    texts, step = [], list(words)
+    for k in range(60):  # each alike to the next ones only
+        for i in rng.choice(400, 5, replace=False):
+            step[i] = f"k{k}x{i}"
+        texts.append(" ".join(step))
+    body = [f"v{i}" for i in rng.integers(0, 9000, 300)]
+    texts += [edited(body, 2, rng, f"c{i}") for i in range(40)]
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string")
+    # One key for all, so that the shard is as large as it can be.
+    monkeypatch.setattr(simhash, "min_keys", lambda found: [1])
+    want = {(0, texts[0]), (60, texts[60])}
+    assert len(set(brute_similar(texts))) == 2
+    assert {(r.doc_id, r.text) for r in simhash.representatives(docs).collect()} == want
+
+
+def test_unlike_sets_of_one_key_end(spark, monkeypatch):
+    """More sets than a part holds, none alike: every part meets every other, and nothing is joined."""
+    monkeypatch.setattr(simhash, "MOST", 10)
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 9000, 30))) for i in range(45)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "min_keys", lambda found: [1])
+    assert simhash.representatives(docs).count() == 45
+
+
 def test_near_copies_of_documents_match_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
