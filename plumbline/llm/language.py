@@ -5,10 +5,11 @@ and the language of the smallest result is the prediction. The score is how much
 smaller that is than the next, as a share of the next; predictions of a narrow margin
 are marked as rejected. Ties go to the language with more documents to learn from.
 
-Learning takes a bounded sample: of each of the LANGUAGES labels with most documents the
-SAMPLE documents of the smallest keyed hash, at most SLICE characters of each, DICTIONARY
-bytes in all. Texts are compressed whole. Case and all that is no letter is levelled
-first, so symbols and numbers don't vote.
+Learning takes a bounded sample: of each label the SAMPLE documents of the smallest keyed
+hash, at most SLICE characters of each, DICTIONARY bytes in all. Every label is learned:
+dictionaries are joined where their documents are, and where there are so many labels that
+they would exceed BUDGET bytes together, each has an equal share of it. Texts are compressed
+whole. Case and all that is no letter is levelled first, so symbols and numbers don't vote.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is
 every text if nothing was learned; with one language learned the score is 1; null
@@ -34,7 +35,8 @@ from plumbline.llm.common import carried
 SAMPLE = 400
 SLICE = 2000
 DICTIONARY = 110_000
-LANGUAGES = 500
+#: Bytes of all dictionaries together.
+BUDGET = 64_000_000
 #: Documents whose hashes are looked at before the smallest are taken, as a multiple of SAMPLE.
 MARGIN = 4
 #: Margins below this share of the runner-up's size are narrow.
@@ -54,17 +56,17 @@ def levelled(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """Dictionaries by language, those with more documents first. The sample that
-    reaches the driver is LANGUAGES * SAMPLE * SLICE characters at most."""
+    """Dictionaries by language, those with more documents first. BUDGET bytes, and a
+    count for each label, reach the driver."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = known.select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("lang")).alias("h"), F.substring(F.col(text), 1, SLICE).alias("t"))
-    counted = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    sizes = {r.l: r["count"] for r in counted}
+    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     if not sizes:
         return []
+    most = min(DICTIONARY, BUDGET // len(sizes))
 
     def below(limits: dict[str, int]) -> DataFrame:
-        # LANGUAGES rows at most.
+        # A row for each label.
         table = labelled.sparkSession.createDataFrame(list(limits.items()), "l string, most long")
         return rows.join(F.broadcast(table), "l").where(F.col("h") <= F.col("most"))
 
@@ -74,11 +76,15 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     # Repeated ids share a hash, so a limit may leave too few; then all take part.
     limits = {k: m if enough.get(k, 0) >= min(SAMPLE, sizes[k]) else 2**63 - 1 for k, m in limits.items()}
     order = Window.partitionBy("l").orderBy("h", "t")
-    found = below(limits).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).orderBy("l", "n")
-    texts: dict[str, list[bytes]] = {}
-    for r in found.select("l", "t").collect():
-        texts.setdefault(r.l, []).append(levelled(r.t))
-    joined = [(k, b"\n".join(x for x in v if x)[:DICTIONARY]) for k, v in texts.items()]
+    found = below(limits).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+
+    def join(group: pa.Table) -> pa.Table:
+        texts = group.sort_by("n").column("t").to_pylist()
+        content = b"\n".join(x for x in map(levelled, texts) if x)[:most]
+        return pa.table({"l": group.column("l").slice(0, 1).cast(pa.string()), "content": pa.array([content], pa.binary())})
+
+    # SAMPLE rows of a label at most.
+    joined = [(r.l, bytes(r.content)) for r in found.groupBy("l").applyInArrow(join, "l string, content binary").collect()]
     return sorted((x for x in joined if x[1]), key=lambda x: (-sizes[x[0]], x[0]))
 
 

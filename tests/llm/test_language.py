@@ -1,8 +1,11 @@
+import random
+import re
+import unicodedata
 import zlib
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import language
+from plumbline.llm import language, queries
 from tests.llm.helpers import ODD, empty, odd
 
 
@@ -52,3 +55,62 @@ def test_the_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
     for k in ("de", "fr", "en"):
         want = [r.text for r in sorted((r for r in hashed if r.lang == k), key=lambda r: (r.h, r.text))][:20]
         assert found[k] == b"\n".join(map(language.levelled, want))
+
+
+def learned(rows, most=language.DICTIONARY):
+    """rows: (lang, hash, text). The dictionaries as the definition says, without Spark."""
+    found = {}
+    for lang in {r[0] for r in rows if r[0] is not None and r[2] is not None}:
+        mine = sorted((h, t[: language.SLICE]) for k, h, t in rows if k == lang and t is not None)
+        found[lang] = (len(mine), b"\n".join(x for x in (plainly(t) for _, t in mine[: language.SAMPLE]) if x)[:most])
+    return found
+
+
+def plainly(text):
+    """Lower case, runs of what is no letter as one space."""
+    out, space = [], False
+    for c in text.lower():
+        if (c.isalnum() or unicodedata.category(c) in ("Mn", "Mc")) and not c.isdecimal() and re.match(r"\w", c):
+            out += [" ", c] if space and out else [c]
+            space = False
+        else:
+            space = True
+    return "".join(out).encode() if any(c.isalpha() for c in out) else b""
+
+
+def test_every_row_equals_compression_one_by_one(spark, sf):
+    """Dictionaries, compressed sizes, prediction, score and rejection of every document, computed a second way."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hashed = docs.selectExpr("doc_id", "lang", "xxhash64(cast(doc_id as string), 'lang') as h", "text").collect()
+    teach = [(r.lang, r.h, r.text) for r in hashed if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    want = learned(teach)
+    params = dict(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=17, chain_log=17, search_log=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+    how = zstandard.ZstdCompressionParameters(**params)
+    got = {r.doc_id: r for r in queries.op3_zstd_language(spark, sf).collect()}
+    assert len(got) == len(hashed)
+    for r in hashed:
+        body = plainly(r.text or "")
+        sizes = []
+        for lang, (n, content) in want.items():
+            fresh = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            sizes.append((len(fresh.compress(body)), -n, lang))
+        best, second = sorted(sizes)[:2]
+        row, score = got[r.doc_id], (second[0] - best[0]) / second[0]
+        assert row.lang_pred == (best[2] if body else "und"), r.doc_id
+        assert abs(row.score - (score if body else 0)) < 1e-12 and row.rejected == (row.score < language.NARROW)
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """More labels than their dictionaries have room for: each has a share, and is predicted."""
+    monkeypatch.setattr(language, "BUDGET", 600 * 900)
+    rng = random.Random(3)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40)] for _ in range(600)]
+    rows = [(k * 3 + c, " ".join(rng.choices(words[k], k=45 if c < 2 else 90)), f"l{k:03}") for k in range(600) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.learn(docs.where("doc_id % 3 < 2"))
+    assert len(known) == 600 and all(0 < len(c) <= 900 for _, c in known)
+    asked = docs.where("doc_id % 3 = 2 and doc_id % 60 = 2")
+    held = language.predict(asked, known, carry=("lang",)).collect()
+    assert len(held) == 30 and sum(r.lang == r.lang_pred for r in held) >= 29
