@@ -43,12 +43,14 @@ def top(df: DataFrame, k: int, score: str, by: str = "qid", tie: str = "id", ran
 class Index:
     """A stored BM25 index. postings: bucket, token, id, tf, in folders by bucket of the
     token; tokens: bucket, token, n_docs_with, idf; lengths: id, dl of every text; stats:
-    one row of n_docs, avgdl, n_tokens, mean_idf."""
+    one row of n_docs, avgdl, n_tokens, mean_idf. key: what names a text in postings and
+    lengths; postings of texts that lengths don't have are passed over."""
 
     postings: DataFrame
     tokens: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    key: tuple[str, ...] = ("id",)
 
 
 def bucket(token: Column | str = "token") -> Column:
@@ -66,14 +68,21 @@ def build_index(texts: DataFrame, path: str | None = None, rows: Callable[[DataF
     lengths = stored(every.groupBy("id").agg(F.sum("tf").alias("dl")), "lengths", path)
     n = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     vocab = postings.groupBy("bucket", "token").agg(F.count("*").alias("n_docs_with"))
+    tokens, stats = rated_tokens(vocab, n, path, epsilon)
+    return Index(postings, tokens, lengths, stored(stats, "stats", path))
+
+
+def rated_tokens(vocab: DataFrame, totals: DataFrame, path: str | None = None, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
+    """vocab: bucket, token, n_docs_with; totals: one row of n_docs, avgdl. Gives the tokens
+    with their idf, and the row of statistics. Idf below zero becomes a share of the mean."""
     df = F.col("n_docs_with")
     # One row of totals.
-    rated = stored(vocab.join(F.broadcast(n), F.lit(True)).withColumn("raw", F.log(F.col("n_docs") - df + 0.5) - F.log(df + 0.5)), "rated", path)
+    rated = stored(vocab.join(F.broadcast(totals), F.lit(True)).withColumn("raw", F.log(F.col("n_docs") - df + 0.5) - F.log(df + 0.5)), "rated", path)
     mean = rated.agg(F.count("*").alias("n_tokens"), F.avg("raw").alias("mean_idf"))
-    stats = stored(n.join(F.broadcast(mean), F.lit(True)), "stats", path)
+    stats = totals.join(F.broadcast(mean), F.lit(True))
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
-    tokens = rated.join(F.broadcast(stats.select("mean_idf")), F.lit(True)).select("bucket", "token", "n_docs_with", idf.alias("idf"))
-    return Index(postings, tokens, lengths, stats)
+    tokens = rated.join(F.broadcast(mean.select("mean_idf")), F.lit(True)).select("bucket", "token", "n_docs_with", idf.alias("idf"))
+    return tokens, stats
 
 
 def open_index(spark: SparkSession, path: str, epsilon: float = EPSILON) -> Index:
@@ -92,7 +101,7 @@ def bm25(index: Index, queries: DataFrame, tokenizer: Callable[[Column], Column]
     asked = queries.select("qid", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("n_q"))
     asked = small(asked.withColumn("bucket", bucket()))
     hits = index.postings.join(asked, ["bucket", "token"]).join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
-    rated = hits.join(index.lengths, "id").join(F.broadcast(index.stats.select("avgdl")), F.lit(True))
+    rated = hits.join(index.lengths, list(index.key)).join(F.broadcast(index.stats.select("avgdl")), F.lit(True))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # Rounded, so that ties do not depend on the order in which parts are added.
     return rated.groupBy("qid", "id").agg(F.round(F.sum(part * F.col("n_q")), 9).alias("score"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import access, context, expansion, retrieval
-from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, Q_SQL, chunks, documents, load, queries, vectors
+from plumbline.operators.segments import Segments
+from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, Q_SQL, chunks, documents, load, queries, search_index, vectors
 from plumbline.plans.text_queries import _TOKENS
+from plumbline.sources.stores import fresh, shared_dir
 
 QUERIES: dict = {}
 
@@ -40,8 +44,7 @@ ve AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[
 vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ve)"""
 
 
-def _index(spark, sf):
-    return retrieval.build_index(_texts(spark, sf))
+_index = search_index
 
 
 def _bm25(spark, sf, k=retrieval.TOP_K):
@@ -52,6 +55,42 @@ def _vector(spark, sf, k=retrieval.TOP_K):
     return retrieval.vector_top(access.visible(vectors(spark, sf), LEVEL), queries(spark, sf), k)
 
 
+@query(f"WITH {_VOCAB} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM voc) AS n_tokens FROM st")
+def bm25_build(spark, sf):
+    """Tokenises and writes the index, if no query of this state of the table has done so."""
+    return _index(spark, sf).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_tokens")
+
+
+def _maintained(spark, sf):
+    """An index built over even ids, to which the others are appended, and some of both twice; ids divisible by 7 are deleted."""
+    docs = documents(spark, sf)
+    kept = Segments(spark, f"{shared_dir(spark)}/kept-{fresh()}")
+    kept.append(docs.where("id % 2 = 0").withColumn("text", F.when(F.col("id") % 10 == 0, "an older text").otherwise(F.col("text"))))
+    kept.append(docs.where("id % 2 = 1 OR id % 10 = 0"))
+    kept.delete(docs.where("id % 7 = 0").select("id"))
+    return kept
+
+
+_LEFT = f"access_level <= {LEVEL}"
+
+
+@query(f"WITH {_BM25.replace(_LEFT, _LEFT + ' AND id % 7 > 0')} SELECT qid, id, rank, round(score, 6) AS score FROM bm WHERE rank <= 30")
+def bm25_segments(spark, sf):
+    """BM25 after appends, replacements and deletes: what a new index would give."""
+    index, _ = _maintained(spark, sf).view(LEVEL, time.time())
+    return retrieval.bm25_top(index, queries(spark, sf)).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25.replace(_LEFT, 'access_level <= 20 AND id % 7 > 0')} SELECT qid, id, rank, round(score, 6) AS score FROM bm WHERE rank <= 30")
+def bm25_compacted(spark, sf):
+    """The same of another level, once the segments are compacted and old files swept."""
+    kept = _maintained(spark, sf)
+    kept.compact(least=10**9)
+    kept.sweep()
+    index, _ = kept.view(20, time.time())
+    return retrieval.bm25_top(index, queries(spark, sf)).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_VOCAB} SELECT token, df AS n_docs_with FROM voc")
 def doc_frequency(spark, sf):
     return _index(spark, sf).tokens.select("token", "n_docs_with")
@@ -155,7 +194,7 @@ _HYBRID = f"""{_EXPANDED}, {_RERANK.replace(_QTOKENS, _QTOKENS + ", " + _EX_TOKE
 def _search(spark, sf):
     v = access.visible(vectors(spark, sf), LEVEL)
     texts, synonyms = _texts(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)
-    index = retrieval.build_index(texts)
+    index = search_index(spark, sf)
     return lambda asked: retrieval.hybrid(index, texts, v, asked, synonyms)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import structure
+from plumbline.operators import retrieval, structure
+from plumbline.operators.segments import Segments
+from plumbline.sources.stores import shared_dir, signature
 
 LEVEL = 50
 LONG_QUERY = "licensed under the terms of this password token and the license"
@@ -41,6 +45,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.fixed_chunks(documents(spark, sf_dir), carry=("access_level",)).withColumn("chunk_id", F.concat_ws("_", "id", "chunk_index"))
 
 
+def search_index(spark: SparkSession, sf_dir: str, level: int = LEVEL) -> retrieval.Index:
+    """The stored index of the documents, for readers of a level: built by the first query
+    of a state of the table, and opened by all others."""
+    at = f"{sf_dir}/documents.parquet"
+    kept = Segments(spark, f"{shared_dir(spark)}/bm25-{signature(spark, at)}")
+    if not kept.version():
+        kept.append(documents(spark, sf_dir))
+    return kept.view(level, time.time())[0]
+
+
 #: Relations that several oracles share.
 DOCS = "docs AS (SELECT doc_id AS id, text, source, lang, doc_id % 100 + 1 AS access_level, doc_id % 10 AS uploaded_by FROM documents)"
 CHUNKS = DOCS + """,

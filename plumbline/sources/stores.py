@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -30,6 +31,34 @@ def stored(df: DataFrame, name: str, path: str | None = None, *partitions: str)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, ascending; none if it is absent."""
+    at, fs = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """Tells one state of a table's files from another: their names, sizes and times."""
+    at, fs = _file_system(spark, path)
+    files = fs.listStatus(at)
+    return hashlib.md5("\n".join(sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in files)).encode()).hexdigest()
+
+
 def fresh() -> str:
     """A name that no other table has."""
     return uuid.uuid4().hex
