@@ -137,8 +137,9 @@ def norm(v: str) -> Column:
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Exact cosine similarity. vectors: id, v. queries: qid, qv. Each task keeps k
-    rows of each query before the shuffle."""
+    """Exact cosine similarity of every vector and query, for few of either; VectorIndex.top
+    gives the same of many. vectors: id, v. queries: qid, qv. Each task keeps k rows of
+    each query before the shuffle."""
     right = small(queries.select("qid", "qv").withColumn("qn", norm("qv")))
     left = vectors.select("id", "v").withColumn("n", norm("v"))
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
@@ -211,15 +212,16 @@ def reranked(hits: DataFrame, texts: DataFrame, queries: DataFrame, k: int = RER
 
 
 def hybrid(
-    index: Index, texts: DataFrame, vectors: DataFrame, queries: DataFrame, synonyms: DataFrame, top_k: int = TOP_K, rerank_k: int = RERANK_K,
+    index: Index, texts: DataFrame, nearest: Callable[[DataFrame, int], DataFrame], queries: DataFrame, synonyms: DataFrame, top_k: int = TOP_K, rerank_k: int = RERANK_K,
     tokenizer: Callable[[Column], Column] = text.tokens, logit: Callable[[Column, Column], Column] = overlap_logit,
 ) -> DataFrame:
     """Vector and BM25 search, fusion, reranking, threshold, for all queries in one plan.
-    queries: qid, query, qv; those without a vector are answered by words alone. BM25
+    nearest: the k best of each query by vector, such as VectorIndex.top. queries: qid,
+    query, qv; those without a vector are answered by words alone. BM25
     scores the query expanded by synonyms, the reranker the query as it is."""
     expanded = expansion.expand_smart(queries.select("qid", "query"), synonyms).select("qid", F.col("expanded").alias("query"))
     words = bm25_top(index, expanded, top_k, tokenizer=tokenizer)
-    fused = rrf(vector_top(vectors, queries.where(F.col("qv").isNotNull()), top_k), words)
+    fused = rrf(nearest(queries.where(F.col("qv").isNotNull()).select("qid", "qv"), top_k), words)
     best = adaptive_threshold(reranked(fused, texts, queries, rerank_k, logit))
     return best.select("qid", "id", "text", "sides", "score", "rrf_score", "rerank_score", "final_rank")
 

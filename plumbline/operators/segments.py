@@ -103,6 +103,8 @@ class Segments:
 
     def _take_out(self, entries: list[tuple[str, str, int]], ids: DataFrame) -> list[tuple[str, str, int]]:
         """Writes the living texts among ids as gone; no entry if there is none."""
+        if not any(k == "segment" for k, _, _ in entries):
+            return []
         name = fresh()
         place = f"{self.path}/gone/{name}"
         hit = stored(self._living(entries).join(ids.select("id").distinct(), "id", "left_semi").select("segment", "id", "dl", "level"), "ids", place)
@@ -189,7 +191,7 @@ class Segments:
         below = F.col("level") <= level
         both = lambda table, schema: self._read(entries, "segment", table, schema).unionByName(self._read(entries, "gone", table, schema)).where(below)
         stored(self._living(entries).where(below).select("segment", "id", "dl"), "lengths", here)
-        total = both("totals", _TOTALS).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), (F.sum("dl") / F.sum("n_docs")).alias("avgdl"))
+        total = both("totals", _TOTALS).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.try_divide(F.sum("dl"), F.sum("n_docs")).alias("avgdl"))
         vocab = both("vocab", _VOCAB).groupBy("bucket", "token").agg(F.sum("n").alias("n_docs_with")).where("n_docs_with > 0")
         tokens, stats = rated_tokens(vocab, total, here, epsilon)
         stored(tokens, "tokens", here)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import access, context, expansion, retrieval
 from plumbline.operators.segments import Segments
-from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, Q_SQL, chunks, documents, load, queries, search_index, vectors
+from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, Q_SQL, chunks, documents, load, queries, search_index, stored_vectors, vectors
 from plumbline.plans.text_queries import _TOKENS
 from plumbline.sources.stores import fresh, shared_dir
 
@@ -51,8 +51,13 @@ def _bm25(spark, sf, k=retrieval.TOP_K):
     return retrieval.bm25_top(_index(spark, sf), queries(spark, sf), k)
 
 
+def _nearest(spark, sf, **how):
+    visible = F.col("access_level") <= LEVEL
+    return lambda asked, k: stored_vectors(spark, sf).top(asked, k, where=visible, **how)
+
+
 def _vector(spark, sf, k=retrieval.TOP_K):
-    return retrieval.vector_top(access.visible(vectors(spark, sf), LEVEL), queries(spark, sf), k)
+    return _nearest(spark, sf)(queries(spark, sf), k)
 
 
 @query(f"WITH {_VOCAB} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM voc) AS n_tokens FROM st")
@@ -121,6 +126,7 @@ def bm25_topk(spark, sf):
 
 @query(f"WITH {_VEC} SELECT qid, id, rank, round(score, 6) AS score FROM vr WHERE rank <= 30 AND qid = 0")
 def vector_topk(spark, sf):
+    """One query against every vector, without an index."""
     v = access.visible(vectors(spark, sf), LEVEL)
     return retrieval.vector_top(v, queries(spark, sf).where("qid = 0")).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -130,6 +136,28 @@ def vector_topk_batch(spark, sf):
     return _vector(spark, sf).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+_MANY = """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 9) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+def _many(spark, sf):
+    return vectors(spark, sf).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+
+
+@query(f"WITH {_MANY} SELECT qid, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def vector_index_topk(spark, sf):
+    """A twentieth of all vectors as queries against all, exact, through the stored index."""
+    return stored_vectors(spark, sf).top(_many(spark, sf), 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_probe(spark, sf):
+    """The same by the nearest cells alone, as many as their measured recall asks for."""
+    index = stored_vectors(spark, sf)
+    return index.top(_many(spark, sf), 10, probes=index.probes()).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
 _RRF = f"""{_BM25}, {_VEC}, parts AS (SELECT qid, id, 0.7::DOUBLE / (60 + rank) AS p, 'vector' AS s, score FROM vr WHERE rank <= 30 UNION ALL SELECT qid, id, 0.3::DOUBLE / (60 + rank), 'bm25', score FROM bm WHERE rank <= 30),
 rr AS (SELECT qid, id, round(sum(p), 12) AS rrf_score, string_agg(s, '+' ORDER BY s) AS sides, arg_max(score, s) AS score FROM parts GROUP BY qid, id),
 fu AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, id) AS rank FROM rr)"""
@@ -192,10 +220,9 @@ _HYBRID = f"""{_EXPANDED}, {_RERANK.replace(_QTOKENS, _QTOKENS + ", " + _EX_TOKE
 
 
 def _search(spark, sf):
-    v = access.visible(vectors(spark, sf), LEVEL)
     texts, synonyms = _texts(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)
     index = search_index(spark, sf)
-    return lambda asked: retrieval.hybrid(index, texts, v, asked, synonyms)
+    return lambda asked: retrieval.hybrid(index, texts, _nearest(spark, sf), asked, synonyms)
 
 
 @query(f"WITH {_HYBRID} SELECT qid, id, sides, round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, rerank_score, final_rank FROM hy")

@@ -7,9 +7,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import retrieval, structure
+from plumbline.operators import retrieval, structure, vector_index
 from plumbline.operators.segments import Segments
-from plumbline.sources.stores import shared_dir, signature
+from plumbline.sources.stores import exists, shared_dir, signature
 
 LEVEL = 50
 LONG_QUERY = "licensed under the terms of this password token and the license"
@@ -55,6 +55,14 @@ def search_index(spark: SparkSession, sf_dir: str, level: int = LEVEL) -> retrie
     return kept.view(level, time.time())[0]
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The inverted-file index of the embeddings with their levels, kept like search_index()."""
+    path = f"{shared_dir(spark)}/vectors-{signature(spark, f'{sf_dir}/embeddings.parquet')}"
+    if exists(spark, f"{path}/cells/_SUCCESS"):
+        return vector_index.opened(spark, path)
+    return vector_index.build(vectors(spark, sf_dir), path)
+
+
 #: Relations that several oracles share.
 DOCS = "docs AS (SELECT doc_id AS id, text, source, lang, doc_id % 100 + 1 AS access_level, doc_id % 10 AS uploaded_by FROM documents)"
 CHUNKS = DOCS + """,
