@@ -221,9 +221,14 @@ def employees(answer: Column) -> Column:
 NO_NAMES = ("Дай", "Можешь", "Поставь", "Встреча", "Система", "Почту")
 
 
-def people(c: Column) -> Column:
-    """Capitalised Cyrillic names of one to three words, each once, in order."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<!\p{L})[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+){0,2}(?!\p{L})"), F.lit(0))
+#: Letters that begin and continue a name.
+CYRILLIC, LATIN = ("А-ЯЁ", "а-яё"), ("A-Z", "a-z")
+
+
+def people(c: Column, letters: tuple[str, str] = CYRILLIC, words: int = 3) -> Column:
+    """Capitalised names of so many words at most, each once, in order."""
+    one = "[{}][{}]+".format(*letters)
+    found = F.regexp_extract_all(c, F.lit(rf"(?<!\p{{L}}){one}(?: {one}){{0,{words - 1}}}(?!\p{{L}})"), F.lit(0))
     return F.array_distinct(F.filter(found, lambda n: (F.length(n) > 2) & ~n.isin(*NO_NAMES)))
 
 

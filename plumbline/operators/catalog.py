@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,9 +96,9 @@ def append_turns(sessions: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
     return sessions.select("session_id", "user_id", "title").unionByName(opened), df.select("session_id", "request_id", F.inline(turns))
 
 
-def mentioned(messages: DataFrame, n: int = 5) -> DataFrame:
+def mentioned(messages: DataFrame, n: int = 5, names: Callable[[Column], Column] = people) -> DataFrame:
     """conv_id and the people named in the user's messages among the last n, in order."""
     recent = last_n(messages, "conv_id", "turn", n).where("role = 'user'")
-    each = F.array_sort(F.collect_list(F.struct("turn", people(F.col("text")).alias("names"))))
+    each = F.array_sort(F.collect_list(F.struct("turn", names(F.coalesce("text", F.lit(""))).alias("names"))))
     named = recent.groupBy("conv_id").agg(F.flatten(F.transform(each, lambda x: x["names"])).alias("names"))
     return named.select("conv_id", F.array_distinct("names").alias("people"))

@@ -61,6 +61,34 @@ def retrieval_overlap(vector: DataFrame, words: DataFrame) -> DataFrame:
     return n.join(both, "qid", "left").select("qid", "n_vector", F.coalesce("n_both", F.lit(0)).alias("n_both"), F.round(F.coalesce("n_both", F.lit(0)) / F.greatest("n_vector", F.lit(1)), 6).alias("ratio"))
 
 
+def with_texts(trace: DataFrame, texts: DataFrame, queries: DataFrame, keywords: Column) -> DataFrame:
+    """The hits of a traced search as stage_relevance() and leak_report() take them.
+    keywords: an array over the query, those that tell a relevant text."""
+    return trace.join(texts.select("id", "text"), "id").join(queries.select("qid", "query", keywords.alias("keywords")), "qid")
+
+
+def diagnosis(trace: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """A row for each query of a traced search: what every stage kept, the range and the
+    threshold of the reranked scores, the overlap of the sides, what is wrong with the final
+    hits, and advice. trace: qid, stage, rank, id, score, read once for the counts."""
+    at = lambda s: F.col("stage") == s
+    n = {f"n_{s}": F.count_if(at(s)) for s in ("vector", "bm25", "fused", "rerank", "final")}
+    scored = F.when(at("rerank"), F.col("score"))
+    counts = trace.groupBy("qid").agg(*(c.alias(k) for k, c in n.items()), F.max(scored).alias("best"), F.min(scored).alias("worst"))
+    both = trace.where(F.col("stage").isin("vector", "bm25")).groupBy("qid", "id").agg(F.count("*").alias("n")).groupBy("qid").agg(F.count_if(F.col("n") == 2).alias("n_both"))
+    final = trace.where(at("final")).join(texts.select("id", "text"), "id").join(queries.select("qid", "query"), "qid")
+    issues = quality_issues(final.select("qid", "query", "text", "score", "rank"))
+    df = queries.select("qid", "query").join(counts, "qid", "left").join(both, "qid", "left").join(issues, "qid", "left").fillna(0, [*n, "n_both"])
+    lost = F.when(F.col("n_rerank") > 0, 1 - F.col("n_final") / F.greatest("n_rerank", F.lit(1))).otherwise(0.0)
+    spread = F.col("best") - F.col("worst")
+    limit = F.when(spread > 2, F.col("best") * 0.8).when(spread > 1, F.col("best") * 0.7).otherwise(F.col("best") - 0.1)
+    advice = recommendations(F.coalesce("best", F.lit(0.0)), lost, F.col("n_vector"), F.col("n_bm25"), F.col("query"))
+    return df.select(
+        "qid", *n, "n_both", F.round("best", 6).alias("best"), F.round(spread, 6).alias("spread"), F.round(limit, 6).alias("threshold"), F.round(lost, 6).alias("filtered_ratio"),
+        F.coalesce("issues", F.lit("no_results")).alias("issues"), F.array_join(advice, ",").alias("advice"),
+    )
+
+
 def profiler_summary(runs: DataFrame, n: int = 5) -> DataFrame:
     """The last measurement of each operation counts. One row, with the slowest n."""
     last = runs.groupBy("operation").agg(F.max_by("duration", "ts").alias("duration"))

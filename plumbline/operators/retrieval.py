@@ -202,30 +202,63 @@ def overlap_logit(query: Column, body: Column, tokenizer: Callable[[Column], Col
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokenizer(body))) / F.size(q) / 10).otherwise(0.0)
 
 
-def reranked(hits: DataFrame, texts: DataFrame, queries: DataFrame, k: int = RERANK_K, logit: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
-    """Candidates rated by a reranker over (query, text), calibrated over all of them, the best k."""
+def reranked(hits: DataFrame, texts: DataFrame, queries: DataFrame, k: int | None = RERANK_K, logit: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
+    """Candidates rated by a reranker over (query, text), calibrated over all of them, the best k (None: all)."""
     full = hits.join(texts.select("id", "text"), "id").join(small(queries.select("qid", "query")), "qid")
     rated = calibrate_exp(full.withColumn("logit", logit(F.col("query"), F.col("text"))))
     rated = rated.withColumn("rerank_score", F.round("rerank_score", 6))
     order = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank", "id")
-    return rated.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k).drop("query")
+    rated = rated.withColumn("final_rank", F.row_number().over(order)).drop("query")
+    return rated if k is None else rated.where(F.col("final_rank") <= k)
+
+
+def sides(
+    index: Index, nearest: Callable[[DataFrame, int], DataFrame] | None, queries: DataFrame, synonyms: DataFrame | None, top_k: int = TOP_K, tokenizer: Callable[[Column], Column] = text.tokens
+) -> tuple[DataFrame, DataFrame]:
+    """The hits of both sides: qid, id, rank, score by vector and by words. Without nearest,
+    words alone; without synonyms, queries as they are."""
+    asked = queries.select("qid", "query")
+    if synonyms is not None:
+        asked = expansion.expand_smart(asked, synonyms).select("qid", F.col("expanded").alias("query"))
+    words = bm25_top(index, asked, top_k, tokenizer=tokenizer).select("qid", "id", "rank", "score")
+    vector = words.where("false") if nearest is None else nearest(queries.where(F.col("qv").isNotNull()).select("qid", "qv"), top_k)
+    return vector.select("qid", "id", "rank", "score"), words
 
 
 def hybrid(
-    index: Index, texts: DataFrame, nearest: Callable[[DataFrame, int], DataFrame], queries: DataFrame, synonyms: DataFrame, top_k: int = TOP_K, rerank_k: int = RERANK_K,
+    index: Index, texts: DataFrame, nearest: Callable[[DataFrame, int], DataFrame] | None, queries: DataFrame, synonyms: DataFrame | None, top_k: int = TOP_K, rerank_k: int = RERANK_K,
     tokenizer: Callable[[Column], Column] = text.tokens, logit: Callable[[Column, Column], Column] = overlap_logit,
 ) -> DataFrame:
     """Vector and BM25 search, fusion, reranking, threshold, for all queries in one plan.
     nearest: the k best of each query by vector, such as VectorIndex.top. queries: qid,
-    query, qv; those without a vector are answered by words alone. BM25
-    scores the query expanded by synonyms, the reranker the query as it is."""
-    expanded = expansion.expand_smart(queries.select("qid", "query"), synonyms).select("qid", F.col("expanded").alias("query"))
-    words = bm25_top(index, expanded, top_k, tokenizer=tokenizer)
-    fused = rrf(nearest(queries.where(F.col("qv").isNotNull()).select("qid", "qv"), top_k), words)
+    query, qv; those without a vector are answered by words alone. BM25 scores the query
+    expanded by synonyms, the reranker the query as it is."""
+    fused = rrf(*sides(index, nearest, queries, synonyms, top_k, tokenizer))
     best = adaptive_threshold(reranked(fused, texts, queries, rerank_k, logit))
     return best.select("qid", "id", "text", "sides", "score", "rrf_score", "rerank_score", "final_rank")
 
 
+#: The stages of a traced search, in order.
+STAGES = ("vector", "bm25", "fused", "rerank", "final")
+
+
+def traced(
+    index: Index, texts: DataFrame, nearest: Callable[[DataFrame, int], DataFrame] | None, queries: DataFrame, synonyms: DataFrame | None, top_k: int = TOP_K,
+    tokenizer: Callable[[Column], Column] = text.tokens, logit: Callable[[Column, Column], Column] = overlap_logit,
+) -> DataFrame:
+    """qid, stage, rank, id, score: what every stage of one search gave. All candidates are
+    reranked and then cut by the threshold. Each stage is written as it is found, a few rows
+    for each query, and the next reads that, so nothing is searched twice."""
+    keep = lambda df, stage, rank, score: df.select("qid", F.lit(stage).alias("stage"), F.col(rank).cast("int").alias("rank"), "id", F.col(score).cast("double").alias("score"))
+    vector, words = (stored(df, "side") for df in sides(index, nearest, queries, synonyms, top_k, tokenizer))
+    fused = stored(rrf(vector, words), "fused")
+    rated = stored(reranked(fused, texts, queries, None, logit).drop("text"), "rated")
+    last = adaptive_threshold(rated)
+    stages = [(vector, "rank", "score"), (words, "rank", "score"), (fused, "rank", "rrf_score"), (rated, "final_rank", "rerank_score"), (last, "final_rank", "rerank_score")]
+    out = [keep(df, name, rank, score) for name, (df, rank, score) in zip(STAGES, stages)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 #: Fixed value: the longest query.
 MOST_QUERY = 2000
 

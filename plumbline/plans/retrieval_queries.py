@@ -6,11 +6,12 @@ import time
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import access, context, expansion, retrieval
+from plumbline.functions import text
+from plumbline.operators import access, catalog, context, diagnostics, expansion, people, retrieval
 from plumbline.operators.segments import Segments
 from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, Q_SQL, chunks, documents, load, queries, search_index, stored_vectors, vectors
 from plumbline.plans.text_queries import _TOKENS
-from plumbline.sources.stores import fresh, shared_dir
+from plumbline.sources.stores import fresh, shared_dir, stored
 
 QUERIES: dict = {}
 
@@ -338,6 +339,94 @@ def answer_coverage(spark, sf):
     return g.select("qid", context.coverage(F.col("n"), F.lit(30), F.col("best")).alias("coverage"), context.no_answer_reason(F.col("best"), F.col("n")).alias("reason"))
 
 
+# -- a search with all its stages ----------------------------------------------------
+
+_TRACE = f"""{_HYBRID}, fa AS (SELECT *, max(rerank_score) OVER (PARTITION BY qid) AS top, max(rerank_score) OVER (PARTITION BY qid) - min(rerank_score) OVER (PARTITION BY qid) AS wide FROM fr),
+lim AS (SELECT *, CASE WHEN wide > 2 THEN top * 0.8 WHEN wide > 1 THEN top * 0.7 ELSE top - 0.1 END AS threshold FROM fa),
+tr AS (SELECT qid, 'vector' AS stage, rank, id, score FROM vr WHERE rank <= 30 UNION ALL SELECT qid, 'bm25', rank, id, score FROM bm WHERE rank <= 30 UNION ALL SELECT qid, 'fused', rank, id, rrf_score FROM fu
+  UNION ALL SELECT qid, 'rerank', final_rank, id, rerank_score FROM fr UNION ALL SELECT qid, 'final', final_rank, id, rerank_score FROM lim WHERE rerank_score >= threshold)"""
+
+
+def _traced(spark, sf):
+    synonyms = expansion.synonyms(spark, expansion.SAMPLE)
+    found = retrieval.traced(search_index(spark, sf), _texts(spark, sf), _nearest(spark, sf), queries(spark, sf), synonyms)
+    return stored(found, "trace")
+
+
+@query(f"WITH {_TRACE} SELECT qid::BIGINT AS qid, stage, rank::INT AS rank, id, round(score, 6) AS score FROM tr")
+def search_trace(spark, sf):
+    """What every stage of one search gave."""
+    return _traced(spark, sf).select("qid", "stage", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_TRACE}, ag AS (SELECT qid, count(*) FILTER (stage = 'vector') AS n_vector, count(*) FILTER (stage = 'bm25') AS n_bm25, count(*) FILTER (stage = 'fused') AS n_fused, count(*) FILTER (stage = 'rerank') AS n_rerank,
+  count(*) FILTER (stage = 'final') AS n_final, max(score) FILTER (stage = 'rerank') AS best, min(score) FILTER (stage = 'rerank') AS worst FROM tr GROUP BY qid),
+bo AS (SELECT qid, count(*) AS n_both FROM (SELECT qid, id FROM tr WHERE stage IN ('vector', 'bm25') GROUP BY qid, id HAVING count(*) = 2) GROUP BY qid),
+fi AS (SELECT tr.qid, tr.rank, tr.score, regexp_split_to_array(lower(q.query), '[ \n]+') AS a, regexp_split_to_array(lower(docs.text), '[ \n]+') AS b FROM tr JOIN docs USING (id) JOIN {Q_SQL} ON q.qid = tr.qid WHERE stage = 'final'),
+iq AS (SELECT qid, max(score) AS hi, avg(score) AS mean, max(score) - min(score) AS spread, count(*) FILTER (rank <= 3 AND NOT list_has_any(a, b)) AS missed FROM fi GROUP BY qid)
+SELECT q.qid::BIGINT AS qid, n_vector, n_bm25, n_fused, n_rerank, n_final, coalesce(n_both, 0) AS n_both, round(best, 6) AS best, round(best - worst, 6) AS spread,
+  round(CASE WHEN best - worst > 2 THEN best * 0.8 WHEN best - worst > 1 THEN best * 0.7 ELSE best - 0.1 END, 6) AS threshold, round(1 - n_final / n_rerank, 6) AS filtered_ratio,
+  concat_ws(',', CASE WHEN hi < 3 THEN 'low_max' END, CASE WHEN mean < 2 THEN 'low_mean' END, CASE WHEN iq.spread < 0.5 THEN 'flat_scores' END, CASE WHEN missed > 0 THEN 'no_query_words' END) AS issues,
+  concat_ws(',', CASE WHEN best < 2 THEN 'rebuild_index' WHEN best < 4 THEN 'rephrase' END, CASE WHEN 1 - n_final / n_rerank > 0.8 THEN 'threshold_too_strict' END, CASE WHEN n_vector = 0 OR n_bm25 = 0 THEN 'one_side_empty' END,
+    CASE WHEN len(regexp_split_to_array(trim(query), '\\s+')) < 3 THEN 'query_too_short' END) AS advice
+FROM {Q_SQL} JOIN ag ON ag.qid = q.qid LEFT JOIN bo ON bo.qid = q.qid LEFT JOIN iq ON iq.qid = q.qid""")
+def diagnose(spark, sf):
+    """A diagnosis of each query from the stages of one search."""
+    return diagnostics.diagnosis(_traced(spark, sf), _texts(spark, sf), queries(spark, sf))
+
+
+@query(f"""WITH {_TRACE}, kw AS (SELECT qid, list_filter(string_split(lower(query), ' '), lambda w: length(w) > 3) AS words FROM {Q_SQL}),
+lh AS (SELECT tr.*, len(list_filter(words, lambda w: contains(lower(docs.text), w))) > 0 AS hit FROM tr JOIN docs USING (id) JOIN kw ON kw.qid = tr.qid),
+ls AS (SELECT qid, count(*) FILTER (lost) AS n_lost_stages FROM (SELECT qid, stage, count(*) FILTER (NOT hit) > count(*) FILTER (hit) AS lost FROM lh GROUP BY qid, stage) GROUP BY qid),
+lf AS (SELECT qid, count(*) FILTER (stage = 'rerank' AND NOT hit AND score > 5) AS n_high_irrelevant, count(*) FILTER (stage = 'final' AND NOT hit) AS n_final_irrelevant,
+  round(max(score) FILTER (stage = 'rerank') - min(score) FILTER (stage = 'rerank'), 6) AS score_range, round(min(score) FILTER (stage = 'final'), 6) AS lowest_final FROM lh GROUP BY qid)
+SELECT qid::BIGINT AS qid, n_high_irrelevant, n_final_irrelevant, score_range, lowest_final, n_lost_stages, CASE WHEN n_final_irrelevant > 0 THEN 'critical' WHEN n_high_irrelevant > 0 OR n_lost_stages > 0 THEN 'leak'
+  WHEN coalesce(score_range, 0) < 1 OR coalesce(lowest_final, 0) < 3 THEN 'warning' ELSE 'ok' END AS summary FROM lf JOIN ls USING (qid)""")
+def leak_analysis(spark, sf):
+    """Where irrelevant hits get through, over the stages of one search."""
+    keywords = F.filter(F.split(F.lower("query"), " "), lambda w: F.length(w) > 3)
+    return diagnostics.leak_report(diagnostics.with_texts(_traced(spark, sf), _texts(spark, sf), queries(spark, sf), keywords))
+
+
+# -- people ----------------------------------------------------------------------------
+
+#: Capitalised Latin words of the user's messages among the last five of each conversation, in order.
+_NAMED = r"""nm AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+nl AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND length(w) > 2) AS ws FROM nm WHERE back <= 5 AND role = 'user'),
+na AS (SELECT conv_id, unnest(ws) AS name, turn, generate_subscripts(ws, 1) AS p FROM nl),
+nd AS (SELECT conv_id, name, min(turn * 1000000 + p) AS first_at FROM na GROUP BY conv_id, name),
+ne AS (SELECT conv_id, name, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) - 1 AS place FROM nd), names AS (SELECT DISTINCT name AS qid, name AS query FROM ne)"""
+
+
+def _named(spark, sf):
+    return people.participants(load(spark, sf, "conversations"), names=lambda c: text.people(c, text.LATIN, 1))
+
+
+@query(f"WITH {_NAMED} SELECT conv_id, string_agg(name, ',' ORDER BY place) AS people FROM ne GROUP BY conv_id")
+def mentioned_people(spark, sf):
+    found = catalog.mentioned(load(spark, sf, "conversations"), names=lambda c: text.people(c, text.LATIN, 1)).where(F.size("people") > 0)
+    return found.select("conv_id", F.array_join("people", ",").alias("people"))
+
+
+_PEOPLE = _RERANK.replace(Q_SQL, "names AS q").replace("vec_id < 4", "vec_id < 0").replace("rank <= 30", "rank <= 10").replace("final_rank <= 10", "final_rank <= 5")
+
+
+@query(rf"""WITH {_NAMED}, {_PEOPLE}, pb AS (SELECT qid, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY final_rank) AS body FROM hy JOIN docs ON docs.id = hy.id WHERE trim(text, ' ') <> '' GROUP BY qid),
+pe AS (SELECT qid, n, regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS ms FROM pb),
+pm AS (SELECT qid, m, min(i) AS i FROM (SELECT qid, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM pe) GROUP BY qid, m),
+pl AS (SELECT qid, string_agg(m, ',' ORDER BY i) AS mails FROM pm GROUP BY qid)
+SELECT conv_id, count(*) AS n_people, sum(coalesce(n, 0))::BIGINT AS n_sources, coalesce(string_agg(ne.name || '=' || mails, ';' ORDER BY place), '') AS employees FROM ne LEFT JOIN pe ON pe.qid = ne.name LEFT JOIN pl ON pl.qid = ne.name GROUP BY conv_id""")
+def employee_search(spark, sf):
+    """One search for each person that a conversation names, put back by conversation."""
+    index, texts = search_index(spark, sf), _texts(spark, sf)
+    search = lambda asked: retrieval.hybrid(index, texts, None, asked, None, people.TOP, people.RERANKED)
+    found = people.search_people(_named(spark, sf), search)
+    with_some = F.filter("employees", lambda e: F.size(e["employees"]) > 0)
+    said = F.transform(with_some, lambda e: F.concat(e["name"], F.lit("="), F.array_join(F.transform(e["employees"], lambda x: x["email"]), ",")))
+    total = F.aggregate("employees", F.lit(0).cast("long"), lambda a, e: a + e["n_sources"])
+    return found.select("conv_id", F.size("employees").cast("long").alias("n_people"), total.alias("n_sources"), F.array_join(said, ";").alias("employees"))
+
+
 # -- expansion ---------------------------------------------------------------------
 
 

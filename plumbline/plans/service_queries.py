@@ -238,19 +238,6 @@ def calendar_actions(spark, sf):
     return a.select("p_partkey", "a.title", "a.day", "a.time", F.array_join(F.col("a.attendees"), "|").alias("attendees"))
 
 
-_CHAT = [
-    (1, 1, "user", "Поставь встречу с Иван Петров завтра"), (1, 2, "assistant", "Пётр Великий добавлен"), (1, 3, "user", "И позови Анна Каренина, Иван Петров"), (2, 1, "user", "Можешь найти Сергей"),
-    (2, 2, "user", "а"), (2, 3, "user", "б"), (2, 4, "user", "в"), (2, 5, "user", "Встреча с Ольга"), (2, 6, "user", "Дай Почту"),
-]
-
-
-@query("SELECT 1 AS conv_id, 'Иван Петров,Анна Каренина' AS people UNION ALL SELECT 2, 'Ольга,Дай Почту'")
-def mentioned_people(spark, sf):
-    """Names in the user's messages among the last five of a session, without the words that only begin a request."""
-    c = spark.createDataFrame(_CHAT, "conv_id int, turn int, role string, text string")
-    return catalog.mentioned(c).select("conv_id", F.array_join("people", ",").alias("people"))
-
-
 # -- tables, files, stores ---------------------------------------------------------------------
 
 
