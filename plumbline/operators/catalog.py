@@ -17,6 +17,16 @@ def page(df: DataFrame, order: list[Column], number: int, limit: int) -> DataFra
     return df.orderBy(*order).offset((number - 1) * limit).limit(limit)
 
 
+def page_after(df: DataFrame, newest: str, key: str, limit: int, after: tuple | None = None) -> DataFrame:
+    """The next `limit` rows (100 at most), newest first and equal times by key, behind the row
+    `after`, its (time, key). The filter stands in the scan, and no page before it is read,
+    sorted or skipped, however deep it lies; rows that came meanwhile shift nothing."""
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        df = df.where((F.col(newest) <= at) & ((F.col(newest) < at) | (F.col(key) > last)))
+    return df.orderBy(F.desc(newest), key).limit(min(limit, 100))
+
+
 def page_meta(total: DataFrame, number: int, limit: int, count: str = "total") -> DataFrame:
     pages = F.ceil(F.col(count) / F.lit(limit))
     return total.select(count, pages.alias("total_pages"), (F.lit(number) < pages).alias("has_next"), F.lit(number > 1).alias("has_prev"))

@@ -161,3 +161,17 @@ def pipeline_statistics(runs: DataFrame) -> DataFrame:
     """One row: how many runs, and the mean, least and largest sum of durations of a run."""
     total = runs.groupBy("run").agg(F.sum("duration").alias("total"))
     return total.agg(F.count("*").alias("n_runs"), *(F.round(f("total"), 6).alias(k) for f, k in ((F.avg, "avg"), (F.min, "min"), (F.max, "max"))))
+
+
+def cache_statistics(entries: DataFrame, now: Column) -> DataFrame:
+    """entries: key (its prefix before the first colon), written, ttl (both in seconds) and
+    value. A row for each prefix, in one pass: keys, those alive at a given time, their oldest
+    and mean age, the next expiry, and the bytes of their values. A key without a colon is its
+    own prefix; null keys don't count."""
+    age, left = now - F.col("written"), F.col("ttl") - (now - F.col("written"))
+    alive = left > 0
+    of = lambda c: F.when(alive, c)
+    return entries.where(F.col("key").isNotNull()).groupBy(F.substring_index("key", ":", 1).alias("prefix")).agg(
+        F.count("*").alias("n_keys"), F.count_if(alive).alias("n_alive"), F.max(of(age)).alias("oldest_s"), F.min(of(left)).alias("next_expiry_s"),
+        F.round(F.avg(of(age)), 6).alias("mean_age_s"), F.coalesce(F.sum(of(F.octet_length("value")).cast("long")), F.lit(0)).alias("n_bytes"),
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import diagnostic_queries, retrieval_queries, service_queries, table_queries, text_queries
+from plumbline.plans import diagnostic_queries, retrieval_queries, service_queries, stream_queries, table_queries, text_queries
 
-MODULES = (table_queries, text_queries, retrieval_queries, diagnostic_queries, service_queries)
+MODULES = (table_queries, text_queries, retrieval_queries, diagnostic_queries, service_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -41,6 +41,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.getFileStatus(at).isDirectory()
+
+
 def listed(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder, ascending; none if it is absent."""
     at, fs = _file_system(spark, path)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 WINDOW_S, MOST = 60, 10
 
 
-def ingest(files: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "document_id"):
+def ingest(files: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
     """Starts a stream of files into a Parquet table of chunks. A batch is written under
     its number, so one that is run again replaces itself and nothing is doubled."""
 
