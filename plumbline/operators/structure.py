@@ -1,6 +1,6 @@
 """Document structure and chunks.
 
-Types, metadata and line classes are expressions; sections are windows over lines.
+Types, metadata, line classes and sections are expressions over a document's own row.
 Only the splitting of a long section is sequential, as each piece begins where the
 last one ended; that runs in Arrow batches, section by section.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.text import running
 from plumbline.operators.context import with_titles
 
 #: Document types by their patterns, in order, on upper-cased text.
@@ -32,6 +33,7 @@ FIELDS = {
     "ogrn": r"ОГРН\s*(\d{13,15})",
     "kpp": r"КПП\s*(\d{9})",
 }
+#: Dates, who signs, addresses; lines of these words are no titles.
 DATE = r"«(\d{1,2})»\s+([\p{L}\p{N}_]+)\s+(\d{4})\s*г?"
 SIGNATORY = r"(?:Директор|Генеральный\s+директор|Руководитель)[^\n]*\s+([А-ЯЁ][а-яё]+\s+[А-ЯЁ]\.[А-ЯЁ]\.)"
 ADDRESS = r"(?:Юридический\s+адрес|Фактический\s+адрес):\s*([^\n]+)"
@@ -69,39 +71,54 @@ def title(c: Column) -> Column:
     return F.get(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), good), 0)
 
 
-def lines(docs: DataFrame, kind: Column | None = None, rules: list = LINES) -> DataFrame:
-    """id, line_no, line, start, type and level of each line. kind: the document's type."""
-    df = docs.select("id", (kind if kind is not None else F.lit("GENERAL")).alias("_kind"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    at = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(at), F.lit(0)))
-    c = F.trim("line")
-    out = None
+def _classified(line: Column, kind: Column, rules: list) -> tuple[Column, Column]:
+    """The type and the level of a line."""
+    c, out = F.trim(line), None
     for name, pattern, longest in rules:
         hit = c.rlike(pattern) if longest is None else c.rlike(pattern) & (F.length(c) < longest)
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    order = F.col("_kind") == "ORDER"
+    order = kind == "ORDER"
     out = out.when(order & F.contains(F.upper(c), F.lit("ПРИКАЗЫВАЮ")), "order_directive")
     out = out.when(order & c.rlike("^(Директор|Генеральный директор)"), "signatures").otherwise("paragraph")
-    df = df.withColumn("type", out).drop("_kind")
     number = F.regexp_extract(c, r"^(\d+(?:\.\d+)*)\.", 1)
-    level = F.when(F.col("type") == "numbered_item", F.size(F.split(number, r"\."))).when(F.col("type") == "lettered_item", 3).when(F.col("type") == "subheader", 2).otherwise(1)
-    return df.withColumn("level", level)
+    level = F.when(out == "numbered_item", F.size(F.split(number, r"\."))).when(out == "lettered_item", 3).when(out == "subheader", 2).otherwise(1)
+    return out, level
+
+
+def _placed(docs: DataFrame, kind: Column | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns named in carry, _kind and _lines, an array of line and start: a document
+    stays one row, so that offsets and sections need no shuffle."""
+    df = docs.select("id", *carry, (kind if kind is not None else F.lit("GENERAL")).alias("_kind"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_l"))
+    df = df.withColumn("_s", running(F.transform("_l", lambda x: F.length(x) + 1)))
+    return df.select("id", *carry, "_kind", F.transform(F.arrays_zip("_l", "_s"), lambda x: F.struct(x["_l"].alias("line"), x["_s"].alias("start"))).alias("_lines"))
+
+
+def lines(docs: DataFrame, kind: Column | None = None, rules: list = LINES) -> DataFrame:
+    """id, line_no, line, start, type and level of each line. kind: the document's type."""
+    df = _placed(docs, kind).select("id", "_kind", F.posexplode("_lines").alias("line_no", "_x"))
+    kind_of, level = _classified(F.col("_x.line"), F.col("_kind"), rules)
+    return df.select("id", "line_no", "_x.line", "_x.start", kind_of.alias("type"), level.alias("level"))
 
 
-def sections(classified: DataFrame) -> DataFrame:
+def sections(docs: DataFrame, kind: Column | None = None, rules: list = LINES, carry: tuple[str, ...] = ()) -> DataFrame:
     """A header line opens a section that goes to the next one; what stands before the
-    first is a preamble. id, section_no, title, type, level, start, end, content."""
-    is_head = F.col("type") != "paragraph"
-    order = Window.partitionBy("id").orderBy("line_no")
-    df = classified.withColumn("section_no", F.sum(is_head.cast("int")).over(order))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t"))))
-    out = df.groupBy("id", "section_no").agg(
-        F.min_by(F.trim("line"), "line_no").alias("title"), F.min_by("type", "line_no").alias("type"), F.min_by("level", "line_no").alias("level"),
-        F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("end"),
-        F.trim(F.array_join(F.transform(parts, lambda p: p["t"]), "\n")).alias("content"),
-    )
-    whole = F.col("section_no") == 0
-    return out.withColumn("title", F.when(whole, "Документ").otherwise(F.col("title"))).where(F.col("content") != "")
+    first is a preamble. id, section_no, title, type, level, start, end, content, and the
+    document's columns that are named in carry."""
+    df = _placed(docs, kind, carry)
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(_classified(x["line"], F.col("_kind"), rules)[0] != "paragraph", i)), lambda i: i.isNotNull())
+    df = df.withColumn("_heads", heads)
+    # The preamble begins at the first line, if that is no header; it is number 0.
+    df = df.withColumn("_from", F.when(F.get("_heads", 0) == 0, F.col("_heads")).otherwise(F.concat(F.array(F.lit(0)), "_heads")))
+    first = F.when(F.get("_heads", 0) == 0, 1).otherwise(0)
+    to = lambda i: F.coalesce(F.get(F.col("_from"), i + 1), F.size("_lines"))
+    cut = F.transform("_from", lambda at, i: F.struct((i + first).cast("long").alias("section_no"), F.slice("_lines", at + 1, to(i) - at).alias("ls")))
+    df = df.select("id", *carry, "_kind", F.inline(cut))
+    head, last = F.element_at("ls", 1), F.element_at("ls", -1)
+    kind_of, level = _classified(head["line"], F.col("_kind"), rules)
+    content = F.trim(F.array_join(F.transform("ls", lambda x: F.trim(x["line"])), "\n"))
+    title = F.when(F.col("section_no") == 0, "Документ").otherwise(F.trim(head["line"]))
+    out = df.select("id", "section_no", title.alias("title"), kind_of.alias("type"), level.alias("level"), head["start"].alias("start"), (last["start"] + F.length(last["line"])).alias("end"), content.alias("content"), *carry)
+    return out.where(F.col("content") != "")
 
 
 def optimal_size(kind: Column, n: Column) -> Column:
@@ -167,32 +184,55 @@ def pieces(text: str, how: Sizes, size: int | None = None, items: bool = False,
         at = max(at + 1, end - how.overlap)
 
 
-CHUNK = "id string, section_no int, part int, total_parts int, start long, end long, chunk_type string, title string, type string, text string"
-
-
-def section_chunks(found: DataFrame, how: Sizes = Sizes()) -> DataFrame:
+def section_chunks(found: DataFrame, how: Sizes = Sizes(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of sections: whole where they fit or are kept together, else pieces that
-    name their section."""
+    name their section. The columns named in carry pass."""
     kind, n = F.col("type"), F.length("content")
-    df = found.select(F.col("id").cast("string").alias("id"), "section_no", "title", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "content", optimal_size(kind, n).alias("size"), keep_together(kind, n).alias("whole"))
+    df = found.select(F.col("id").cast("string").alias("id"), "section_no", "title", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "content", optimal_size(kind, n).alias("size"), keep_together(kind, n).alias("whole"), *carry)
+
+    fits = F.col("whole") | (F.length("content") <= F.col("size"))
+    names = ["id", "section_no", "part", "total_parts", "start", "end", "chunk_type", "title", "type", "text"]
+    one = F.lit(1).cast("int")
+    complete = df.where(fits).select("id", F.col("section_no").cast("int").alias("section_no"), one.alias("part"), one.alias("total_parts"), "start", "end", F.lit("complete_section").alias("chunk_type"), "title", "type", F.col("content").alias("text"), *carry)
+    schema = complete.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                text = r["content"]
-                if r["whole"] or len(text) <= r["size"]:
-                    rows.append((r["id"], r["section_no"], 1, 1, r["start"], r["end"], "complete_section", r["title"], r["type"], text))
-                    continue
-                parts = pieces(text, how, r["size"], r["type"] == "numbered_item")
+            at, rows = [], []
+            texts, titles, types, starts, sizes = (b.column(c).to_pylist() for c in ("content", "title", "type", "start", "size"))
+            for i, text in enumerate(texts):
+                parts = pieces(text, how, sizes[i], types[i] == "numbered_item")
                 for k, (a, z, body) in enumerate(parts, 1):
-                    head = r["title"] if k == 1 else f"{r['title']} (продолжение)"
-                    rows.append((r["id"], r["section_no"], k, len(parts), r["start"] + a, r["start"] + z, "section_part", r["title"], r["type"], f"[{head}]\n{body}"))
-            names = ["id", "section_no", "part", "total_parts", "start", "end", "chunk_type", "title", "type", "text"]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=names)
-
-    return df.mapInArrow(run, CHUNK)
+                    head = titles[i] if k == 1 else f"{titles[i]} (продолжение)"
+                    at.append(i)
+                    rows.append((k, len(parts), starts[i] + a, starts[i] + z, f"[{head}]\n{body}"))
+            of = lambda c: b.column(c).take(pa.array(at, pa.int64()))
+            made = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))]
+            kind = pa.array(["section_part"] * len(rows), pa.string())
+            yield pa.RecordBatch.from_arrays([of("id"), of("section_no"), *made[:4], kind, of("title"), of("type"), made[4], *map(of, carry)], names=[*names, *carry])
+
+    long = df.where(~fits).withColumn("section_no", F.col("section_no").cast("int"))
+    return complete.unionByName(long.mapInArrow(run, schema))
+
+
+def chunk_records(parts: DataFrame, created: Column) -> DataFrame:
+    """The whole record of each chunk: its text and twenty fields. parts: as section_chunks()
+    gives them, with level, access_level and document, a struct of type, title, number, date and
+    organization, carried along; what a document lacks is an empty string. Chunks are numbered
+    in the order of sections and parts, in the one shuffle that there is, by document."""
+    by = Window.partitionBy("id")
+    order = by.orderBy("section_no", "part")
+    before_end, before_start = F.lag("end").over(order), F.lag("start").over(order)
+    both = F.greatest(F.lit(0), F.least("end", before_end) - F.greatest("start", before_start))
+    said = lambda c: F.coalesce(F.col("document")[c].cast("string"), F.lit(""))
+    return parts.select(
+        F.col("id").cast("string").alias("doc_id"), (F.row_number().over(order) - 1).alias("chunk_index"), "access_level", F.col("start").alias("char_start"), F.col("end").alias("char_end"), created.alias("created_at"),
+        F.length("text").alias("char_count"), F.coalesce(both, F.lit(0)).cast("long").alias("overlap_prev"), F.lit(0).alias("overlap_next"), F.count("*").over(by).alias("total_chunks"),
+        F.coalesce("title", F.lit("")).alias("section_title"), F.coalesce("type", F.lit("paragraph")).alias("section_type"), F.coalesce("level", F.lit(1)).alias("section_level"),
+        F.coalesce("chunk_type", F.lit("content")).alias("chunk_type"), F.coalesce(F.col("chunk_type") == "complete_section", F.lit(False)).alias("is_complete_section"),
+        F.coalesce(F.nullif(said("type"), F.lit("")), F.lit("general")).alias("document_type"), said("title").alias("document_title"), said("number").alias("document_number"), said("date").alias("document_date"),
+        said("organization").alias("document_organization"), "text",
+    )
 
 
 def basic_chunks(docs: DataFrame, how: Sizes = Sizes()) -> DataFrame:

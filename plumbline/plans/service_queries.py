@@ -82,7 +82,7 @@ SELECT id, section_no::BIGINT AS section_no, CASE WHEN section_no = 0 THEN 'До
 )
 def order_sections(spark, sf):
     kinds = _orders(spark).select("id", "text", structure.document_type(F.col("text")).alias("kind"))
-    s = structure.sections(structure.lines(kinds, kind=F.col("kind")))
+    s = structure.sections(kinds, kind=F.col("kind"))
     return s.select("id", "section_no", "title", "type", F.col("level").cast("int").alias("level"), "start", "end", "content")
 
 
@@ -90,7 +90,7 @@ def order_sections(spark, sf):
 def order_chunks(spark, sf):
     """Without SQL: each piece begins where the last one ended. Sections of the shipped patterns."""
     kinds = _orders(spark).select("id", "text", structure.document_type(F.col("text")).alias("kind"))
-    return structure.section_chunks(structure.sections(structure.lines(kinds, kind=F.col("kind"))))
+    return structure.section_chunks(structure.sections(kinds, kind=F.col("kind")))
 
 
 # -- keywords ----------------------------------------------------------------------------

@@ -110,7 +110,7 @@ def classify_lines(spark, sf):
 SELECT id, section_no::BIGINT AS section_no, min(start) AS start, max(start + length(line))::BIGINT AS "end", arg_min(type, line_no) AS type,
   length(trim(string_agg(trim(line), chr(10) ORDER BY line_no)))::INT AS n FROM s GROUP BY id, section_no HAVING trim(string_agg(trim(line), chr(10) ORDER BY line_no)) <> ''""")
 def build_sections(spark, sf):
-    s = structure.sections(structure.lines(documents(spark, sf), rules=_RULES))
+    s = structure.sections(documents(spark, sf), rules=_RULES)
     return s.select("id", "section_no", "start", "end", "type", F.length("content").alias("n"))
 
 
@@ -138,6 +138,37 @@ def chunk_metadata(spark, sf):
     return structure.with_overlaps(chunks(spark, sf)).select("chunk_id", "total_chunks", F.coalesce("overlap_prev", F.lit(0)).alias("overlap_prev"), "overlap_next")
 
 
+@query(rf"""WITH {DOCS}, {_LINES}, s AS (SELECT *, sum((type <> 'paragraph')::INT) OVER (PARTITION BY id ORDER BY line_no) AS section_no FROM c),
+b AS (SELECT id, section_no, min(start) AS a, max(start + length(line)) AS z, arg_min(trim(line), line_no) AS t, arg_min(type, line_no) AS k, trim(string_agg(trim(line), chr(10) ORDER BY line_no)) AS body FROM s GROUP BY id, section_no),
+r AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM b WHERE body <> '' WINDOW w AS (PARTITION BY id ORDER BY section_no))
+SELECT r.id::VARCHAR AS doc_id, i::INT AS chunk_index, access_level, a::BIGINT AS char_start, z::BIGINT AS char_end, '2025-01-01T00:00:00' AS created_at, length(body)::INT AS char_count,
+  coalesce(greatest(0, least(z, pz) - greatest(a, pa)), 0)::BIGINT AS overlap_prev, 0 AS overlap_next, n AS total_chunks, CASE WHEN section_no = 0 THEN 'Документ' ELSE t END AS section_title, k AS section_type,
+  CASE WHEN k = 'subheader' THEN 2 ELSE 1 END AS section_level, 'complete_section' AS chunk_type, TRUE AS is_complete_section,
+  CASE WHEN regexp_matches(upper(text), 'LICEN[CS]E') THEN 'LICENSE' WHEN regexp_matches(upper(text), '@[A-Z]') THEN 'MAIL' ELSE 'GENERAL' END AS document_type, '' AS document_title,
+  coalesce(trim(nullif(regexp_extract(text, 'Licensed under ([A-Z0-9. -]+)', 1), '')), '') AS document_number, '' AS document_date, coalesce(trim(nullif(regexp_extract(text, '([a-z0-9._]+@[a-z0-9.]+)', 1), '')), '') AS document_organization, md5(body) AS digest
+FROM r JOIN docs ON docs.id = r.id""")
+def chunk_records(spark, sf):
+    """The whole record of each chunk, where every section is one chunk."""
+    fields = {"number": r"Licensed under ([A-Z0-9. -]+)", "organization": r"([a-z0-9._]+@[a-z0-9.]+)"}
+    types = [("LICENSE", ["LICEN[CS]E"]), ("MAIL", ["@[A-Z]"])]
+    m = structure.metadata(F.col("text"), fields)
+    known = F.struct(structure.document_type(F.col("text"), types).alias("type"), F.lit(None).cast("string").alias("title"), m["number"].alias("number"), m["date"].alias("date"), m["organization"].alias("organization"))
+    docs = documents(spark, sf).select("id", "text", "access_level", known.alias("document"))
+    found = structure.sections(docs, rules=_RULES, carry=("access_level", "document"))
+    parts = found.select("*", F.lit(1).alias("part"), F.lit("complete_section").alias("chunk_type"), F.col("content").alias("text"))
+    return structure.chunk_records(parts, F.lit("2025-01-01T00:00:00")).withColumn("digest", F.md5("text")).drop("text")
+
+
+@query()
+def semantic_chunk_records(spark, sf):
+    """The same of chunks as they are split. Without SQL: each piece begins where the last one ended."""
+    known = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("type", "title", "number", "date", "organization")))
+    docs = documents(spark, sf).select("id", "text", "access_level", known.alias("document"))
+    carry = ("access_level", "document", "level")
+    parts = structure.section_chunks(structure.sections(docs, rules=_RULES, carry=carry[:2]), carry=carry)
+    return structure.chunk_records(parts, F.lit("2025-01-01T00:00:00"))
+
+
 @query(f"""WITH {CHUNKS}, p AS (SELECT chunk_id, lag(text) OVER (PARTITION BY id ORDER BY chunk_index) AS t, text FROM chunks),
 w AS (SELECT chunk_id, t, list_filter(regexp_split_to_array(lower(right(t, 50)), '[ \\n\\t]+'), lambda x: length(x) > 3) AS tail,
   list_filter(regexp_split_to_array(lower(substr(text, 1, 50)), '[ \\n\\t]+'), lambda x: length(x) > 3) AS head FROM p)
@@ -228,7 +259,7 @@ def employee_rows(spark, sf):
 @query()
 def semantic_chunks(spark, sf):
     """Without SQL: each piece begins where the last one ended."""
-    return structure.section_chunks(structure.sections(structure.lines(documents(spark, sf), rules=_RULES)))
+    return structure.section_chunks(structure.sections(documents(spark, sf), rules=_RULES))
 
 
 @query()

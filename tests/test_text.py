@@ -54,7 +54,7 @@ def test_order_document(spark):
     assert row.title == "ПРИКАЗ № 12-К от «05» марта 2024 г."
     kinds = [r.type for r in structure.lines(docs, structure.document_type(F.col("text"))).orderBy("line_no").collect()]
     assert kinds == ["paragraph", "paragraph", "paragraph", "subheader", "header", "numbered_item", "numbered_item", "lettered_item", "signatures"]
-    found = structure.sections(structure.lines(docs, structure.document_type(F.col("text")))).orderBy("section_no").collect()
+    found = structure.sections(docs, structure.document_type(F.col("text"))).orderBy("section_no").collect()
     assert [s.level for s in found] == [1, 2, 1, 1, 2, 3, 1]
     assert found[0].title == "Документ" and found[2].content == "ПРИКАЗЫВАЮ:"
     assert all(ORDER[s.start : s.end].strip() == s.content for s in found)
