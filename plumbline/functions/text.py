@@ -65,25 +65,32 @@ def masked(c: Column) -> Column:
     return c
 
 
-def _counts(t: Column, stop: tuple[str, ...]) -> Column:
+def counts(t: Column, stop: tuple[str, ...]) -> Column:
     return (F.length(t) >= 2) & ~t.isin(*stop) & ~t.rlike(r"^\p{Nd}+$")
 
 
-def tokens(c: Column, stop: tuple[str, ...] = STOP, lemma: Callable[[Column], Column] = lambda t: t) -> Column:
+_T, _PART = r"[\p{L}\p{M}\p{N}_-]", r"[\p{L}\p{M}\p{N}_]"
+#: Whole runs of two or three signs as they are; longer ones in parts of two signs or more between
+#: hyphens. Numbers are passed over.
+WORDS = rf"(?<!{_T})(?!\p{{Nd}}+(?!{_T})){_T}{{2,3}}(?!{_T})|(?!\p{{Nd}}+(?!{_PART})){_PART}{{2,}}"
+
+
+def tokens(c: Column, stop: tuple[str, ...] = STOP, lemma: Callable[[Column], Column] | None = None) -> Column:
     """Lower-cased lemmas without stop words and numbers; hyphenated words in parts.
-    lemma: from a word to its lemma, the word itself by default."""
-    found = F.regexp_extract_all(masked(c), F.lit(TOKEN), F.lit(0))
-    split = F.transform(F.filter(found, lambda t: F.length(t) >= 2), lambda t: F.when(F.contains(t, F.lit("-")) & (F.length(t) > 3), F.split(t, "-")).otherwise(F.array(t)))
-    return F.filter(F.transform(F.filter(F.flatten(split), lambda t: F.length(t) >= 2), lemma), lambda t: _counts(t, stop))
-
-
-def token_rows(df: DataFrame, column: str = "text", stop: tuple[str, ...] = STOP, lemma: Callable[[Column], Column] = lambda t: t) -> DataFrame:
-    """id and token, a row for each of the same tokens. Filters stand on rows here, where
-    the engine compiles them, as a corpus is tokenised once."""
-    each = df.select("id", F.explode(F.regexp_extract_all(masked(F.col(column)), F.lit(TOKEN), F.lit(0))).alias("t")).where(F.length("t") >= 2)
-    parts = F.when(F.contains("t", F.lit("-")) & (F.length("t") > 3), F.split("t", "-")).otherwise(F.array("t"))
-    each = each.select("id", F.explode(parts).alias("t")).where(F.length("t") >= 2)
-    return each.select("id", lemma(F.col("t")).alias("token")).where(_counts(F.col("token"), stop))
+    lemma: from a word to its lemma; words as they are without it."""
+    found = F.regexp_extract_all(masked(c), F.lit(WORDS), F.lit(0))
+    if lemma is not None:
+        return F.filter(F.transform(found, lemma), lambda t: counts(t, stop))
+    return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
+
+
+def token_rows(df: DataFrame, column: str = "text", stop: tuple[str, ...] = STOP, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id and token, a row for each of the same tokens. The filter stands on rows here, where
+    the engine compiles it, as a corpus is tokenised once."""
+    each = df.select("id", F.explode(F.regexp_extract_all(masked(F.col(column)), F.lit(WORDS), F.lit(0))).alias("token"))
+    if lemma is not None:
+        return each.select("id", lemma(F.col("token")).alias("token")).where(counts(F.col("token"), stop))
+    return each.where(~F.col("token").isin(*stop)) if stop else each
 
 
 def simple_tokens(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import calendar, text
+from plumbline.functions import calendar, lemmas, text
 from plumbline.operators import diagnostics, keywords, structure
 from plumbline.plans.tables import CHUNKS, DOCS, chunks, documents, load
 from plumbline.sources import files
@@ -256,6 +256,28 @@ def employee_rows(spark, sf):
     return c.select("c_custkey", F.inline(text.employees(answer))).select("c_custkey", F.col("name").alias("head"), "email")
 
 
+_RULES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in lemmas.RULES.items()) + ") AS ru(ending, ending_to)"
+_ODD_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in lemmas.IRREGULAR.items()) + ") AS od(word, lemma)"
+_LEMMAS = f"""{DOCS}, {_TOKENS}, lw AS (SELECT DISTINCT unnest(tokens) AS token FROM tok),
+lc AS (SELECT token, left(token, (length(token) - length(ending))::BIGINT) || ending_to AS made, length(ending) AS n FROM lw, {_RULES_SQL} WHERE ends_with(token, ending) AND length(token) >= length(ending) + {lemmas.STEM}),
+lr AS (SELECT token, arg_max(made, n) AS made FROM lc GROUP BY token),
+le AS (SELECT lw.token, coalesce(od.lemma, lr.made, lw.token) AS lemma FROM lw LEFT JOIN lr USING (token) LEFT JOIN {_ODD_SQL} ON od.word = lw.token)"""
+
+
+@query(f"WITH {_LEMMAS} SELECT token, lemma FROM le")
+def lemma_words(spark, sf):
+    """The lemma of each different token of the documents."""
+    return lemmas.lemma_table(text.token_rows(documents(spark, sf)), lemmas.exceptions(spark))
+
+
+@query(f"WITH {_LEMMAS}, lt AS (SELECT id, unnest(tokens) AS token FROM tok), ld AS (SELECT id, lemma FROM lt JOIN le USING (token) WHERE length(lemma) >= 2 AND lemma NOT IN {text.STOP} AND NOT regexp_full_match(lemma, '[0-9]+')) SELECT lemma, count(DISTINCT id) AS n_docs_with, count(*) AS n FROM ld GROUP BY lemma")
+def lemma_frequency(spark, sf):
+    """Texts and places of each lemma: tokens that are lemmas, as an index takes them."""
+    rows = lemmas.lemma_rows(documents(spark, sf), lemmas.exceptions(spark))
+    each = rows.groupBy("token", "id").agg(F.count("*").alias("n"))
+    return each.groupBy(F.col("token").alias("lemma")).agg(F.count("*").alias("n_docs_with"), F.sum("n").alias("n"))
+
+
 @query()
 def semantic_chunks(spark, sf):
     """Without SQL: each piece begins where the last one ended."""

@@ -1,6 +1,9 @@
+import random
+
+import regex
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import lemmas, text
 from plumbline.operators import structure
 
 ORDER = """ООО «Ромашка»
@@ -91,3 +94,41 @@ def test_tables(spark):
     tables = spark.createDataFrame([("d", 0, 5), ("d", 1, 50), ("e", 0, 5)], "id string, table_no int, position int")
     secs = spark.createDataFrame([("d", 0, 0, 10), ("d", 1, 40, 60)], "id string, section_no int, start int, end int")
     assert sorted((r.id, r.table_no, r.section_no) for r in structure.tables_in_sections(tables, secs).collect()) == [("d", 0, 0), ("d", 1, 1)]
+
+
+def test_tokens_equal_their_definition(spark):
+    """Runs, hyphens, numbers, marks: the one pattern against the definition, step by step."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("аbя1９2-_é\u0301 ,-", k=rng.randrange(0, 40))) for _ in range(400)] + ["a-b ab-c -- --- ---- 12 1-2 12-34 12-a4 -ab ab- x1-22-zz", "и в не-что", "２３ ²³ a²"]
+    want = []
+    for t in texts:
+        out = []
+        for run in regex.findall(r"[\p{L}\p{M}\p{N}_-]+", t.lower()):
+            parts = run.split("-") if "-" in run and len(run) > 3 else [run]
+            out += [p for p in parts if len(p) >= 2 and p not in text.STOP and not regex.fullmatch(r"\p{Nd}+", p)]
+        want.append(out)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert [r[0] for r in df.orderBy("id").select(text.tokens(F.col("text"))).collect()] == want
+    rows = {}
+    for r in text.token_rows(df).collect():
+        rows.setdefault(r.id, []).append(r.token)
+    assert [rows.get(i, []) for i in range(len(texts))] == want
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    arrays = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 2, 3, 9, 10, 99, 1000)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "id int, a array<int>")
+    got = [r[0] for r in df.orderBy("id").select(text.running(F.col("a"))).collect()]
+    assert got == [[sum(a[:i]) for i in range(len(a))] for a in arrays]
+
+
+def test_lemmas_by_rules_and_exceptions(spark):
+    words = ["cats", "parties", "classes", "boxes", "wishes", "glass", "this", "making", "red", "договоров", "новыми", "делали", "инструкции", "важностью", "решениями", "были", "children", "да", "ab"]
+    want = ["cat", "party", "class", "box", "wish", "glass", "this", "mak", "red", "договор", "новый", "делать", "инструкция", "важность", "решение", "быть", "child", "да", "ab"]
+    df = spark.createDataFrame([(w,) for w in words * 2], "token string")
+    got = {r.token: r.lemma for r in lemmas.lemma_table(df, lemmas.exceptions(spark)).collect()}
+    assert got == dict(zip(words, want))
+    docs = spark.createDataFrame([(1, "Cats cat были 12 не cats"), (2, ""), (3, None)], "id int, text string")
+    assert sorted(r.token for r in lemmas.lemma_rows(docs, lemmas.exceptions(spark)).collect()) == ["cat", "cat", "cat"]
+    assert len(lemmas.RULES) < 200
