@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from plumbline.sources.stores import stored
+
 WINDOW_S, MOST = 60, 10
 
 
@@ -55,15 +57,28 @@ def _seconds(ts: pd.Series) -> list[float]:
 def rate_limited(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", window: float = WINDOW_S, most: int = MOST) -> DataFrame:
     """Batch: user, event, ts and whether it is accepted. Acceptance feeds back, so events
     are gone through in order; where a user pauses for the window, nothing before counts,
-    so users are dealt out by such sessions. Tasks read their rows as a stream, and keep
-    the accepted times that still count only, however long a session is. Rows without a
-    user or a time are not accepted."""
+    so users are dealt out by such sessions. Pauses are found in ranges of (user, time), so
+    that no user's events meet in one task for it; a range knows of those before it only a
+    user's last time and number of pauses. Tasks read sessions as a stream, and keep the
+    accepted times that still count only, however long a session is. Rows without a user or
+    a time are not accepted."""
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s")
-    df = events.select(user, order, ts, seconds)
-    by = Window.partitionBy(user).orderBy("_s", order)
-    pause = F.col("_s") - F.lag("_s").over(by) >= window
-    df = df.withColumn("_session", F.sum(F.coalesce(pause.cast("int"), F.lit(0))).over(by))
     names = [user, order, ts]
+    good = F.col(user).isNotNull() & F.col(ts).isNotNull()
+    df = events.select(*names, seconds)
+    ranges = stored(df.where(good).repartitionByRange(user, "_s", order).withColumn("_range", F.spark_partition_id()), "ranges")
+    by = Window.partitionBy(user, "_range").orderBy("_s", order)
+    before = Window.partitionBy(user).orderBy("_range")
+    ends = ranges.groupBy(user, "_range").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    opened = (F.col("_first") - F.lag("_last").over(before) >= window).alias("_opened")
+    gap = F.coalesce((F.col("_s") - F.lag("_s").over(by) >= window).cast("int"), F.lit(0))
+    within = ranges.withColumn("_session", F.sum(gap).over(by))
+    inner = within.groupBy(user, "_range").agg(F.max("_session").alias("_n"))
+    # A row for each user and range that has some of its events.
+    known = ends.select(user, "_range", opened).join(inner, [user, "_range"])
+    upto = F.sum(F.coalesce(F.col("_opened").cast("int"), F.lit(0))).over(before) + F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = known.select(user, "_range", upto.alias("_base"))
+    df = within.join(known, [user, "_range"]).withColumn("_session", F.col("_session") + F.col("_base")).select(*names, "_s", "_session")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, recent = None, deque()
@@ -73,9 +88,6 @@ def rate_limited(events: DataFrame, user: str = "user_id", ts: str = "ts", order
                 if key[:2] != at:
                     at = key[:2]
                     recent.clear()
-                if key[0] is None or key[2] is None:
-                    out.append(False)
-                    continue
                 while recent and key[2] - recent[0] >= window:
                     recent.popleft()
                 out.append(len(recent) < most)
@@ -84,7 +96,8 @@ def rate_limited(events: DataFrame, user: str = "user_id", ts: str = "ts", order
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.bool_())], names=[*names, "accepted"])
 
     dealt = df.repartition(user, "_session").sortWithinPartitions(user, "_session", "_s", order)
-    return dealt.mapInArrow(run, _marked(events.select(*names)))
+    out = dealt.mapInArrow(run, _marked(events.select(*names)))
+    return out.unionByName(events.select(*names).where(~good).withColumn("accepted", F.lit(False)))
 
 
 def rate_limited_stream(events: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", window: float = WINDOW_S, most: int = MOST, late: str | None = None) -> DataFrame:
@@ -117,12 +130,17 @@ def fresh_results(requests: DataFrame, key: str = "cache_key", ts: str = "ts", t
 def cached(requests: DataFrame, results: DataFrame, key: str = "cache_key", ts: str = "ts", ttl_s: int = 3600) -> DataFrame:
     """Batch: each request with the newest result that was not too old by then, if any.
     Requests and results of a key stand in one order of time, and each request takes the
-    last result before it; no request meets more than that one. A result of the same
-    second counts as before the request. Of results of one second, the larger counts."""
+    last result before it; no request meets more than that one. A key's time is cut into
+    spans as long as a result lives, and a result stands in its own span and the next, so a
+    hot key is dealt out by spans. A result of the same second counts as before the request.
+    Of results of one second, the larger counts."""
     second = F.unix_timestamp(ts)
+    span = F.floor(F.col("_s") / ttl_s)
     asked = requests.select(F.struct(*requests.columns).alias("_row"), F.col(key).alias("_key"), second.alias("_s"), F.lit(None).cast(results.schema["result"].dataType).alias("result"), F.lit(1).alias("_kind"))
     given = results.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), second.alias("_s"), "result", F.lit(0).alias("_kind"))
-    order = Window.partitionBy("_key").orderBy("_s", "_kind", "result").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = asked.withColumn("_span", span)
+    given = given.withColumn("_span", F.explode(F.array(span, span + 1)))
+    order = Window.partitionBy("_key", "_span").orderBy("_s", "_kind", "result").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last(F.when(F.col("_kind") == 0, F.struct("_s", "result")), ignorenulls=True).over(order)
     found = asked.unionByName(given).withColumn("_last", last).where("_kind = 1")
     alive = F.col("_s") - F.col("_last._s") < ttl_s

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog
-from plumbline.streaming import answers, sessions
+from plumbline.streaming import answers, jobs, sessions
 from plumbline.streaming.retries import Ingest
 
 PIECES = "answer_id long, number long, ts timestamp, piece string"
@@ -166,3 +166,38 @@ def test_a_new_version_replaces_the_one_that_waits_or_was_given_up(spark, job):
         job.step(files(), k, 1000.0 * k)
     assert job.waiting().count() == 0 and [r.path for r in job.dead().collect()] == ["x/always.txt"]
     assert sorted(r.text for r in job.living().collect()) == ["new", "second"]
+
+
+def test_hot_users_are_limited_as_one_by_one(spark):
+    """A third of all events are one user's; sessions cross ranges; null users and times."""
+    rng = random.Random(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    rows, t = [], 0.0
+    for i in range(900):
+        t += rng.choice([0, 1, 5, 30, 61, 200])
+        rows.append((1 if rng.random() < 0.34 else rng.randrange(2, 9), i, at(t)))
+    rows += [(None, 9001, at(3)), (4, 9002, None)]
+    try:
+        got = {r.event_id: r.accepted for r in jobs.rate_limited(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), most=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {9001: False, 9002: False}
+    for user in range(1, 9):
+        kept = []
+        for _, event, when in sorted((r for r in rows if r[0] == user and r[2]), key=lambda r: (r[2], r[1])):
+            recent = [x for x in kept if (when - x).total_seconds() < 60]
+            want[event] = len(recent) < 3
+            kept += [when] if want[event] else []
+    assert got == want and 100 < sum(got.values()) < 890
+
+
+def test_cached_results_across_spans(spark):
+    rng = random.Random(9)
+    asked = [(i, rng.choice(["hot", "hot", "k"]), at(rng.randrange(20_000))) for i in range(300)] + [(301, None, at(50))]
+    given = [(rng.choice(["hot", "k"]), at(rng.randrange(20_000)), i) for i in range(60)] + [(None, at(20), 77)]
+    out = jobs.cached(spark.createDataFrame(asked, "id long, cache_key string, ts timestamp"), spark.createDataFrame(given, "cache_key string, ts timestamp, result long"), ttl_s=1000)
+    want = {}
+    for i, key, when in asked:
+        live = [(s, r) for k, s, r in given if k == key and 0 <= (when - s).total_seconds() < 1000]
+        want[i] = max(live)[1] if live else None
+    assert {r.id: r.result for r in out.collect()} == want and out.columns == ["id", "cache_key", "ts", "result"]
