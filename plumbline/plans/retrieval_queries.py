@@ -429,22 +429,51 @@ def employee_search(spark, sf):
 
 # -- expansion ---------------------------------------------------------------------
 
+#: Queries are what users began their conversations with; terms are their longer words with a t.
+_TALK = "(SELECT conv_id AS qid, text AS query FROM conversations WHERE role = 'user' AND turn = 0) AS q"
+_WORDS = r"[\p{L}]{6,}"
+_TALK_SYN = rf"""sy AS (SELECT term, list_slice([term || 'a', term || 'b', term || 'c', term || 'd'], 1, 1 + length(term) % 4) AS synonyms
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(query), '{_WORDS}')) AS term FROM {_TALK}) WHERE contains(term, 't'))"""
 
-@query(f"WITH {_TERMS} SELECT qid, term FROM t")
+
+def _talk(spark, sf):
+    return load(spark, sf, "conversations").where("role = 'user' AND turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _dictionary(spark, sf):
+    words = _talk(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("query"), F.lit(_WORDS), F.lit(0))).alias("term")).distinct().where(F.contains("term", F.lit("t")))
+    every = F.array(*(F.concat("term", F.lit(x)) for x in "abcd"))
+    return words.select("term", F.slice(every, F.lit(1), 1 + F.length("term") % 4).alias("synonyms"))
+
+
+def _talk_sql(sql: str) -> str:
+    return f"WITH {_TALK_SYN}, " + sql.removeprefix("WITH ").replace(Q_SQL, _TALK).replace(_SYN, "sy AS s")
+
+
+@query(_talk_sql(f"WITH {_TERMS} SELECT qid, term FROM t"))
 def query_terms(spark, sf):
-    return queries(spark, sf).select("qid", F.explode(expansion.terms(F.col("query"))).alias("term"))
+    return _talk(spark, sf).select("qid", F.explode(expansion.terms(F.col("query"))).alias("term"))
 
 
-@query(_expand_sql("2"))
+@query(_talk_sql(_expand_sql("2")))
 def expand_query(spark, sf):
-    return expansion.expand(queries(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)).select("qid", "expanded")
+    return expansion.expand(_talk(spark, sf), _dictionary(spark, sf)).select("qid", "expanded")
 
 
-@query(_expand_sql(_SMART))
+@query(_talk_sql(_expand_sql(_SMART)))
 def expand_query_smart(spark, sf):
-    return expansion.expand_smart(queries(spark, sf), expansion.synonyms(spark, expansion.SAMPLE)).select("qid", "expanded")
+    return expansion.expand_smart(_talk(spark, sf), _dictionary(spark, sf)).select("qid", "expanded")
+
+
+@query(_talk_sql("WITH ad AS (SELECT term, ['own'] AS synonyms FROM sy WHERE length(term) % 2 = 0 UNION ALL SELECT 'new term', ['x', 'y']), al AS (SELECT * FROM sy WHERE term NOT IN (SELECT term FROM ad) UNION ALL SELECT * FROM ad) SELECT term, array_to_string(synonyms, ',') AS synonyms FROM al"))
+def added_synonyms(spark, sf):
+    """Terms added while the dictionary is in use take the place of those of the same name."""
+    table = _dictionary(spark, sf)
+    own = table.where(F.length("term") % 2 == 0).select("term", F.array(F.lit("own")).alias("synonyms"))
+    added = own.unionByName(expansion.synonyms(spark, {"new term": ["x", "y"]}))
+    return expansion.with_added(table, added).select("term", F.array_join("synonyms", ",").alias("synonyms"))
 
 
-@query(f"SELECT count(*) AS n_terms, sum(len(synonyms))::BIGINT AS n_synonyms, avg(len(synonyms)) AS avg_synonyms FROM {_SYN}")
+@query(f"WITH {_TALK_SYN} SELECT count(*) AS n_terms, sum(len(synonyms))::BIGINT AS n_synonyms, avg(len(synonyms)) AS avg_synonyms FROM sy")
 def synonym_stats(spark, sf):
-    return expansion.statistics(expansion.synonyms(spark, expansion.SAMPLE))
+    return expansion.statistics(_dictionary(spark, sf))

@@ -30,14 +30,16 @@ def values(rows: list[tuple], names: str) -> str:
 
 # -- documents in Russian, on the shipped patterns -------------------------------------
 
+#: Forms that the table of orders fills in: {k} is the order, {c} its customer, {d} its day.
 ORDERS = [
-    (1, "ООО «Ромашка»\nИНН 7701234567 КПП 770101001 ОГРН 1027700132195\nЮридический адрес: г. Москва, ул. Ленина, 1\n№ 12-К от «05» марта 2024 г.\nО внесении изменений в штатное расписание\nПРИКАЗЫВАЮ:\n1. Утвердить новое расписание.\n1.1. Ввести две должности.\nа) инженер\nб) техник\n2. Контроль оставляю за собой.\nДиректор Петров И.И."),
-    (2, "Должностная инструкция инженера\nОБЩИЕ ПОЛОЖЕНИЯ\n1. Инженер подчиняется директору.\nПрава инженера:\n- требовать\n[Заголовки таблицы: Имя | Роль]\n[Строка 1: Иван | инженер]"),
-    (3, "ДОГОВОР № 7\nЗАО \"Север\" и ИП Иванов\nФактический адрес: г. Тверь\nПРЕДМЕТ ДОГОВОРА\nПоставка товара до «1» мая 2025 г\nРуководитель отдела Сидоров А.Б."),
-    (4, "Заметка без особых примет\nпросто текст 12.5"),
+    (1, "ООО «Ромашка»\nИНН 77{k} КПП 770101001 ОГРН 1027700132195\nЮридический адрес: г. Москва, ул. Ленина, 1\n№ {k}-К от «{d}» марта 2024 г.\nО внесении изменений в штатное расписание\nПРИКАЗЫВАЮ:\n1. Утвердить новое расписание {c}.\n1.1. Ввести две должности.\nа) инженер\nб) техник\n2. Контроль оставляю за собой.\nДиректор Петров И.И."),
+    (2, "Должностная инструкция инженера\nОБЩИЕ ПОЛОЖЕНИЯ\n1. Инженер {c} подчиняется директору.\nПрава инженера:\n- требовать\n[Заголовки таблицы: Имя | Роль]\n[Строка 1: Иван | инженер]"),
+    (3, "ДОГОВОР № {k}\nЗАО \"Север\" и ИП Иванов\nФактический адрес: г. Тверь\nПРЕДМЕТ ДОГОВОРА\nПоставка товара {c} до «{d}» мая 2025 г\nРуководитель отдела Сидоров А.Б."),
+    (4, "Заметка без особых примет\nпросто текст {k}.5"),
     (5, ""),
 ]
-_ORDERS = f"od AS (SELECT id::BIGINT AS id, text FROM {values(ORDERS, 'id, text')})"
+_FORM = "CASE o_orderkey % 5 " + " ".join(f"WHEN {i % 5} THEN {quoted(t)}" for i, t in ORDERS) + " END"
+_ORDERS = f"od AS (SELECT o_orderkey AS id, replace(replace(replace({_FORM}, '{{k}}', lpad(o_orderkey::VARCHAR, 8, '1')), '{{c}}', o_custkey::VARCHAR), '{{d}}', day(o_orderdate)::VARCHAR) AS text FROM orders)"
 _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(upper(text), {quoted('|'.join(p))}) THEN '{n}'" for n, p in structure.TYPES) + " ELSE 'GENERAL' END"
 _KIND = "CASE " + " ".join(
     f"WHEN regexp_matches(t, {quoted(p)})" + (f" AND length(t) < {n}" if n else "") + f" THEN '{k}'" for k, p, n in structure.LINES
@@ -49,13 +51,20 @@ oc AS (SELECT *, {_KIND} AS type FROM ot),
 ov AS (SELECT *, CASE type WHEN 'numbered_item' THEN len(string_split(regexp_extract(t, '^(\\d+(?:\\.\\d+)*)\\.', 1), '.')) WHEN 'lettered_item' THEN 3 WHEN 'subheader' THEN 2 ELSE 1 END AS level FROM oc)"""
 
 
-def _orders(spark):
-    return spark.createDataFrame(ORDERS, "id long, text string")
+def _orders(spark, sf):
+    o = load(spark, sf, "orders")
+    form = None
+    for i, t in ORDERS:
+        form = F.when(F.col("o_orderkey") % 5 == i % 5, t) if form is None else form.when(F.col("o_orderkey") % 5 == i % 5, t)
+    filled = {"{k}": F.lpad(F.col("o_orderkey").cast("string"), 8, "1"), "{c}": F.col("o_custkey").cast("string"), "{d}": F.dayofmonth("o_orderdate").cast("string")}
+    for place, c in filled.items():
+        form = F.replace(form, F.lit(place), c)
+    return o.select(F.col("o_orderkey").alias("id"), form.alias("text"))
 
 
 @query(f"WITH {_ORDERS} SELECT id, {_TYPE} AS type FROM od")
 def order_types(spark, sf):
-    return _orders(spark).select("id", structure.document_type(F.col("text")).alias("type"))
+    return _orders(spark, sf).select("id", structure.document_type(F.col("text")).alias("type"))
 
 
 @query(
@@ -64,13 +73,13 @@ def order_types(spark, sf):
   array_to_string(regexp_extract_all(text, {quoted(structure.SIGNATORY)}, 1), ',') AS signatories, array_to_string(regexp_extract_all(text, {quoted(structure.ADDRESS)}, 1), ',') AS addresses FROM od"""
 )
 def order_metadata(spark, sf):
-    d = _orders(spark).select("id", structure.metadata(F.col("text")).alias("m")).select("id", "m.*")
+    d = _orders(spark, sf).select("id", structure.metadata(F.col("text")).alias("m")).select("id", "m.*")
     return d.withColumn("signatories", F.array_join("signatories", ",")).withColumn("addresses", F.array_join("addresses", ","))
 
 
 @query(f"WITH {_OLINES} SELECT id, line_no::INT AS line_no, start, type, level::INT AS level FROM ov")
 def order_lines(spark, sf):
-    d = _orders(spark)
+    d = _orders(spark, sf)
     kinds = d.select("id", "text", structure.document_type(F.col("text")).alias("kind"))
     return structure.lines(kinds, kind=F.col("kind")).select("id", "line_no", "start", "type", F.col("level").cast("int").alias("level"))
 
@@ -81,15 +90,19 @@ SELECT id, section_no::BIGINT AS section_no, CASE WHEN section_no = 0 THEN 'До
   max(start + length(line))::BIGINT AS "end", trim(string_agg(t, chr(10) ORDER BY line_no)) AS content FROM os GROUP BY id, section_no HAVING trim(string_agg(t, chr(10) ORDER BY line_no)) <> ''"""
 )
 def order_sections(spark, sf):
-    kinds = _orders(spark).select("id", "text", structure.document_type(F.col("text")).alias("kind"))
+    kinds = _orders(spark, sf).select("id", "text", structure.document_type(F.col("text")).alias("kind"))
     s = structure.sections(kinds, kind=F.col("kind"))
     return s.select("id", "section_no", "title", "type", F.col("level").cast("int").alias("level"), "start", "end", "content")
 
 
-@query()
+@query(
+    f"""WITH {_OLINES}, os AS (SELECT *, sum((type <> 'paragraph')::INT) OVER (PARTITION BY id ORDER BY line_no) AS section_no FROM ov)
+SELECT id::VARCHAR AS id, section_no::INT AS section_no, 1 AS part, 1 AS total_parts, min(start) AS start, max(start + length(line))::BIGINT AS "end", 'complete_section' AS chunk_type,
+  CASE WHEN section_no = 0 THEN 'Документ' ELSE arg_min(t, line_no) END AS title, arg_min(type, line_no) AS type, trim(string_agg(t, chr(10) ORDER BY line_no)) AS text FROM os GROUP BY id, section_no HAVING trim(string_agg(t, chr(10) ORDER BY line_no)) <> ''"""
+)
 def order_chunks(spark, sf):
-    """Without SQL: each piece begins where the last one ended. Sections of the shipped patterns."""
-    kinds = _orders(spark).select("id", "text", structure.document_type(F.col("text")).alias("kind"))
+    """Sections of the shipped patterns; each is short enough to be one chunk."""
+    kinds = _orders(spark, sf).select("id", "text", structure.document_type(F.col("text")).alias("kind"))
     return structure.section_chunks(structure.sections(kinds, kind=F.col("kind")))
 
 
@@ -264,14 +277,22 @@ def table_contexts(spark, sf):
     return c.withColumn("fallback", structure.fallback_table(F.col("after"), F.concat(F.lit("Раздел "), F.col("id").cast("string"))))
 
 
-_CODED = [(1, "Приказ №5 о ёлках".replace("№", "N"), "utf-8"), (2, "Имя;Роль", "cp1251"), (3, "plain", "ascii"), (4, "", "utf-8")]
+_PLAIN = r"[^\x00-\x7F]"
 
 
-@query(f"SELECT id::BIGINT AS id, text FROM {values([r[:2] for r in _CODED], 'id, text')}")
+@query(r"SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Приказ ' || doc_id || ': ' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') END AS text FROM documents")
 def decoded_files(spark, sf):
     """Bytes in one encoding or another, as text."""
-    raw = spark.createDataFrame([(i, t.encode(c)) for i, t, c in _CODED], "id long, content binary")
-    return files.decoded(raw)
+    k = F.col("doc_id")
+    said = F.concat(F.lit("Приказ "), k.cast("string"), F.lit(": "), F.regexp_replace("text", _PLAIN, ""))
+    content = F.when(k % 3 == 0, F.encode("text", "UTF-8")).when(k % 3 == 1, F.encode(said, "UTF-8")).otherwise(_cp1251(said))
+    return files.decoded(load(spark, sf, "documents").select(k.alias("id"), content.alias("content")))
+
+
+def _cp1251(c):
+    """Text of ASCII and Cyrillic letters in that code page: each letter's byte by its distance from А."""
+    letters = "".join(map(chr, range(0x410, 0x450)))
+    return F.encode(F.translate(c, letters, "".join(map(chr, range(0xC0, 0x100)))), "ISO-8859-1")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'empty' WHEN page_id % 3 = 0 THEN 'unsupported' ELSE 'ok' END AS verdict FROM pages")
@@ -341,14 +362,17 @@ def pipeline_statistics(spark, sf):
     return diagnostics.pipeline_statistics(e)
 
 
-_DICT = {"api": ["interface", "endpoint"], "база данных": ["бд"], "клиент": ["заказчик", "покупатель"], "маркетинг": ["реклама"], "дизайн": ["макет"], "license": ["licence"]}
+#: Words of categories, put before names of parts.
+_HEADS = ("api", "база данных", "клиент", "маркетинг", "дизайн", "license")
 
 
-@query("SELECT 2 AS tech_terms, 2 AS business_terms, 1 AS design_terms")
+@query("SELECT (count(*) FILTER (p_partkey % 6 < 2))::BIGINT AS tech_terms, (count(*) FILTER (p_partkey % 6 IN (2, 3)))::BIGINT AS business_terms, (count(*) FILTER (p_partkey % 6 = 4))::BIGINT AS design_terms FROM part")
 def synonym_categories(spark, sf):
     from plumbline.operators import expansion
 
-    return expansion.categories(expansion.synonyms(spark, _DICT))
+    p = load(spark, sf, "part")
+    head = F.get(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % 6).cast("int"))
+    return expansion.categories(p.select(F.concat_ws(" ", head, F.col("p_partkey").cast("string")).alias("term"), F.array("p_type").alias("synonyms")))
 
 
 @query(

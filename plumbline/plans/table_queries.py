@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import access, catalog
 from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, chunks, documents, load
+from plumbline.sources import stores
 
 QUERIES: dict = {}
 
@@ -180,12 +181,10 @@ def collection_stats(spark, sf):
     return load(spark, sf, "embeddings").agg(F.count("*").alias("n_vectors"), F.lit("cosine").alias("metric"))
 
 
-@query("SELECT 'documents' AS name, TRUE AS present UNION ALL SELECT 'labels', TRUE UNION ALL SELECT 'users', FALSE")
+@query("SELECT 'documents' AS name, TRUE AS present, (SELECT count(*) FROM documents) AS n_rows UNION ALL SELECT 'labels', TRUE, (SELECT count(*) FROM labels) UNION ALL SELECT 'users', FALSE, NULL")
 def required_tables(spark, sf):
-    need = spark.createDataFrame([("documents",), ("labels",), ("users",)], "name string")
-    have = spark.createDataFrame([("documents",), ("labels",), ("events",)], "name string")
-    missing = need.exceptAll(have).withColumn("gone", F.lit(True))
-    return need.join(missing, "name", "left").select("name", F.col("gone").isNull().alias("present"))
+    """Which of the tables that are needed a folder has, and their rows."""
+    return stores.audit_folder(spark, sf, ["documents", "labels", "users"])
 
 
 @query(f"WITH {DOCS} SELECT id, 'new title' AS title, length('content ' || id)::INT AS char_count FROM docs WHERE id % 5 = 0 UNION ALL SELECT id, source, length(text)::INT FROM docs WHERE id % 5 <> 0")

@@ -101,3 +101,13 @@ def audit(spark: SparkSession, required: list[str]) -> DataFrame:
     """name and present of the tables that are required."""
     have = {t.name for t in spark.catalog.listTables()}
     return spark.createDataFrame([(n, n in have) for n in required], "name string, present boolean")
+
+
+def audit_folder(spark: SparkSession, folder: str, required: list[str]) -> DataFrame:
+    """name, present and n_rows (null where absent) of the tables that a folder has to have."""
+    have = [n for n in required if exists(spark, f"{folder}/{n}.parquet")]
+    out = spark.createDataFrame([(n, False, None) for n in required if n not in have], "name string, present boolean, n_rows long")
+    for n in have:
+        rows = spark.read.parquet(f"{folder}/{n}.parquet").agg(F.count("*").alias("n_rows"))
+        out = out.unionByName(rows.select(F.lit(n).alias("name"), F.lit(True).alias("present"), "n_rows"))
+    return out
