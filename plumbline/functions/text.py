@@ -26,12 +26,14 @@ STOP = (
 KEYWORD_STOP = ("the", "and", "of", "to", "in", "is", "for", "on", "with", "as")
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), where value is worked out once, however often make names it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def running(sizes: Column) -> Column:
     """For each number of an array the sum of those before it. The array is gone through in
     about root-n blocks, as an array that grows element by element is copied every time."""
-    n = F.size(sizes)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, width)).otherwise(F.array().cast("array<int>"))
     zero = F.lit(0).cast("long")
 
     def summed(block: Column) -> Column:
@@ -39,15 +41,19 @@ def running(sizes: Column) -> Column:
         begin = F.struct(F.array().cast("array<bigint>").alias("before"), zero.alias("at"))
         return F.aggregate(block, begin, lambda a, x: F.struct(F.concat(a["before"], F.array(a["at"])).alias("before"), (a["at"] + x).alias("at")))
 
-    blocks = F.transform(starts, lambda i: summed(F.slice(sizes, i, width)))
-    # Of each block the sum of the blocks before it, then of each element.
-    joined = F.aggregate(
-        blocks,
-        F.struct(F.array().cast("array<struct<base:bigint,before:array<bigint>>>").alias("done"), zero.alias("at")),
-        lambda a, b: F.struct(F.concat(a["done"], F.array(F.struct(a["at"].alias("base"), b["before"].alias("before")))).alias("done"), (a["at"] + b["at"]).alias("at")),
-        lambda a: a["done"],
-    )
-    return F.flatten(F.transform(joined, lambda b: F.transform(b["before"], lambda x: x + b["base"])))
+    def joined(blocks: Column) -> Column:
+        """Of each block the sum of the blocks before it, then of each element."""
+        begin = F.struct(F.array().cast("array<struct<base:bigint,before:array<bigint>>>").alias("done"), zero.alias("at"))
+        add = lambda a, b: F.struct(F.concat(a["done"], F.array(F.struct(a["at"].alias("base"), b["before"].alias("before")))).alias("done"), (a["at"] + b["at"]).alias("at"))
+        done = F.aggregate(blocks, begin, add, lambda a: a["done"])
+        return F.flatten(F.transform(done, lambda b: F.transform(b["before"], lambda x: x + b["base"])))
+
+    def cut(s: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(s).cast("double"))).cast("int"))
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: summed(F.slice(s, i, width)))
+
+    return joined(bound(sizes, cut))
 
 
 def clean(c: Column) -> Column:

@@ -54,6 +54,36 @@ def upsert(old: DataFrame, new: DataFrame, key: str, updated: list[str]) -> Data
     return both.select(*(pick(c).alias(c) if c in updated else F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in old.columns))
 
 
+def update_chunks(chunks: DataFrame, changes: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """chunks (key, content, char_count, metadata) with the changes (key, content, metadata) that
+    are not null put in place; new content has a new char_count. Of changes of one chunk the
+    last one counts, by their column at. Changes of unknown chunks change nothing."""
+    last = changes.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct("content", "metadata"), "at").alias("_new"))
+    df = chunks.join(last, F.col(key) == F.col("_key"), "left")
+    put = {
+        "content": F.coalesce("_new.content", "content"),
+        "char_count": F.when(F.col("_new.content").isNotNull(), F.length("_new.content")).otherwise(F.col("char_count")),
+        "metadata": F.coalesce("_new.metadata", "metadata"),
+    }
+    return df.select(*(put[c].alias(c) if c in put else F.col(c) for c in chunks.columns))
+
+
+#: The lists of keywords in a chunk's metadata.
+KEYWORDS = ("semantic_keywords", "technical_keywords", "all_keywords")
+
+
+def reshaped(chunks: DataFrame, titles: DataFrame, doc: str = "document_id") -> DataFrame:
+    """chunks with document_title, and keywords lifted out of their JSON metadata: a struct of
+    three lists, those that are absent empty, or null if all three are. titles: doc, title."""
+    found = F.from_json("metadata", "struct<" + ", ".join(f"{k}: array<string>" for k in KEYWORDS) + ">")
+    named = titles.select(F.col(doc).alias("_doc"), F.col("title").alias("document_title"))
+    df = chunks.withColumn("_k", found).join(named, F.col(doc) == F.col("_doc"), "left")
+    none = F.array().cast("array<string>")
+    lifted = F.struct(*(F.coalesce(F.col("_k")[k], none).alias(k) for k in KEYWORDS))
+    some = F.coalesce(*(F.col("_k")[k] for k in KEYWORDS)).isNotNull()
+    return df.select(*chunks.columns, "document_title", F.when(some, lifted).alias("keywords"))
+
+
 def replace_document(chunks: DataFrame, new: DataFrame, doc: str = "document_id") -> DataFrame:
     """All chunks of the documents in new are replaced, so none is left over."""
     return chunks.join(new.select(doc).distinct(), doc, "left_anti").unionByName(new)

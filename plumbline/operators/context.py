@@ -100,6 +100,24 @@ def no_answer_reason(best: Column, n_hits: Column) -> Column:
     return F.when(F.coalesce(n_hits, F.lit(0)) == 0, "no_results").when(best < MIN_SCORE, "low_relevance").otherwise("ok")
 
 
+#: What is answered without a context, by the reason that a search gives.
+ANSWERS = {
+    "General chat detected": "Привет! Я помощник по работе с базой знаний. Задайте мне вопрос по загруженным документам, и я помогу найти нужную информацию.",
+    "Low relevance": "Ваш вопрос не связан с информацией в базе знаний. Попробуйте переформулировать запрос или задать вопрос по содержимому загруженных документов.",
+}
+NOTHING_FITS = "К сожалению, я не нашел релевантной информации в базе знаний для вашего вопроса."
+NOTHING_FOUND = NOTHING_FITS + " Возможно, стоит переформулировать запрос или проверить уровень доступа к документам."
+
+
+def no_context_answer(context: Column, filtered: Column, reason: Column) -> Column:
+    """The answer to a query without a context, by why it has none; null where it has one."""
+    why = None
+    for said, answer in ANSWERS.items():
+        hit = F.contains(F.coalesce(reason, F.lit("")), F.lit(said))
+        why = F.when(hit, answer) if why is None else why.when(hit, answer)
+    return F.when(F.trim(F.coalesce(context, F.lit(""))) == "", F.when(F.coalesce(filtered, F.lit(False)), why.otherwise(NOTHING_FITS)).otherwise(NOTHING_FOUND))
+
+
 def grouped_line(number: Column, title: Column, found: Column, total: Column, score: Column) -> Column:
     """The head line of a document's chunks in a context."""
     return F.concat(F.lit("[Источник "), number.cast("string"), F.lit(": "), title, F.lit(" "), coverage(found, total, score), F.lit("]"))

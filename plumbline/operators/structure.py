@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import running
+from plumbline.functions.text import bound, running
 from plumbline.operators.context import with_titles
 
 #: Document types by their patterns, in order, on upper-cased text.
@@ -89,8 +89,8 @@ def _placed(docs: DataFrame, kind: Column | None, carry: tuple[str, ...] = ()) -
     """id, the columns named in carry, _kind and _lines, an array of line and start: a document
     stays one row, so that offsets and sections need no shuffle."""
     df = docs.select("id", *carry, (kind if kind is not None else F.lit("GENERAL")).alias("_kind"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_l"))
-    df = df.withColumn("_s", running(F.transform("_l", lambda x: F.length(x) + 1)))
-    return df.select("id", *carry, "_kind", F.transform(F.arrays_zip("_l", "_s"), lambda x: F.struct(x["_l"].alias("line"), x["_s"].alias("start"))).alias("_lines"))
+    placed = lambda ls: F.zip_with(ls, running(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("line"), at.alias("start")))
+    return df.select("id", *carry, "_kind", bound(F.col("_l"), placed).alias("_lines"))
 
 
 def lines(docs: DataFrame, kind: Column | None = None, rules: list = LINES) -> DataFrame:

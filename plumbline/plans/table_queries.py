@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import access, catalog
+from plumbline.operators import access, catalog, context
 from plumbline.plans.tables import CHUNKS, DOCS, LEVEL, chunks, documents, load
 from plumbline.sources import stores
 
@@ -187,18 +187,38 @@ def required_tables(spark, sf):
     return stores.audit_folder(spark, sf, ["documents", "labels", "users"])
 
 
-@query(f"WITH {DOCS} SELECT id, 'new title' AS title, length('content ' || id)::INT AS char_count FROM docs WHERE id % 5 = 0 UNION ALL SELECT id, source, length(text)::INT FROM docs WHERE id % 5 <> 0")
+@query(f"""WITH {DOCS} SELECT id, CASE WHEN id % 5 = 0 THEN 'content ' || id || ' by 2' ELSE text END AS content, (CASE WHEN id % 5 = 0 THEN length('content ' || id || ' by 2') ELSE length(text) END)::INT AS char_count,
+  CASE WHEN id % 3 = 0 THEN 'm' || id ELSE source END AS metadata FROM docs""")
 def partial_update(spark, sf):
+    """Changes of content, of metadata, or of both; of two of one chunk the later one counts."""
     d = documents(spark, sf)
-    patch = F.when(F.col("id") % 5 == 0, F.concat(F.lit("content "), F.col("id").cast("string")))
-    return d.select("id", F.when(F.col("id") % 5 == 0, "new title").otherwise(F.col("source")).alias("title"), F.length(F.coalesce(patch, "text")).alias("char_count"))
+    k = F.col("id").cast("string")
+    chunks = d.select("id", F.col("text").alias("content"), F.length("text").alias("char_count"), F.col("source").alias("metadata"))
+    change = lambda at: d.where("id % 5 = 0 OR id % 3 = 0").select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("content "), k, F.lit(f" by {at}"))).alias("content"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("m"), k)).alias("metadata"), F.lit(at).alias("at"))
+    return catalog.update_chunks(chunks, change(1).unionByName(change(2)), "id")
 
 
-@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, coalesce(props->>'keywords', '') AS keywords FROM events")
+@query("""WITH c AS (SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN ['s' || event_type] END AS s, CASE WHEN event_id % 3 = 0 THEN [event_type, 'x'] END AS t FROM events)
+SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'user ' || user_id END AS document_title, s IS NULL AND t IS NULL AS no_keywords, array_to_string(CASE WHEN s IS NOT NULL OR t IS NOT NULL THEN coalesce(s, []) END, ',') AS semantic,
+  array_to_string(CASE WHEN s IS NOT NULL OR t IS NOT NULL THEN coalesce(t, []) END, ',') AS technical FROM c""")
 def chunk_reshape(spark, sf):
+    """Titles of documents, and keywords out of JSON; none of the three lists makes a null."""
     e = load(spark, sf, "events")
-    v = F.try_parse_json("props")
-    return e.select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.coalesce(F.try_variant_get(v, "$.keywords", "string"), F.lit("")).alias("keywords"))
+    k = F.col("event_id")
+    meta = F.to_json(F.struct(F.when(k % 4 == 0, F.array(F.concat(F.lit("s"), "event_type"))).alias("semantic_keywords"), F.when(k % 3 == 0, F.array("event_type", F.lit("x"))).alias("technical_keywords"), F.col("props").alias("other")))
+    titles = e.select("user_id").distinct().where("user_id % 2 = 0").select("user_id", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title"))
+    out = catalog.reshaped(e.select(k, "user_id", meta.alias("metadata")), titles, "user_id")
+    lists = (F.array_join(F.col("keywords")[c], ",").alias(n) for c, n in (("semantic_keywords", "semantic"), ("technical_keywords", "technical")))
+    return out.select("event_id", "document_title", F.col("keywords").isNull().alias("no_keywords"), *lists)
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 2 = 0 THEN CASE event_id % 3 WHEN 0 THEN '{context.ANSWERS["General chat detected"]}' WHEN 1 THEN '{context.ANSWERS["Low relevance"]}' ELSE '{context.NOTHING_FITS}' END
+  ELSE '{context.NOTHING_FOUND}' END END AS answer FROM events""")
+def no_context_answers(spark, sf):
+    """What is answered without a context, by the reason that a search gave."""
+    k = F.col("event_id")
+    reason = F.when(k % 3 == 0, "General chat detected (0.9)").when(k % 3 == 1, "Low relevance: 0.1")
+    return load(spark, sf, "events").select(k, context.no_context_answer(F.when(k % 5 == 0, F.col("event_type")).otherwise(" "), k % 2 == 0, reason).alias("answer"))
 
 
 @query("SELECT conv_id, sum(ceil(length(text) / 4.0))::BIGINT AS n_tokens, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id")
