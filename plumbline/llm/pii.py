@@ -37,6 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import bound, running
 from plumbline.llm.common import WORD, carried, whole, written
 
 #: The patterns as defined. ip: parts at most 255. card: 16 to 19 digits that pass Luhn. phone: 8 to 15 digits.
@@ -64,6 +65,8 @@ PIECE, Z = 2000, 1.645
 #: So many disclosing terms at most are sent to every task; beyond, texts are joined with theirs.
 INLINE = 5000
 GENERALISE, REMOVE = 0.7, 0.9
+#: Characters of a block of a text that is put together again.
+BLOCK = 1024
 
 
 def _digits(m: Column) -> Column:
@@ -93,30 +96,18 @@ def _passes(kind: str, m: Column) -> Column:
 
 
 def located(text: Column, pattern: Column | str, kind: str) -> Column:
-    """All matches of a pattern as structs start, end, kind, value. The places come
-    from the lengths of matches and of the gaps between them."""
+    """All matches of a pattern as structs start, end, kind, value. The places come from
+    running sums over the lengths of matches and of the gaps between them."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("value"))
+    zipped = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("value"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    walk = F.aggregate(
-        F.filter(found, lambda x: x["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(
-                    F.struct(
-                        (a["at"] + F.length(x["gap"])).alias("start"),
-                        (a["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        x["value"].alias("value"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+
+    def placed(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["value"])))
+        at = lambda x, b: (b + F.length(x["gap"])).cast("int")
+        return F.zip_with(found, before, lambda x, b: F.struct(at(x, b).alias("start"), (at(x, b) + F.length(x["value"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
+
+    walk = bound(F.filter(zipped, lambda x: x["value"].isNotNull()), placed)
     return F.when(text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, p), walk).otherwise(none)
 
 
@@ -271,17 +262,30 @@ def sanitised(docs: DataFrame, text: str = "text", length: str | None = None) ->
         ),
     )
     body = F.col("_body")
-    rebuilt = F.aggregate(
+    # The spans that stand, each with where the one before it ends; the pieces are joined once.
+    none = F.array().cast("array<struct<after:int,start:int,stand:string>>")
+    kept = F.aggregate(
         "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), _stand_in(s)))
-            .alias("out"),
+            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["at"].alias("after"), s["start"].alias("start"), _stand_in(s).alias("stand"))))).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))),
     )
+    whole = F.length(body)
+
+    def part(blocks: Column, at: Column, n: Column) -> Column:
+        """n characters from at on, out of the blocks that hold them: a place in a long text is not counted from its beginning."""
+        first = F.floor(at / BLOCK)
+        some = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.floor((at + n - 1) / BLOCK) - first + 1).cast("int")), "")
+        return F.when(n > 0, F.substring(some, (at - first * BLOCK + 1).cast("int"), n)).otherwise("")
+
+    def joined(blocks: Column, a: Column) -> Column:
+        pieces = F.transform(a["out"], lambda x: F.concat(part(blocks, x["after"], x["start"] - x["after"]), x["stand"]))
+        return F.concat(F.array_join(pieces, ""), part(blocks, a["at"], whole - a["at"]))
+
+    blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    rebuilt = bound(blocks, lambda cut: bound(kept, lambda a: joined(cut, a)))
     new = F.when(F.col("_row")[text].isNull(), F.lit(None)).when(F.size("_spans") == 0, body).otherwise(rebuilt)
     found = found.withColumn("_new", new)
     put = {text: F.col("_new")} | ({length: F.length("_new").cast(docs.schema[length].dataType)} if length else {})

@@ -197,3 +197,23 @@ def test_sanitised_keeps_columns_and_odd_rows(spark):
     assert texts[None] == "mail [EMAIL] now, é\U0001f600 call [PHONE] or [IP]"
     assert texts[3] is None and texts[6] == ODD[5][1]
     assert pii.sanitised(empty(spark)).count() == 0
+
+
+def test_long_texts_are_rebuilt_piece_by_piece(spark):
+    """Thousands of spans in one text, at borders of blocks, beside characters of several bytes and units."""
+    rng = random.Random(6)
+    fill = lambda: "é" + "".join(rng.choices("aé\U0001f600ж \n", k=rng.randrange(0, 40)))
+    parts = [(fill(), rng.choice(["bob@example.com", "10.0.0.255", "+1 (406) 555-0113"])) for _ in range(3000)]
+    kinds = {"b": "[EMAIL]", "1": "[IP]", "+": "[PHONE]"}
+    text = "".join(f"{a} {b} " for a, b in parts) + "end"
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5000), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert got == {1: "".join(f"{a} {kinds[b[0]]} " for a, b in parts) + "end", 2: "x" * 5000, 3: "", 4: None}
+    row = pii.detect(docs, carry=("doc_id",)).where("doc_id = 1").first()
+    at, want = 0, {k: [] for k in ("email", "ip", "phone")}
+    for a, b in parts:
+        at += len(a) + 1
+        want[kinds[b[0]].strip("[]").lower()].append((at, at + len(b)))
+        at += len(b) + 1
+    said = ",".join(f"{k}:{s}:{e}" for k, v in want.items() for s, e in v)
+    assert row.spans == said
