@@ -6,9 +6,11 @@ queries. Ties are broken by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,15 +120,26 @@ def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, **how) -> DataFra
 
 
 def with_positions(hits: DataFrame, index: Index) -> DataFrame:
-    """hits with position: the place of the text in the corpus by id, from 1. The ids are
-    dealt out by ranges, numbered within each, and moved on by the sizes of those before."""
-    ranges = index.lengths.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    ranges = stored(ranges, "ranges")
-    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
-    # A row for each range, whatever the number of ids.
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranges.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("id"))).join(F.broadcast(before.select("part", "before")), "part")
-    return hits.join(numbered.select("id", (F.col("n") + F.col("before")).alias("position")), "id")
+    """hits with position: the place of the text in the corpus by id, from 1. Each id of the
+    corpus counts for the first hit that is not before it, in its own task; a hit's place is the
+    sum up to it. ids: whole numbers; those of the hits, a few for each query, go to every task."""
+    hits = stored(hits, "hits")
+    ids = sorted(r.id for r in hits.select("id").distinct().collect())
+    steps = np.array(ids, np.int64)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(steps, b.column(0).to_numpy(zero_copy_only=False))
+            slot, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    counts = index.lengths.select(F.col("id").cast("long").alias("id")).mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    places, total = [], 0
+    found = {r.slot: r.n for r in counts.where(F.col("slot") < len(ids)).collect()}  # a row for each hit
+    for slot, i in enumerate(ids):
+        total += found.get(slot, 0)
+        places.append((i, total))
+    return hits.join(small(hits.sparkSession.createDataFrame(places, "id long, position long")), "id")
 
 
 # -- vectors ---------------------------------------------------------------------

@@ -148,9 +148,11 @@ class VectorIndex:
         exact without. where: a condition on what is kept beside the vectors, such as a level."""
         asked = queries.where(usable(F.col("qv"))).select("qid", F.col("qv").cast("array<double>").alias("qv"))
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-        first = self._best(self._sent(asked, probes or PROBES), k, where)
+        # So few vectors that one block has room for them are all visited at once.
+        few = probes is None and self.cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= PART
+        first = self._best(self._sent(asked, CELLS if few else probes or PROBES), k, where)
         ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if probes is not None:
+        if few or probes is not None:
             return ranked.select("qid", "id", "score", "rank")
         kth = ranked.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
         rest = self._best(self._sent(asked.join(kth, "qid", "left"), None, PROBES), k, where)

@@ -24,9 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where tables lie that only cut the lineage of a result."""
+    return f"{shared_dir(spark)}/scratch"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes them, once nobody reads a result that was made of them any more."""
+    removed(spark, scratch_dir(spark))
+
+
 def stored(df: DataFrame, name: str, path: str | None = None, *partitions: str) -> DataFrame:
-    """df as a Parquet table, under path or in the shared folder, and read again from it."""
-    path = f"{path or shared_dir(df.sparkSession)}/{name}" + ("" if path else f"-{uuid.uuid4().hex}")
+    """df as a Parquet table, under path or in the scratch folder, and read again from it."""
+    path = f"{path or scratch_dir(df.sparkSession)}/{name}" + ("" if path else f"-{uuid.uuid4().hex}")
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

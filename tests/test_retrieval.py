@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import access, catalog, context, expansion, retrieval
+from plumbline.sources import stores
 
 
 def scores(spark, values):
@@ -82,3 +84,20 @@ def test_replace_document_leaves_no_orphans(spark):
     old = spark.createDataFrame([("d", i) for i in range(5)] + [("e", 0)], "document_id string, n int")
     new = spark.createDataFrame([("d", 9)], "document_id string, n int")
     assert sorted(map(tuple, catalog.replace_document(old, new).collect())) == [("d", 9), ("e", 0)]
+
+
+def test_positions_of_hits_in_the_corpus(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(-50, 10_000), 700)
+    docs = spark.createDataFrame([(i, f"word{i % 9} text") for i in ids], "id long, text string").repartition(5)
+    hits = spark.createDataFrame([(q, rng.choice(ids)) for q in range(60)], "qid long, id long")
+    got = retrieval.with_positions(hits, retrieval.build_index(docs)).collect()
+    want = {i: n + 1 for n, i in enumerate(sorted(ids))}
+    assert len(got) == 60 and all(r.position == want[r.id] for r in got)
+
+
+def test_scratch_tables_are_cleared(spark):
+    df = stores.stored(spark.range(3), "three")
+    assert df.count() == 3 and stores.listed(spark, stores.scratch_dir(spark))
+    stores.clear_scratch(spark)
+    assert stores.listed(spark, stores.scratch_dir(spark)) == [] and stores.stored(spark.range(2), "two").count() == 2
