@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import text
 
@@ -30,8 +31,9 @@ def candidates(docs: DataFrame, most: int = CANDIDATES) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
     score = F.col("tf") * F.log((F.col("n") + 1) / F.col("df"))
     rated = tf.join(df, "term").join(F.broadcast(n), F.lit(True)).select("id", "term", F.round(score, 6).alias("score"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term")))
-    return rated.groupBy("id").agg(F.slice(order, 1, most).alias("terms"))
+    # Each task keeps as many terms of a document as are wanted; only those are collected.
+    best = rated.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "term"))).where(F.col("_r") <= most)
+    return best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))).alias("terms"))
 
 
 def diverse(terms: list[tuple[float, str]], kept: int, diversity: float) -> list[str]:

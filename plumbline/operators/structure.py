@@ -227,7 +227,7 @@ def chunk_records(parts: DataFrame, created: Column) -> DataFrame:
     said = lambda c: F.coalesce(F.col("document")[c].cast("string"), F.lit(""))
     return parts.select(
         F.col("id").cast("string").alias("doc_id"), (F.row_number().over(order) - 1).alias("chunk_index"), "access_level", F.col("start").alias("char_start"), F.col("end").alias("char_end"), created.alias("created_at"),
-        F.length("text").alias("char_count"), F.coalesce(both, F.lit(0)).cast("long").alias("overlap_prev"), F.lit(0).alias("overlap_next"), F.count("*").over(by).alias("total_chunks"),
+        F.length("text").alias("char_count"), F.when(before_end.isNull(), 0).otherwise(both).cast("long").alias("overlap_prev"), F.lit(0).alias("overlap_next"), F.count("*").over(by).alias("total_chunks"),
         F.coalesce("title", F.lit("")).alias("section_title"), F.coalesce("type", F.lit("paragraph")).alias("section_type"), F.coalesce("level", F.lit(1)).alias("section_level"),
         F.coalesce("chunk_type", F.lit("content")).alias("chunk_type"), F.coalesce(F.col("chunk_type") == "complete_section", F.lit(False)).alias("is_complete_section"),
         F.coalesce(F.nullif(said("type"), F.lit("")), F.lit("general")).alias("document_type"), said("title").alias("document_title"), said("number").alias("document_number"), said("date").alias("document_date"),

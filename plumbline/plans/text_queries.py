@@ -142,7 +142,7 @@ def chunk_metadata(spark, sf):
 b AS (SELECT id, section_no, min(start) AS a, max(start + length(line)) AS z, arg_min(trim(line), line_no) AS t, arg_min(type, line_no) AS k, trim(string_agg(trim(line), chr(10) ORDER BY line_no)) AS body FROM s GROUP BY id, section_no),
 r AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM b WHERE body <> '' WINDOW w AS (PARTITION BY id ORDER BY section_no))
 SELECT r.id::VARCHAR AS doc_id, i::INT AS chunk_index, access_level, a::BIGINT AS char_start, z::BIGINT AS char_end, '2025-01-01T00:00:00' AS created_at, length(body)::INT AS char_count,
-  coalesce(greatest(0, least(z, pz) - greatest(a, pa)), 0)::BIGINT AS overlap_prev, 0 AS overlap_next, n AS total_chunks, CASE WHEN section_no = 0 THEN 'Документ' ELSE t END AS section_title, k AS section_type,
+  (CASE WHEN pz IS NULL THEN 0 ELSE greatest(0, least(z, pz) - greatest(a, pa)) END)::BIGINT AS overlap_prev, 0 AS overlap_next, n AS total_chunks, CASE WHEN section_no = 0 THEN 'Документ' ELSE t END AS section_title, k AS section_type,
   CASE WHEN k = 'subheader' THEN 2 ELSE 1 END AS section_level, 'complete_section' AS chunk_type, TRUE AS is_complete_section,
   CASE WHEN regexp_matches(upper(text), 'LICEN[CS]E') THEN 'LICENSE' WHEN regexp_matches(upper(text), '@[A-Z]') THEN 'MAIL' ELSE 'GENERAL' END AS document_type, '' AS document_title,
   coalesce(trim(nullif(regexp_extract(text, 'Licensed under ([A-Z0-9. -]+)', 1), '')), '') AS document_number, '' AS document_date, coalesce(trim(nullif(regexp_extract(text, '([a-z0-9._]+@[a-z0-9.]+)', 1), '')), '') AS document_organization, md5(body) AS digest
