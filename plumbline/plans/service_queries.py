@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.functions import calendar, text
@@ -295,6 +299,58 @@ def _cp1251(c):
     return F.encode(F.translate(c, letters, "".join(map(chr, range(0xC0, 0x100)))), "ISO-8859-1")
 
 
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+def _as_docx(rows):
+    """id and content of word files: two paragraphs around a table. rows: id, name."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                para = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+                cells = lambda r: "<w:tr>" + "".join(f"<w:tc>{para(x)}</w:tc>" for x in r) + "</w:tr>"
+                table = "<w:tbl>" + "".join(map(cells, [["имя", "ключ"], [name, str(k)], ["", ""], ["", f"x{k}"]])) + "</w:tbl>"
+                made = io.BytesIO()
+                with zipfile.ZipFile(made, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{_W}"><w:body>{para(f"Документ   {k}")}{table}{para("конец")}</w:body></w:document>')
+                out.append(made.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "content"])
+
+    return rows.mapInArrow(run, "id long, content binary")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 7 = 6 THEN 'unsupported' ELSE ['json', 'csv', 'docx', 'json'][(doc_id % 4 + 1)::INT] END AS format,
+  CASE WHEN doc_id % 7 = 6 THEN NULL WHEN doc_id % 4 = 0 THEN 'id: ' || doc_id || chr(10) || 'source: ' || source || chr(10) || 'tags[0]: a' || doc_id || chr(10) || 'tags[1].ok: да' || chr(10) || 'deep.none.x: v'
+    WHEN doc_id % 4 = 1 THEN 'Заголовки: имя, город' || chr(10) || 'Строка 1: имя: N' || doc_id || '; город: Москва' || chr(10) || 'Строка 3: имя: Анна' || doc_id
+    WHEN doc_id % 4 = 2 THEN 'Документ ' || doc_id || chr(10) || '[Заголовки таблицы: имя | ключ]' || chr(10) || '[Строка 1: ' || source || ' | ' || doc_id || ']' || chr(10) || '[Строка 2: x' || doc_id || ']' || chr(10) || 'конец' END AS text,
+  CASE WHEN doc_id % 7 = 6 THEN 'unsupported' WHEN doc_id % 4 = 3 THEN 'JSONDecodeError' END AS error FROM documents""")
+def extracted_files(spark, sf):
+    """A file of each document, in several formats and encodings, one in seven of none that is
+    known, and broken ones: what comes of each, without one spoiling another."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    k = F.col("id").cast("string")
+    data = F.to_json(
+        F.struct(
+            "id", "source", F.lit(" ").alias("blank"), F.array(F.concat(F.lit("a"), k)).alias("tags"),
+            F.struct(F.struct(F.lit("v").alias("x")).alias("none")).alias("deep"),
+        )
+    )
+    # The second tag is an object, so the list holds two kinds.
+    data = F.replace(data, F.concat(F.lit('["a'), k, F.lit('"]')), F.concat(F.lit('["a'), k, F.lit('", {"ok": true, "no": null}]')))
+    table = _cp1251(F.concat(F.lit("имя;город\nN"), k, F.lit(";Москва\n;\nАнна"), k, F.lit(";\n")))
+    kind = F.col("id") % 4
+    plain = d.where(kind != 2).select("id", F.when(kind == 0, F.encode(data, "UTF-8")).when(kind == 1, table).otherwise(F.encode(F.lit("{broken"), "UTF-8")).alias("content"))
+    both = plain.unionByName(_as_docx(d.where(kind == 2).select("id", "source")))
+    ending = F.when(F.col("id") % 7 == 6, ".exe").otherwise(F.get(F.array(*map(F.lit, (".json", ".CSV", ".docx", ".Json"))), kind.cast("int")))
+    path = F.concat(F.lit("/in/f"), k, ending)
+    named = both.select(path.alias("path"), files.processor(path).alias("format"), "content", F.when(files.processor(path) == "unsupported", "unsupported").alias("error"))
+    out = files.extracted(named)
+    number = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("id")
+    return out.select(number, "format", "text", F.regexp_extract("error", r"^\w+", 0).alias("error")).withColumn("error", F.nullif("error", F.lit("")))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'empty' WHEN page_id % 3 = 0 THEN 'unsupported' ELSE 'ok' END AS verdict FROM pages")
 def file_verdicts(spark, sf):
     k = F.col("page_id")
