@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import catalog, diagnostics
-from plumbline.plans.tables import load
+from plumbline.operators import catalog, diagnostics, retrieval
+from plumbline.plans.retrieval_queries import _BM25, _TALK
+from plumbline.plans.tables import Q_SQL, load, search_index
 from plumbline.sources.stores import fresh, is_folder, shared_dir
-from plumbline.streaming import answers, sessions
+from plumbline.streaming import answers, jobs, sessions
 from plumbline.streaming.retries import Ingest
 
 QUERIES: dict = {}
@@ -25,13 +26,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _stream(spark, sf, name):
+    """A table as a stream."""
+    reader, at = spark.readStream.schema(load(spark, sf, name).schema), f"{sf}/{name}.parquet"
+    # A table that is one file is read from the folder that it lies in.
+    return reader.parquet(at) if is_folder(spark, at) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
 def _streamed(spark, sf, name, job):
     """Runs job over the table as a stream; gives what it wrote."""
-    schema = load(spark, sf, name).schema
     place = f"{shared_dir(spark)}/stream-{fresh()}"
-    reader, at = spark.readStream.schema(schema), f"{sf}/{name}.parquet"
-    # A table that is one file is read from the folder that it lies in.
-    out = job(reader.parquet(at) if is_folder(spark, at) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+    out = job(_stream(spark, sf, name))
     out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
@@ -141,3 +146,19 @@ def cache_statistics(spark, sf):
     )
     now = e.agg(F.max(F.unix_timestamp("ts")).alias("now"))
     return diagnostics.cache_statistics(entries.join(F.broadcast(now), F.lit(True)), F.col("now"))
+
+
+_ASKED = _BM25.replace(Q_SQL, _TALK)
+
+
+@query(f"WITH {_ASKED} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score, CASE WHEN qid % 3 = 0 THEN 'search' ELSE 'rag' END AS kind FROM bm WHERE rank <= 3")
+def answered_queries(spark, sf):
+    """What users began their conversations with, as a stream of queries of two kinds, each
+    answered into a folder of its kind by the stored index."""
+    index = search_index(spark, sf)
+    asked = _stream(spark, sf, "conversations").where("role = 'user' AND turn = 0")
+    asked = asked.select(F.col("conv_id").alias("qid"), F.col("text").alias("query"), F.when(F.col("conv_id") % 3 == 0, "search").otherwise("rag").alias("kind"))
+    place = f"{shared_dir(spark)}/answers-{fresh()}"
+    search = lambda q: retrieval.bm25_top(index, q, 3).select("qid", "id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    jobs.answers(asked, search, f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.schema("qid long, id long, rank int, score double, kind string, batch int").parquet(f"{place}/out").drop("batch")
