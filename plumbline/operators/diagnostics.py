@@ -41,7 +41,8 @@ def quality_issues(hits: DataFrame) -> DataFrame:
     w = lambda c: F.split(F.lower(c), r"[ \n]+")
     missed = (F.col("rank") <= 3) & ~F.arrays_overlap(w(F.col("query")), w(F.col("text")))
     s = F.col("score")
-    out = hits.groupBy("qid").agg(F.max(s).alias("best"), F.avg(s).alias("mean"), (F.max(s) - F.min(s)).alias("spread"), F.count_if(missed).alias("n_missed"))
+    # The mean is rounded, so that one at the limit does not depend on the order in which scores are added.
+    out = hits.groupBy("qid").agg(F.max(s).alias("best"), F.round(F.avg(s), 9).alias("mean"), (F.max(s) - F.min(s)).alias("spread"), F.count_if(missed).alias("n_missed"))
     checks = [(F.col("best") < 3, "low_max"), (F.col("mean") < 2, "low_mean"), (F.col("spread") < 0.5, "flat_scores"), (F.col("n_missed") > 0, "no_query_words")]
     return out.select("qid", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks))), ",").alias("issues"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import diagnostics
 from plumbline.streaming import answers
 
 
@@ -12,3 +13,9 @@ def test_rates_of_short_answers_are_those_of_the_sql(spark):
     said = spark.createDataFrame(list(enumerate(ends)), "answer_id long, us long").select("answer_id", F.lit(0).alias("line_no"), F.lit("x").alias("token"), F.lit(True).alias("done"), F.timestamp_micros("us").alias("ts"))
     got = {r.answer_id: r.tokens_per_s for r in answers.timings(said, said.select("answer_id", stamp(asked).alias("asked_at"))).collect()}
     assert got == {i: round(1 / (us / 1e6 - asked / 1e6), 6) for i, us in enumerate(ends)}
+
+
+def test_a_mean_at_the_limit_is_not_low(spark):
+    n = 13 * 789
+    hits = spark.range(20 * n).select((F.col("id") % 20).alias("qid"), F.lit("a b").alias("query"), F.lit("a").alias("text"), (F.floor(F.col("id") / 20) % 13 / 3).alias("score"), F.lit(9).alias("rank"))
+    assert {r.issues for r in diagnostics.quality_issues(hits.repartition(7)).collect()} == {""}
