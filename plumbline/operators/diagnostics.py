@@ -107,9 +107,10 @@ def run_statistics(runs: DataFrame) -> DataFrame:
 def stage_share(runs: DataFrame, by: str) -> DataFrame:
     """Each operation's share of its group's time; above a half it is the bottleneck.
     Against the fastest operation, above 10 is critical and above 3 slow."""
-    per = runs.groupBy(by, "operation").agg(F.sum("duration").alias("spent"))
+    # Sums are rounded, so that what lies at a limit does not depend on the order of addition.
+    per = runs.groupBy(by, "operation").agg(F.round(F.sum("duration"), 9).alias("spent"))
     w = Window.partitionBy(by)
-    df = per.withColumn("share", F.col("spent") / F.sum("spent").over(w)).withColumn("slowdown", F.col("spent") / F.min("spent").over(w))
+    df = per.withColumn("share", F.col("spent") / F.round(F.sum("spent").over(w), 9)).withColumn("slowdown", F.col("spent") / F.min("spent").over(w))
     grade = F.when(F.col("slowdown") > 10, "critical").when(F.col("slowdown") > 3, "slow").otherwise("normal")
     return df.select(by, "operation", F.round("spent", 4).alias("spent"), F.round("share", 6).alias("share"), (F.col("share") > 0.5).alias("bottleneck"), grade.alias("grade"))
 

@@ -19,3 +19,8 @@ def test_a_mean_at_the_limit_is_not_low(spark):
     n = 13 * 789
     hits = spark.range(20 * n).select((F.col("id") % 20).alias("qid"), F.lit("a b").alias("query"), F.lit("a").alias("text"), (F.floor(F.col("id") / 20) % 13 / 3).alias("score"), F.lit(9).alias("rank"))
     assert {r.issues for r in diagnostics.quality_issues(hits.repartition(7)).collect()} == {""}
+
+
+def test_a_share_of_three_times_the_least_is_not_slow(spark):
+    runs = spark.createDataFrame([(1, "a", 0.1), (1, "a", 0.2), (1, "b", 0.1)], "user_id long, operation string, duration double")
+    assert {r.operation: (r.grade, r.share) for r in diagnostics.stage_share(runs, "user_id").collect()} == {"a": ("normal", 0.75), "b": ("normal", 0.25)}
