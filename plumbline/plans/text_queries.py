@@ -211,9 +211,11 @@ def csv_row_text(spark, sf):
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")
-    r = load(spark, sf, "lineitem").withColumn("n", F.row_number().over(order)).where("n <= 1001")
+    every = load(spark, sf, "lineitem")
+    r = every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= files.MOST_ROWS)
     r = r.withColumn("note", F.when(F.col("l_linenumber") == 1, "first").otherwise(" "))
-    return files.csv_text(r, "l_returnflag", "n", ["l_orderkey", "l_linestatus", "note"])
+    totals = every.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return files.csv_text(r, "l_returnflag", "n", ["l_orderkey", "l_linestatus", "note"], totals=totals)
 
 
 @query("SELECT event_id, 'k: ' || (props->>'k') AS text FROM events")

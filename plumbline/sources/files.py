@@ -43,19 +43,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", kind.alias("format"), "content", error.alias("error"))
 
 
-def csv_text(rows: DataFrame, by: str, row_no: str, columns: list[str], most: int = MOST_ROWS) -> DataFrame:
+def csv_text(rows: DataFrame, by: str, row_no: str, columns: list[str], most: int = MOST_ROWS, totals: DataFrame | None = None) -> DataFrame:
     """A table as text: its columns, then the values of each row that has any; the
-    first `most` of those, and a note if there are more."""
+    first `most` of those, and a note if there are more. totals: by and n, where rows are
+    the first ones of n. The rows beyond are counted, not sorted: each task passes on `most`."""
     pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns))
     full = F.filter(pairs, lambda p: p["v"].isNotNull() & (p["v"] != ""))
     df = rows.select(by, row_no, full.alias("_full")).where(F.size("_full") > 0)
     line = F.concat(F.lit("Строка "), F.col(row_no).cast("string"), F.lit(": "), F.array_join(F.transform("_full", lambda p: F.concat_ws(": ", p["k"], p["v"])), "; "))
     order = Window.partitionBy(by).orderBy(row_no)
-    df = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most + 1)
-    lines = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", line.alias("t")))))
-    note = F.when(F.max("_n") > most, F.array(F.lit(f"... (файл содержит больше строк, показаны первые {most})"))).otherwise(F.array().cast("array<string>"))
+    totals = df.groupBy(by).agg(F.count("*").alias("n")) if totals is None else totals
+    first = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    both = first.select(by, F.struct("_n", line.alias("t")).alias("_l"), F.lit(None).cast("long").alias("_all"))
+    both = both.unionByName(totals.select(by, F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), F.col("n").alias("_all")))
+    lines = F.array_sort(F.collect_list("_l"))
+    note = F.when(F.max("_all") > most, F.array(F.lit(f"... (файл содержит больше строк, показаны первые {most})"))).otherwise(F.array().cast("array<string>"))
     head = F.array(F.lit("Заголовки: " + ", ".join(columns)))
-    return df.groupBy(by).agg(F.array_join(F.concat(head, F.transform(lines, lambda x: x["t"]), note), "\n").alias("text"))
+    return both.groupBy(by).agg(F.array_join(F.concat(head, F.transform(lines, lambda x: x["t"]), note), "\n").alias("text"), F.count("_l").alias("_k")).where("_k > 0").drop("_k")
 
 
 def decode(content: bytes) -> str:

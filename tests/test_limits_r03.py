@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import diagnostics
+from plumbline.plans import text_queries
+from plumbline.sources import files
 from plumbline.streaming import answers
 
 
@@ -24,3 +26,12 @@ def test_a_mean_at_the_limit_is_not_low(spark):
 def test_a_share_of_three_times_the_least_is_not_slow(spark):
     runs = spark.createDataFrame([(1, "a", 0.1), (1, "a", 0.2), (1, "b", 0.1)], "user_id long, operation string, duration double")
     assert {r.operation: (r.grade, r.share) for r in diagnostics.stage_share(runs, "user_id").collect()} == {"a": ("normal", 0.75), "b": ("normal", 0.25)}
+
+
+def test_rows_of_a_long_table_are_limited_in_each_task(spark, sf):
+    plan = text_queries.csv_row_text(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    rows = spark.createDataFrame([("a", i, f"v{i}") for i in range(1, 5)] + [(None, 1, "w"), ("c", 1, " ")], "g string, n int, x string")
+    got = {r.g: r.text for r in files.csv_text(rows, "g", "n", ["x"], most=3).collect()}
+    note = "... (файл содержит больше строк, показаны первые 3)"
+    assert got == {"a": f"Заголовки: x\nСтрока 1: x: v1\nСтрока 2: x: v2\nСтрока 3: x: v3\n{note}", None: "Заголовки: x\nСтрока 1: x: w"}
