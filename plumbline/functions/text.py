@@ -64,18 +64,21 @@ def clean(c: Column) -> Column:
 
 
 def masked(c: Column) -> Column:
-    """Lower case, with dates and decimals masked."""
-    c = F.lower(c)
+    """Lower case, with dates and decimals masked. Texts without a sign between two digits
+    have neither, and are not searched three times."""
+    low = out = F.lower(c)
     for pattern, name in MASKS:
-        c = F.regexp_replace(c, pattern, name)
-    return c
+        out = F.regexp_replace(out, pattern, name)
+    return F.when(c.rlike(r"\d[.-]\d"), out).otherwise(low)
 
 
 def counts(t: Column, stop: tuple[str, ...]) -> Column:
     return (F.length(t) >= 2) & ~t.isin(*stop) & ~t.rlike(r"^\p{Nd}+$")
 
 
-_T, _PART = r"[\p{L}\p{M}\p{N}_-]", r"[\p{L}\p{M}\p{N}_]"
+#: Signs of ASCII are named one by one, which the engine looks up in a table.
+_ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+_T, _PART = rf"[{_ASCII}\p{{L}}\p{{M}}\p{{N}}-]", rf"[{_ASCII}\p{{L}}\p{{M}}\p{{N}}]"
 #: Whole runs of two or three signs as they are; longer ones in parts of two signs or more between
 #: hyphens. Numbers are passed over.
 WORDS = rf"(?<!{_T})(?!\p{{Nd}}+(?!{_T})){_T}{{2,3}}(?!{_T})|(?!\p{{Nd}}+(?!{_PART})){_PART}{{2,}}"

@@ -63,7 +63,8 @@ def build_index(texts: DataFrame, path: str | None = None, rows: Callable[[DataF
     """texts: id and text. They are tokenised once, by rows; all else is read from the
     postings, which are dealt out by token with large buckets divided. Written under
     path, or in the shared folder."""
-    counts = rows(texts.select("id", "text")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    # Texts are dealt out by id before they are cut, so that their many tokens are counted where they are.
+    counts = rows(texts.select("id", "text").repartition("id")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     placed = counts.select("token", "id", F.col("tf").cast("int").alias("tf"), bucket().alias("bucket"))
     postings = stored(placed.hint("rebalance", "bucket"), "postings", path, "bucket")
     every = postings.select("id", "tf").unionByName(texts.select("id", F.lit(0).alias("tf")))

@@ -123,8 +123,10 @@ class Segments:
         entries = self.manifest(before)
         # The level goes along with the id, so that no join is needed to know it.
         both = texts.select(F.struct(F.col("id").cast("long").alias("id"), F.col(level).alias("level")).alias("id"), "text")
+        # Texts are dealt out by id before they are cut, so that their many tokens are counted where they are.
+        both = both.repartition("id")
         counts = self.rows(both).groupBy("id", "token").agg(F.count("*").alias("tf")).select("token", "id.id", "tf", "id.level")
-        ids = both.select("id.id", "id.level")
+        ids = texts.select(F.col("id").cast("long").alias("id"), F.col(level).alias("level"))
         return self._commit([*entries, *self._take_out(entries, ids), self._write(counts, ids)], before)
 
     def delete(self, ids: DataFrame) -> int:
