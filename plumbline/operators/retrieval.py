@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ TOP_K, RERANK_K = 30, 10
 BUCKETS = 64
 #: The most queries that are sent to every task. Beyond it, Spark chooses the joins.
 MOST_BROADCAST = 10_000
+#: Texts and queries of a block, where there are many of both.
+BLOCK = 4096
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -101,20 +104,77 @@ def bm25(index: Index, queries: DataFrame, tokenizer: Callable[[Column], Column]
     """qid, id, score of the texts that share a token with the query. queries: qid and
     query. A token that a query repeats counts as often. Only folders with an asked
     token are read, as the asked tokens are broadcast where they are few."""
-    asked = queries.select("qid", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("n_q"))
-    asked = small(asked.withColumn("bucket", bucket()))
+    asked = small(asked_tokens(queries, tokenizer))
     hits = index.postings.join(asked, ["bucket", "token"]).join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
-    rated = hits.join(index.lengths, list(index.key)).join(F.broadcast(index.stats.select("avgdl")), F.lit(True))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # Rounded, so that ties do not depend on the order in which parts are added.
-    return rated.groupBy("qid", "id").agg(F.round(F.sum(part * F.col("n_q")), 9).alias("score"))
+    return _parts(index, hits, k1, b).groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("n_q")), 9).alias("score"))
+
 
+def asked_tokens(queries: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens) -> DataFrame:
+    """qid, token, n_q (how often the query has it) and the token's bucket."""
+    counts = queries.select("qid", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("n_q"))
+    return counts.withColumn("bucket", bucket())
 
-def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, **how) -> DataFrame:
+
+def _parts(index: Index, hits: DataFrame, k1: float, b: float) -> DataFrame:
+    """hits (postings with idf) with part: what the token adds to the score of its text."""
+    rated = hits.join(index.lengths, list(index.key)).join(F.broadcast(index.stats.select("avgdl")), F.lit(True))
+    return rated.withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+
+
+def bm25_blocks(index: Index, asked: DataFrame, k: int, n_queries: int, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, score of the k best texts of each query, for many queries. Texts and queries are
+    dealt into blocks, and every block of texts meets every block of queries in a task, which
+    holds the parts of its texts by token and the scores of one query at a time. So no row is
+    made for a pair of query and text, and each task gives k rows for each query. asked: as
+    asked_tokens() gives it."""
+    n_docs = index.stats.head().n_docs  # one row
+    left, right = -(-n_docs // BLOCK) or 1, -(-n_queries // BLOCK) or 1
+    wanted = asked.select("bucket", "token").distinct()
+    hits = index.postings.join(wanted, ["bucket", "token"], "left_semi").join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    texts = _parts(index, hits, k1, b).select(place("id", left).alias("x"), every(right).alias("y"), "id", "token", "part")
+    queries = asked.select(every(left).alias("x"), place("qid", right).alias("y"), "qid", "token", "n_q")
+    kind = asked.schema["qid"].dataType.simpleString()
+
+    def run(_, texts: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if texts.empty or queries.empty:
+            return pd.DataFrame({"qid": [], "id": [], "score": []})
+        ids, doc = np.unique(texts["id"].to_numpy(), return_inverse=True)
+        code, words = pd.factorize(texts["token"])
+        order = np.argsort(code, kind="stable")
+        doc, part = doc[order], texts["part"].to_numpy()[order]
+        starts = np.searchsorted(code[order], np.arange(len(words) + 1))
+        queries = queries.assign(code=pd.Index(words).get_indexer(queries["token"]))
+        queries = queries[queries["code"] >= 0].sort_values(["qid", "token"])
+        out = []
+        for qid, q in queries.groupby("qid", sort=False):
+            score = np.zeros(len(ids))
+            for c, n in zip(q["code"].to_numpy(), q["n_q"].to_numpy()):
+                at = slice(starts[c], starts[c + 1])
+                np.add.at(score, doc[at], part[at] * n)
+            score = np.round(score, 9)
+            hit = np.unique(np.concatenate([doc[starts[c] : starts[c + 1]] for c in q["code"]]))
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+            best = hit[np.lexsort((ids[hit], -score[hit]))][:k]
+            out.append(pd.DataFrame({"qid": qid, "id": ids[best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
+
+    return texts.groupBy("x", "y").cogroup(queries.groupBy("x", "y")).applyInPandas(run, f"qid {kind}, id long, score double")
+
+
+def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, tokenizer: Callable[[Column], Column] = text.tokens, **how) -> DataFrame:
     """The k best texts of each query; texts without a common token fill up with score
     0, in order of their ids. Those are sought among the first 2k ids only, as fewer
     than k of them can be hits where filling is needed."""
-    best = top(bm25(index, queries, **how), k, "score").drop("rank")
+    asked = asked_tokens(queries, tokenizer)
+    if asked.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        scored = bm25_blocks(index, stored(asked, "asked"), k, queries.count(), **how)
+    else:
+        scored = bm25(index, queries, tokenizer, **how)
+    best = top(scored, k, "score").drop("rank")
     first = index.lengths.select("id").orderBy("id").limit(2 * k)
     fill = first.join(small(queries.select("qid")), F.lit(True)).join(best, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
     return top(best.unionByName(fill.select("qid", "id", "score")), k, "score")

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import diagnostics
-from plumbline.plans import text_queries
+from plumbline.operators import diagnostics, retrieval
+from plumbline.plans import tables, text_queries
 from plumbline.sources import files
 from plumbline.streaming import answers
 
@@ -35,3 +35,16 @@ def test_rows_of_a_long_table_are_limited_in_each_task(spark, sf):
     got = {r.g: r.text for r in files.csv_text(rows, "g", "n", ["x"], most=3).collect()}
     note = "... (файл содержит больше строк, показаны первые 3)"
     assert got == {"a": f"Заголовки: x\nСтрока 1: x: v1\nСтрока 2: x: v2\nСтрока 3: x: v3\n{note}", None: "Заголовки: x\nСтрока 1: x: w"}
+
+
+def test_many_queries_are_scored_in_blocks(spark, sf, monkeypatch):
+    texts = tables.documents(spark, sf).select("id", "text")
+    index = retrieval.build_index(texts)
+    asked = texts.where("id % 9 = 0").select(F.concat(F.lit("q"), "id").alias("qid"), F.substring("text", 1, 200).alias("query"))
+    rows = lambda: sorted(tuple(r) for r in retrieval.bm25_top(index, asked, 5).select("qid", "id", "rank", F.round("score", 6)).collect())
+    want = rows()
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 3)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    calls = []
+    monkeypatch.setattr(retrieval, "bm25", lambda *a, **b: calls.append(a))
+    assert rows() == want and not calls
