@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.batches import parts as small_parts
 from plumbline.functions.text import bound, running
 from plumbline.operators.context import with_titles
 
@@ -197,7 +198,7 @@ def section_chunks(found: DataFrame, how: Sizes = Sizes(), carry: tuple[str, ...
     schema = complete.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_parts(batches, "content"):
             at, rows = [], []
             texts, titles, types, starts, sizes = (b.column(c).to_pylist() for c in ("content", "title", "type", "start", "size"))
             for i, text in enumerate(texts):
