@@ -240,7 +240,7 @@ def basic_chunks(docs: DataFrame, how: Sizes = Sizes()) -> DataFrame:
     """Chunks of texts without structure; the first is kept even if short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_parts(batches, "text"):
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows += [(d, i, a, z, x) for i, (a, z, x) in enumerate(pieces(t or "", how, keep_first=True))]
