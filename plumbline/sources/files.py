@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import text
+from plumbline.functions.batches import parts
 
 #: Formats by extension.
 FORMATS = {".docx": "docx", ".csv": "csv", ".json": "json"}
@@ -75,7 +76,7 @@ def decoded(files: DataFrame) -> DataFrame:
     """id and text of files: id and content. The first encoding that fits is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if c is None else decode(c) for c in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     return files.select("id", "content").mapInArrow(run, "id long, text string")
@@ -225,7 +226,7 @@ def extracted(files: DataFrame) -> DataFrame:
     tools = {"docx": docx_text, "csv": csv_file_text, "json": lambda b: "\n".join(json_lines(json.loads(decode(b))))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "content"):
             texts, errors = [], []
             for kind, content, error in zip(*(c.to_pylist() for c in b.columns[1:])):
                 body = None

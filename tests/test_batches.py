@@ -15,7 +15,7 @@ def test_parts_keep_rows_and_order():
     assert all(len(p) == 1 or sum(len(x or "") for x in p) <= 10 for p in got)
 
 
-@pytest.mark.parametrize("name", ["basic_chunks", "semantic_chunks", "semantic_chunk_records"])
+@pytest.mark.parametrize("name", ["basic_chunks", "semantic_chunks", "semantic_chunk_records", "decoded_files"])
 def test_a_long_batch_is_not_held_whole(spark, sf, name, monkeypatch):
     steps, real = [], type(spark.range(1)).mapInArrow
     monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema: steps.append((df, f)) or real(df, f, schema))
