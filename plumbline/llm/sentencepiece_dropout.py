@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.functions.batches import parts
 from plumbline.llm.common import carried
 
 META = "▁"
@@ -49,8 +50,9 @@ _LITERAL = "\ud800"
 LONG = 40
 DROPOUT = 0.1
 SEED = 20240
-#: Rows handled at once; words kept in a task; words whose choices are drawn, and encoded, at once.
-ROWS, CACHED, DRAWN, AGENDA = 256, 400_000, 1 << 18, 1 << 15
+#: Rows handled at once, and bytes of their texts; words kept in a task; words whose choices are
+#: drawn, and encoded, at once.
+ROWS, BYTES, CACHED, DRAWN, AGENDA = 64, 1 << 18, 400_000, 1 << 16, 1 << 13
 _NONE = np.int64(1 << 40)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -328,8 +330,9 @@ def word_salts(doc_seed: int, seed: int, n: int) -> np.ndarray:
     return mix(key + _STEP * np.arange(1, n + 1, dtype=np.uint64))
 
 
-def encode_many(pieces: Pieces, texts: list[str | None], doc_seeds: list[int], seed: int, rate: float, kept: list[Known]) -> list[np.ndarray]:
-    """Ids of each text. kept: empty at first, and kept between calls of one task."""
+def encode_many(pieces: Pieces, texts: list[str | None], doc_seeds: list[int], seed: int, rate: float, kept: list[Known], most: int = CACHED) -> list[np.ndarray]:
+    """Ids of each text. kept: empty at first, and kept between calls of one task; begun anew with
+    more than so many words."""
     if not kept:
         kept.append(Known())
     known, limit = kept[0], np.uint64(min(max(int(rate * 2**64), 0), 2**64 - 1))
@@ -338,7 +341,7 @@ def encode_many(pieces: Pieces, texts: list[str | None], doc_seeds: list[int], s
     salts = np.concatenate([np.zeros(0, np.uint64), *(word_salts(s, seed, len(w)) for s, w in zip(doc_seeds, split))])
     out: list[bytes] = []
     for a in range(0, len(words), DRAWN):
-        if len(known.at) > CACHED:
+        if len(known.at) > most:
             known.clear()
         some, salt = words[a : a + DRAWN], salts[a : a + DRAWN]
         get = known.at.get
@@ -366,23 +369,22 @@ def decode(pieces: Pieces, ids) -> str:
     return b"".join(map(pieces.bytes_of.__getitem__, ids)).decode()[1:]
 
 
-def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), seed: int = SEED, rate: float = DROPOUT, copies: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), seed: int = SEED, rate: float = DROPOUT, copies: bool = False, most: int = CACHED) -> DataFrame:
     """The columns named in carry, ids, n_tokens, and lossless: whether decoding the ids gives the text.
-    copies: rows of one id and text are copies, numbered so that each has its own choices."""
+    copies: rows of one id and text are copies, numbered so that each has its own choices. most: known
+    words kept in a task; fewer take less memory and more time, and give the same."""
     made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("_row"), F.col(doc_id).cast("string").alias("_id"), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cache = Pieces(model_file), []
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                texts = b.column(1).to_pylist()
-                ids = encode_many(pieces, texts, b.column(0).to_pylist(), seed, rate, cache)
-                ok = [decode(pieces, x.tolist()) == (t or "") for x, t in zip(ids, texts)]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], lists, pa.array(sizes), pa.array(ok)], names=schema.names)
+        for b in parts(batches, 1, ROWS, BYTES):
+            texts = b.column(1).to_pylist()
+            ids = encode_many(pieces, texts, b.column(0).to_pylist(), seed, rate, cache, most)
+            ok = [decode(pieces, x.tolist()) == (t or "") for x, t in zip(ids, texts)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], lists, pa.array(sizes), pa.array(ok)], names=schema.names)
 
     key = F.xxhash64("_id", F.lit(seed))
     if copies:

@@ -28,3 +28,31 @@ def test_a_long_batch_is_not_held_whole(spark, sf, name, monkeypatch):
     assert len(out) >= long[0].num_rows / batches.ROWS
     once = pa.Table.from_batches(run(iter(table.to_batches())))
     assert sum(b.num_rows for b in out) == 50 * once.num_rows
+
+
+def test_encoding_holds_few_words_and_gives_the_same(spark, monkeypatch):
+    from plumbline.llm import sentencepiece_dropout as spd
+    from plumbline.llm.common import tokenizer_file
+
+    pieces = spd.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    texts = [" ".join(f"word{i * 7 + j} and{j} more" for j in range(50)) for i in range(40)]
+    want = spd.encode_many(pieces, texts, list(range(40)), 1, 0.3, [])
+    monkeypatch.setattr(spd, "DRAWN", 64)
+    kept, got = [], []
+    for i in range(40):
+        got += spd.encode_many(pieces, texts[i : i + 1], [i], 1, 0.3, kept, 100)
+        assert len(kept[0].at) <= 100 + spd.DRAWN
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
+    from plumbline.llm import sentencepiece_dropout as spd
+    from plumbline.llm.common import tokenizer_file
+
+    steps = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema: steps.append(f) or df)
+    spd.encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_file("piece_bpe_32k.model"))
+    long = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["word " * 20_000] * 20)], names=["_seed", "_text"])
+    monkeypatch.setattr(spd, "encode_many", lambda pieces, texts, *a: [__import__("numpy").zeros(0, "i4")] * len(texts))
+    monkeypatch.setattr(spd, "decode", lambda *a: "")
+    assert [b.num_rows for b in steps[0](iter([long]))] == [2] * 10
