@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import people
 from plumbline.operators import catalog, context
+from plumbline.sources.stores import stored
 
 #: Candidates of a search, hits that are read, recent messages that name people.
 TOP, RERANKED, RECENT = 10, 5, 5
@@ -48,7 +49,7 @@ def search_people(named: DataFrame, search: Callable[[DataFrame], DataFrame], ex
     """conv_id and employees: for each name, in order of place, a struct of place, name,
     n_sources and employees. named: conv_id, place, name. search: hits (qid, text,
     final_rank) of queries (qid, query); called once, for all different names together."""
-    asked = named.select(F.col("name").alias("qid"), F.col("name").alias("query")).distinct()
+    asked = stored(named.select(F.col("name").alias("qid"), F.col("name").alias("query")).distinct(), "people")
     hits = search(asked).where(F.trim("text") != "")
     bodies = context.joined(hits, ["qid"], "final_rank", F.col("text"), "\n\n", "body")
     counts = hits.groupBy("qid").agg(F.count("*").alias("n_sources"))

@@ -122,6 +122,18 @@ def _parts(index: Index, hits: DataFrame, k1: float, b: float) -> DataFrame:
     return rated.withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
 
 
+def bm25_single(index: Index, asked: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, score of the k best texts of each query that has one token. The best texts are
+    sought once for each token, k of them kept in every task, so the rows are those of its
+    postings, however many queries there are. asked: as asked_tokens() gives it."""
+    words = asked.select("bucket", "token", "n_q").distinct()
+    hits = index.postings.join(words, ["bucket", "token"]).join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
+    rated = _parts(index, hits, k1, b).select("token", "n_q", "id", F.round(F.col("part") * F.col("n_q"), 9).alias("score"))
+    order = Window.partitionBy("token", "n_q").orderBy(F.desc("score"), "id")
+    best = rated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    return asked.select("qid", "token", "n_q").join(best, ["token", "n_q"]).select("qid", "id", "score")
+
+
 def bm25_blocks(index: Index, asked: DataFrame, k: int, n_queries: int, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, score of the k best texts of each query, for many queries. Texts and queries are
     dealt into blocks, and every block of texts meets every block of queries in a task, which
@@ -171,7 +183,12 @@ def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, tokenizer: Callab
     than k of them can be hits where filling is needed."""
     asked = asked_tokens(queries, tokenizer)
     if asked.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        scored = bm25_blocks(index, stored(asked, "asked"), k, queries.count(), **how)
+        asked = stored(asked, "asked")
+        n = asked.groupBy("qid").agg(F.count("*").alias("n"))
+        one = bm25_single(index, asked.join(n.where("n = 1").select("qid"), "qid", "left_semi"), k, **how)
+        rest = stored(asked.join(n.where("n > 1").select("qid"), "qid", "left_semi"), "asked")
+        n_rest = rest.select("qid").distinct().count()
+        scored = one.unionByName(bm25_blocks(index, rest, k, n_rest, **how)) if n_rest else one
     else:
         scored = bm25(index, queries, tokenizer, **how)
     best = top(scored, k, "score").drop("rank")

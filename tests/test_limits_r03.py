@@ -53,3 +53,18 @@ def test_many_queries_are_scored_in_blocks(spark, sf, monkeypatch):
 def test_terms_of_a_text_are_counted_where_they_are(spark, sf):
     plan = keywords.ngrams(tables.documents(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "REPARTITION_BY_COL" in plan
+
+
+def test_many_queries_of_one_token_need_no_blocks(spark, sf, monkeypatch):
+    texts = tables.documents(spark, sf).select("id", "text")
+    index = retrieval.build_index(texts)
+    words = [r.token for r in index.tokens.orderBy(F.desc("n_docs_with"), "token").limit(40).collect()]
+    asked = spark.createDataFrame([(w, w) for w in words] + [("twice", f"{words[3]} {words[3]}")], "qid string, query string")
+    both = asked.unionByName(spark.createDataFrame([("two", f"{words[0]} {words[5]}")], asked.schema))
+    rows = lambda q: sorted(tuple(r) for r in retrieval.bm25_top(index, q, 5).select("qid", "id", "rank", F.round("score", 6)).collect())
+    want = rows(both)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 3)
+    blocks, real = [], retrieval.bm25_blocks
+    monkeypatch.setattr(retrieval, "bm25_blocks", lambda i, a, *x, **y: blocks.append({r.qid for r in a.collect()}) or real(i, a, *x, **y))
+    assert rows(both) == want and blocks == [{"two"}]
+    assert rows(asked) == [r for r in want if r[0] != "two"] and len(blocks) == 1
