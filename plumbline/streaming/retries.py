@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.sources.stores import exists, listed, stored
 
@@ -54,23 +55,28 @@ class Ingest:
     def waiting(self, number: int | None = None) -> DataFrame:
         """Files that wait after a batch (the last one): path, content, attempt, due, error."""
         at = self.last() if number is None else number
-        none = self.spark.createDataFrame([], _WAITING)
+        none = self.spark.createDataFrame([], _WAITING).where("false")  # seen to be empty before anything is joined with it
         return self.spark.read.schema(_WAITING).parquet(self._table("waiting", at)) if at >= 0 else none
 
-    def step(self, files: DataFrame, number: int, now: float) -> None:
-        """Batch number: new files, and those that wait and are due by now (seconds)."""
+    def step(self, files: DataFrame | None, number: int, now: float) -> None:
+        """Batch number: new files (None: there are none), and those that wait and are due by now
+        (seconds). New contents are written down once; those that wait are read where they lie."""
         before = max((n for n in range(number) if exists(self.spark, f"{self._table('waiting', n)}/_SUCCESS")), default=-1) if number else -1
         held = self.waiting(before)
-        new = files.select("path", "content", F.lit(1).alias("attempt"))
-        # A file that came again takes the place of its older version.
-        older = held.join(new.select("path"), "path", "left_anti")
-        due = older.where(F.col("due") <= now).select("path", "content", F.col("attempt") + 1)
-        tried = stored(new.unionByName(due.toDF("path", "content", "attempt")), f"tried-{number}", f"{self.target}/scratch")
-        out = stored(self.process(tried), f"made-{number}", f"{self.target}/scratch")
+        older, new = held, None
+        if files is not None:
+            new = stored(files.select("path", "content", F.lit(1).alias("attempt")), f"tried-{number}", f"{self.target}/scratch")
+            # A file that came again takes the place of its older version.
+            older = held.join(new.select("path"), "path", "left_anti")
+        due = older.where(F.col("due") <= now).select("path", "content", (F.col("attempt") + 1).alias("attempt"))
+        tried = due if new is None else new.unionByName(due)
+        # Of a file that failed only its errors are written.
+        marked = self.process(tried).withColumn("_failed", F.max(F.col("error").isNotNull()).over(Window.partitionBy("path")))
+        out = stored(marked.where(F.col("error").isNotNull() | ~F.col("_failed")).drop("_failed"), f"made-{number}", f"{self.target}/scratch")
         errors = out.where(F.col("error").isNotNull()).groupBy("path").agg(F.min("error").alias("error"))
         failed = tried.join(errors, "path")
         gone = F.col("attempt") > self.retries
-        out.join(errors.select("path"), "path", "left_anti").drop("error").write.mode("overwrite").parquet(self._table("chunks", number))
+        out.where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(self._table("chunks", number))
         failed.where(gone).select("path", F.col("attempt").cast("int").alias("attempts"), "error").write.mode("overwrite").parquet(self._table("dead", number))
         settled = tried.join(errors, "path", "left").where(F.col("error").isNull() | gone)
         settled.select("path", F.col("error").isNull().alias("ok")).write.mode("overwrite").parquet(self._table("done", number))
@@ -90,7 +96,7 @@ class Ingest:
 
     def drain(self, now: float) -> int:
         """A batch of waiting files alone. Gives how many wait after it."""
-        self.step(self.spark.createDataFrame([], FILES), self.last() + 1, now)
+        self.step(None, self.last() + 1, now)
         return self.waiting().count()
 
     # -- what came of it -----------------------------------------------------------------

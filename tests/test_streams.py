@@ -201,3 +201,19 @@ def test_cached_results_across_spans(spark):
         live = [(s, r) for k, s, r in given if k == key and 0 <= (when - s).total_seconds() < 1000]
         want[i] = max(live)[1] if live else None
     assert {r.id: r.result for r in out.collect()} == want and out.columns == ["id", "cache_key", "ts", "result"]
+
+
+def test_files_that_wait_are_not_written_again_to_be_tried(spark, tmp_path):
+    from plumbline.sources.stores import listed
+
+    def process(files):
+        failed = F.col("attempt") < 3
+        chunks = files.select("path", F.lit(None).cast("string").alias("error"), F.col("content").cast("string").alias("text"))
+        return chunks.unionByName(files.where(failed).select("path", F.lit("failed").alias("error"), F.lit(None).cast("string").alias("text")))
+
+    job = Ingest(spark, str(tmp_path / "store"), process)
+    job.step(spark.createDataFrame([("a", b"x"), ("b", b"y")], "path string, content binary"), 0, 0.0)
+    assert job.drain(60.0) == 2 and job.drain(120.0) == 0
+    assert [n for n in listed(spark, f"{job.target}/scratch") if n.startswith("tried")] == ["tried-0"]
+    assert spark.read.parquet(f"{job.target}/scratch/made-0").where("error IS NULL").count() == 0  # a failed file's chunks
+    assert sorted((r.path, r.text) for r in job.living().collect()) == [("a", "x"), ("b", "y")]
