@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
+from plumbline.sources.stores import stored
 
 #: The least letters of a stem.
 STEM = 2
@@ -86,9 +87,17 @@ def lemma_table(words: DataFrame, irregular: DataFrame | None = None) -> DataFra
     return found.join(known, "token", "left").select("token", F.coalesce("lemma", "_rule").alias("lemma"))
 
 
+def lemma_counts(df: DataFrame, irregular: DataFrame | None = None, column: str = "text", stop: tuple[str, ...] = text.STOP) -> DataFrame:
+    """id, token and n: the words of each text as lemmas, a row for each word of a text. Texts are
+    dealt out by id before they are cut and counted, once, and written; stop words and numbers are
+    sought among the different lemmas."""
+    dealt = df.select("id", column).repartition("id")
+    counts = stored(text.token_rows(dealt, column, stop=()).groupBy("id", "token").agg(F.count("*").alias("n")), "words")
+    kept = lemma_table(counts, irregular).where(text.counts(F.col("lemma"), stop))
+    return counts.join(kept, "token").select("id", F.col("lemma").alias("token"), "n")
+
+
 def lemma_rows(df: DataFrame, irregular: DataFrame | None = None, column: str = "text", stop: tuple[str, ...] = text.STOP) -> DataFrame:
-    """id and token, as text.token_rows() gives them, where tokens are lemmas. Words are
-    counted by text first, so that what is joined is one row for each word of a text."""
-    counts = text.token_rows(df, column, stop=()).groupBy("id", "token").agg(F.count("*").alias("n"))
-    named = counts.join(lemma_table(counts, irregular), "token").where(text.counts(F.col("lemma"), stop))
-    return named.select("id", F.col("lemma").alias("token"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("id", "token")
+    """id and token, as text.token_rows() gives them, where tokens are lemmas."""
+    named = lemma_counts(df, irregular, column, stop)
+    return named.select("id", "token", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("id", "token")

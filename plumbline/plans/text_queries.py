@@ -275,8 +275,8 @@ def lemma_words(spark, sf):
 @query(f"WITH {_LEMMAS}, lt AS (SELECT id, unnest(tokens) AS token FROM tok), ld AS (SELECT id, lemma FROM lt JOIN le USING (token) WHERE length(lemma) >= 2 AND lemma NOT IN {text.STOP} AND NOT regexp_full_match(lemma, '[0-9]+')) SELECT lemma, count(DISTINCT id) AS n_docs_with, count(*) AS n FROM ld GROUP BY lemma")
 def lemma_frequency(spark, sf):
     """Texts and places of each lemma: tokens that are lemmas, as an index takes them."""
-    rows = lemmas.lemma_rows(documents(spark, sf), lemmas.exceptions(spark))
-    each = rows.groupBy("token", "id").agg(F.count("*").alias("n"))
+    rows = lemmas.lemma_counts(documents(spark, sf), lemmas.exceptions(spark))
+    each = rows.groupBy("token", "id").agg(F.sum("n").alias("n"))
     return each.groupBy(F.col("token").alias("lemma")).agg(F.count("*").alias("n_docs_with"), F.sum("n").alias("n"))
 
 

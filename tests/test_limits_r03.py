@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import lemmas
 from plumbline.operators import diagnostics, keywords, retrieval
 from plumbline.plans import tables, text_queries
 from plumbline.sources import files
@@ -68,3 +69,12 @@ def test_many_queries_of_one_token_need_no_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(retrieval, "bm25_blocks", lambda i, a, *x, **y: blocks.append({r.qid for r in a.collect()}) or real(i, a, *x, **y))
     assert rows(both) == want and blocks == [{"two"}]
     assert rows(asked) == [r for r in want if r[0] != "two"] and len(blocks) == 1
+
+
+def test_texts_are_cut_into_lemmas_once(spark, sf):
+    found = text_queries.lemma_frequency(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "explode" not in plan
+    docs = spark.createDataFrame([(1, "cats cat the 12 cats"), (2, None), (3, "cats")], "id long, text string")
+    got = {(r.id, r.token): r.n for r in lemmas.lemma_counts(docs, stop=("the",)).groupBy("id", "token").agg(F.sum("n").alias("n")).collect()}
+    assert got == {(1, "cat"): 3, (3, "cat"): 1}
