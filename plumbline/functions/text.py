@@ -147,11 +147,21 @@ SHAPES = [r"\b\w+\(\)", r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"]
 MOST_TERMS = 10
 
 
+def sooner(pattern: str) -> str:
+    """A pattern that finds the same in less time. Of words, the next sign is looked up among all
+    that one may begin with, before borders and words are tried; a run of word signs that a sign
+    of another kind has to follow is not given back."""
+    if pattern.startswith(r"\b(?:"):
+        first = {w[0] for w in pattern[5:].split("|")}
+        return f"(?=[{''.join(sorted({c for w in first for c in (w.lower(), w.upper())}))}]){pattern}"
+    return r"\b\w++" + pattern[5:] if pattern.startswith((r"\b\w+\.", r"\b\w+\(")) else pattern
+
+
 def technical_terms(c: Column) -> Column:
     """The first MOST_TERMS terms by name: known ones lower-cased unless short and upper case, and shapes as they are."""
-    named = F.concat(*(F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(0)) for p in FAMILIES))
+    named = F.concat(*(F.regexp_extract_all(c, F.lit("(?i)" + sooner(p)), F.lit(0)) for p in FAMILIES))
     named = F.transform(named, lambda t: F.when((t == F.upper(t)) & t.rlike(r"\p{Lu}") & (F.length(t) <= 5), t).otherwise(F.lower(t)))
-    shaped = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in SHAPES))
+    shaped = F.concat(*(F.regexp_extract_all(c, F.lit(sooner(p)), F.lit(0)) for p in SHAPES))
     underscores = lambda t: F.length(t) - F.length(F.replace(t, F.lit("_"), F.lit("")))
     shaped = F.filter(shaped, lambda t: underscores(t) <= 1)
     kept = F.filter(

@@ -132,3 +132,12 @@ def test_lemmas_by_rules_and_exceptions(spark):
     docs = spark.createDataFrame([(1, "Cats cat были 12 не cats"), (2, ""), (3, None)], "id int, text string")
     assert sorted(r.token for r in lemmas.lemma_rows(docs, lemmas.exceptions(spark)).collect()) == ["cat", "cat", "cat"]
     assert len(lemmas.RULES) < 200
+
+
+def test_patterns_made_sooner_find_the_same(spark):
+    odd = ["xPython python JAVAscript Java2 _go go", "é.pdf a.b.PDF read_me.docx .csv x.jsonx файл.txt", "call() a.b() ( ) __x__() é()", "SQL Server sql serverless ASP.NET aspxnet C++ C# c", "KKit ſql ﬁ Ruby\nrust", "", "v1.2 HTTPS/https-API UI ux"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    for p in [*("(?i)" + x for x in text.FAMILIES), *text.SHAPES]:
+        fast = "(?i)" + text.sooner(p[4:]) if p.startswith("(?i)") else text.sooner(p)
+        assert df.select(F.regexp_extract_all("t", F.lit(p), F.lit(0))).collect() == df.select(F.regexp_extract_all("t", F.lit(fast), F.lit(0))).collect(), p
+    assert sum(text.sooner(p) != p for p in [*text.FAMILIES, *text.SHAPES]) == 10
