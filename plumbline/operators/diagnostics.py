@@ -40,9 +40,12 @@ def quality_issues(hits: DataFrame) -> DataFrame:
     """hits: qid, query, text, score, rank."""
     w = lambda c: F.split(F.lower(c), r"[ \n]+")
     missed = (F.col("rank") <= 3) & ~F.arrays_overlap(w(F.col("query")), w(F.col("text")))
-    s = F.col("score")
-    # The mean is rounded, so that one at the limit does not depend on the order in which scores are added.
-    out = hits.groupBy("qid").agg(F.max(s).alias("best"), F.round(F.avg(s), 9).alias("mean"), (F.max(s) - F.min(s)).alias("spread"), F.count_if(missed).alias("n_missed"))
+    s, order = F.col("score"), Window.partitionBy("qid").orderBy("rank", F.desc("score"))
+    # Scores are added in the order of rank, of one rank the higher first, so that a mean at the limit
+    # is the one that the SQL has over its ordered rows, however the hits are dealt out.
+    rows = hits.select("qid", "rank", "score", missed.alias("missed"))
+    rows = rows.withColumn("_mean", F.avg(s).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.row_number().over(order))
+    out = rows.groupBy("qid").agg(F.max(s).alias("best"), F.max_by("_mean", "_n").alias("mean"), (F.max(s) - F.min(s)).alias("spread"), F.count_if("missed").alias("n_missed"))
     checks = [(F.col("best") < 3, "low_max"), (F.col("mean") < 2, "low_mean"), (F.col("spread") < 0.5, "flat_scores"), (F.col("n_missed") > 0, "no_query_words")]
     return out.select("qid", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks))), ",").alias("issues"))
 
