@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,8 +27,13 @@ TOP_K, RERANK_K = 30, 10
 BUCKETS = 64
 #: The most queries that are sent to every task. Beyond it, Spark chooses the joins.
 MOST_BROADCAST = 10_000
-#: Texts and queries of a block, where there are many of both.
-BLOCK = 4096
+#: The most texts of a block and the fewest, and its most queries, where there are many of both.
+BLOCK, LEAST_BLOCK, QUERIES = 20_000, 1000, 200_000
+#: The most different tokens that are sent to every task.
+MOST_TOKENS = 500_000
+#: In a block, tokens that more than this share of texts have are kept by text, so many at most;
+#: the cells in which its best sums are sought; and what sums may err by with each token, as a share.
+DENSE, MOST_DENSE, CELLS, ERROR = 0.04, 512, 256, 2e-7
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -134,47 +139,151 @@ def bm25_single(index: Index, asked: DataFrame, k: int, k1: float = K1, b: float
     return asked.select("qid", "token", "n_q").join(best, ["token", "n_q"]).select("qid", "id", "score")
 
 
-def bm25_blocks(index: Index, asked: DataFrame, k: int, n_queries: int, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, score of the k best texts of each query, for many queries. Texts and queries are
-    dealt into blocks, and every block of texts meets every block of queries in a task, which
-    holds the parts of its texts by token and the scores of one query at a time. So no row is
-    made for a pair of query and text, and each task gives k rows for each query. asked: as
-    asked_tokens() gives it."""
-    n_docs = index.stats.head().n_docs  # one row
-    left, right = -(-n_docs // BLOCK) or 1, -(-n_queries // BLOCK) or 1
-    wanted = asked.select("bucket", "token").distinct()
-    hits = index.postings.join(wanted, ["bucket", "token"], "left_semi").join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
+class _Texts:
+    """The postings of a block of texts in memory, by text and by token. texts: seg, id, code
+    and tf of each posting, and of each living text a row of code -1 with its length as tf."""
+
+    def __init__(self, texts: pa.Table, k1: float, b: float, avgdl: float):
+        own = texts.filter(pc.less(texts["code"], 0)).sort_by("id")
+        self.ids, segs, dl = (own[c].to_numpy() for c in ("id", "seg", "tf"))
+        self.words = np.unique(texts["code"].to_numpy())
+        self.words = self.words[self.words >= 0]
+        docs, cols, gains = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        # Batch by batch, as few numbers of a posting are kept.
+        for batch in texts.to_batches() if len(own) else []:
+            seg, ids, code, tf = (batch[c].to_numpy() for c in ("seg", "id", "code", "tf"))
+            doc = np.minimum(np.searchsorted(self.ids, ids), len(own) - 1)
+            # Postings of texts that are gone are passed over.
+            alive = (code >= 0) & (self.ids[doc] == ids) & (segs[doc] == seg)
+            doc, tf = doc[alive], tf[alive]
+            docs.append(doc.astype(np.int32))
+            cols.append(np.searchsorted(self.words, code[alive]).astype(np.int32))
+            gains.append(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)))
+        doc, col, gain = np.concatenate(docs), np.concatenate(cols), np.concatenate(gains)
+        del docs, cols, gains
+        key = doc.astype(np.int64) * max(1, len(self.words)) + col
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        # What a text repeats is added up, so that it stands once under a token.
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        self.gain = np.add.reduceat(gain[order], first) if len(key) else gain
+        doc, col = doc[order][first], col[order][first]
+        del key, order, first, gain
+        self.col, self.row = col, np.append(0, np.cumsum(np.bincount(doc, minlength=len(own))))
+        n = np.bincount(col, minlength=len(self.words))
+        # Sums are taken in cells of neighbouring texts, so many that the best of each bound the k-th score.
+        self.width = max(1, len(own) // CELLS)
+        self.sums, self.weight = np.zeros(-(-len(own) // self.width) * self.width, np.float32), np.zeros(len(self.words))
+        often = np.argsort(-n, kind="stable")[:MOST_DENSE]
+        often = often[n[often] > len(own) * DENSE]
+        self.line = np.full(len(self.words), -1)
+        self.line[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(self.sums)), np.float32)
+        line = self.line[col]
+        at = np.flatnonzero(line >= 0)
+        self.dense[line[at], doc[at]] = self.gain[at]
+        at = np.flatnonzero(line < 0)
+        at = at[np.argsort(col[at], kind="stable")]
+        self.doc, self.about = doc[at], self.gain[at].astype(np.float32)
+        n[often] = 0
+        self.start = np.append(0, np.cumsum(n))
+
+    def add(self, c: int, w: float) -> None:
+        """Adds what a token gives to the sums of its texts."""
+        if self.line[c] >= 0:
+            self.sums += self.dense[self.line[c]] * np.float32(w)
+        else:
+            at = slice(self.start[c], self.start[c + 1])
+            self.sums[self.doc[at]] += self.about[at] * np.float32(w)
+
+    def having(self, c: int) -> np.ndarray:
+        """The texts that have a token."""
+        return np.flatnonzero(self.dense[self.line[c]]) if self.line[c] >= 0 else self.doc[self.start[c] : self.start[c + 1]]
+
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        """Whole scores of texts, of one at least, by the weights that are set."""
+        n = self.row[docs + 1] - self.row[docs]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.row[docs] - ends + n, n)
+        return np.add.reduceat(self.weight[self.col[at]] * self.gain[at], ends - n)
+
+    def best(self, cols: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best texts of a query. Sums of less precision tell which
+        texts may be among them, by more than they can err; those are scored."""
+        self.weight[cols] = weights
+        if weights.min() > 0:
+            for c, w in zip(cols.tolist(), weights.tolist()):
+                self.add(c, w)
+            tops = self.sums.reshape(-1, self.width).max(axis=1)
+            least = float(np.partition(tops, -k)[-k]) if len(tops) > k else 0.0
+            hit = np.flatnonzero(self.sums >= np.float32(max(least * (1 - ERROR * (len(cols) + 10)) - 1e-8, 1e-30)))
+            self.sums.fill(0)
+        else:
+            hit = np.unique(np.concatenate([self.having(c) for c in cols]))
+        score = np.round(self.scores(hit), 9) if len(hit) else np.zeros(0)
+        self.weight[cols] = 0
+        if len(hit) > k:
+            kept = score >= np.partition(score, -k)[-k]
+            hit, score = hit[kept], score[kept]
+        order = np.lexsort((self.ids[hit], -score))[:k]
+        return self.ids[hit[order]], score[order]
+
+
+def bm25_blocks(index: Index, asked: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, score of the k best texts of each query, for many queries. Queries of the same
+    tokens are answered once. Texts are dealt into blocks, and all queries, as rows of numbers,
+    come to each block, whose task keeps k rows for each. So a posting is dealt out once (once
+    for each QUERIES different queries), and no row is made for a pair of query and text.
+    asked: as asked_tokens() gives it."""
+    spark, stats = asked.sparkSession, index.stats.head()  # one row
+    # Small tables have as many blocks as keep all cores busy, unless these would have few texts.
+    left = max(-(-stats.n_docs // BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-stats.n_docs // LEAST_BLOCK)), 1)
+    wanted = asked.select("bucket", "token").distinct().join(index.tokens.drop("n_docs_with"), ["bucket", "token"])
+    wanted = stored(wanted.withColumn("code", F.monotonically_increasing_id()), "wanted")
+    words = F.array_sort(F.collect_list(F.struct("code", (F.col("idf") * F.col("n_q")).alias("weight"))))
+    bags = asked.join(wanted, ["bucket", "token"]).groupBy("qid").agg(words.alias("w"))
+    bags = stored(bags.select("qid", F.col("w.code").alias("codes"), F.col("w.weight").alias("weights")), "bags")
+    once = stored(bags.groupBy("codes", "weights").agg(F.min("qid").alias("first")), "bags")
+    right = max(-(-once.count() // QUERIES), 1)
+
+    names = [c for c in index.key if c != "id"]
+    hits = index.postings.join(small(wanted.select("bucket", "token", "code"), MOST_TOKENS), ["bucket", "token"])
+    rows = hits.select(*names, "id", "code", F.col("tf").cast("int").alias("tf"))
+    rows = rows.unionByName(index.lengths.select(*names, "id", F.lit(-1).cast("long").alias("code"), F.col("dl").cast("int").alias("tf")))
+    if names:
+        # A row for each segment, by a number.
+        rows = rows.join(F.broadcast(index.lengths.select(*names).distinct().withColumn("seg", F.row_number().over(Window.orderBy(*names)))), names)
+    else:
+        rows = rows.withColumn("seg", F.lit(0))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    texts = _parts(index, hits, k1, b).select(place("id", left).alias("x"), every(right).alias("y"), "id", "token", "part")
-    queries = asked.select(every(left).alias("x"), place("qid", right).alias("y"), "qid", "token", "n_q")
-    kind = asked.schema["qid"].dataType.simpleString()
-
-    def run(_, texts: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if texts.empty or queries.empty:
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        ids, doc = np.unique(texts["id"].to_numpy(), return_inverse=True)
-        code, words = pd.factorize(texts["token"])
-        order = np.argsort(code, kind="stable")
-        doc, part = doc[order], texts["part"].to_numpy()[order]
-        starts = np.searchsorted(code[order], np.arange(len(words) + 1))
-        queries = queries.assign(code=pd.Index(words).get_indexer(queries["token"]))
-        queries = queries[queries["code"] >= 0].sort_values(["qid", "token"])
-        out = []
-        for qid, q in queries.groupby("qid", sort=False):
-            score = np.zeros(len(ids))
-            for c, n in zip(q["code"].to_numpy(), q["n_q"].to_numpy()):
-                at = slice(starts[c], starts[c + 1])
-                np.add.at(score, doc[at], part[at] * n)
-            score = np.round(score, 9)
-            hit = np.unique(np.concatenate([doc[starts[c] : starts[c + 1]] for c in q["code"]]))
-            if len(hit) > k:
-                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
-            best = hit[np.lexsort((ids[hit], -score[hit]))][:k]
-            out.append(pd.DataFrame({"qid": qid, "id": ids[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
-
-    return texts.groupBy("x", "y").cogroup(queries.groupBy("x", "y")).applyInPandas(run, f"qid {kind}, id long, score double")
+    texts = rows.select(place("id", left).alias("x"), every(right).alias("y") if right > 1 else F.lit(0).alias("y"), "seg", "id", "code", "tf")
+    queries = once.select(every(left).alias("x"), place("first", right).alias("y"), "first", "codes", "weights")
+    kind, avgdl = asked.schema["qid"].dataType.simpleString(), stats.avgdl
+
+    def run(texts: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, scores, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(queries.num_rows, np.int64)
+        if texts.num_rows and queries.num_rows:
+            block = _Texts(texts, k1, b, avgdl)
+            codes, weights = (queries[c].combine_chunks() for c in ("codes", "weights"))
+            query = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy(zero_copy_only=False))
+            codes, weights = codes.flatten().to_numpy(), weights.flatten().to_numpy()
+            cols = np.searchsorted(block.words, codes)
+            known = np.append(block.words, -1)[cols] == codes
+            query, cols, weights = query[known], cols[known], weights[known]
+            starts = np.searchsorted(query, np.arange(queries.num_rows + 1))
+            for i in np.unique(query):
+                at = slice(starts[i], starts[i + 1])
+                found, score = block.best(cols[at], weights[at], k)
+                ids.append(found)
+                scores.append(score)
+                sizes[i] = len(found)
+        first = queries["first"].take(pa.array(np.repeat(np.arange(queries.num_rows), sizes)))
+        return pa.table({"first": first, "id": pa.array(np.concatenate(ids)), "score": pa.array(np.concatenate(scores))})
+
+    found = texts.groupBy("x", "y").cogroup(queries.groupBy("x", "y")).applyInArrow(run, f"first {kind}, id long, score double")
+    same = bags.join(once, ["codes", "weights"]).select("qid", "first")
+    return same.join(top(found, k, "score", by="first"), "first").select("qid", "id", "score")
 
 
 def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, tokenizer: Callable[[Column], Column] = text.tokens, **how) -> DataFrame:
@@ -187,8 +296,7 @@ def bm25_top(index: Index, queries: DataFrame, k: int = TOP_K, tokenizer: Callab
         n = asked.groupBy("qid").agg(F.count("*").alias("n"))
         one = bm25_single(index, asked.join(n.where("n = 1").select("qid"), "qid", "left_semi"), k, **how)
         rest = stored(asked.join(n.where("n > 1").select("qid"), "qid", "left_semi"), "asked")
-        n_rest = rest.select("qid").distinct().count()
-        scored = one.unionByName(bm25_blocks(index, rest, k, n_rest, **how)) if n_rest else one
+        scored = one.unionByName(bm25_blocks(index, rest, k, **how)) if rest.head() else one
     else:
         scored = bm25(index, queries, tokenizer, **how)
     best = top(scored, k, "score").drop("rank")

@@ -170,9 +170,10 @@ class Segments:
 
     # -- reading -----------------------------------------------------------------------
 
-    def _index(self, entries: list[tuple[str, str, int]], view: str) -> Index:
+    def _index(self, entries: list[tuple[str, str, int]], view: str, level: int) -> Index:
         read = lambda name: self.spark.read.parquet(f"{view}/{name}")
-        postings = self._read(entries, "segment", "postings", _POSTINGS).drop("level")
+        # Postings above the level have no lengths in the view, so they need not be dealt out.
+        postings = self._read(entries, "segment", "postings", _POSTINGS).where(F.col("level") <= level).drop("level")
         return Index(postings, read("tokens"), read("lengths"), read("stats"), ("segment", "id"))
 
     def view(self, level: int, now: float, ttl: float = TTL, epsilon: float = EPSILON) -> tuple[Index, bool]:
@@ -188,7 +189,7 @@ class Segments:
             elif int(version) < at or now - int(made) >= ttl:
                 removed(self.spark, f"{place}/{name}")
         if alive:
-            return self._index(entries, f"{place}/{alive}"), True
+            return self._index(entries, f"{place}/{alive}", level), True
         here = f"{place}/{at}-{int(now)}"
         below = F.col("level") <= level
         both = lambda table, schema: self._read(entries, "segment", table, schema).unionByName(self._read(entries, "gone", table, schema)).where(below)
@@ -198,4 +199,4 @@ class Segments:
         tokens, stats = rated_tokens(vocab, total, here, epsilon)
         stored(tokens, "tokens", here)
         stored(stats, "stats", here)  # the last one, by which a view is known to be whole
-        return self._index(entries, here), False
+        return self._index(entries, here, level), False
